@@ -275,16 +275,15 @@ def _identified(documents: DataFrame, *extra: str) -> DataFrame:
 def find_repeats(documents: DataFrame, length: int = 400) -> DataFrame:
     """doc, runs: for each row that has any, the runs of starts whose strings of `length` bytes occur elsewhere."""
     plan, n = Plan(length), partitions(documents.sparkSession)
-    buckets = 16 * n
     docs = _identified(documents)
-    named, found = docs.withColumnRenamed("doc", "doc_id").mapInArrow(_sample(plan, buckets), PACKED), []
+    named, found = docs.withColumnRenamed("doc", "doc_id").mapInArrow(_sample(plan, n), PACKED), []
     for level, width in enumerate(plan.widths):
         last = level == len(plan.widths) - 1
-        settled = materialize(named.repartition(n, "bucket").mapInArrow(_settle_batches(plan, last), SETTLED), f"repeats{level}")
+        settled = materialize(named.repartitionById(n, "bucket").mapInArrow(_settle_batches(plan, last), SETTLED), f"repeats{level}")
         found.append(settled.where("state % 2 = 1").select("doc", "pos", "lo", F.lit(width).alias("width")))
         if not last:
             opened = settled.where("state >= 2").distinct().groupBy("doc").agg(F.collect_list(F.struct("pos", "lo")).alias("open"))
-            named = docs.join(opened.hint("shuffle_hash"), "doc").select("doc", "text", "open").mapInArrow(_split(plan, level + 1, buckets), PACKED)
+            named = docs.join(opened.hint("shuffle_hash"), "doc").select("doc", "text", "open").mapInArrow(_split(plan, level + 1, n), PACKED)
     runs = found[0]
     for more in found[1:]:
         runs = runs.unionByName(more)
