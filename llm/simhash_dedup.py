@@ -147,7 +147,6 @@ def forest(links: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
 def link(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """distinct: fp (long), each once.  node, root: of the components of more than one fingerprint."""
     n, masks = partitions(distinct.sparkSession), block_masks(radius, distinct.count())
-    buckets = 16 * n
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keys and fingerprints, packed for each bucket."""
@@ -156,7 +155,7 @@ def link(distinct: DataFrame, radius: int = 4) -> DataFrame:
             keys = np.concatenate([mix((fps & U64(m)) + mix(i)) for i, m in enumerate(masks)])
             order = np.argsort(keys)
             keys, own = keys[order], np.tile(fps, len(masks))[order]
-            bucket = ((keys >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64)
+            bucket = ((keys >> U64(40)) * U64(n) >> U64(24)).astype(np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
             blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (keys, own)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), *blobs], names=["bucket", "keys", "fps"])
@@ -168,7 +167,7 @@ def link(distinct: DataFrame, radius: int = 4) -> DataFrame:
         found = forest((a.view(np.int64), b.view(np.int64)) for a, b in table_links(keys[order], fps[order], radius))
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["a", "b"])
 
-    dealt = distinct.mapInArrow(deal, "bucket int, keys binary, fps binary").repartition(n, "bucket")
+    dealt = distinct.mapInArrow(deal, "bucket int, keys binary, fps binary").repartitionById(n, "bucket")
     return components(dealt.mapInArrow(connect, "a long, b long"))
 
 
