@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, packing, quality_rules, simhash_dedup, suffix_dedup
+from llm import bpe, fingerprints, line_dedup, packing, quality_rules, simhash_dedup, suffix_dedup, url_filters
 from llm.common import read
 
 
@@ -19,6 +19,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deleted_lines(read(spark, sf_dir, "documents"))
+
+
+#: Host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"select * from values {_RULES_SQL} as rules(host, path, verdict)")
+    return url_filters.judge(read(spark, sf_dir, "pages"), rules)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -31,9 +44,27 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+_OP4_SQL = f"""
+with rules(host, path, verdict) as (values {_RULES_SQL}),
+cut as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
+parsed as (select row_number() over () as n, page_id,
+  coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from cut),
+fits as (select p.n, r.host || r.path as rule, r.verdict, length(r.host) + length(r.path) as size
+  from parsed p join rules r on (p.host = r.host or p.host like '%.' || r.host) and starts_with(p.path, r.path)),
+best as (select n, arg_max(rule, size) as rule, arg_max(verdict, size) as verdict from fits group by n)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parsed left join best using (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filters": _OP4_SQL}
