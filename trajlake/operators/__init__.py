@@ -1,0 +1 @@
+"""Relational operators on episodes, windows, statistics, samples and batches."""

@@ -1,8 +1,7 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from trajlake.plans import catalogs, samples, scalars, statistics, texts, trajectories  # noqa: F401
+from trajlake.plans.registry import ORACLES, QUERIES
+from trajlake.plans.trajectories import flagship
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
