@@ -27,6 +27,11 @@ class Spec:
         return self.actions * self.stride
 
 
+def stepped(first: Column, last: Column, step: Column) -> Column:
+    """first, first + step, ... up to last; null, which explodes to nothing, where last is before first."""
+    return F.when(last >= first, F.sequence(first, F.greatest(first, last), step))
+
+
 def greatest_start(n: Column, s: Spec) -> Column:
     """The last start that leaves a valid prefix of two video frames; null if there is none."""
     if s.actions < 2 * s.ratio:
@@ -81,14 +86,14 @@ def random_strict_fill(lengths: DataFrame, s: Spec, seed: int = 7) -> DataFrame:
 def tiled(lengths: DataFrame, s: Spec, start: int = 0) -> DataFrame:
     """Windows one after the other, the last ones clamped."""
     some = lengths.where(F.col("n") > start)
-    starts = some.select("*", F.explode(F.sequence(F.lit(start).cast("long"), F.col("n") - 1, F.lit(s.span).cast("long"))).alias("c"))
+    starts = some.select("*", F.explode(stepped(F.lit(start).cast("long"), F.col("n") - 1, F.lit(s.span).cast("long"))).alias("c"))
     return exploded(starts, action_indexes(F.col("c"), F.col("n"), s), s)
 
 
 def overlapping(lengths: DataFrame, ratio: int, stride: int, actions: int = 9) -> DataFrame:
     """Three video frames and the actions from the third on, unclamped; kind says which, starts are 2 * ratio * stride apart."""
     last = F.col("n") - 1 - (3 * ratio + actions - 1) * stride
-    starts = lengths.withColumn("last", last).where("last >= 0").select("user_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(2 * ratio * stride).cast("long"))).alias("c"))
+    starts = lengths.withColumn("last", last).where("last >= 0").select("user_id", "n", F.explode(stepped(F.lit(0).cast("long"), F.col("last"), F.lit(2 * ratio * stride).cast("long"))).alias("c"))
     video = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.struct(F.lit("video").alias("kind"), (k - 1).cast("long").alias("pos"), (F.col("c") + k * ratio * stride).alias("idx")))
     action = F.transform(F.sequence(F.lit(0), F.lit(actions - 1)), lambda k: F.struct(F.lit("action").alias("kind"), k.cast("long").alias("pos"), (F.col("c") + (3 * ratio + k) * stride).alias("idx")))
     return starts.select("user_id", "n", "c", F.inline(F.concat(video, action)))
@@ -108,7 +113,7 @@ def source_slices(sources: DataFrame, indexes: str, width: int = 17, step: int =
     """Slices of sources of clamped indexes: s = first, first + step, ...; those that repeat an index go if `drop_padded`.
     slice_video is the video frame that s belongs to; token_now and token_next are the token blocks of the slice and the one after."""
     last = F.size(indexes) - width
-    starts = sources.withColumn("last", last).where(F.col("last") >= first).select("*", F.explode(F.sequence(F.lit(first), F.col("last"), F.lit(step))).alias("s"))
+    starts = sources.withColumn("last", last).where(F.col("last") >= first).select("*", F.explode(stepped(F.lit(first), F.col("last"), F.lit(step))).alias("s"))
     own = starts.withColumn("own", F.slice(indexes, F.col("s") + 1, F.lit(width)))
     if drop_padded:
         distinct = F.size(F.array_distinct("own")) == width  # indexes never fall, so equal ones are neighbours
