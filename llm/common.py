@@ -55,7 +55,7 @@ class SpanHash:
         return mix((self.sums[ends] - self.sums[starts]) * back[starts])
 
 
-def text_slices(batch: pa.RecordBatch, name: str, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, name: str, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, UTF-8 bytes, offsets) of runs of whole rows of about `limit` bytes; null is empty."""
     column = batch.column(batch.schema.get_field_index(name)).fill_null("").cast(pa.large_string())
     buffers, n = column.buffers(), len(column)

@@ -212,7 +212,7 @@ def _settle_batches(plan: Plan, last: bool):
     return run
 
 
-def _sample(plan: Plan, buckets: int, flush: int = 1_500_000):
+def _sample(plan: Plan, buckets: int, flush: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Names of the sampled tuples, which are the cores of the widest runs."""
         held, n = [], 0
