@@ -21,7 +21,7 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _values(spark, sf_dir)
-    return values.join(st.spread(values, "dim").drop("n"), "dim")  # a row per dimension
+    return values.join(F.broadcast(st.spread(values, "dim").drop("n")), "dim")  # a row for each of a vector's dimensions
 
 
 @query(f"select vec_id, dim, round((x - low) / case when high = low then 1 else high - low end, 6) as y from {VALUES} join {RANGES} using (dim)")
@@ -55,7 +55,7 @@ def stats_hist_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_quantile_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _values(spark, sf_dir)
     low, high = F.col("q01"), F.col("q99")
-    joined = values.join(st.histogram_quantiles(values, [0.01, 0.99], BINS), "dim")
+    joined = values.join(F.broadcast(st.histogram_quantiles(values, [0.01, 0.99], BINS)), "dim")
     return joined.select("vec_id", "dim", rounded(normalise(clip(F.col("x"), low, high), low, high)).alias("y"))
 
 
