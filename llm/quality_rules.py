@@ -33,9 +33,10 @@ class Parameters:
     min_words: int = 10
     max_repeat_percent: int = 20
     #: Mean log ratio, in nats, below which a document is rejected.
-    min_score: float = -0.2
+    min_score: float = -0.15
     trusted_docs: int = 20_000
-    smoothing: float = 1.0
+    #: N-grams of raw text that the trusted counts are mixed with: little trusted text says little, and rejects nothing.
+    prior: float = 200_000.0
 
 
 def _ngrams(word_hash: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +115,8 @@ def fit(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -
     raw, target = counts
     if not target.sum():
         return np.zeros(BUCKETS)
-    return np.log((target + p.smoothing) / (target.sum() + p.smoothing * BUCKETS)) - np.log((raw + p.smoothing) / (raw.sum() + p.smoothing * BUCKETS))
+    share = (raw + 1) / (raw.sum() + BUCKETS)
+    return np.log((target + p.prior * share) / (target.sum() + p.prior)) - np.log(share)
 
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

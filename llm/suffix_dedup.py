@@ -267,9 +267,9 @@ def _split(plan: Plan, level: int, buckets: int):
     return run
 
 
-def _identified(documents: DataFrame, *extra: str) -> DataFrame:
-    """With `doc`, a name of the row made of doc_id and text: rows that share doc_id alone stay apart."""
-    return documents.select(*extra, "text", (F.shiftleft(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), 20) + F.pmod(F.xxhash64("text"), F.lit(1 << 20))).alias("doc"))
+def _identified(documents: DataFrame, *extra: str, name: str = "doc") -> DataFrame:
+    """With a name of the row made of doc_id and text: rows that share doc_id alone stay apart."""
+    return documents.select(*extra, "text", (F.shiftleft(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), 20) + F.pmod(F.xxhash64("text"), F.lit(1 << 20))).alias(name))
 
 
 def find_repeats(documents: DataFrame, length: int = 400) -> DataFrame:
@@ -301,13 +301,14 @@ def _covered(plan: Plan, size: np.ndarray, offsets: np.ndarray, row: np.ndarray,
 
 
 def _with_runs(documents: DataFrame, length: int, *columns: str) -> DataFrame:
-    docs = _identified(documents, *columns)
-    return docs.join(find_repeats(documents, length).hint("shuffle_hash"), "doc", "left").drop("doc")
+    docs = _identified(documents, *columns, name="__doc")
+    runs = find_repeats(documents, length).toDF("__doc", "__runs")
+    return docs.join(runs.hint("shuffle_hash"), "__doc", "left").drop("__doc")
 
 
 def _each(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets, whether each byte goes) of slices of a batch."""
-    row_of, (pos, lo, width) = _lists(batch, "runs", ("pos", "lo", "width"))
+    row_of, (pos, lo, width) = _lists(batch, "__runs", ("pos", "lo", "width"))
     for first, last, buf, offsets in text_slices(batch, "text"):
         own = slice(*np.searchsorted(row_of, [first, last]))
         yield first, buf, offsets, _covered(plan, np.diff(offsets), offsets, row_of[own] - first, pos[own], lo[own], width[own])
@@ -346,10 +347,10 @@ def remove_repeats(documents: DataFrame, length: int = 400) -> DataFrame:
                     lost = gone[a:b].any()
                     texts.append(buf[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") if lost else batch.column("text")[first + i].as_py())
                     keep.append(not lost or bool(texts[-1]))
-            columns = {f.name: batch.column(f.name) for f in batch.schema if f.name != "runs"}
+            columns = {f.name: batch.column(f.name) for f in batch.schema if f.name != "__runs"}
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts]).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], names=schema.fieldNames()).filter(pa.array(keep))
 
-    return _with_runs(documents, length, *(c for c in documents.columns if c != "text")).select(*documents.columns, "runs").mapInArrow(cut, schema)
+    return _with_runs(documents, length, *(c for c in documents.columns if c != "text")).select(*documents.columns, "__runs").mapInArrow(cut, schema)

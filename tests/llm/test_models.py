@@ -47,10 +47,12 @@ def test_ratio_is_of_the_two_multinomials(spark):
     ratio = quality_rules.fit(docs, labels)
     grams = {k: t.split() + list(zip(t.split(), t.split()[1:])) for k, t in rows}
     raw, target = Counter(g for x in grams.values() for g in x), Counter(grams[1])
-    share = lambda c, g: (c[g] + 1) / (sum(c.values()) + quality_rules.BUCKETS)
+    prior = quality_rules.Parameters().prior
+    share = lambda g: (raw[g] + 1) / (sum(raw.values()) + quality_rules.BUCKETS)
+    ratio_of = lambda g: (target[g] + prior * share(g)) / (sum(target.values()) + prior) / share(g)
     for r in quality_rules.score_documents(docs, labels).collect():
         own = grams[r.doc_id]
-        assert r.score == pytest.approx(sum(math.log(share(target, g) / share(raw, g)) for g in own) / len(own))
+        assert r.score == pytest.approx(sum(math.log(ratio_of(g)) for g in own) / len(own))
     assert len(ratio) == quality_rules.BUCKETS and quality_rules.score_documents(docs.where("doc_id < 0"), labels).count() == 0
     assert {r.score for r in quality_rules.score_documents(docs, labels.where("quality > 1")).collect()} == {0.0}
 
