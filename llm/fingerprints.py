@@ -26,11 +26,16 @@ from llm.common import partitions
 LANES = 0x0000000100000001
 
 
-def terms(text: Column) -> Column:
-    """An array of (hash, weight)."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    pair = F.transform(F.slice(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(1))).alias("b")), F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda w: F.struct(F.xxhash64(w["a"], w["b"]).alias("h"), F.least(F.lit(4), 1 + F.floor((F.length(w["a"]) + F.length(F.coalesce(w["b"], F.lit("")))) / 8)).cast("long").alias("w")))
-    return pair
+def with_terms(texts: DataFrame) -> DataFrame:
+    """Rows with a column text become rows of one term each, with its hash h and weight w; a text without terms keeps one row, of
+    nulls.  Neighbours are paired by zipping the words with themselves moved by one, so that everything after the split is compiled."""
+    keep = [c for c in texts.columns if c != "text"]
+    words = texts.select(*keep, F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+").alias("words"))
+    moved = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(1)))
+    pairs = words.select(*keep, F.size("words").alias("n"), F.explode(F.arrays_zip(F.col("words").alias("a"), moved.alias("b"))).alias("p")).select(*keep, "n", "p.a", "p.b")
+    term = F.when((F.col("a") != "") & (F.col("b").isNotNull() | (F.col("n") == 1)), True)
+    weight = F.least(F.lit(4), 1 + F.floor((F.octet_length("a") + F.coalesce(F.octet_length("b"), F.lit(0))) / 8)).cast("long")
+    return pairs.select(*keep, F.when(term, F.xxhash64("a", "b")).alias("h"), F.when(term, weight).alias("w"))
 
 
 def vote_sums() -> list[Column]:
@@ -89,8 +94,7 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     edit = F.concat(F.substring("text", F.lit(1), chars - F.floor(chars / 4).cast("int")), F.coalesce(F.substring("next", F.lit(1), F.floor(chars / 4).cast("int")), F.lit("")))
     numbered = dealt.withColumns({"next": F.lead("text").over(order), "row": F.row_number().over(order)}).withColumns({"n_chars": chars.cast("long"), "edited": edit})
     sides = numbered.select("part", "row", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("side", "text")).where("side = 0 or place = 0")
-    votes = sides.select("part", "row", "place", "doc_id", "n_chars", "edited_sha256", "side", F.explode_outer(terms(F.col("text"))).alias("t")).select("part", "row", "place", "doc_id", "n_chars", "edited_sha256", "side", F.col("t.h").alias("h"), F.col("t.w").alias("w"))
-    prints = votes.groupBy("part", "row", "place", "doc_id", "n_chars", "edited_sha256", "side").agg(*vote_sums()).select("part", "row", "place", "doc_id", "n_chars", "edited_sha256", "side", signs().alias("fp"))
+    prints = with_terms(sides).groupBy("part", "row", "place", "doc_id", "n_chars", "edited_sha256", "side").agg(*vote_sums()).select("part", "row", "place", "doc_id", "n_chars", "edited_sha256", "side", signs().alias("fp"))
     both = prints.groupBy("part", "row", "place", "doc_id", "n_chars", "edited_sha256").agg(F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp"))
     done = both.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("part").orderBy("row"))).where("place = 0")
     return done.select("doc_id", "n_chars", "edited_sha256", hexadecimal("fp").alias("fingerprint"), hexadecimal("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
