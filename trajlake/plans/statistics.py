@@ -101,11 +101,11 @@ def trajectory_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with c as (select l_orderkey, unnest(['quantity', 'price', 'discount', 'tax']) as channel, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) as x from lineitem)
-select l_orderkey, channel, count(*) as n, min(x) as low, max(x) as high, round(avg(x), 4) as mean, round(stddev_pop(x), 4) as std from c group by 1, 2""")
+select l_orderkey, channel, count(*) as n, min(x) as low, max(x) as high, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std from c group by 1, 2""")
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [F.struct(F.lit(c).alias("channel"), F.col(f"l_{x}").alias("x")) for c, x in (("quantity", "quantity"), ("price", "extendedprice"), ("discount", "discount"), ("tax", "tax"))]
     long = table(spark, sf_dir, "lineitem").select("l_orderkey", F.inline(F.array(*pairs)))
-    return long.groupBy("l_orderkey", "channel").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), rounded(F.avg("x"), 4).alias("mean"), rounded(F.stddev_pop("x"), 4).alias("std"))
+    return long.groupBy("l_orderkey", "channel").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), rounded(F.avg("x")).alias("mean"), rounded(F.stddev_pop("x")).alias("std"))
 
 
 @query("""select l.toxic, count(*) as n, round(avg(greatest(z, 0) - z * l.quality + ln(1 + exp(-abs(z)))), 6) as loss

@@ -22,14 +22,14 @@ def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episode_lengths(table(spark, sf_dir, "events"), least=2)
 
 
-@query(f"select user_id, frame_idx, event_id, value, frame_idx + 1 as frames_so_far from {FRAMES}")
-def episode_frames_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"select user_id, frame_idx, event_id, value, frame_idx + 1 as frames_so_far from {FRAMES}", name="episode_frames")
+def frames_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = episode_frames(table(spark, sf_dir, "events"))
     return frames.select("user_id", "frame_idx", "event_id", "value", (F.col("frame_idx") + 1).alias("frames_so_far"))
 
 
-@query(f"select user_id, n from {LENGTHS} where n >= 2")
-def episode_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"select user_id, n from {LENGTHS} where n >= 2", name="episode_lengths")
+def lengths_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lengths(spark, sf_dir)
 
 
