@@ -175,11 +175,11 @@ class FileEncoder(Encoder):
 
     def batches(self, batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         column = batch.column(name)
+        data = column.buffers()[-1]
+        marked = self.by_match and data is not None and any(s in whole for whole in (data.to_pybytes(),) for s in self.special)
         for first, ids, cuts in self.slices(batch, name) if self.by_match else self.whole(batch, name):
-            own = column.slice(first, len(cuts) - 1)
-            data = own.buffers()[2]
-            if self.by_match and data is not None and any(s in memoryview(data).tobytes() for s in self.special):
-                for i, text in enumerate(own.to_pylist()):
+            if marked:
+                for i, text in enumerate(column.slice(first, len(cuts) - 1).to_pylist()):
                     if text and any(s.decode() in text for s in self.special):
                         new = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                         ids = np.concatenate([ids[: cuts[i]], new, ids[cuts[i + 1] :]])
