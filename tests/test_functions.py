@@ -134,3 +134,23 @@ def test_each_pass_covers_all(spark):
     got = sampling.coverage(spark.range(10).withColumnRenamed("id", "k"), "k", 3, 5).collect()
     assert all(sorted(r.k for r in got if r["pass"] == p) == list(range(10)) for p in range(3))
     assert {r.batch_id for r in got} == set(range(6))
+
+
+def test_layouts(spark):
+    from trajlake.functions import layouts
+
+    rows = spark.createDataFrame([(" ", "b", [1.0]), ("a", "b", [2.0])], "language_instruction string, task string, action array<double>")
+    got = rows.select(layouts.language(rows.schema).alias("text"), layouts.first_column(rows.schema, layouts.STATE).alias("state")).collect()
+    assert [(r.text, r.state) for r in got] == [("b", [1.0]), ("a", [2.0])]
+    view = "observation.images."
+    assert layouts.view_layout([view + n for n in ("cam_high", "cam_left_wrist", "cam_right_wrist")])[0] == "three"
+    assert layouts.view_layout([view + "cam_concatenated", view + "cam_high"]) == ("joined", [view + "cam_concatenated"])
+    assert layouts.view_layout([view + "top", view + "a", "state"]) == ("single", [view + "a"])
+
+
+def test_full_batches_only(spark):
+    pos = spark.range(7).select(F.col("id").alias("key"), F.col("id").alias("rn"))
+    neg = spark.range(100).select(F.col("id").alias("key"), F.col("id").alias("rn"))
+    got = sampling.balanced(pos, neg, 3).collect()
+    assert len(got) == 12 and all(sum(r.label for r in got if r.batch_id == b) == 3 for b in (0, 1))
+    assert sorted(r.place for r in got if r.batch_id == 0) == list(range(6))

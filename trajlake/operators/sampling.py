@@ -50,3 +50,13 @@ def coverage(rows: DataFrame, key: str, passes: int, half: int, seed: int = 7) -
 def other(number: Column, total: Column, *parts: Column | str | int) -> Column:
     """A number below total that is not the given one."""
     return (number + 1 + draw(*parts) % (total - 1)) % total
+
+
+def balanced(positives: DataFrame, negatives: DataFrame, half: int, seed: int = 7) -> DataFrame:
+    """Batches of `half` rows of each label, in hashed order within the batch.  Both sides have columns key and rn (their place, from
+    0); batches that lack rows of either label are left out."""
+    both = positives.select("key", "rn", F.lit(1).alias("label")).unionByName(negatives.select("key", "rn", F.lit(0).alias("label")))
+    dealt = both.withColumn("batch_id", F.floor(F.col("rn") / half).cast("long"))
+    full = dealt.groupBy("batch_id").agg(F.count("*").alias("n")).where(F.col("n") == 2 * half).select("batch_id")
+    order = Window.partitionBy("batch_id").orderBy(draw(seed, "inside", F.col("label"), F.col("key")), "label", "key")  # at most 2 * half rows
+    return dealt.join(full, "batch_id", "left_semi").select("batch_id", "label", "key", (F.row_number().over(order) - 1).cast("long").alias("place"))

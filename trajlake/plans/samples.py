@@ -64,6 +64,18 @@ def coverage_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.coverage(table(spark, sf_dir, "embeddings"), "vec_id", passes=3, half=16)
 
 
+@query(f"""with pos as (select vec_id as key, 1 as label, row_number() over (order by {draw_sql(7, "'pass'", "0", "vec_id")}, vec_id) - 1 as rn from embeddings),
+neg as (select event_id as key, 0 as label, row_number() over (order by event_id) - 1 as rn from events),
+b as (select *, rn // 16 as batch_id from (select * from pos union all select * from neg)),
+f as (select *, count(*) over (partition by batch_id) as n from b)
+select batch_id, label, key, row_number() over (partition by batch_id order by {draw_sql(7, "'inside'", "label", "key")}, label, key) - 1 as place from f where n = 32""")
+def balanced_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass of positives with as many negatives, half and half in each batch."""
+    pos = sampling.coverage(table(spark, sf_dir, "embeddings"), "vec_id", passes=1, half=16).select(F.col("vec_id").alias("key"), "rn")
+    neg = ranking.positions(table(spark, sf_dir, "events").select(F.col("event_id").alias("key")), F.col("key"))
+    return sampling.balanced(pos, neg, half=16)
+
+
 _ELIGIBLE = "(select user_id, n, row_number() over (order by user_id) - 1 as k, count(*) over () as total from (select user_id, count(*) as n from events group by 1) where n >= 64)"
 
 
