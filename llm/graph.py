@@ -11,15 +11,16 @@ from llm.common import materialize
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges: columns a, b (long).  node, root: the smallest node of its component, for every node that has an edge to another.
 
-    A node's neighbours are never gathered: each round takes their minimum (combined before the shuffle) and joins it back, so a
-    node with very many neighbours is split like any skewed join.  Every round is materialised."""
+    A node's neighbours are never gathered: each round takes their minimum (combined before the shuffle) and joins it back.  The
+    minima are written first: then both sides of the join are plain shuffles, and Spark splits those of a node with very many
+    neighbours."""
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        smaller = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        smaller = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "smaller")
         small = large.join(smaller, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(smaller.select("a", F.col("m").alias("b"))).distinct()
         edges = materialize(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
