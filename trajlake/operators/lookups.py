@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajlake.operators.ranking import running_sum
+
 
 def having_all(first: DataFrame, others: list[DataFrame], key: list[str]) -> DataFrame:
     """Rows of the first whose key is in all of the others: semi joins, so nothing multiplies."""
@@ -55,7 +57,6 @@ def override(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def number_ranges(counts: DataFrame, order: str, count: str) -> DataFrame:
-    """low, high: the range of global numbers that each row's items have, in order.  For tables of groups, not of items."""
-    running = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    high = F.sum(count).over(running)
-    return counts.withColumn("high", high).withColumn("low", F.col("high") - F.col(count))
+    """low, high: the range of global numbers that each row's items have, in order of a numeric column."""
+    summed = running_sum(counts, F.col(order), F.col(count), name="high")
+    return summed.withColumn("low", F.col("high") - F.col(count))

@@ -18,19 +18,24 @@ def _range_of(value: Column, cuts: list) -> Column:
     return F.when(group == 0, 0).otherwise((group - 1) * step + inner)
 
 
-def positions(rows: DataFrame, number: Column, *ties: str, name: str = "rn") -> DataFrame:
-    """Adds each row's place, from 0, in the order of a number and then ties.  Rows are cut into ranges at approximate quantiles
-    (as many numbers as there are shuffle partitions reach the driver), placed within their range, and moved up by the sizes of
-    the ranges before."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.withColumn("__number", number)
+def running_sum(rows: DataFrame, number: Column, value: Column, *ties: str, name: str = "upto") -> DataFrame:
+    """Adds the sum of a value over each row and all before it, in the order of a number and then ties.  Rows are cut into ranges at
+    approximate quantiles (as many numbers as there are shuffle partitions reach the driver), summed within their range, and moved
+    up by the sums of the ranges before."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumns({"__number": number, "__value": value})
     cuts = keyed.agg(F.percentile_approx("__number", [i / n for i in range(1, n)] or [0.5], 10 * n + 1000)).first()[0]
     cuts = sorted(set(cuts or []))
     part = _range_of(F.col("__number"), cuts) if cuts else F.lit(0)
     keyed = keyed.withColumn("__part", part.cast("int"))
-    sizes = keyed.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy("__number", *ties))
+    sums = keyed.groupBy("__part").agg(F.sum("__value").alias("__sum"))
+    before = sums.select("__part", (F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")).alias("__before"))
+    own = F.sum("__value").over(Window.partitionBy("__part").orderBy("__number", *ties).rowsBetween(Window.unboundedPreceding, 0))
     # at most one row for each range
-    return keyed.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__own") - 1).cast("long")).drop("__number", "__part", "__own", "__before")
+    summed = keyed.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__own"))
+    return summed.drop("__number", "__value", "__part", "__own", "__before")
+
+
+def positions(rows: DataFrame, number: Column, *ties: str, name: str = "rn") -> DataFrame:
+    """Adds each row's place, from 0, in the order of a number and then ties."""
+    return running_sum(rows, number, F.lit(1).cast("long"), *ties, name=name).withColumn(name, F.col(name) - 1)
