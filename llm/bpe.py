@@ -176,7 +176,8 @@ class FileEncoder(Encoder):
     def batches(self, batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         column = batch.column(name)
         data = column.buffers()[-1]
-        marked = self.by_match and data is not None and any(s in whole for whole in (data.to_pybytes(),) for s in self.special)
+        whole = data.to_pybytes() if self.by_match and data is not None else b""
+        marked = any(s in whole for s in self.special)
         for first, ids, cuts in self.slices(batch, name) if self.by_match else self.whole(batch, name):
             if marked:
                 for i, text in enumerate(column.slice(first, len(cuts) - 1).to_pylist()):
