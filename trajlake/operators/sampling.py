@@ -21,22 +21,17 @@ def natural(name: Column) -> list[Column]:
     return [number.isNull(), number, name]
 
 
-def dense(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """Each row's number within its group, from 0, and the group's size."""
-    own = Window.partitionBy(group)
-    return rows.select(group, key).withColumns({"k": (F.row_number().over(own.orderBy(key)) - 1).cast("long"), "size": F.count("*").over(own)})
-
-
 def two_stage(draws: DataFrame, draw_id: str, rows: DataFrame, group: str, key: str, seed: int = 7) -> DataFrame:
-    """For each draw a group, all alike, then a row of it."""
-    groups = rows.select(group).distinct()
+    """For each draw a group, all alike, then a row of it.  key: a number below 2 ** 40.  Rows are placed in one order over all groups,
+    in which a group is a range, so that a large group is not one task."""
+    groups = rows.groupBy(group).agg(F.count("*").alias("size"))
     numbered = groups.withColumn("g", (F.row_number().over(Window.orderBy(group)) - 1).cast("long"))  # one row for each group
-    total = groups.agg(F.count("*").alias("groups"))
-    chosen = draws.crossJoin(F.broadcast(total)).withColumn("g", draw(seed, "group", F.col(draw_id)) % F.col("groups")).join(numbered, "g")
-    members = dense(rows, group, key)
-    sizes = members.groupBy(group).agg(F.count("*").alias("size"))
-    placed = chosen.join(sizes, group).withColumn("k", draw(seed, "row", F.col(draw_id)) % F.col("size"))
-    return placed.join(members.drop("size"), [group, "k"]).select(draw_id, group, key)
+    placed = positions(rows.select(group, key).join(numbered, group), F.col("g") * (1 << 40) + F.col(key))
+    starts = placed.groupBy(group).agg(F.min("rn").alias("start"))
+    total = groups.agg(F.count("*").alias("groups"))  # one row
+    chosen = draws.crossJoin(F.broadcast(total)).withColumn("g", draw(seed, "group", F.col(draw_id)) % F.col("groups"))
+    ranged = chosen.join(numbered.join(starts, group), "g").withColumn("rn", F.col("start") + draw(seed, "row", F.col(draw_id)) % F.col("size"))
+    return ranged.select(draw_id, "rn").join(placed.select("rn", group, key), "rn").select(draw_id, group, key)
 
 
 def coverage(rows: DataFrame, key: str, passes: int, half: int, seed: int = 7) -> DataFrame:
