@@ -172,12 +172,13 @@ def link(distinct: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, radius: int) -> DataFrame:
-    """rows: doc_id, fp, materialised.  fp, component_id for each fingerprint."""
+    """rows: doc_id, fp, materialised.  fp, root and component_id for each fingerprint, written, so that a join of many rows of one
+    fingerprint has plain shuffles on both sides, which Spark can split."""
     each = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = link(each.select("fp"), radius)
     of = each.join(roots, each.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return of.join(least, "root").select("fp", "root", "component_id")
+    return materialize(of.join(least, "root").select("fp", "root", "component_id"), "groups")
 
 
 def near_groups(documents: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
