@@ -2,16 +2,16 @@
 
 The model is a bigram model with absolute discounting that backs off to discounted unigrams and these to an even share for the
 unknown: P1(w) = (max(c(w) - d, 0) + d V / (V + 1)) / N; for a kept bigram P(w | h) = (c(h w) - d) / c(h) + b(h) P1(w), and else
-P(w | h) = b(h) P1(w), where b(h) is the mass that h's kept bigrams leave.  As an automaton: the root and each of the `histories`
-most frequent tokens (a documented size of the model) are states; a state has an arc for each kept bigram, and a failure arc to
-the root weighted b(h); the root has an arc for each token.  A text is one traversal from left to right, from the state of the
+P(w | h) = b(h) P1(w), where b(h) is the mass that h's kept bigrams leave.  As an automaton: the root and every training token
+are states; a state has an arc for each kept bigram, and a failure arc to the root weighted b(h); the root has an arc for each token.  A text is one traversal from left to right, from the state of the
 sentence end, that carries the state and adds the logarithms of the arcs taken.
 
 All counts are exact and cover all training documents.  Documents are dealt to chunks of about `chunk_tokens`; a chunk asks for its
-distinct words and bigrams only (the map-side combine of the counts) and is answered by the partitions that hold the totals; then it
+distinct words and bigrams only (the map-side combine of the counts) and is answered by the partitions that hold the totals: bigrams go
+where their history's count goes, so that its failure weight is settled there and travels with the count; then the chunk
 compiles the part of the automaton that its texts can reach.  No task holds the model; what moves is bounded by the chunks' distinct
-n-grams.  A bigram is kept if training texts have it `min_count` times at least.  What every task is given is the histories with their
-counts and failure weights, which do not grow.
+n-grams.  A bigram is kept if training texts have it `min_count` times at least.  What every task is given is two numbers, those of
+the training tokens and words.
 
 Tokens are words of lower-cased (A-Z) text and one end for each text, named by 64-bit hashes.
 
@@ -21,7 +21,6 @@ same share; repeated rows count and are scored each; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,26 +35,22 @@ from llm.simhash_dedup import UPPER
 
 END = mix(np.array([0x454E44], U64))[0]
 _A, _B = mix(np.array([11, 12], U64)) | U64(1)
-#: What a record counts.
-WORD, PAIR = 0, 1
 
 
 @dataclass(frozen=True)
 class Parameters:
     discount: float = 0.5
     min_count: int = 2
-    histories: int = 8192
+    histories: int = 0  #: limits nothing any more: every training word is a history
     chunk_tokens: int = 1_200_000
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """What training texts have in all, and the histories: names (sorted) and counts."""
+    """What training texts have in all."""
 
     tokens: int
     words: int
-    names: np.ndarray
-    counts: np.ndarray
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,20 +67,11 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, row
 
 
-def pairs(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The name of each token after the one before it; a row begins after an end."""
-    before = np.concatenate([[END], hashes[:-1]]).astype(U64)
-    before[np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))] = END
-    return mix(before * _A + hashes * _B)
-
-
-def histories(hashes: np.ndarray, rows: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the tokens that follow a history, the number of that history)."""
-    before = np.concatenate([[END], hashes[:-1]]).astype(U64)
-    before[np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))] = END
-    number = np.minimum(np.searchsorted(names, before), max(len(names) - 1, 0))
-    at = np.flatnonzero(names[number] == before) if len(names) else np.zeros(0, np.int64)
-    return at, number[at]
+def pairs(number: np.ndarray, rows: np.ndarray, end: int, size: int) -> np.ndarray:
+    """Each token after the one before it, as history * size + token; a row begins after an end."""
+    before = np.concatenate([[end], number[:-1]])
+    before[np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))] = end
+    return before * size + number
 
 
 def _by_bucket(names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,139 +89,118 @@ def _trained(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("trained").to_numpy(zero_copy_only=False)
 
 
-def _words(n: int, flush: int = 1_500_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Training counts of words, combined per task and packed for each partition."""
-
-        def pack() -> pa.RecordBatch:
-            names, counts = np.unique(np.concatenate(held), return_counts=True)
-            bucket, cuts = _by_bucket(names, n)
-            return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), _blobs(names, cuts), _blobs(counts, cuts)], names=["bucket", "names", "counts"])
-
-        held, size = [], 0
-        for batch in batches:
-            own = _trained(batch)
-            for first, _, buf, offsets in text_slices(batch, "text"):
-                hashes, rows = tokens(buf, offsets)
-                held.append(hashes[own[first:][rows]])
-                size += len(held[-1])
-                if size >= flush:
-                    yield pack()
-                    held, size = [], 0
-        if size:
-            yield pack()
-
-    return run
-
-
-def _frequent(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition's most frequent words, and under no name its numbers of tokens and words."""
-        parts = [(b"".join(b.column("names").to_pylist()), b"".join(b.column("counts").to_pylist())) for b in batches]
-        names, counts = np.frombuffer(b"".join(x[0] for x in parts), U64), np.frombuffer(b"".join(x[1] for x in parts), np.int64)
-        keys, of = np.unique(names, return_inverse=True)
-        total = np.bincount(of, weights=counts, minlength=len(keys)).astype(np.int64)
-        top = np.argsort(-total, kind="stable")[:most]
-        yield pa.RecordBatch.from_arrays([pa.array([None, *keys[top].view(np.int64).tolist()], pa.int64()), pa.array([int(total.sum()), *total[top].tolist()]), pa.array([len(keys), *[0] * len(top)], pa.int64())], names=["name", "count", "words"])
-
-    return run
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of training tokens of each batch."""
+    for batch in batches:
+        own, total = _trained(batch), 0
+        for first, last, buf, offsets in text_slices(batch, "text"):
+            _, _, rows = word_spans(buf, offsets)
+            total += int(own[first:last][rows].sum() + own[first:last].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["tokens"])
 
 
-def survey(documents: DataFrame, p: Parameters) -> Corpus:
-    """One pass: totals and the most frequent words (a bounded number reaches the driver)."""
-    n = partitions(documents.sparkSession)
-    # names are spread by hash: that a partition holds more of the most frequent than this is as unlikely as two names alike
-    most = min(p.histories, math.ceil(p.histories / n + 10 * math.sqrt(p.histories / n) + 32))
-    found = materialize(documents.mapInArrow(_words(n), "bucket int, names binary, counts binary").repartitionById(n, "bucket").mapInArrow(_frequent(most), "name long, count long, words long"), "words")
-    total, words = found.where("name is null").agg(F.sum("count"), F.sum("words")).first()
-    top = found.where("name is not null").orderBy(F.desc("count"), "name").limit(p.histories).collect()
-    names, counts = np.array([r[0] for r in top], np.int64).view(U64), np.array([r[1] for r in top], np.int64)
-    order = np.argsort(names)
-    return Corpus(total or 0, words or 0, names[order], counts[order])
+REQUEST = "bucket int, chunk long, names binary, counts binary, sizes binary, pairs binary, pair_counts binary"
 
 
-REQUEST = "bucket int, chunk long, kind int, names binary, counts binary, histories binary"
-
-
-def _ask(n: int, known: Corpus):
+def _ask(n: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """What a chunk has: distinct words and bigrams after histories, with counts in training texts, packed for each partition."""
+        """What a chunk has: distinct words and the bigrams after each, with counts in training texts, packed for each partition."""
         parts = []
         for batch in table.to_batches():
             own = _trained(batch)
             for first, _, buf, offsets in text_slices(batch, "text"):
                 hashes, rows = tokens(buf, offsets)
-                at, history = histories(hashes, rows, known.names)
-                parts.append((hashes, own[first:][rows], pairs(hashes, rows)[at], own[first:][rows][at], history))
-        words, word_own, bigrams, bigram_own, history = (np.concatenate(x) for x in zip(*parts))
-        out = []
-        for kind, names, own in ((WORD, words, word_own), (PAIR, bigrams, bigram_own)):
-            keys, index, of = np.unique(names, return_index=True, return_inverse=True)
-            counts = np.bincount(of, weights=own, minlength=len(keys)).astype(np.int32)
-            bucket, cuts = _by_bucket(keys, n)
-            m = len(bucket)
-            after = (history[index] if kind == PAIR else np.zeros(len(keys))).astype(np.int16)
-            out.append(pa.table([pa.array(bucket.astype(np.int32)), pa.array([key[0].as_py()] * m, pa.int64()), pa.array([kind] * m, pa.int32()), _blobs(keys, cuts), _blobs(counts, cuts), _blobs(after, cuts)], names=[c.split()[0] for c in REQUEST.split(", ")]))
-        return pa.concat_tables(out)
+                parts.append((hashes, rows, own[first:][rows]))
+        own = np.concatenate([x[2] for x in parts])
+        words, number = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        counts = np.bincount(number, weights=own, minlength=len(words)).astype(np.int32)
+        both = _numbered([x[:2] for x in parts], words, number)
+        keys, of = np.unique(both, return_inverse=True)
+        pair_counts = np.bincount(of, weights=own, minlength=len(keys)).astype(np.int32)
+        history, token = np.divmod(keys, len(words))
+        sizes = np.bincount(history, minlength=len(words)).astype(np.int32)
+        bucket, cuts = _by_bucket(words, n)
+        pair_cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[cuts]
+        blobs = [_blobs(words, cuts), _blobs(counts, cuts), _blobs(sizes, cuts), _blobs(mix(words[history] * _A + words[token] * _B), pair_cuts), _blobs(pair_counts, pair_cuts)]
+        return pa.table([pa.array(bucket.astype(np.int32)), pa.array([key[0].as_py()] * len(bucket), pa.int64()), *blobs], names=[c.split()[0] for c in REQUEST.split(", ")])
 
     return run
 
 
+def _numbered(parts: list[tuple], words: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The pairs of a chunk's texts in order; parts: (hashes, rows) of slices, number: of all their tokens among the sorted words."""
+    end, at, out = int(np.searchsorted(words, END)), 0, []
+    for hashes, rows in parts:
+        out.append(pairs(number[at : at + len(hashes)], rows, end, len(words)))
+        at += len(hashes)
+    return np.concatenate(out)
+
+
 #: Counts come in the order of the names that were asked for: a chunk knows these, so names do not travel back.
-ANSWER = "chunk long, kind int, bucket int, counts binary"
-TOTALS = -1  #: The chunk under which a partition sends, for each history, what its kept bigrams take.
+ANSWER = "chunk long, bucket int, counts binary, takes binary, pair_counts binary"
+TOTALS = -1  #: The chunk under which a partition sends the number of its training words.
 
 
-def _answer(p: Parameters, known: Corpus):
+def _answer(p: Parameters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One partition's share of the names: totals, back to each chunk that asked for them; 0 for a bigram that is not kept."""
-        asked: dict[int, list[tuple]] = {WORD: [], PAIR: []}
+        """One partition's share of the names: totals and what a history's kept bigrams take, back to each chunk that asked for them;
+        0 for a bigram that is not kept."""
+        asked = []
         for batch in batches:
-            for bucket, chunk, kind, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "names", "counts", "histories"))):
-                asked[kind].append((bucket, chunk, *(np.frombuffer(x, t) for x, t in zip(blobs, (U64, np.int32, np.int16)))))
-        for kind, parts in asked.items():
-            if not parts:
-                continue
-            names, counts, history = (np.concatenate([x[i] for x in parts]) for i in (2, 3, 4))
-            order = np.argsort(names)
-            start = np.concatenate([[0], np.flatnonzero(names[order][1:] != names[order][:-1]) + 1])
-            totals = np.add.reduceat(counts[order].astype(np.int64), start)
-            if kind == PAIR:
-                totals[totals < p.min_count] = 0
-                takes = np.bincount(history[order][start], weights=np.where(totals > 0, totals - p.discount, 0), minlength=len(known.names))
-                yield _row(TOTALS, kind, 0, takes)
-            total = np.empty(len(names), np.int64)
-            total[order] = np.repeat(totals, np.diff(np.append(start, len(names))))
-            at = 0
-            for bucket, chunk, own, *_ in parts:
-                yield _row(chunk, kind, bucket, total[at : at + len(own)])
-                at += len(own)
+            for bucket, chunk, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "names", "counts", "sizes", "pairs", "pair_counts"))):
+                asked.append((bucket, chunk, *(np.frombuffer(x, t) for x, t in zip(blobs, (U64, np.int32, np.int32, U64, np.int32)))))
+        if not asked:
+            return
+        names, of = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
+        of = of.astype(np.int32)
+        total = np.bincount(of, weights=np.concatenate([x[3] for x in asked]), minlength=len(names)).astype(np.int64)
+        history = np.repeat(of, np.concatenate([x[4] for x in asked]))
+        keys = np.concatenate([x[5] for x in asked])
+        order = np.argsort(keys)
+        keys = keys[order]
+        start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])[: len(keys)]
+        size = np.diff(np.append(start, len(keys)))
+        del keys
+        totals = np.add.reduceat(np.concatenate([x[6] for x in asked])[order], start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
+        totals[totals < p.min_count] = 0
+        takes = np.bincount(history[order[start]], weights=np.where(totals > 0, totals - p.discount, 0), minlength=len(names))
+        del history
+        pair_total = np.empty(len(order), np.int64)
+        pair_total[order] = np.repeat(totals, size)
+        del order
+        yield _row(TOTALS, 0, np.array([np.count_nonzero(total)]), takes[:0], totals[:0])
+        at = pair_at = 0
+        for bucket, chunk, own, _, _, own_pairs, _ in asked:
+            mine = of[at : at + len(own)]
+            yield _row(chunk, bucket, total[mine], takes[mine], pair_total[pair_at : pair_at + len(own_pairs)])
+            at += len(own)
+            pair_at += len(own_pairs)
 
     return run
 
 
-def _row(chunk: int, kind: int, bucket: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["chunk", "kind", "bucket", "counts"])
+def _row(chunk: int, bucket: int, *blobs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=[c.split()[0] for c in ANSWER.split(", ")])
 
 
 class Automaton:
-    """States are numbers of histories, and `root`; tokens are numbers of a chunk's vocabulary."""
+    """States and tokens are numbers of a chunk's vocabulary; a word that training texts do not have has no arcs and all its mass
+    left, as the root."""
 
-    def __init__(self, known: Corpus, takes: np.ndarray, vocabulary: np.ndarray, count: np.ndarray, p: Parameters):
+    def __init__(self, known: Corpus, count: np.ndarray, takes: np.ndarray, p: Parameters):
         d = p.discount
         share = d * known.words / (known.words + 1) if known.words else 1.0
-        self.p, self.known, self.size, self.root = p, known, len(vocabulary), len(known.names)
+        self.p, self.size, self.count = p, len(count), np.maximum(count, 1)
         self.base = (np.maximum(count - d, 0) + share) / max(known.tokens, 1)
-        self.left = np.append(np.maximum(1 - takes / np.maximum(known.counts, 1), 1e-12), 1.0)
+        self.left = np.where(count > 0, np.maximum(1 - takes / self.count, 1e-12), 1.0)
         self.fail, self.unigram = np.log10(self.left).tolist(), np.log10(self.base).tolist()
-        at = np.minimum(np.searchsorted(known.names, vocabulary), max(self.root - 1, 0))
-        self.state_of = (np.where(known.names[at] == vocabulary, at, self.root) if self.root else np.zeros(self.size, np.int64)).tolist()
         self.arcs: dict[int, float] = {}
 
-    def add(self, state: np.ndarray, token: np.ndarray, count: np.ndarray) -> None:
-        """Arcs of kept bigrams."""
-        weight = np.log10((count - self.p.discount) / self.known.counts[state] + self.left[state] * self.base[token])
-        self.arcs.update(zip((state * self.size + token).tolist(), weight.tolist()))
+    def add(self, keys: np.ndarray, count: np.ndarray) -> None:
+        """Arcs of kept bigrams, named state * size + token."""
+        state, token = np.divmod(keys, self.size)
+        weight = np.log10((count - self.p.discount) / self.count[state] + self.left[state] * self.base[token])
+        self.arcs.update(zip(keys.tolist(), weight.tolist()))
 
     def score(self, text: list[int], state: int) -> float:
         """Sum of log10 probabilities of a text from a state."""
@@ -243,36 +208,30 @@ class Automaton:
         for token in text:
             weight = arc(state * size + token)
             total += self.fail[state] + self.unigram[token] if weight is None else weight
-            state = self.state_of[token]
+            state = token
         return total
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(p: Parameters, known: Corpus, takes: np.ndarray):
+def _score(p: Parameters, known: Corpus):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         fields = [c.split()[0] for c in SCHEMA.split(", ")]
-        rows_of = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "counts"))), key=lambda r: r[:2])
-        totals = {kind: np.frombuffer(b"".join(r[2] for r in rows_of if r[0] == kind), np.int64) for kind in (WORD, PAIR)}
+        rows_of = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "counts", "takes", "pair_counts"))), key=lambda r: r[0])
+        count, takes, kept = (np.frombuffer(b"".join(r[i] for r in rows_of), t) for i, t in ((1, np.int64), (2, np.float64), (3, np.int64)))
         parts = [(batch.slice(first, last - first), *tokens(buf, offsets)) for batch in docs.to_batches() for first, last, buf, offsets in text_slices(batch, "text")]
         out = []
         if parts:
             vocabulary, number = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
-            count = totals[WORD]
-            after = [histories(hashes, rows, known.names) for _, hashes, rows in parts]
-            _, pair = np.unique(np.concatenate([pairs(hashes, rows)[at] for (_, hashes, rows), (at, _) in zip(parts, after)]), return_inverse=True)
-            kept = totals[PAIR][pair]
-            machine = Automaton(known, takes, vocabulary, count, p)
+            machine = Automaton(known, count, takes, p)
+            keys = np.unique(_numbered([x[1:] for x in parts], vocabulary, number))
+            machine.add(keys[kept > 0], kept[kept > 0])
             base = np.log10((count + 1) / (known.tokens + known.words + 1))
-            begin = machine.state_of[int(np.searchsorted(vocabulary, END))]
-            at = pair_at = 0
-            for (batch, hashes, rows), (places, history) in zip(parts, after):
+            begin, at = int(np.searchsorted(vocabulary, END)), 0
+            for batch, hashes, rows in parts:
                 mine = number[at : at + len(hashes)]
                 at += len(hashes)
-                found = kept[pair_at : pair_at + len(places)]
-                pair_at += len(places)
-                machine.add(history[found > 0], mine[places][found > 0], found[found > 0])
                 n, ids = batch.num_rows, mine.tolist()
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).tolist()
                 score = [machine.score(ids[a:b], begin) for a, b in zip(cuts, cuts[1:])]
@@ -288,12 +247,10 @@ def score_documents(documents: DataFrame, p: Parameters = Parameters()) -> DataF
     n = partitions(documents.sparkSession)
     trained = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", trained.alias("trained"))
-    known = survey(docs, p)
-    chunks = 1 + known.tokens * 7 // (6 * p.chunk_tokens)
+    total = docs.mapInArrow(_lengths, "tokens long").agg(F.sum("tokens")).first()[0] or 0
+    chunks = 1 + total * 7 // (6 * p.chunk_tokens)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(n, known), REQUEST)
-    answers = materialize(asked.repartitionById(n, "bucket").mapInArrow(_answer(p, known), ANSWER), "answers")
-    takes = np.zeros(len(known.names))
-    for (counts,) in answers.where(F.col("chunk") == TOTALS).select("counts").toLocalIterator():
-        takes += np.frombuffer(counts, np.float64)
-    return dealt.groupBy("chunk").cogroup(answers.where(F.col("chunk") >= 0).groupBy("chunk")).applyInArrow(_score(p, known, takes), SCHEMA)
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(n), REQUEST)
+    answers = materialize(asked.repartitionById(n, "bucket").mapInArrow(_answer(p), ANSWER), "answers")
+    words = sum(int(np.frombuffer(r.counts, np.int64)[0]) for r in answers.where(F.col("chunk") == TOTALS).select("counts").toLocalIterator())
+    return dealt.groupBy("chunk").cogroup(answers.where(F.col("chunk") >= 0).groupBy("chunk")).applyInArrow(_score(p, Corpus(total, words)), SCHEMA)

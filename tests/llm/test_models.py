@@ -126,3 +126,12 @@ def test_language_model_without_training(spark):
     assert lm_scoring.score_documents(docs.where("doc_id < 0")).count() == 0
     twice = lm_scoring.score_documents(docs.unionByName(docs)).collect()
     assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_every_word_is_a_history(spark, smallest):
+    """More distinct words than any fixed number of states: the bigrams after the rarest count too."""
+    docs = spark.createDataFrame([(i, " ".join(f"h{j} t{j}" for j in range(i % 5 * 2000, i % 5 * 2000 + 2000))) for i in range(15)], "doc_id long, text string")
+    p = lm_scoring.Parameters()
+    want = scores([(r.doc_id, r.text) for r in docs.collect()], p)
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, p).collect()}
+    assert got == {i: pytest.approx(w[5]) for i, w in want.items()}
