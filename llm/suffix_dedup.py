@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, gather, materialize, mix, partitions, text_slices
+from llm.common import _BASE, U64, SpanHash, gather, materialize, mix, partitions, powers, text_slices, word_spans
 
 NO_ID = -(1 << 63)
 
@@ -212,19 +212,37 @@ def _settle_batches(plan: Plan, last: bool):
     return run
 
 
-def _sample(plan: Plan, buckets: int, flush: int = 1_000_000):
+class WordHash(SpanHash):
+    """64-bit hashes of any runs of words, given their hashes."""
+
+    def __init__(self, words: np.ndarray):
+        self.sums = np.zeros(len(words) + 1, U64)
+        np.cumsum(words * powers(_BASE, len(words)), out=self.sums[1:])
+
+
+def _units(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[int, int, SpanHash, np.ndarray]]:
+    """(first row, row after the last, hashes of spans, offsets) of slices of a batch, in bytes or in words."""
+    for first, last, buf, offsets in text_slices(batch, "text"):
+        if words:
+            starts, ends, rows = word_spans(buf, offsets)
+            yield first, last, WordHash(SpanHash(buf)(starts, ends)), np.searchsorted(rows, np.arange(last - first + 1))
+        else:
+            yield first, last, SpanHash(buf), offsets
+
+
+def _sample(plan: Plan, buckets: int, words: bool = False, flush: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Names of the sampled tuples, which are the cores of the widest runs."""
         held, n = [], 0
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for first, last, buf, offsets in text_slices(batch, "text"):
+            for first, last, spans, offsets in _units(batch, words):
                 size = np.diff(offsets)
                 places = plan.places(int(size.max(initial=0)))
                 counts = np.where(size >= plan.length, np.searchsorted(places, size - plan.tuple, "right"), 0)
                 row = np.repeat(np.arange(len(size)), counts)
                 pos = gather(places, np.zeros(len(size), np.int64), counts)
-                held.append(names(plan, 0, SpanHash(buf), offsets[row], size[row], ids[first:last][row], pos, np.zeros(len(pos), np.int64)))
+                held.append(names(plan, 0, spans, offsets[row], size[row], ids[first:last][row], pos, np.zeros(len(pos), np.int64)))
                 n += len(pos)
                 if n >= flush:
                     if (out := combine(_join(held), plan, buckets)) is not None:
@@ -244,14 +262,14 @@ def _lists(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> tuple[n
     return row, [flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
 
 
-def _split(plan: Plan, level: int, buckets: int):
+def _split(plan: Plan, level: int, buckets: int, words: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Names of the parts of the open runs, at this level."""
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
             row_of, (pos_of, lo_of) = _lists(batch, "open", ("pos", "lo"))
             held = []
-            for first, last, buf, offsets in text_slices(batch, "text"):
+            for first, last, spans, offsets in _units(batch, words):
                 own = slice(*np.searchsorted(row_of, [first, last]))
                 row, pos, lo = row_of[own] - first, pos_of[own], lo_of[own]
                 fan = -(-plan.widths[level - 1] // plan.widths[level])
@@ -260,7 +278,7 @@ def _split(plan: Plan, level: int, buckets: int):
                 inside = part < np.minimum(np.repeat(lo, fan) + plan.widths[level - 1], plan.period)
                 row, pos, part = row[inside], pos[inside], part[inside]
                 if len(row):
-                    held.append(names(plan, level, SpanHash(buf), offsets[row], np.diff(offsets)[row], ids[first:last][row], pos, part))
+                    held.append(names(plan, level, spans, offsets[row], np.diff(offsets)[row], ids[first:last][row], pos, part))
             if held and (out := combine(_join(held), plan, buckets)) is not None:
                 yield out
 
@@ -272,18 +290,18 @@ def _identified(documents: DataFrame, *extra: str, name: str = "doc") -> DataFra
     return documents.select(*extra, "text", (F.shiftleft(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), 20) + F.pmod(F.xxhash64("text"), F.lit(1 << 20))).alias(name))
 
 
-def find_repeats(documents: DataFrame, length: int = 400) -> DataFrame:
-    """doc, runs: for each row that has any, the runs of starts whose strings of `length` bytes occur elsewhere."""
+def find_repeats(documents: DataFrame, length: int = 400, words: bool = False) -> DataFrame:
+    """doc, runs: for each row that has any, the runs of starts whose strings of `length` bytes (or words) occur elsewhere."""
     plan, n = Plan(length), partitions(documents.sparkSession)
     docs = _identified(documents)
-    named, found = docs.withColumnRenamed("doc", "doc_id").mapInArrow(_sample(plan, n), PACKED), []
+    named, found = docs.withColumnRenamed("doc", "doc_id").mapInArrow(_sample(plan, n, words), PACKED), []
     for level, width in enumerate(plan.widths):
         last = level == len(plan.widths) - 1
         settled = materialize(named.repartitionById(n, "bucket").mapInArrow(_settle_batches(plan, last), SETTLED), f"repeats{level}")
         found.append(settled.where("state % 2 = 1").select("doc", "pos", "lo", F.lit(width).alias("width")))
         if not last:
             opened = settled.where("state >= 2").distinct().groupBy("doc").agg(F.collect_list(F.struct("pos", "lo")).alias("open"))
-            named = docs.join(opened.hint("shuffle_hash"), "doc").select("doc", "text", "open").mapInArrow(_split(plan, level + 1, n), PACKED)
+            named = docs.join(opened.hint("shuffle_hash"), "doc").select("doc", "text", "open").mapInArrow(_split(plan, level + 1, n, words), PACKED)
     runs = found[0]
     for more in found[1:]:
         runs = runs.unionByName(more)
@@ -300,9 +318,12 @@ def _covered(plan: Plan, size: np.ndarray, offsets: np.ndarray, row: np.ndarray,
     return np.cumsum(step[:-1]) > 0
 
 
-def _with_runs(documents: DataFrame, length: int, *columns: str) -> DataFrame:
+def _with_runs(documents: DataFrame, length: int, *columns: str, words: int | None = None) -> DataFrame:
     docs = _identified(documents, *columns, name="__doc")
     runs = find_repeats(documents, length).toDF("__doc", "__runs")
+    if words:
+        more = find_repeats(documents, words, words=True).toDF("__doc", "__word_runs")
+        runs = runs.join(more, "__doc", "full")
     return docs.join(runs.hint("shuffle_hash"), "__doc", "left").drop("__doc")
 
 
@@ -334,23 +355,46 @@ def repeated_bytes(documents: DataFrame, length: int = 400) -> DataFrame:
     return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(documents: DataFrame, length: int = 400) -> DataFrame:
-    """The documents without their repeated bytes, all columns kept (n_chars, where there is one, counts anew).  Documents that lose
-    every byte go; those without text before stay."""
+def _covered_words(batch: pa.RecordBatch, plan: Plan) -> Iterator[np.ndarray]:
+    """Whether each byte goes with its words, of the slices of a batch: those of covered words, and between them."""
+    row_of, (pos, lo, width) = _lists(batch, "__word_runs", ("pos", "lo", "width"))
+    for first, last, buf, offsets in text_slices(batch, "text"):
+        own = slice(*np.searchsorted(row_of, [first, last]))
+        starts, ends, rows = word_spans(buf, offsets)
+        cuts = np.searchsorted(rows, np.arange(last - first + 1))
+        at = np.flatnonzero(_covered(plan, np.diff(cuts), cuts, row_of[own] - first, pos[own], lo[own], width[own]))
+        stop = ends[at]
+        on = np.flatnonzero((at[1:] == at[:-1] + 1) & (rows[at[1:]] == rows[at[:-1]]))
+        stop[on] = starts[at[on + 1]]
+        step = np.zeros(len(buf) + 1, np.int64)
+        np.add.at(step, starts[at], 1)
+        np.add.at(step, stop, -1)
+        yield np.cumsum(step[:-1]) > 0
+
+
+def remove_repeats(documents: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
+    """The documents without their repeated bytes, all columns kept (n_chars, where there is one, counts anew); with `words`, runs of
+    so many words that occur elsewhere go as well, however short they are and whatever white space parts them.  Documents that lose
+    every byte (or word) go; those without text before stay."""
     plan, schema = Plan(length), documents.schema
+    word_plan = Plan(words) if words else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
+            more = _covered_words(batch, word_plan) if words else None
             for first, buf, offsets, gone in _each(batch, plan):
+                if words:
+                    gone = gone | next(more)
                 for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
                     lost = gone[a:b].any()
                     texts.append(buf[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") if lost else batch.column("text")[first + i].as_py())
-                    keep.append(not lost or bool(texts[-1]))
-            columns = {f.name: batch.column(f.name) for f in batch.schema if f.name != "__runs"}
+                    keep.append(not lost or bool(texts[-1].strip() if words else texts[-1]))
+            columns = {f.name: batch.column(f.name) for f in batch.schema if f.name not in ("__runs", "__word_runs")}
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts]).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], names=schema.fieldNames()).filter(pa.array(keep))
 
-    return _with_runs(documents, length, *(c for c in documents.columns if c != "text")).select(*documents.columns, "__runs").mapInArrow(cut, schema)
+    extra, with_words = [c for c in documents.columns if c != "text"], ["__word_runs"] if words else []
+    return _with_runs(documents, length, *extra, words=words).select(*documents.columns, "__runs", *with_words).mapInArrow(cut, schema)
