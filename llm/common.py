@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
-_STEP = U64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Hashes of spans are taken modulo this prime, 2 ** 31 - 1: products and long sums of residues stay below 2 ** 64.
+PRIME = 0x7FFFFFFF
+#: Two bases for each of two independent hashes.
+BASES = ((0x2545F491, 0x5851F42D), (0x1B873593, 0x4C957F2D))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,33 +30,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random value for each byte; the rolling hash adds these, not the bytes.
-BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * _STEP)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def residue(x: np.ndarray) -> np.ndarray:
+    """64-bit integers modulo PRIME."""
+    x = (x & U64(PRIME)) + (x >> U64(31))
+    x = (x & U64(PRIME)) + (x >> U64(31))
+    return np.minimum(x, x - U64(PRIME))
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; the table is kept and grows when a longer one is asked for."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, U64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=U64)
+    """base ** 0 .. base ** (n - 1) modulo PRIME; the table is kept and grows when a longer one is asked for."""
+    have = _powers.get(base, np.ones(1, np.uint32))
+    while len(have) < n:
+        have = np.concatenate([have, residue(have * U64(pow(base, len(have), PRIME))).astype(np.uint32)])
+    _powers[base] = have
     return have[:n]
 
 
 class SpanHash:
-    """64-bit hashes of any byte spans of one buffer, from one running sum of byte values times powers of a base."""
-
-    def __init__(self, buf: np.ndarray):
-        self.sums = np.zeros(len(buf) + 1, U64)
-        np.cumsum(BYTE_VALUE[buf] * powers(_BASE, len(buf)), out=self.sums[1:])
+    """62-bit hashes of any spans of a sequence of bytes, scrambled: each is two polynomials modulo a prime, from running sums of the
+    values times powers of a base.  (Modulo 2 ** 64 there are texts, such as Thue-Morse words, that clash for every base.)  `second`
+    asks for a hash independent of the first."""
+
+    def __init__(self, buf: np.ndarray, second: bool = False):
+        values = buf.astype(U64) + U64(1)
+        self.start(values, values, second)
+
+    def start(self, a: np.ndarray, b: np.ndarray, second: bool) -> None:
+        """a, b: what each base's polynomial sums, below 2 ** 31."""
+        self.parts = []
+        for base, values in zip(BASES[second], (a, b)):
+            terms = values * powers(base, len(values))
+            if len(terms) >> 24 or a is not b:
+                terms = residue(terms)
+            sums = np.zeros(len(terms) + 1, U64)
+            np.cumsum(terms, out=sums[1:])
+            self.parts.append((sums, pow(base, -1, PRIME)))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        back = powers(_BASE_INVERSE, len(self.sums))
-        return mix((self.sums[ends] - self.sums[starts]) * back[starts])
+        high, low = (residue(residue(sums[ends] - sums[starts]) * powers(inverse, len(sums))[starts]) for sums, inverse in self.parts)
+        return mix(high << U64(31) | low)
 
 
 def text_slices(batch: pa.RecordBatch, name: str, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -129,20 +149,44 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/llm_shared"
 
 
-def materialize(frame: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as Parquet to the shared folder and reads them back: lineage ends there, so a lost executor costs one
-    stage at most.  Shuffle files of that write are let go at its end (Spark keeps them till the driver collects garbage)."""
-    spark, key = frame.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def _shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go at its end (Spark keeps them till the driver collects garbage)."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        frame.write.parquet(path)
+        yield
     finally:
         spark.conf.set(key, before)
+
+
+def materialize(frame: DataFrame, name: str) -> DataFrame:
+    """Writes the rows as Parquet to the shared folder and reads them back: lineage ends there, so a lost executor costs one
+    stage at most."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with _shuffles_let_go(spark):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def dealt(frame: DataFrame, name: str, *keys: str) -> DataFrame:
+    """As materialize(), but as a table bucketed by the keys: joins and groupings on them move only what meets these rows."""
+    spark, n = frame.sparkSession, partitions(frame.sparkSession)
+    table = f"{name}_{uuid.uuid4().hex}"
+    with _shuffles_let_go(spark):
+        frame.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
+def row_names() -> tuple[Column, Column]:
+    """(id, tie), which tell rows of documents apart by doc_id and text: doc_id and a 64-bit hash of the text; without doc_id two
+    such hashes."""
+    known = F.col("doc_id").cast("long")
+    return F.coalesce(known, F.xxhash64(F.lit(1), "text")).alias("id"), F.xxhash64(known.isNull(), "text").alias("tie")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

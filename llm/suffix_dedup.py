@@ -14,7 +14,8 @@ difference cover is used with discarding, and only as deep as `length` bytes:
    bytes before it, and equal neighbours in name order are the repeats.
 
 Every level is one shuffle of names, packed per bucket.  Copies are combined before the shuffle: a task sends one name for all
-its equal hulls.  Documents are shuffled once for each level that needs bytes, never gathered.
+its equal hulls, and rows of equal doc_id and text are one with a count.  Texts are dealt once, into a bucketed table; the levels
+bring their open runs there.
 
 Defined results: null or empty text has no bytes and nothing removed; a document shorter than `length` loses nothing; equal
 documents of at least `length` bytes lose everything, repeated rows too (each row counts as a document); rows with equal doc_id but
@@ -32,9 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import _BASE, U64, SpanHash, gather, materialize, mix, partitions, powers, text_slices, word_spans
-
-NO_ID = -(1 << 63)
+from llm.common import PRIME, U64, SpanHash, dealt, gather, materialize, mix, partitions, residue, row_names, text_slices, word_spans
 
 
 def difference_cover(q: int) -> np.ndarray:
@@ -87,24 +86,26 @@ class Plan:
         return whole[: np.searchsorted(whole, most)]
 
 
-KINDS = [("core", U64), ("hull", U64), ("twice", np.bool_), ("doc", np.int64), ("pos", np.int32), ("lo", np.int16)]
+KINDS = [("core", U64), ("hull", U64), ("twice", np.bool_), ("id", np.int64), ("tie", np.int64), ("pos", np.int32), ("lo", np.int16)]
 PACKED = "bucket int, " + ", ".join(f"{n} binary" for n, _ in KINDS)
 #: state 1: every start of the run repeats; 2: the run is to be split; 3: both (a copy that stands for its class in the split).
-SETTLED = "doc long, pos int, lo short, state byte"
+SETTLED = "id long, tie long, pos int, lo short, state byte"
 DIRECT = -1  #: lo of a record that its own task has settled; -2 - lo keeps the run
 
 
-def names(plan: Plan, level: int, spans: SpanHash, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, pos: np.ndarray, lo: np.ndarray) -> dict[str, np.ndarray]:
-    """Names of the runs that start `lo` .. `lo + width - 1` bytes before sampled places `pos`; begin, size: of the documents in the
-    buffer.  The hull counts only starts that the document has, and its name holds how far they reach; the core needs no cut."""
+def names(plan: Plan, level: int, spans: tuple[SpanHash, SpanHash], offsets: np.ndarray, rows: dict[str, np.ndarray], row: np.ndarray, pos: np.ndarray, lo: np.ndarray) -> dict[str, np.ndarray]:
+    """Names of the runs that start `lo` .. `lo + width - 1` bytes before sampled places `pos` of rows; rows: id, tie and whether there are
+    copies.  The hull counts only starts that the document has, and its name holds how far they reach; the core needs no cut.  The
+    two names come from independent hashes, so records that share both (124 bits) have equal strings."""
+    begin, size = offsets[row], np.diff(offsets)[row]
     hi = lo + np.minimum(plan.widths[level], plan.period - lo) - 1
     own_lo, own_hi = np.maximum(lo, pos + plan.length - size), np.minimum(hi, pos)
     some = np.flatnonzero(own_lo <= own_hi)
-    begin, doc, pos, lo, hi, own_lo, own_hi = (x[some] for x in (begin, doc, pos, lo, hi, own_lo, own_hi))
+    begin, row, pos, lo, hi, own_lo, own_hi = (x[some] for x in (begin, row, pos, lo, hi, own_lo, own_hi))
     at = begin + pos
-    core = spans(at - lo, at - hi + plan.length) ^ mix(lo + (level << 16))
-    hull = mix(spans(at - own_hi, at - own_lo + plan.length) + mix(own_lo * 65_536 + own_hi)) | U64(1)
-    return {"core": core, "hull": hull, "twice": np.zeros(len(at), bool), "doc": doc, "pos": pos.astype(np.int32), "lo": lo.astype(np.int16)}
+    core = spans[0](at - lo, at - hi + plan.length) ^ mix(lo + (level << 16))
+    hull = mix(spans[1](at - own_hi, at - own_lo + plan.length) + mix(own_lo * 65_536 + own_hi)) | U64(1)
+    return {"core": core, "hull": hull, "twice": rows["copies"][row] > 1, "id": rows["id"][row], "tie": rows["tie"][row], "pos": pos.astype(np.int32), "lo": lo.astype(np.int16)}
 
 
 def _take(rec: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
@@ -162,7 +163,7 @@ def combine(rec: dict[str, np.ndarray], plan: Plan, buckets: int) -> pa.RecordBa
         needed = np.repeat((np.minimum.reduceat(residue, start) != np.maximum.reduceat(residue, start)) | (residue[start] == plan.cover[0]), size)
         direct = _take(more, np.flatnonzero(np.repeat(size > 1, size) & needed))
         direct["lo"] = (-2 - direct["lo"]).astype(np.int16)
-        direct["core"] = mix(direct["doc"])
+        direct["core"] = mix(direct["id"]) ^ mix(direct["tie"])
         parts.append(direct)
     out = _join(parts)
     return _pack(out, ((out["core"] >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64))
@@ -207,27 +208,29 @@ def _settle_batches(plan: Plan, last: bool):
         recs = [{n: np.frombuffer(b"".join(batch.column(n).to_pylist()), k) for n, k in KINDS} for batch in batches]
         if recs:
             out = settle(_join(recs), plan, last)
-            yield pa.RecordBatch.from_arrays([pa.array(out[n]) for n in ("doc", "pos", "lo", "state")], names=["doc", "pos", "lo", "state"])
+            fields = [c.split()[0] for c in SETTLED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(out[n]) for n in fields], names=fields)
 
     return run
 
 
 class WordHash(SpanHash):
-    """64-bit hashes of any runs of words, given their hashes."""
+    """Hashes of any runs of words, given a hash of each word."""
 
-    def __init__(self, words: np.ndarray):
-        self.sums = np.zeros(len(words) + 1, U64)
-        np.cumsum(words * powers(_BASE, len(words)), out=self.sums[1:])
+    def __init__(self, words: np.ndarray, second: bool = False):
+        self.start(residue(words >> U64(2) & U64(PRIME)), residue(words >> U64(33)), second)
 
 
-def _units(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[int, int, SpanHash, np.ndarray]]:
-    """(first row, row after the last, hashes of spans, offsets) of slices of a batch, in bytes or in words."""
+def _units(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[dict[str, np.ndarray], tuple[SpanHash, SpanHash], np.ndarray, int]]:
+    """(names of the rows, two hashes of spans, offsets, first row) of slices of a batch, in bytes or in words."""
+    whole = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tie", "copies")}
     for first, last, buf, offsets in text_slices(batch, "text"):
+        both = tuple(SpanHash(buf, second) for second in (False, True))
         if words:
             starts, ends, rows = word_spans(buf, offsets)
-            yield first, last, WordHash(SpanHash(buf)(starts, ends)), np.searchsorted(rows, np.arange(last - first + 1))
-        else:
-            yield first, last, SpanHash(buf), offsets
+            offsets = np.searchsorted(rows, np.arange(last - first + 1))
+            both = tuple(WordHash(h(starts, ends), second) for second, h in enumerate(both))
+        yield {c: x[first:last] for c, x in whole.items()}, both, offsets, first
 
 
 def _sample(plan: Plan, buckets: int, words: bool = False, flush: int = 1_000_000):
@@ -235,14 +238,12 @@ def _sample(plan: Plan, buckets: int, words: bool = False, flush: int = 1_000_00
         """Names of the sampled tuples, which are the cores of the widest runs."""
         held, n = [], 0
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for first, last, spans, offsets in _units(batch, words):
+            for rows, spans, offsets, _ in _units(batch, words):
                 size = np.diff(offsets)
                 places = plan.places(int(size.max(initial=0)))
                 counts = np.where(size >= plan.length, np.searchsorted(places, size - plan.tuple, "right"), 0)
-                row = np.repeat(np.arange(len(size)), counts)
                 pos = gather(places, np.zeros(len(size), np.int64), counts)
-                held.append(names(plan, 0, spans, offsets[row], size[row], ids[first:last][row], pos, np.zeros(len(pos), np.int64)))
+                held.append(names(plan, 0, spans, offsets, rows, np.repeat(np.arange(len(size)), counts), pos, np.zeros(len(pos), np.int64)))
                 n += len(pos)
                 if n >= flush:
                     if (out := combine(_join(held), plan, buckets)) is not None:
@@ -266,11 +267,10 @@ def _split(plan: Plan, level: int, buckets: int, words: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Names of the parts of the open runs, at this level."""
         for batch in batches:
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
             row_of, (pos_of, lo_of) = _lists(batch, "open", ("pos", "lo"))
             held = []
-            for first, last, spans, offsets in _units(batch, words):
-                own = slice(*np.searchsorted(row_of, [first, last]))
+            for rows, spans, offsets, first in _units(batch, words):
+                own = slice(*np.searchsorted(row_of, [first, first + len(offsets) - 1]))
                 row, pos, lo = row_of[own] - first, pos_of[own], lo_of[own]
                 fan = -(-plan.widths[level - 1] // plan.widths[level])
                 part = np.repeat(lo, fan) + np.tile(np.arange(fan), len(lo)) * plan.widths[level]
@@ -278,34 +278,39 @@ def _split(plan: Plan, level: int, buckets: int, words: bool = False):
                 inside = part < np.minimum(np.repeat(lo, fan) + plan.widths[level - 1], plan.period)
                 row, pos, part = row[inside], pos[inside], part[inside]
                 if len(row):
-                    held.append(names(plan, level, spans, offsets[row], np.diff(offsets)[row], ids[first:last][row], pos, part))
+                    held.append(names(plan, level, spans, offsets, rows, row, pos, part))
             if held and (out := combine(_join(held), plan, buckets)) is not None:
                 yield out
 
     return run
 
 
-def _identified(documents: DataFrame, *extra: str, name: str = "doc") -> DataFrame:
-    """With a name of the row made of doc_id and text: rows that share doc_id alone stay apart."""
-    return documents.select(*extra, "text", (F.shiftleft(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), 20) + F.pmod(F.xxhash64("text"), F.lit(1 << 20))).alias(name))
+NAME = ["id", "tie"]
+
+
+def deal_texts(documents: DataFrame) -> DataFrame:
+    """id, tie, doc_id, text, copies (how many rows have that doc_id and text), dealt by name: texts move once, and every level
+    brings its open runs to them."""
+    rows = documents.select(*row_names(), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return dealt(rows.groupBy(*NAME).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "texts", *NAME)
 
 
-def find_repeats(documents: DataFrame, length: int = 400, words: bool = False) -> DataFrame:
-    """doc, runs: for each row that has any, the runs of starts whose strings of `length` bytes (or words) occur elsewhere."""
-    plan, n = Plan(length), partitions(documents.sparkSession)
-    docs = _identified(documents)
-    named, found = docs.withColumnRenamed("doc", "doc_id").mapInArrow(_sample(plan, n, words), PACKED), []
+def find_repeats(docs: DataFrame, length: int = 400, words: bool = False) -> DataFrame:
+    """id, tie, runs: for each of the dealt texts that has any, the runs of starts whose strings of `length` bytes (or words) occur
+    elsewhere."""
+    plan, n = Plan(length), partitions(docs.sparkSession)
+    named, found = docs.select(*NAME, "text", "copies").mapInArrow(_sample(plan, n, words), PACKED), []
     for level, width in enumerate(plan.widths):
         last = level == len(plan.widths) - 1
         settled = materialize(named.repartitionById(n, "bucket").mapInArrow(_settle_batches(plan, last), SETTLED), f"repeats{level}")
-        found.append(settled.where("state % 2 = 1").select("doc", "pos", "lo", F.lit(width).alias("width")))
+        found.append(settled.where("state % 2 = 1").select(*NAME, "pos", "lo", F.lit(width).alias("width")))
         if not last:
-            opened = settled.where("state >= 2").distinct().groupBy("doc").agg(F.collect_list(F.struct("pos", "lo")).alias("open"))
-            named = docs.join(opened.hint("shuffle_hash"), "doc").select("doc", "text", "open").mapInArrow(_split(plan, level + 1, n, words), PACKED)
+            opened = settled.where("state >= 2").distinct().groupBy(*NAME).agg(F.collect_list(F.struct("pos", "lo")).alias("open"))
+            named = docs.join(opened, NAME).select(*NAME, "text", "copies", "open").mapInArrow(_split(plan, level + 1, n, words), PACKED)
     runs = found[0]
     for more in found[1:]:
         runs = runs.unionByName(more)
-    return runs.distinct().groupBy("doc").agg(F.collect_list(F.struct("pos", "lo", "width")).alias("runs"))
+    return runs.distinct().groupBy(*NAME).agg(F.collect_list(F.struct("pos", "lo", "width")).alias("runs"))
 
 
 def _covered(plan: Plan, size: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarray, lo: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -318,13 +323,12 @@ def _covered(plan: Plan, size: np.ndarray, offsets: np.ndarray, row: np.ndarray,
     return np.cumsum(step[:-1]) > 0
 
 
-def _with_runs(documents: DataFrame, length: int, *columns: str, words: int | None = None) -> DataFrame:
-    docs = _identified(documents, *columns, name="__doc")
-    runs = find_repeats(documents, length).toDF("__doc", "__runs")
+def _runs_of(docs: DataFrame, length: int, words: int | None) -> DataFrame:
+    """id, tie, __runs, __word_runs of the dealt texts."""
+    runs = find_repeats(docs, length).withColumnRenamed("runs", "__runs")
     if words:
-        more = find_repeats(documents, words, words=True).toDF("__doc", "__word_runs")
-        runs = runs.join(more, "__doc", "full")
-    return docs.join(runs.hint("shuffle_hash"), "__doc", "left").drop("__doc")
+        return runs.join(find_repeats(docs, words, words=True).withColumnRenamed("runs", "__word_runs"), NAME, "full")
+    return runs.withColumn("__word_runs", F.lit(None).cast(runs.schema["__runs"].dataType))
 
 
 def _each(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -335,38 +339,57 @@ def _each(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[int, np.ndarray,
         yield first, buf, offsets, _covered(plan, np.diff(offsets), offsets, row_of[own] - first, pos[own], lo[own], width[own])
 
 
-def repeated_bytes(documents: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
-    plan = Plan(length)
+def _count_spans(gone: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how many are True, maximal runs of them) in each row."""
+    starts = gone.copy()
+    starts[1:] &= ~gone[:-1]
+    edge = offsets[1:-1][(offsets[1:-1] < len(gone)) & (offsets[1:-1] > 0)]
+    starts[edge] |= gone[edge]
+    return tuple(np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]).astype(np.int64) for x in (gone, starts))
+
+
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long"
+
+
+def repeated_bytes(documents: DataFrame, length: int = 400, words: int = 51) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; n_passage_words, n_passages: the words in runs of `words` words that occur
+    elsewhere too, however few bytes they have, and the maximal stretches of such words.  One row per document."""
+    plan, word_plan, fields = Plan(length), Plan(words), [c.split()[0] for c in DIGEST.split(", ")]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            more = _passage_words(batch, word_plan)
             for first, buf, offsets, gone in _each(batch, plan):
                 n = len(offsets) - 1
-                starts = gone.copy()
-                starts[1:] &= ~gone[:-1]
-                edge = offsets[1:-1][(offsets[1:-1] < len(gone)) & (offsets[1:-1] > 0)]
-                starts[edge] |= gone[edge]
-                removed, spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]) for x in (gone, starts))
+                removed, spans = _count_spans(gone, offsets)
+                covered, cuts = next(more)[:2]
                 sha = [hashlib.sha256(part if not r else part[~gone[a:b]]).hexdigest() for a, b, r in zip(offsets[:-1], offsets[1:], removed) for part in (buf[a:b],)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), *map(pa.array, (np.diff(offsets), removed, spans, sha, *_count_spans(covered, cuts))), batch.column("copies").slice(first, n)], names=[*fields, "copies"])
 
-    rows = _with_runs(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, "doc_id")
-    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = deal_texts(documents)
+    rows = docs.join(_runs_of(docs, length, words), NAME, "left").select("doc_id", "text", "copies", "__runs", "__word_runs")
+    done = rows.mapInArrow(digest, f"{DIGEST}, copies long")
+    return done.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*fields)
 
 
-def _covered_words(batch: pa.RecordBatch, plan: Plan) -> Iterator[np.ndarray]:
-    """Whether each byte goes with its words, of the slices of a batch: those of covered words, and between them."""
+def _passage_words(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[np.ndarray, ...]]:
+    """(whether each word is covered, where each row's words begin, starts, ends, rows) of the slices of a batch."""
     row_of, (pos, lo, width) = _lists(batch, "__word_runs", ("pos", "lo", "width"))
     for first, last, buf, offsets in text_slices(batch, "text"):
         own = slice(*np.searchsorted(row_of, [first, last]))
         starts, ends, rows = word_spans(buf, offsets)
         cuts = np.searchsorted(rows, np.arange(last - first + 1))
-        at = np.flatnonzero(_covered(plan, np.diff(cuts), cuts, row_of[own] - first, pos[own], lo[own], width[own]))
+        yield _covered(plan, np.diff(cuts), cuts, row_of[own] - first, pos[own], lo[own], width[own]), cuts, starts, ends, rows
+
+
+def _covered_words(batch: pa.RecordBatch, plan: Plan, buf_sizes: Iterator[int]) -> Iterator[np.ndarray]:
+    """Whether each byte goes with its words, of the slices of a batch: those of covered words, and between them."""
+    for (covered, _, starts, ends, rows), size in zip(_passage_words(batch, plan), buf_sizes):
+        at = np.flatnonzero(covered)
         stop = ends[at]
         on = np.flatnonzero((at[1:] == at[:-1] + 1) & (rows[at[1:]] == rows[at[:-1]]))
         stop[on] = starts[at[on + 1]]
-        step = np.zeros(len(buf) + 1, np.int64)
+        step = np.zeros(size + 1, np.int64)
         np.add.at(step, starts[at], 1)
         np.add.at(step, stop, -1)
         yield np.cumsum(step[:-1]) > 0
@@ -382,8 +405,9 @@ def remove_repeats(documents: DataFrame, length: int = 400, words: int | None =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            more = _covered_words(batch, word_plan) if words else None
-            for first, buf, offsets, gone in _each(batch, plan):
+            slices = list(_each(batch, plan))
+            more = _covered_words(batch, word_plan, (len(buf) for _, buf, _, _ in slices)) if words else None
+            for first, buf, offsets, gone in slices:
                 if words:
                     gone = gone | next(more)
                 for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
@@ -396,5 +420,7 @@ def remove_repeats(documents: DataFrame, length: int = 400, words: int | None =
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts]).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], names=schema.fieldNames()).filter(pa.array(keep))
 
-    extra, with_words = [c for c in documents.columns if c != "text"], ["__word_runs"] if words else []
-    return _with_runs(documents, length, *extra, words=words).select(*documents.columns, "__runs", *with_words).mapInArrow(cut, schema)
+    docs = deal_texts(documents)
+    runs = _runs_of(docs, length, words).withColumnsRenamed({"id": "__id", "tie": "__tie"})
+    name = [c.alias(f"__{n}") for c, n in zip(row_names(), NAME)]
+    return documents.select("*", *name).join(runs, ["__id", "__tie"], "left").select(*documents.columns, "__runs", "__word_runs").mapInArrow(cut, schema)

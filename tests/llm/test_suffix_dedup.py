@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -12,20 +13,36 @@ from llm.suffix_dedup import difference_cover, remove_repeats, repeated_bytes
 LENGTH = 40
 
 
-def brute(texts, length):
+def covered(units, seen, length):
+    gone = np.zeros(len(units) + 1, bool)
+    for i in range(len(units) - length + 1):
+        if seen[units[i : i + length]] > 1:
+            gone[i : i + length] = True
+    return gone[:-1]
+
+
+def spans(gone):
+    return int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0
+
+
+def brute(texts, length, words=51):
+    """n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, n_passages of each text."""
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    split = [tuple(re.findall(rb"[^\x20\x09-\x0D]+", t)) for t in texts]
+    runs = Counter(w[i : i + words] for w in split for i in range(len(w) - words + 1))
     out = []
-    for t in texts:
-        gone = np.zeros(len(t) + 1, bool)
-        for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
-                gone[i : i + length] = True
-        gone = gone[:-1]
-        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(t) else 0
-        out.append((len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+    for t, w in zip(texts, split):
+        gone, passages = covered(t, seen, length), covered(w, runs, words)
+        out.append((len(t), int(gone.sum()), spans(gone), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest(), int(passages.sum()), spans(passages)))
     return out
 
 
+def hold(docs, rows, length, words=51):
+    want = sorted(((k, *b) for (k, *_), b in zip(rows, brute([(r[1] or "").encode() for r in rows], length, words))), key=str)
+    assert sorted(map(tuple, repeated_bytes(docs, length, words).collect()), key=str) == want
+    return want
+
+
 def made(seed):
     r = random.Random(seed)
     base = ["".join(r.choice("abcdefghij é\n") for _ in range(300)) for _ in range(4)]
@@ -48,15 +65,32 @@ def test_cover_has_every_difference(q):
 def test_made_texts(spark):
     rows = made(1)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = sorted(((k, *b) for (k, _), b in zip(rows, brute([(t or "").encode() for _, t in rows], LENGTH))), key=str)
-    assert sorted(map(tuple, repeated_bytes(docs, LENGTH).collect()), key=str) == want
+    assert sum(r[5] for r in hold(docs, rows, LENGTH, 16)) > 100
 
 
 def test_given_texts(spark, smallest):
     docs = spark.read.parquet(f"{smallest}/documents.parquet")
-    rows = docs.select("doc_id", "text").collect()
-    want = sorted((r.doc_id, *b) for r, b in zip(rows, brute([(r.text or "").encode() for r in rows], 400)))
-    assert sorted(map(tuple, repeated_bytes(docs).collect())) == want
+    hold(docs, docs.select("doc_id", "text").collect(), 400)
+
+
+def test_rows_are_told_apart(spark):
+    """Equal ids with other texts, two thousand rows without id, ids past 2 ** 44: each row is judged by its own bytes."""
+    r = random.Random(4)
+    made = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    shared = made(120)
+    rows = [(7, made(60)) for _ in range(300)] + [(None, made(45)) for _ in range(2000)] + [((1 << 44) + i, made(50)) for i in range(50)]
+    rows += [(7, shared + made(30)), (8, shared), (None, shared[:70]), ((1 << 60) + 1, made(20) + shared[30:])] + [(9, shared[:50])] * 300
+    assert sum(x[2] > 0 for x in hold(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows, LENGTH, 16)) == 304
+
+
+def test_words_that_clash_modulo_powers_of_two(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2 ** 64, whatever the base; they are not equal."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    rows = [(1, word), (2, word.translate({97: 98, 98: 97}))]
+    hold(spark.createDataFrame(rows, "doc_id long, text string"), rows, 1100)
+    hold(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string"), [(i, " ".join(t)) for i, t in rows], 1100, 1100)
 
 
 def test_empty_table_and_columns(spark):
