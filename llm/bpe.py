@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by a finite-state transducer that is determinised as it runs, and streaming decoding.
 
 Text is split at the pattern's matches, column-wise in numpy.  Each distinct match of a batch is encoded once, and remembered in a
-table of bounded size; what the table lacks goes through the transducer (`Transducer`) byte by byte.  A state of the transducer
+table of bounded size (looked up by hash, taken only if the bytes are equal); what the table lacks goes through the transducer (`Transducer`) byte by byte.  A state of the transducer
 is what the future can depend on: the last bytes that may still begin a token, and for each place within them the tokens that would
 be pending if the next token began there.  Tokens that all these agree on are emitted; so a token leaves as soon as no
 continuation can change it, at most a token's length later.  Transitions are computed when first taken.
@@ -109,43 +109,65 @@ class Encoder:
 
     def __init__(self):
         self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.text_begin, self.text_size, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def encode_matches(self, words: list[bytes]) -> list[list[int]]:
         raise NotImplementedError
 
-    def look_up(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The place in the table of each of the distinct matches."""
+    def forget(self, kept: np.ndarray) -> None:
+        """Only these places of the table stay."""
+        self.flat, self.text = gather(self.flat, self.begin[kept], self.size[kept]), gather(self.text, self.text_begin[kept], self.text_size[kept])
+        self.keys, self.size, self.text_size = self.keys[kept], self.size[kept], self.text_size[kept]
+        self.begin, self.text_begin = np.cumsum(self.size) - self.size, np.cumsum(self.text_size) - self.text_size
+
+    def look_up(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """The place in the table of each of the distinct matches; None if one has the hash, but not the bytes, of what is there."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        old, new = at[known], np.flatnonzero(~known)
+        same_size = np.array_equal(self.text_size[old], (ends - starts)[known])
+        if not same_size or not np.array_equal(gather(self.text, self.text_begin[old], self.text_size[old]), gather(buf, starts[known], self.text_size[old])):
+            return None
         if not len(new):
             return at
         data = buf.tobytes()
         ids = self.encode_matches([data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        begin = np.cumsum(size) - size
         if len(self.keys) + len(new) > self.remembered:
-            old = np.unique(at[np.setdiff1d(np.arange(len(keys)), new)])
-            self.flat, self.keys, self.size = gather(self.flat, self.begin[old], self.size[old]), self.keys[old], self.size[old]
-            self.begin = np.cumsum(self.size) - self.size
+            self.forget(np.unique(old))
+        size, text_size = np.fromiter(map(len, ids), np.int64, len(ids)), (ends - starts)[new]
         keys_all = np.concatenate([self.keys, keys[new]])
         order = np.argsort(keys_all)
         self.keys = keys_all[order]
-        self.begin = np.concatenate([self.begin, begin + len(self.flat)])[order]
-        self.size = np.concatenate([self.size, size])[order]
-        self.flat = np.concatenate([self.flat, flat])
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])[order]
+        self.text_begin = np.concatenate([self.text_begin, len(self.text) + np.cumsum(text_size) - text_size])[order]
+        self.size, self.text_size = np.concatenate([self.size, size])[order], np.concatenate([self.text_size, text_size])[order]
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
+        self.text = np.concatenate([self.text, gather(buf, starts[new], text_size)])
         return np.searchsorted(self.keys, keys)
 
+    def encode_all(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the matches, how many each has)."""
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        keys, index, of = np.unique(SpanHash(buf)(starts, ends), return_index=True, return_inverse=True)
+        size = (ends - starts)[index][of]
+        if np.array_equal(size, ends - starts) and np.array_equal(gather(buf, starts[index][of], size), buf):
+            at = self.look_up(keys, buf, starts[index], ends[index])
+            if at is not None:
+                return gather(self.flat, self.begin[at[of]], self.size[at[of]]), self.size[at[of]]
+        data = buf.tobytes()  # two matches share a hash: by their bytes, without the table
+        matches = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        distinct = list(dict.fromkeys(matches))
+        ids_of = dict(zip(distinct, self.encode_matches(distinct)))
+        ids = [ids_of[m] for m in matches]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
     def slices(self, batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for first, _, buf, offsets in text_slices(batch, name, 2 << 20):
             starts = split(buf, offsets)
-            ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-            keys, index, of = np.unique(SpanHash(buf)(starts, ends), return_index=True, return_inverse=True)
-            at = self.look_up(keys, buf, starts[index], ends[index])[of] if len(keys) else np.zeros(0, np.int64)
-            ids = gather(self.flat, self.begin[at], self.size[at])
+            ids, size = self.encode_all(buf, starts, np.append(starts[1:], len(buf)) if len(starts) else starts)
             # ids before each match, and so before each row
-            before = np.concatenate([[0], np.cumsum(self.size[at])])
-            yield first, ids, before[np.searchsorted(starts, offsets)]
+            yield first, ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, offsets)]
 
     def batches(self, batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, where each row's ids begin, with the end of the last) of slices of a batch."""
@@ -197,7 +219,7 @@ class FileEncoder(Encoder):
 class Transducer:
     """A lazily determinised transducer from bytes to tokens, compiled from ranks."""
 
-    most_states = 150_000
+    most_states = 250_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -247,21 +269,24 @@ class Transducer:
         """The next state and what is emitted; computed once for each state and byte."""
         tail, pending, before = self.states[state]
         tail += bytes((byte,))
-        for k in range(len(tail)):
-            token = self.ranks.get(tail[k:])
+        get, prefixes, size = self.ranks.get, self.prefixes, len(tail)
+        for k in range(size):
+            token = get(tail[k:])
             if token is not None:
                 last = pending[k][-1] if pending[k] else before
                 if last is None or self.may_follow(last, token):
                     grown = (*pending[k], token)
                     break
-        cut = next(k for k in range(len(tail) + 1) if k == len(tail) or tail[k:] in self.prefixes)
-        pending = (*pending[cut:], grown)
-        same = 0
-        shortest = min(map(len, pending))
-        while same < shortest and all(p[same] == pending[0][same] for p in pending):
+        cut = 0
+        while cut < size and tail[cut:] not in prefixes:
+            cut += 1
+        pending, same = (*pending[cut:], grown), 0
+        for column in zip(*pending):
+            if column.count(column[0]) < len(column):
+                break
             same += 1
         out = pending[0][:same]
-        new = (tail[cut:], tuple(p[same:] for p in pending), out[-1] if out else before)
+        new = (tail[cut:], tuple([p[same:] for p in pending]) if same else pending, out[-1] if out else before)
         if new not in self.number:
             self.number[new] = len(self.states)
             self.states.append(new)
