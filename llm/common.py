@@ -76,6 +76,13 @@ class SpanHash:
         return mix(high << U64(31) | low)
 
 
+class WordHash(SpanHash):
+    """Hashes of any runs of words or lines, given a hash of each."""
+
+    def __init__(self, words: np.ndarray, second: bool = False):
+        self.start(residue(words >> U64(2) & U64(PRIME)), residue(words >> U64(33)), second)
+
+
 def text_slices(batch: pa.RecordBatch, name: str, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, UTF-8 bytes, offsets) of runs of whole rows of about `limit` bytes; null is empty."""
     column = batch.column(batch.schema.get_field_index(name)).fill_null("").cast(pa.large_string())

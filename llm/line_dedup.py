@@ -1,21 +1,29 @@
 """Line dedup by pairwise alignment: documents that share rare lines are aligned with patience diff, and the aligned common blocks
 go from the later document.
 
-A line is rare if it is long enough and occurs once in its document; only such lines pair documents and anchor alignments.  Every holder
-of a rare line is paired with the line's first holder alone, so pairs number as lines, however many documents share one: what a
-document has in common with others than the first holders, it has in common with those as well.  Per pair, the longest increasing
-run of anchors is kept (patience); blocks of anchors consecutive in both documents grow by one equal line at either end, be it
-short or repeated, and go if they have enough characters.
+Pairs.  A line is an anchor if it is long enough and occurs once in its document.  If at most `rare` documents have it as an anchor, each
+is paired with all earlier ones.  What more documents have is paired by windows: the fewest lines from (or up to) any line that
+make a block of `min_block_bytes`, with an anchor among them; every holder of a window is paired with the window's first holder.
+Each block that a document has in common with any earlier one is a union of such windows, so no shared block goes unseen, while
+pairs number as lines, however many documents share one.  (Lines that repeat within a document are aligned only between anchors;
+there the partner at hand decides.)
+
+Alignment.  The whole lines of both documents are matched: equal lines at both ends, then the longest increasing run of lines that
+occur once on either side, and the same again within every gap between these.  Lines matched one after another in both documents
+are a block; blocks of `min_block_bytes` or more go from the later one, whatever the length of their single lines.  What is left is
+aligned again till no block is found, so that it does not matter in which order the partner at hand has the blocks.
 
 Defined results: documents are ordered by doc_id (null before all, ties by a hash of the text); repeated rows with one doc_id and
-text are one document and keep their lines; null and empty texts have one empty line and stay; lines are compared exactly; extra
-columns are kept by `remove_lines`, which drops documents left without a non-blank line.
+text are one document and keep their lines; null and empty texts have one empty line and stay; lines are compared exactly (by
+62-bit hashes); of a document that several earlier ones overlap, all that any of them has goes; extra columns are kept by
+`remove_lines`, which drops documents left without a non-blank line; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,50 +32,92 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, line_spans, materialize, mix, text_slices
-
-LINES = "doc long, hash long, pos int, size int, prev long, next long"
+from llm.common import SpanHash, WordHash, line_spans, materialize, partitions, row_names, text_slices
 
 
 @dataclass(frozen=True)
 class Parameters:
     min_line_bytes: int = 20
     min_block_bytes: int = 40
+    rare: int = 5
 
 
-def _identified(documents: DataFrame, *extra: str, name: str = "doc") -> DataFrame:
-    """With a number that orders rows by doc_id and tells texts apart."""
-    return documents.select(*extra, "text", (F.shiftleft(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), 20) + F.pmod(F.xxhash64("text"), F.lit(1 << 20))).alias(name))
+NAME = ["known", "id", "tie"]  #: their order is that of the documents
+SEQUENCES = "known boolean, id long, tie long, hashes binary, sizes binary"
+KEYS = "known boolean, id long, tie long, line boolean, key long"
 
 
-def rare_lines(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """doc, hash, pos, size, and the hashes of the lines before and after."""
+def sequences(documents: DataFrame) -> DataFrame:
+    """One row for each document: hashes (64 bits) and bytes (32 bits) of its lines, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column("doc").to_numpy(zero_copy_only=False)
             for first, last, buf, offsets in text_slices(batch, "text"):
                 starts, ends, rows = line_spans(buf, offsets)
-                hashes = np.maximum(SpanHash(buf)(starts, ends), U64(1))  # 0 stands for no line
-                _, index, count = np.unique(mix(hashes + mix(rows)), return_index=True, return_counts=True)
-                once = np.zeros(len(rows), bool)
-                once[index[count == 1]] = True
-                at = np.flatnonzero(once & (ends - starts >= p.min_line_bytes))
-                around = np.concatenate([[0], hashes.view(np.int64), [0]])
-                same = np.concatenate([[False], rows[1:] == rows[:-1], [False]])
-                head = np.searchsorted(rows, np.arange(len(offsets) - 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (docs[first:last][rows[at]], hashes[at].view(np.int64), (at - head[rows[at]]).astype(np.int32), (ends - starts)[at].astype(np.int32), np.where(same[at], around[at], 0), np.where(same[at + 1], around[at + 2], 0))],
-                    names=[c.split()[0] for c in LINES.split(", ")],
-                )
-
-    return _identified(documents).mapInArrow(run, LINES)
-
-
-def patience(pairs: list[tuple[int, int]]) -> list[int]:
-    """Indexes of a longest run of pairs increasing in both members; pairs are sorted by the first, and both are distinct."""
-    tails, at, before = [], [], [-1] * len(pairs)
-    for i, (_, b) in enumerate(pairs):
+                cuts = np.searchsorted(rows, np.arange(last - first + 1))
+                hashes, sizes = SpanHash(buf)(starts, ends), (ends - starts).astype(np.int32)
+                packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (hashes, sizes)]
+                own = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in NAME), *packed], names=[*NAME, "hashes", "sizes"])
+
+    rows = documents.select(F.col("doc_id").isNotNull().alias("known"), *row_names(), "text").mapInArrow(run, SEQUENCES)
+    return rows.groupBy(*NAME).agg(F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, how many each row has)."""
+    parts = [np.frombuffer(x, kind) for x in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind), np.array([len(x) for x in parts], np.int64)
+
+
+def keys(lines: DataFrame, p: Parameters) -> DataFrame:
+    """The anchors (line) and windows of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, counts = _unpacked(batch.column("hashes"), np.uint64)
+            sizes = _unpacked(batch.column("sizes"), np.int32)[0].astype(np.int64)
+            rows, n = np.repeat(np.arange(len(counts)), counts), len(hashes)
+            row_end = np.cumsum(counts)[rows]
+            row_begin = row_end - counts[rows]
+            order = np.lexsort((hashes, rows))
+            same = (hashes[order][1:] == hashes[order][:-1]) & (rows[order][1:] == rows[order][:-1])
+            once = np.ones(n, bool)
+            once[order[1:][same]] = once[order[:-1][same]] = False
+            anchor = once & (sizes >= p.min_line_bytes)
+            total, anchors = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, anchor))
+            at = np.flatnonzero(sizes > 0)
+            forward = np.searchsorted(total, total[at] + p.min_block_bytes)
+            backward = np.searchsorted(total, total[at + 1] - p.min_block_bytes, "right") - 1
+            begin, end = np.concatenate([at, backward]), np.concatenate([forward, at + 1])
+            begin, end = (x[(begin >= np.concatenate([row_begin[at]] * 2)) & (end <= np.concatenate([row_end[at]] * 2))] for x in (begin, end))
+            some = anchors[end] > anchors[begin]
+            begin, end = np.unique(np.stack([begin[some], end[some]]), axis=1)
+            lone = np.flatnonzero(anchor)
+            key = np.concatenate([hashes[lone], WordHash(hashes)(begin, end)]).view(np.int64)
+            row, line = pa.array(np.concatenate([rows[lone], rows[begin]])), np.arange(len(key)) < len(lone)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in NAME), pa.array(line), pa.array(key)], names=[c.split()[0] for c in KEYS.split(", ")])
+
+    return lines.mapInArrow(run, KEYS).distinct()
+
+
+def pairs(lines: DataFrame, p: Parameters) -> DataFrame:
+    """doc, other (structs of a document's name): the documents to be aligned, the earlier one as other."""
+    doc = F.struct(*NAME).alias("doc")
+    held = materialize(keys(lines, p).select("line", "key", doc), "keys")
+    # written, so that both sides of the joins are plain shuffles, of which Spark can split a frequent key's
+    shared = materialize(held.groupBy("line", "key").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).where("holders > 1"), "shared")
+    met = held.join(shared, ["line", "key"])
+    stars = met.where("not line and first < doc").select("doc", F.col("first").alias("other"))
+    few = met.where(F.col("line") & (F.col("holders") <= p.rare)).groupBy("key").agg(F.collect_list("doc").alias("docs"))
+    all_ = few.select(F.explode("docs").alias("doc"), "docs").select("doc", F.explode("docs").alias("other")).where("other < doc")
+    return stars.unionByName(all_).distinct()
+
+
+def longest_run(second: list[int]) -> list[int]:
+    """Indexes of a longest increasing run of distinct numbers."""
+    tails, at, before = [], [], [-1] * len(second)
+    for i, b in enumerate(second):
         k = bisect_left(tails, b)
         if k == len(tails):
             tails.append(b)
@@ -82,52 +132,83 @@ def patience(pairs: list[tuple[int, int]]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(matches: list[tuple], p: Parameters) -> set[int]:
-    """Positions of one document's lines that go.  matches: (other document, its pos, own pos, size, previous lines equal, next
-    lines equal)."""
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of matched lines, in order in both."""
+    out, gaps = [], [(0, len(a), 0, len(b))]
+    while gaps:
+        i, i_end, j, j_end = gaps.pop()
+        while i < i_end and j < j_end and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1]:
+            i_end, j_end = i_end - 1, j_end - 1
+            out.append((i_end, j_end))
+        if i == i_end or j == j_end:
+            continue
+        count, other = Counter(a[i:i_end]), Counter(b[j:j_end])
+        place = {x: k for k, x in enumerate(b[j:j_end], j) if other[x] == 1}
+        once = [(k, place[x]) for k, x in enumerate(a[i:i_end], i) if x in place and count[x] == 1]
+        kept = [once[k] for k in longest_run([y for _, y in once])]
+        out += kept
+        if kept:
+            gaps += [(x + 1, u, y + 1, v) for (x, y), (u, v) in zip([(i - 1, j - 1), *kept], [*kept, (i_end, j_end)])]
+    return sorted(out)
+
+
+def common_blocks(own: list[int], sizes: list[int], other: list[int], least: int) -> set[int]:
+    """Places of own lines in aligned blocks of `least` bytes or more.  What a pass leaves is aligned again, till no block is found:
+    so blocks that stand in another order in both documents go as well."""
     gone: set[int] = set()
-    others: dict[int, list[tuple]] = {}
-    for m in matches:
-        others.setdefault(m[0], []).append(m)
-    for own in others.values():
-        own.sort(key=lambda m: m[2])
-        kept = [own[i] for i in patience([(m[2], m[1]) for m in own])]
-        block: list[tuple] = []
-        for m in [*kept, None]:
-            if block and (m is None or m[2] != block[-1][2] + 1 or m[1] != block[-1][1] + 1):
-                if sum(x[3] for x in block) >= p.min_block_bytes:
-                    gone.update(x[2] for x in block)
-                    if block[0][4]:
-                        gone.add(block[0][2] - 1)
-                    if block[-1][5]:
-                        gone.add(block[-1][2] + 1)
+    while True:
+        before, block, last = len(gone), [], None
+        left = [-1 - i if i in gone else x for i, x in enumerate(own)] if gone else own
+        for i, j in [*patience(left, other), (-1, -1)]:
+            if block and (i, j) != (last[0] + 1, last[1] + 1):
+                if sum(sizes[k] for k in block) >= least:
+                    gone.update(block)
                 block = []
-            if m is not None:
-                block.append(m)
-    return gone
+            block.append(i)
+            last = (i, j)
+        if len(gone) in (before, len(own)):
+            return gone
 
 
 def find_blocks(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """doc, lines: the positions of the lines that go, for each document that loses any."""
-    lines = materialize(rare_lines(documents, p).distinct(), "lines")
-    held = F.struct("doc", "pos", "prev", "next")
-    first = lines.groupBy("hash").agg(F.min(held).alias("a"), F.max("doc").alias("last")).where("last > a.doc").drop("last")
-    # written, so that both sides of the join are plain shuffles, of which Spark can split a frequent line's
-    first = materialize(first, "first")
-    matches = lines.join(first, "hash").where("doc > a.doc").select("doc", F.struct(F.col("a.doc").alias("other"), F.col("a.pos").alias("at"), "pos", "size", F.expr("prev <> 0 and prev = a.prev").alias("before"), F.expr("next <> 0 and next = a.next").alias("after")).alias("m"))
+    """id, tie, lines: the places of the lines that go, for each document that loses any.
+
+    A document's own lines and those of its partners, one after another, come sorted: a task holds one partner at a time."""
+    lines = materialize(sequences(documents), "sequences")
+    found = materialize(pairs(lines, p), "pairs")
+    held = lines.select(F.struct(*NAME).alias("other"), "hashes", "sizes")
+    partners = found.join(held, "other").select("doc", F.lit(True).alias("partner"), "hashes", "sizes")
+    own = held.join(found.select(F.col("doc").alias("other")).distinct(), "other", "left_semi").select(F.col("other").alias("doc"), F.lit(False).alias("partner"), "hashes", "sizes")
+    both = own.unionByName(partners).select("doc.id", "doc.tie", "partner", "hashes", "sizes")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, mine, sizes, gone = None, [], [], set()
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name[0]], pa.int64()), pa.array([name[1]], pa.int64()), pa.array([sorted(gone)], pa.list_(pa.int32()))], names=["id", "tie", "lines"])
+
         for batch in batches:
-            found = [sorted(common_blocks([tuple(m.values()) for m in own], p)) for own in batch.column("m").to_pylist()]
-            some = pa.array([bool(x) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found, pa.list_(pa.int32()))], names=["doc", "lines"]).filter(some)
+            for id_, tie, partner, hashes, size in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "partner", "hashes", "sizes"))):
+                hashes = np.frombuffer(hashes, np.uint64).tolist()
+                if not partner:
+                    if gone:
+                        yield row()
+                    name, mine, sizes, gone = (id_, tie), hashes, np.frombuffer(size, np.int32).tolist(), set()
+                elif len(gone) < len(mine):
+                    gone.update(common_blocks(mine, sizes, hashes, p.min_block_bytes))
+        if gone:
+            yield row()
 
-    return matches.groupBy("doc").agg(F.collect_list("m").alias("m")).mapInArrow(align, "doc long, lines array<int>")
+    return both.repartition(partitions(documents.sparkSession), "id", "tie").sortWithinPartitions("id", "tie", "partner").mapInArrow(align, "id long, tie long, lines array<int>")
 
 
 def _with_lines(documents: DataFrame, p: Parameters, *columns: str) -> DataFrame:
-    blocks = find_blocks(documents, p).toDF("__doc", "__lines")
-    return _identified(documents, *columns, name="__doc").join(blocks.hint("shuffle_hash"), "__doc", "left").drop("__doc")
+    blocks = find_blocks(documents, p).toDF("__id", "__tie", "__lines")
+    id_, tie = row_names()
+    return documents.select(*columns, "text", id_.alias("__id"), tie.alias("__tie")).join(blocks, ["__id", "__tie"], "left").drop("__id", "__tie")
 
 
 def deleted_lines(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import PRIME, U64, SpanHash, dealt, gather, materialize, mix, partitions, residue, row_names, text_slices, word_spans
+from llm.common import U64, SpanHash, WordHash, dealt, gather, materialize, mix, partitions, row_names, text_slices, word_spans
 
 
 def difference_cover(q: int) -> np.ndarray:
@@ -214,13 +214,6 @@ def _settle_batches(plan: Plan, last: bool):
     return run
 
 
-class WordHash(SpanHash):
-    """Hashes of any runs of words, given a hash of each word."""
-
-    def __init__(self, words: np.ndarray, second: bool = False):
-        self.start(residue(words >> U64(2) & U64(PRIME)), residue(words >> U64(33)), second)
-
-
 def _units(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[dict[str, np.ndarray], tuple[SpanHash, SpanHash], np.ndarray, int]]:
     """(names of the rows, two hashes of spans, offsets, first row) of slices of a batch, in bytes or in words."""
     whole = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tie", "copies")}
