@@ -1,13 +1,14 @@
 """Quality rules: a document is judged by the log-likelihood ratio of its hashed n-grams under two multinomials, one of trusted
 text and one of the raw corpus, divided by the number of n-grams, against a fixed threshold.
 
-Word unigrams and bigrams are hashed to `BUCKETS` buckets.  The raw multinomial counts every document.  The trusted one counts at
-most `trusted_docs` documents that a table of labels marks 1 (chosen by hash of the id: a documented bound, the only one).  What
-reaches the driver is one row per bucket, whatever the size of the corpus.
-
-Defined results: null or empty text has no words, fails the base rules and gets score 0.  A row is judged by its text alone, so
-repeated rows get equal verdicts.  Extra columns are kept by `keep_good` and dropped by `score_documents`.  Without any trusted
-document the two multinomials coincide: every score is 0 and only the base rules reject.
+Word unigrams and bigrams are hashed to `BUCKETS` buckets.  The raw multinomial counts every document, the trusted one every document
+that a table of labels marks 1 (a join).  What reaches the driver is one row per bucket, whatever the size of the corpus.
+
+Defined results: null or empty text has no words, fails the base rules and gets score 0; texts of any length are judged whole.  A row
+is judged by its text alone, so repeated rows get equal verdicts (and count once each); a row without doc_id is never trusted; a
+document labelled several times is trusted if one label is 1.  Extra columns are kept by `keep_good` and dropped by
+`score_documents`.  Without any trusted document the two multinomials coincide: every score is 0 and only the base rules reject.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ class Parameters:
     max_repeat_percent: int = 20
     #: Mean log ratio, in nats, below which a document is rejected.
     min_score: float = -0.15
-    trusted_docs: int = 20_000
     #: N-grams of raw text that the trusted counts are mixed with: little trusted text says little, and rejects nothing.
     prior: float = 200_000.0
 
@@ -90,25 +90,27 @@ def measure(buf: np.ndarray, offsets: np.ndarray, log_ratio: np.ndarray) -> dict
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> np.ndarray:
-    """log(trusted share / raw share) of each bucket."""
-    chosen = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.trusted_docs)
-    trusted = np.sort(np.array([r[0] for r in chosen.collect() if r[0] is not None], np.int64))
+def count_ngrams(texts: DataFrame) -> DataFrame:
+    """bucket, n: how often the n-grams of each bucket occur in a column text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            own = np.isin(ids, trusted)
-            for first, last, buf, offsets in text_slices(batch, "text"):
+            for _, _, buf, offsets in text_slices(batch, "text"):
                 starts, ends, rows = word_spans(buf, offsets)
-                bucket, row = _ngrams(SpanHash(buf)(starts, ends), rows)
-                counts[0] += np.bincount(bucket, minlength=BUCKETS)
-                counts[1] += np.bincount(bucket[own[first:last][row]], minlength=BUCKETS)
-        used = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[0][used]), pa.array(counts[1][used])], names=["bucket", "raw", "target"])
+                counts += np.bincount(_ngrams(SpanHash(buf)(starts, ends), rows)[0], minlength=BUCKETS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["bucket", "n"])
 
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return texts.mapInArrow(count, "bucket int, n long")
+
+
+def fit(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> np.ndarray:
+    """log(trusted share / raw share) of each bucket."""
+    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    target = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, "doc_id", "left_semi").select("text")
+    both = count_ngrams(documents.select("text")).withColumn("trusted", F.lit(0)).unionByName(count_ngrams(target).withColumn("trusted", F.lit(1)))
+    found = both.groupBy("bucket").agg(F.sum(F.col("n") * (1 - F.col("trusted"))).alias("raw"), F.sum(F.col("n") * F.col("trusted")).alias("target"))
     counts = np.zeros((2, BUCKETS))
     for r in found.collect():
         counts[0, r.bucket], counts[1, r.bucket] = r.raw, r.target
