@@ -1,15 +1,17 @@
 """Near-duplicates by 64-bit SimHash fingerprints, linked through pivot distance tables.
 
-Equal fingerprints are combined first.  Pivot tables alone would compare all pairs, so what enters one table is decided by
-block keys: the bits are cut into m blocks, and fingerprints within `radius` bits agree on at least m - radius of them, so
-each goes to the table of every choice of m - radius blocks; m follows from how many there are.  Within a table, Hamming distances to
-reference fingerprints are computed once for each member, pairs with coordinates further apart than the radius are discarded,
-and the survivors verified.  Large tables take members as pivots: what lies within the radius of a pivot is linked to it, and by the
-triangle inequality only what lies within twice the radius can have links into that ball.  A partition returns a forest of its
-links, not the pairs; components over all partitions follow on DataFrames.
+Equal fingerprints are combined first.  Pivot coordinates alone would put about half of all pairs within the radius of each other in
+each coordinate, so what enters one table is decided by block keys: the bits are cut into m blocks, and fingerprints within `radius`
+bits agree on at least m - radius of them, so each goes to the table of every choice of m - radius blocks; m follows from how many
+there are.  Within a table, Hamming distances to reference fingerprints are computed once for each member; members are sorted by the
+distance to the first reference, and each is paired with those that follow within the radius in that coordinate; pairs further apart in
+any other coordinate are discarded, and the survivors verified.  Large tables take members as pivots: what lies within the radius
+of a pivot is linked to it, and by the triangle inequality only what lies within twice the radius can have links into that ball.
+A partition returns a forest of its links, not the pairs; components over all partitions follow on DataFrames.
 
 Defined results: null, empty or blank text has fingerprint zero, linked like any other; equal texts and repeated rows share fingerprint
-and component; a component of rows without doc_id has a null id; extra columns are ignored by `near_groups` and kept by `keep_one`.
+and component; a component of rows without doc_id has a null id; texts of any length are taken whole; extra columns are ignored by
+`near_groups` and kept by `keep_one`; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -105,21 +107,34 @@ def ball_links(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.nd
         fps = fps[rest]
 
 
-def table_links(keys: np.ndarray, fps: np.ndarray, radius: int, small: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def window_pairs(place: np.ndarray, radius: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of the sorted places that differ by the radius at most, each pair once, about `most` at a time."""
+    at = np.arange(len(place))
+    follow = np.searchsorted(place, place + radius, "right") - at - 1
+    cuts = np.searchsorted(np.cumsum(follow), np.arange(0, int(follow.sum()), most), "right")
+    for first, last in zip(cuts, [*cuts[1:], len(at)]):
+        n = follow[first:last]
+        a = np.repeat(at[first:last], n)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def table_links(keys: np.ndarray, fps: np.ndarray, radius: int, small: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within tables (runs of equal sorted keys)."""
     start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
     size = np.diff(np.append(start, len(keys)))
-    reference = np.stack([np.bitwise_count(fps ^ p) for p in PIVOTS]).astype(np.int8) if len(fps) else np.zeros((len(PIVOTS), 0), np.int8)
-    for g in np.unique(size[(size > 1) & (size <= small)]):
-        base = start[size == g]
-        i, j = np.triu_indices(g, 1)
-        for own in np.array_split(base, max(1, len(base) * len(i) // 1_000_000)):
-            a, b = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
-            for pivot in reference:  # discarded by one coordinate after another
-                close = np.abs(pivot[a] - pivot[b]) <= radius
+    table, sizes = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
+    own = np.flatnonzero((sizes > 1) & (sizes <= small))
+    if len(own):
+        coordinates = np.stack([np.bitwise_count(fps[own] ^ p) for p in PIVOTS]).astype(np.int8)
+        place = table[own] * 256 + coordinates[0]  # tables lie further apart than any radius
+        order = np.argsort(place)
+        place, coordinates, members = place[order], coordinates[:, order], fps[own][order]
+        for a, b in window_pairs(place, radius):
+            for other in coordinates[1:]:  # discarded by one coordinate after another
+                close = np.abs(other[a] - other[b]) <= radius
                 a, b = a[close], b[close]
-            true = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-            yield fps[a[true]], fps[b[true]]
+            true = np.bitwise_count(members[a] ^ members[b]) <= radius
+            yield members[a[true]], members[b[true]]
     for s, g in zip(start[size > small], size[size > small]):
         yield from ball_links(fps[s : s + g], radius)
 
@@ -176,8 +191,8 @@ def _grouped(rows: DataFrame, radius: int) -> DataFrame:
     fingerprint has plain shuffles on both sides, which Spark can split."""
     each = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = link(each.select("fp"), radius)
-    of = each.join(roots, each.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = materialize(each.join(roots, each.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    least = materialize(of.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     return materialize(of.join(least, "root").select("fp", "root", "component_id"), "groups")
 
 
