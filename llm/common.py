@@ -180,10 +180,15 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
 
 def dealt(frame: DataFrame, name: str, *keys: str) -> DataFrame:
     """As materialize(), but as a table bucketed by the keys: joins and groupings on them move only what meets these rows."""
+    return bucketed(frame.repartition(partitions(frame.sparkSession), *keys), name, *keys)
+
+
+def bucketed(frame: DataFrame, name: str, *keys: str) -> DataFrame:
+    """As dealt(), without moving rows before: for a frame whose partitions have few keys each."""
     spark, n = frame.sparkSession, partitions(frame.sparkSession)
     table = f"{name}_{uuid.uuid4().hex}"
     with _shuffles_let_go(spark):
-        frame.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+        frame.write.bucketBy(n, *keys).option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
 
 

@@ -5,12 +5,16 @@ hashed to 64 bits; each bit of the fingerprint is the sign of the weighted votes
 32-bit lanes, so a document is one row of 32 sums while its terms stream by.  The likeness of two fingerprints is the cosine of the angle
 their differing bits stand for, at least 0.
 
-Neighbours in id order come from one shuffle of the texts: ids are cut into ranges at ids of the table itself, and the document
-that begins a range is dealt to the range before as well (the first of all to the last range).  Sorting, terms, votes and both
-windows then work range by range without another shuffle.
+Neighbours in id order: rows of equal doc_id and text are combined, with a count; the others are sorted into ranges by doc_id and a
+hash of the text, so that many rows of one id, or without, are several ranges, and written as a table bucketed by range.  Windows, terms
+and votes then work range by range without another shuffle of texts; the last row of a range is joined with the first of the next.
+
+The search: bits are cut into blocks, and for each choice of two blocks a table is keyed by their bits, so that all fingerprints within
+the radius of a query's share one of its keys.  Queries are the rows whose doc_id is divisible by 20, against all rows.
 
 Defined results: null or empty text has no terms and fingerprint 0; one document is its own next; rows are ordered by doc_id (null
-first), then by a hash of the text; repeated rows follow one another; extra columns are ignored.
+first), then by a hash of the text; repeated rows follow one another; texts of any length are taken whole; extra columns are ignored; an
+empty table gives an empty one.  `within` ignores null fingerprints and queries, and takes equal ones once.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import partitions
+from llm.common import bucketed, materialize, partitions
 
 LANES = 0x0000000100000001
 
@@ -62,42 +66,54 @@ def hexadecimal(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def ranges(documents: DataFrame, count: int) -> list[int]:
-    """Ids of the table, the least among them, that cut it into about `count` equal ranges."""
-    shares = [i / count for i in range(1, count)] or [0.5]
-    least, cuts = documents.agg(F.min("id"), F.percentile_approx("id", shares, 10 * count + 1000)).first()
-    return [] if least is None else sorted({least, *(cuts if count > 1 else ())})
-
-
-def range_of(id_: Column, cuts: list[int]) -> Column:
-    """The number of the range, found in two steps of about the root of their number each."""
-    step = math.isqrt(len(cuts)) + 1
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    arrays = F.array(*(F.array(*(F.lit(x).cast("long") for x in g)) for g in groups))
-    group = F.size(F.filter(F.array(*(F.lit(g[0]).cast("long") for g in groups)), lambda x: x <= id_))
-    return (group - 1) * step + F.size(F.filter(F.element_at(arrays, group), lambda x: x <= id_)) - 1
-
-
-def fingerprint_edits(documents: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row per document; its edit has
-    the last quarter of its code points replaced by the first of the next document's."""
+def in_order(documents: DataFrame) -> DataFrame:
+    """Rows of equal doc_id and text once, with their number (copies) and the text that follows the last of them (next), in ranges
+    (part) of the order."""
     n = partitions(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
-    cuts = ranges(rows, n) or [0]
-    last = len(cuts) - 1
-    own = range_of(F.col("id"), cuts)
-    # a row that begins its range is also the next of the range before; the first of all comes after the last range's rows
-    copies = F.when(F.col("id") == cuts[0], F.array(F.struct(own.alias("part"), F.lit(0).alias("place")), F.struct(F.lit(last).alias("part"), F.lit(2).alias("place")))).when(F.col("id").isin(cuts[1:]) if last else F.lit(False), F.array(F.struct(own.alias("part"), F.lit(0).alias("place")), F.struct((own - 1).alias("part"), F.lit(1).alias("place")))).otherwise(F.array(F.struct(own.alias("part"), F.lit(0).alias("place"))))
-    dealt = rows.withColumn("copy", F.explode(copies)).select("doc_id", "id", "text", "copy.part", "copy.place", F.xxhash64("text").alias("tie"))
-    order = Window.partitionBy("part").orderBy("place", "id", "tie")
+    known, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    rows = documents.select(known.alias("doc_id"), text.alias("text"), F.coalesce(known, F.lit(-(1 << 63))).alias("id"), F.xxhash64(known.isNull(), text).alias("tie"))
+    single = rows.groupBy("id", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    sorted_ = single.repartitionByRange(n, "id", "tie").select(F.spark_partition_id().alias("part"), "*")
+    docs = bucketed(sorted_, "in_order", "part")
+    first = docs.groupBy("part").agg(F.min(F.struct("id", "tie")).alias("name"))
+    # one row for each range, without texts
+    order = Window.orderBy("part")
+    after = first.select("name", F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(0, Window.unboundedFollowing))).alias("before"))
+    heads = docs.select("text", F.struct("id", "tie").alias("name")).join(after, "name").select(F.col("before").alias("part"), F.col("text").alias("head"))
+    own = Window.partitionBy("part").orderBy("id", "tie")
+    placed = docs.withColumns({"next": F.lead("text").over(own), "row": F.row_number().over(own), "final": F.row_number().over(Window.partitionBy("part").orderBy(F.desc("id"), F.desc("tie"))) == 1})
+    return placed.join(heads, "part", "left").withColumn("next", F.when(F.col("final"), F.col("head")).otherwise(F.col("next"))).drop("head")
+
+
+def fingerprint_edits(documents: DataFrame, radius: int = 3) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row per document; its edit has
+    the last quarter of its code points replaced by the first of the next document's.  near_docs: for doc_ids divisible by 20, how
+    many rows (this one included) have a fingerprint within `radius` bits of its own; else null."""
     chars = F.length("text")
-    edit = F.concat(F.substring("text", F.lit(1), chars - F.floor(chars / 4).cast("int")), F.coalesce(F.substring("next", F.lit(1), F.floor(chars / 4).cast("int")), F.lit("")))
-    numbered = dealt.withColumns({"next": F.lead("text").over(order), "row": F.row_number().over(order)}).withColumns({"n_chars": chars.cast("long"), "edited": edit})
-    sides = numbered.select("part", "row", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("side", "text")).where("side = 0 or place = 0")
-    prints = with_terms(sides).groupBy("part", "row", "place", "doc_id", "n_chars", "edited_sha256", "side").agg(*vote_sums()).select("part", "row", "place", "doc_id", "n_chars", "edited_sha256", "side", signs().alias("fp"))
-    both = prints.groupBy("part", "row", "place", "doc_id", "n_chars", "edited_sha256").agg(F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp"))
-    done = both.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("part").orderBy("row"))).where("place = 0")
-    return done.select("doc_id", "n_chars", "edited_sha256", hexadecimal("fp").alias("fingerprint"), hexadecimal("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+    quarter = F.floor(chars / 4).cast("int")
+    # all but the last of repeated rows are followed by their own text
+    turns = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(1).cast("long").alias("times"), F.col("next").alias("next")), F.struct((F.col("copies") - 1).alias("times"), F.col("text").alias("next")))).otherwise(F.array(F.struct(F.lit(1).cast("long").alias("times"), F.col("next").alias("next"))))
+    turned = in_order(documents).select("part", "row", "id", "doc_id", "text", F.posexplode(turns).alias("turn", "t"))
+    edit = F.concat(F.substring("text", F.lit(1), chars - quarter), F.substring("t.next", F.lit(1), quarter))
+    edited = turned.select("part", "row", "turn", "doc_id", "t.times", chars.cast("long").alias("n_chars"), "text", edit.alias("edited"))
+    key = ["part", "row", "turn", "doc_id", "times", "n_chars", "edited_sha256"]
+    sides = edited.withColumn("edited_sha256", F.sha2("edited", 256)).select(*key, F.posexplode(F.array("text", "edited")).alias("side", "text")).where("turn = 0 or side = 1")
+    prints = with_terms(sides).groupBy(*key, "side").agg(*vote_sums()).select(*key, "side", signs().alias("fp"))
+    both = prints.groupBy(*key).agg(F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp"))
+    done = materialize(both, "prints")
+    rows = done.where("turn = 0").select("part", "row", "fp")
+    firsts = rows.where("row = 1").select("part", F.col("fp").alias("first_fp"))
+    order = Window.orderBy("part")
+    firsts = firsts.select(F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(0, Window.unboundedFollowing))).alias("part"), "first_fp")
+    follow = rows.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("part").orderBy("row"))).join(firsts, "part")
+    follow = follow.select("part", "row", F.col("fp").alias("own_fp"), F.coalesce("next_fp", "first_fp").alias("next_fp"))
+    full = done.drop("fp").join(follow, ["part", "row"]).withColumn("next_fp", F.when(F.col("turn") == 0, F.col("next_fp")).otherwise(F.col("own_fp")))
+    asked = full.where("doc_id % 20 = 0").select(F.col("own_fp").alias("query"))
+    number = full.groupBy(F.col("own_fp").alias("fp")).agg(F.sum("times").alias("times"))
+    near = within(number, asked, radius).join(number, "fp").groupBy(F.col("query").alias("own_fp")).agg(F.sum("times").alias("near_docs"))
+    near = materialize(near, "near")
+    out = full.join(near, "own_fp", "left").withColumn("copy", F.explode(F.expr("sequence(1, times)")))
+    return out.select("doc_id", "n_chars", "edited_sha256", hexadecimal("own_fp").alias("fingerprint"), hexadecimal("edited_fp").alias("edited_fingerprint"), likeness("own_fp", "edited_fp").alias("near_edited"), likeness("own_fp", "next_fp").alias("near_next"), F.when(F.col("doc_id") % 20 == 0, F.col("near_docs")).alias("near_docs"))
 
 
 def within(fingerprints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
@@ -111,7 +127,7 @@ def within(fingerprints: DataFrame, queries: DataFrame, radius: int = 3) -> Data
 
     def tables(frame: DataFrame, name: str) -> DataFrame:
         keyed = F.array(*(F.struct(F.lit(i).alias("table"), F.col(name).bitwiseAND(F.lit(x).cast("long")).alias("key")) for i, x in enumerate(masks)))
-        return frame.select(name).distinct().select(name, F.explode(keyed).alias("k")).select(name, "k.table", "k.key")
+        return frame.select(name).where(F.col(name).isNotNull()).distinct().select(name, F.explode(keyed).alias("k")).select(name, "k.table", "k.key")
 
     near = tables(queries, "query").join(tables(fingerprints, "fp"), ["table", "key"])
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fp")))
