@@ -3,20 +3,22 @@
 The model is a bigram model with absolute discounting that backs off to discounted unigrams and these to an even share for the
 unknown: P1(w) = (max(c(w) - d, 0) + d V / (V + 1)) / N; for a kept bigram P(w | h) = (c(h w) - d) / c(h) + b(h) P1(w), and else
 P(w | h) = b(h) P1(w), where b(h) is the mass that h's kept bigrams leave.  As an automaton: the root and every training token
-are states; a state has an arc for each kept bigram, and a failure arc to the root weighted b(h); the root has an arc for each token.  A text is one traversal from left to right, from the state of the
-sentence end, that carries the state and adds the logarithms of the arcs taken.
+are states; a state has an arc for each bigram, and a failure arc to the root weighted b(h); the root has an arc for each token.  A
+text is one traversal from left to right, from the state of the sentence end, that carries the state and adds the logarithms of
+the arcs taken.
 
-All counts are exact and cover all training documents.  Documents are dealt to chunks of about `chunk_tokens`; a chunk asks for its
+All counts are exact and cover all training documents.  Rows of equal doc_id and text are combined first.  Documents are dealt to
+chunks of about `chunk_tokens`, in a table bucketed by chunk, so that texts move no more; a chunk asks for its
 distinct words and bigrams only (the map-side combine of the counts) and is answered by the partitions that hold the totals: bigrams go
 where their history's count goes, so that its failure weight is settled there and travels with the count; then the chunk
 compiles the part of the automaton that its texts can reach.  No task holds the model; what moves is bounded by the chunks' distinct
-n-grams.  A bigram is kept if training texts have it `min_count` times at least.  What every task is given is two numbers, those of
-the training tokens and words.
+n-grams.  What every task is given is two numbers, those of the training tokens and words.
 
 Tokens are words of lower-cased (A-Z) text and one end for each text, named by 64-bit hashes.
 
 Defined results: null or empty text is one end; a document without id is in training; with nothing to train on, every token has the
-same share; repeated rows count and are scored each; extra columns are ignored.
+same share; repeated rows count and are scored each, alike; a very long text is scored whole, in one chunk; extra columns are
+ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, materialize, mix, partitions, text_slices, word_spans
+from llm.common import U64, SpanHash, dealt, materialize, mix, partitions, row_names, text_slices, word_spans
 from llm.simhash_dedup import UPPER
 
 END = mix(np.array([0x454E44], U64))[0]
@@ -40,9 +42,7 @@ _A, _B = mix(np.array([11, 12], U64)) | U64(1)
 @dataclass(frozen=True)
 class Parameters:
     discount: float = 0.5
-    min_count: int = 2
-    histories: int = 0  #: limits nothing any more: every training word is a history
-    chunk_tokens: int = 1_200_000
+    chunk_tokens: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -85,18 +85,20 @@ def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
 
 
-def _trained(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("trained").to_numpy(zero_copy_only=False)
+def _weights(batch: pa.RecordBatch) -> np.ndarray:
+    """How often each row counts in training."""
+    return np.where(batch.column("trained").to_numpy(zero_copy_only=False), batch.column("copies").to_numpy(zero_copy_only=False), 0)
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of training tokens of each batch."""
+    """The numbers of tokens, and of training tokens, of each batch."""
     for batch in batches:
-        own, total = _trained(batch), 0
+        own, total, trained = _weights(batch), 0, 0
         for first, last, buf, offsets in text_slices(batch, "text"):
             _, _, rows = word_spans(buf, offsets)
-            total += int(own[first:last][rows].sum() + own[first:last].sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["tokens"])
+            total += len(rows) + last - first
+            trained += int(own[first:last][rows].sum() + own[first:last].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([trained], pa.int64())], names=["tokens", "trained"])
 
 
 REQUEST = "bucket int, chunk long, names binary, counts binary, sizes binary, pairs binary, pair_counts binary"
@@ -107,16 +109,16 @@ def _ask(n: int):
         """What a chunk has: distinct words and the bigrams after each, with counts in training texts, packed for each partition."""
         parts = []
         for batch in table.to_batches():
-            own = _trained(batch)
+            own = _weights(batch)
             for first, _, buf, offsets in text_slices(batch, "text"):
                 hashes, rows = tokens(buf, offsets)
                 parts.append((hashes, rows, own[first:][rows]))
         own = np.concatenate([x[2] for x in parts])
         words, number = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-        counts = np.bincount(number, weights=own, minlength=len(words)).astype(np.int32)
+        counts = np.bincount(number, weights=own, minlength=len(words)).astype(np.int64)
         both = _numbered([x[:2] for x in parts], words, number)
         keys, of = np.unique(both, return_inverse=True)
-        pair_counts = np.bincount(of, weights=own, minlength=len(keys)).astype(np.int32)
+        pair_counts = np.bincount(of, weights=own, minlength=len(keys)).astype(np.int64)
         history, token = np.divmod(keys, len(words))
         sizes = np.bincount(history, minlength=len(words)).astype(np.int32)
         bucket, cuts = _by_bucket(words, n)
@@ -143,12 +145,11 @@ TOTALS = -1  #: The chunk under which a partition sends the number of its traini
 
 def _answer(p: Parameters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One partition's share of the names: totals and what a history's kept bigrams take, back to each chunk that asked for them;
-        0 for a bigram that is not kept."""
+        """One partition's share of the names: totals and what a history's bigrams take, back to each chunk that asked for them."""
         asked = []
         for batch in batches:
             for bucket, chunk, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "names", "counts", "sizes", "pairs", "pair_counts"))):
-                asked.append((bucket, chunk, *(np.frombuffer(x, t) for x, t in zip(blobs, (U64, np.int32, np.int32, U64, np.int32)))))
+                asked.append((bucket, chunk, *(np.frombuffer(x, t) for x, t in zip(blobs, (U64, np.int64, np.int32, U64, np.int64)))))
         if not asked:
             return
         names, of = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
@@ -162,7 +163,6 @@ def _answer(p: Parameters):
         size = np.diff(np.append(start, len(keys)))
         del keys
         totals = np.add.reduceat(np.concatenate([x[6] for x in asked])[order], start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
-        totals[totals < p.min_count] = 0
         takes = np.bincount(history[order[start]], weights=np.where(totals > 0, totals - p.discount, 0), minlength=len(names))
         del history
         pair_total = np.empty(len(order), np.int64)
@@ -197,7 +197,7 @@ class Automaton:
         self.arcs: dict[int, float] = {}
 
     def add(self, keys: np.ndarray, count: np.ndarray) -> None:
-        """Arcs of kept bigrams, named state * size + token."""
+        """Arcs of bigrams, named state * size + token."""
         state, token = np.divmod(keys, self.size)
         weight = np.log10((count - self.p.discount) / self.count[state] + self.left[state] * self.base[token])
         self.arcs.update(zip(keys.tolist(), weight.tolist()))
@@ -217,16 +217,16 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score(p: Parameters, known: Corpus):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        fields = [c.split()[0] for c in SCHEMA.split(", ")]
+        fields = [*(c.split()[0] for c in SCHEMA.split(", ")), "copies"]
         rows_of = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "counts", "takes", "pair_counts"))), key=lambda r: r[0])
-        count, takes, kept = (np.frombuffer(b"".join(r[i] for r in rows_of), t) for i, t in ((1, np.int64), (2, np.float64), (3, np.int64)))
+        count, takes, seen = (np.frombuffer(b"".join(r[i] for r in rows_of), t) for i, t in ((1, np.int64), (2, np.float64), (3, np.int64)))
         parts = [(batch.slice(first, last - first), *tokens(buf, offsets)) for batch in docs.to_batches() for first, last, buf, offsets in text_slices(batch, "text")]
         out = []
         if parts:
             vocabulary, number = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
             machine = Automaton(known, count, takes, p)
             keys = np.unique(_numbered([x[1:] for x in parts], vocabulary, number))
-            machine.add(keys[kept > 0], kept[kept > 0])
+            machine.add(keys[seen > 0], seen[seen > 0])
             base = np.log10((count + 1) / (known.tokens + known.words + 1))
             begin, at = int(np.searchsorted(vocabulary, END)), 0
             for batch, hashes, rows in parts:
@@ -236,8 +236,8 @@ def _score(p: Parameters, known: Corpus):
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).tolist()
                 score = [machine.score(ids[a:b], begin) for a, b in zip(cuts, cuts[1:])]
                 sums = [np.bincount(rows, weights=w, minlength=n) for w in (count[mine] > 0, base[mine])]
-                out.append(pa.table([batch.column("doc_id"), pc.invert(batch.column("trained")), pa.array(np.diff(cuts)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(sums[1]), pa.array(score, pa.float64())], names=fields))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=fields)
+                out.append(pa.table([batch.column("doc_id"), pc.invert(batch.column("trained")), pa.array(np.diff(cuts)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(sums[1]), pa.array(score, pa.float64()), batch.column("copies")], names=fields))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())], names=fields)
 
     return run
 
@@ -246,11 +246,13 @@ def score_documents(documents: DataFrame, p: Parameters = Parameters()) -> DataF
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
     n = partitions(documents.sparkSession)
     trained = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", trained.alias("trained"))
-    total = docs.mapInArrow(_lengths, "tokens long").agg(F.sum("tokens")).first()[0] or 0
-    chunks = 1 + total * 7 // (6 * p.chunk_tokens)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(n), REQUEST)
+    docs = documents.select(*row_names(), F.col("doc_id").cast("long").alias("doc_id"), "text", trained.alias("trained"))
+    size = docs.select("text", "trained", F.lit(1).cast("long").alias("copies")).mapInArrow(_lengths, "tokens long, trained long").agg(F.sum("tokens"), F.sum("trained")).first()
+    chunks = 1 + (size[0] or 0) // p.chunk_tokens
+    single = docs.groupBy("id", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("trained").alias("trained"), F.count("*").alias("copies"))
+    rows = dealt(single.select(F.pmod(F.xxhash64("id", "tie"), F.lit(chunks)).alias("chunk"), "doc_id", "text", "trained", "copies"), "chunks", "chunk")
+    asked = rows.groupBy("chunk").applyInArrow(_ask(n), REQUEST)
     answers = materialize(asked.repartitionById(n, "bucket").mapInArrow(_answer(p), ANSWER), "answers")
-    words = sum(int(np.frombuffer(r.counts, np.int64)[0]) for r in answers.where(F.col("chunk") == TOTALS).select("counts").toLocalIterator())
-    return dealt.groupBy("chunk").cogroup(answers.where(F.col("chunk") >= 0).groupBy("chunk")).applyInArrow(_score(p, Corpus(total, words)), SCHEMA)
+    words = sum(int(np.frombuffer(r.counts, np.int64)[0]) for r in answers.where(F.col("chunk") == TOTALS).select("counts").collect())
+    done = rows.groupBy("chunk").cogroup(answers.where(F.col("chunk") >= 0).groupBy("chunk")).applyInArrow(_score(p, Corpus(size[1] or 0, words)), SCHEMA + ", copies long")
+    return done.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("copy", "copies")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from llm import bpe, fingerprints, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, url_filters
 from llm.common import read
@@ -53,7 +54,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_documents(read(spark, sf_dir, "documents"))
+    scored = lm_scoring.score_documents(read(spark, sf_dir, "documents"))
+    sums = {c: F.round(c, 6) for c in ("base_score", "score")}
+    return scored.withColumns({**sums, "mean_score": F.round(F.col("score") / F.col("n_tokens"), 6)})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,5 +77,31 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from par
 """
 
 
+#: CRC-32 of doc_id as text, bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ascii(x)::bigint)),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)))"""
+#: The model by its formula, with discount 1/2: arcs of bigrams, or the failure arc of the history and the root's arc.
+_OP10_SQL = r"""
+with docs as (select row_number() over () as n, doc_id, crc % 7 = 2 as held_out, words from (select doc_id, @CRC@ as crc,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents)),
+placed as (select n, held_out, unnest(list_append(list_transform(words, lambda w: 'w' || w), 'end')) as token, unnest(range(len(words) + 1)) as place from docs),
+tokens as (select *, coalesce(lag(token) over (partition by n order by place), 'end') as history from placed),
+c as (select token, count(*) as c from tokens where not held_out group by token),
+corpus as (select coalesce(sum(c), 0) as tokens, count(*) as words from c),
+pairs as (select history, token, count(*) as both_ from tokens where not held_out group by history, token),
+takes as (select history, sum(both_ - 0.5::double) as takes from pairs group by history),
+chances as (select t.n, coalesce(c.c, 0) as c, corpus.tokens, corpus.words, h.c as ch, p.both_,
+  case when h.c > 0 then greatest(1 - coalesce(k.takes, 0) / h.c, 1e-12) else 1.0::double end as left_,
+  (greatest(coalesce(c.c, 0) - 0.5::double, 0) + 0.5::double * corpus.words / (corpus.words + 1)) / corpus.tokens as share
+  from tokens t cross join corpus left join c on c.token = t.token left join c h on h.token = t.history
+  left join pairs p on p.history = t.history and p.token = t.token left join takes k on k.history = t.history),
+sums as (select n, count(*) as n_tokens, count(*) filter (c > 0) as n_known, any_value(tokens)::bigint as train_tokens,
+  sum(log10((c + 1) / (tokens + words + 1)::double)) as base_score,
+  sum(log10(case when both_ > 0 then (both_ - 0.5::double) / ch else 0 end + left_ * share)) as score from chances group by n)
+select doc_id, held_out, n_tokens, n_known, train_tokens, round(base_score, 6) as base_score, round(score, 6) as score,
+  round(score / n_tokens, 6) as mean_score from docs join sums using (n)
+""".replace("@CRC@", _CRC_SQL)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": _OP4_SQL}
+    return {"op4_url_filters": _OP4_SQL, "op10_lm_scoring": _OP10_SQL}

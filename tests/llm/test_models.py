@@ -5,10 +5,12 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from llm import lm_scoring, quality_classifier, quality_rules
+from llm import lm_scoring, quality_classifier, quality_rules, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,6 +59,28 @@ def test_ratio_is_of_the_two_multinomials(spark):
     assert {r.score for r in quality_rules.score_documents(docs, labels.where("quality > 1")).collect()} == {0.0}
 
 
+def test_every_trusted_document_counts(spark):
+    """More than any bound on labelled rows: all are counted, repeated rows too, whatever else has a column of that name."""
+    docs = spark.range(45_000).selectExpr("id as doc_id", "concat('w', id % 50, ' common') as text", "'x' as bucket", "1 as trusted")
+    docs = docs.unionByName(docs.where("doc_id < 100"))
+    labels = docs.where("doc_id % 10 <> 3").selectExpr("doc_id", "cast(1 as int) as quality")
+    labels = labels.unionByName(labels).unionByName(docs.selectExpr("doc_id", "cast(0 as int) as quality"))
+    counts = Counter(r.text for r in docs.where("doc_id % 10 <> 3").select("text").collect())
+    assert sum(counts.values()) > 40_000
+    got = quality_rules.count_ngrams(docs.join(labels.where("quality = 1"), "doc_id", "left_semi").select("text")).agg({"n": "sum"}).first()[0]
+    assert got == 3 * sum(counts.values())
+    ratio = quality_rules.fit(docs, labels)
+    p, n = quality_rules.Parameters(), 3 * sum(counts.values())
+    target, raw = Counter(), Counter()
+    for r in docs.select("doc_id", "text").collect():
+        for g in (*r.text.split(), tuple(r.text.split())):
+            raw[g] += 1
+            target[g] += r.doc_id % 10 != 3
+    share = lambda g: (raw[g] + 1) / (sum(raw.values()) + quality_rules.BUCKETS)
+    want = {round(math.log((target[g] + p.prior * share(g)) / (n + p.prior) / share(g)), 9) for g in raw}
+    assert want <= {round(x, 9) for x in ratio.tolist()}
+
+
 def test_pairwise_identity():
     r = np.random.default_rng(0)
     m = quality_classifier.Machine(0.3, r.normal(size=quality_classifier.FEATURES), r.normal(size=(quality_classifier.FEATURES, 4)), np.zeros(16), np.ones(16))
@@ -93,7 +117,7 @@ def scores(rows, p):
     trained = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
     c = Counter(w for i in trained for w in tokens[i])
     n, v = sum(c.values()), len(c)
-    kept = {k: m for k, m in Counter((a, b) for i in trained for a, b in zip([None, *tokens[i]], tokens[i])).items() if m >= p.min_count}
+    kept = {k: m for k, m in Counter((a, b) for i in trained for a, b in zip([None, *tokens[i]], tokens[i])).items()}
     takes = Counter()
     for (h, _), m in kept.items():
         takes[h] += m - p.discount
@@ -109,15 +133,26 @@ def scores(rows, p):
 
 
 def test_language_model(spark, smallest):
-    p = lm_scoring.Parameters(histories=30_000, chunk_tokens=9_000)
+    p = lm_scoring.Parameters(chunk_tokens=9_000)
     docs = spark.read.parquet(f"{smallest}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
     want = scores([(r.doc_id, r.text) for r in docs.collect()], p)
     got = {r[0]: tuple(r)[1:] for r in lm_scoring.score_documents(docs, p).collect()}
     assert got.keys() == want.keys()
     for i, w in want.items():
         assert got[i][:4] == w[:4] and got[i][4:] == pytest.approx(w[4:])
-    few = {r.doc_id: r for r in lm_scoring.score_documents(docs, lm_scoring.Parameters(histories=5)).collect()}
-    assert all(few[i].base_score == pytest.approx(w[4]) for i, w in want.items())
+    whole = {r[0]: tuple(r)[1:] for r in lm_scoring.score_documents(docs).collect()}
+    assert all(whole[i][:4] == w[:4] and whole[i][4:] == pytest.approx(w[4:]) for i, w in want.items())
+
+
+def test_language_model_of_repeated_rows_and_its_sql(spark, smallest):
+    """Repeated rows count and are scored each; the SQL of the query gives the same."""
+    docs = spark.read.parquet(f"{smallest}/documents.parquet").select("doc_id", "text").limit(40)
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id % 6 = 0"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6), round(r.score / r.n_tokens, 6)) for r in lm_scoring.score_documents(docs, lm_scoring.Parameters(chunk_tokens=500)).collect()))
+    documents = pa.table({"doc_id": pa.array([k for k, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})  # noqa: F841
+    want = sorted(duckdb.sql(queries.oracle_sql()["op10_lm_scoring"]).fetchall())
+    assert len(got) == len(rows) and all(g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], abs=2e-6) for g, w in zip(got, want))
 
 
 def test_language_model_without_training(spark):
