@@ -87,3 +87,39 @@ def test_windowed_counts(spark, smallest, tmp_path):
     counts = streaming.windowed_counts(stream, "ts", "1 day", "1 hour", "event_type")
     counts.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
     assert spark.sql("select sum(n) as n from counts").first().n == spark.read.parquet(path).count()
+
+
+def test_roots_saved_and_metadata(spark, tmp_path):
+    for f in ("a/task/pt/1.pt", "a/task/pt/2.txt", "b/x/pt/3.pt", "b/x/other/4.pt"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x")
+    roots = [f"{tmp_path}/a", f"{tmp_path}/b"]
+    found = sources.collected(spark, roots, "*.pt", ("pt",)).collect()
+    assert [(r.root, r.stem) for r in found] == [(roots[0], "1"), (roots[1], "3")]
+    with pytest.raises(ValueError):
+        sources.collected(spark, [], "*")
+    first = sources.saved(spark, f"{tmp_path}/saved", lambda: spark.range(3).toDF("k"))
+    again = sources.saved(spark, f"{tmp_path}/saved", lambda: spark.range(9).toDF("k"))
+    assert first.count() == again.count() == 3
+    (tmp_path / "meta").mkdir()
+    (tmp_path / "meta/info.json").write_text('{"total_episodes": 5,\n "fps": 30, "features": {"x": 1}}')
+    assert tuple(sources.metadata(spark, str(tmp_path)).first()) == (5, None, 30.0)
+    doc = spark.sql("""select '{"common": {"seed": 1}, "model": {"expert": {"dim": 2}}}' as d""")
+    assert tuple(doc.select(*sources.sections(F.col("d"), "common", "model.expert", "model.none")).first()) == ('{"seed":1}', '{"dim":2}', None)
+
+
+def test_leaf_search_stops_at_the_first(spark):
+    files = spark.createDataFrame([(f"/r/{p}/f", f"/r/{p}") for p in ("d/videos", "d/qpos", "d/videos/e/videos", "d/videos/e/qpos", "g/videos", "h/qpos", "h/videos")], "path string, parent string")
+    assert sorted(r.folder for r in sources.leaf_folders(files, ("videos", "qpos")).collect()) == ["/r/d", "/r/h"]
+
+
+def test_rewrites(spark, tmp_path):
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "z"), (9, "q")], "k long, v string")
+    assert not sinks.rewrite_one(old, new.where("k = 9"), ["k"], f"{tmp_path}/none") and not (tmp_path / "none").exists()
+    assert sinks.rewrite_one(old, new, ["k"], f"{tmp_path}/one")
+    assert sorted(map(tuple, spark.read.json(f"{tmp_path}/one").select("k", "v").collect())) == [(1, "a"), (2, "z")]
+    assert sorted(map(tuple, sinks.patched_prefix(old, new, "k", 2).collect())) == [(1, "a"), (2, "b")]
+    sinks.write_split_manifest(old, new.withColumn("reason", F.lit("late")), f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m/samples").count() == 2 and {r.reason for r in spark.read.json(f"{tmp_path}/m/skipped").collect()} == {"late"}
+    files = spark.createDataFrame([("r/t1/aloha_clean/videos/1.mp4",), ("t2/rand/qpos/2.pt",), ("x.txt",)], "path string")
+    assert [r.new for r in sinks.moved_layout(files).orderBy("old").collect()] == ["r/clean/t1/videos/1.mp4", "randomized/t2/qpos/2.pt"]

@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from trajlake.functions import geometry, schedules, text, vectors
@@ -53,7 +55,7 @@ def test_instruction_shapes(spark):
 
 
 def test_schedules(spark):
-    r = one(spark, schedules.sigmoid(F.lit(0.0)), schedules.logit_loss(F.lit(100.0), F.lit(0.0)), schedules.to_byte(F.lit(2.0)), schedules.sinusoid(F.lit(0.0), 4), schedules.interpolated_shift(F.lit(256.0)), schedules.shifted_sigma(F.lit(0), F.lit(10), 5.0), schedules.relative_bucket(F.lit(-500)), schedules.relative_bucket(F.lit(3)))
+    r = one(spark, schedules.sigmoid(F.lit(0.0)), schedules.logit_loss(F.lit(100.0), F.lit(0.0)), schedules.to_byte(F.lit(2.0)), schedules.sinusoid(F.lit(0.0), 4), schedules.interpolated_shift(F.lit(256.0)), schedules.shifted(schedules.even_sigma(F.lit(0), F.lit(10)), 5.0), schedules.relative_bucket(F.lit(-500)), schedules.relative_bucket(F.lit(3)))
     assert list(r) == [0.5, 100.0, 255, [1.0, 1.0, 0.0, 0.0], 0.5, 1.0, 15, 19]
 
 
@@ -154,3 +156,77 @@ def test_full_batches_only(spark):
     got = sampling.balanced(pos, neg, 3).collect()
     assert len(got) == 12 and all(sum(r.label for r in got if r.batch_id == b) == 3 for b in (0, 1))
     assert sorted(r.place for r in got if r.batch_id == 0) == list(range(6))
+
+
+def fails(frame):
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException):
+        frame.collect()
+
+
+def test_strict_functions_fail(spark):
+    from trajlake.functions import geometry, text, vectors
+    from trajlake.operators import batches, lookups, records, windows
+
+    row = spark.range(1)
+    fails(row.select(*geometry.budget_size(F.lit(10_000), F.lit(10))))
+    assert tuple(row.select(*geometry.budget_size(F.lit(2000), F.lit(10))).first())
+    fails(row.select(vectors.squeeze(F.array(F.lit(1), F.lit(2)))))
+    assert row.select(vectors.squeeze(F.array(F.lit(4)))).first()[0] == 4 and row.select(vectors.squeeze(F.lit(None).cast("array<int>"))).first()[0] is None
+    fails(row.select(text.relative(F.lit("/b/x"), F.lit("/a"))))
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    fails(batches.required(rows, "v"))
+    assert batches.required(rows, "k").count() == 2
+    frames = spark.createDataFrame([(1, 0, 5.0)], "user_id long, frame_idx long, value double")
+    asked = spark.createDataFrame([(1, 0), (1, 3)], "user_id long, at long")
+    fails(lookups.gather_strict(asked, frames, "at", ["value"]))
+    assert lookups.gather_strict(asked.where("at = 0"), frames, "at", ["value"]).first().value == 5.0
+    fails(row.select(records.strictly(F.lit(1.0), F.lit("a list"), F.lit("file"))))
+    document = F.lit('{"a": {"low": [1.0, 2.0]}}')
+    assert row.select(records.statistic(document, F.lit("a"), "low")).first()[0] == [1.0, 2.0] and row.select(records.statistic(F.lit(None).cast("string"), F.lit("a"), "low")).first()[0] is None
+    fails(row.select(records.statistic(document, F.lit("b"), "low")))
+    with pytest.raises(ValueError):
+        windows.sample(rows, windows.Spec(2, 2, 2), "other")
+
+
+def test_long_numbers_and_names(spark):
+    from trajlake.functions import text
+    from trajlake.operators import records
+
+    row = spark.range(1)
+    assert row.select(text.padded("e_", F.lit(1234567), 6)).first()[0] == "e_1234567"
+    assert row.select(text.with_extension(F.lit("a.b/c.mp4"), ".pt"), text.with_extension(F.lit("a.b/c"), ".pt"), text.with_extension(F.lit("a/.hid"), ".pt")).first()[:] == ("a.b/c.pt", "a.b/c.pt", "a/.hid.pt")
+    assert records.without_internal(row.selectExpr("1 as a", "2 as block_correct")).columns == ["a"]
+
+
+def test_schedule_as_defined(spark):
+    """Sigmas, timesteps and weights of ten steps, by plain arithmetic."""
+    import math
+
+    from pyspark.sql import Window
+
+    from trajlake.functions import schedules as sch
+
+    n, low, shift = 10, 0.003 / 1.002, 5.0
+    even = [1 - i * (1 - low) / (n - 1) for i in range(n)]
+    sigma = [shift * s / (1 + (shift - 1) * s) for s in even]
+    bells = [math.exp(-2 * ((s * 1000 - n / 2) / n) ** 2) for s in sigma]
+    want = [(b - min(bells)) * n / sum(x - min(bells) for x in bells) for b in bells]
+    rows = spark.range(n).withColumn("sigma", sch.shifted(sch.even_sigma(F.col("id"), F.lit(n)), shift))
+    got = rows.select("id", "sigma", sch.bell_weights(sch.bell(F.col("sigma") * 1000, F.lit(n)), F.lit(n), Window.partitionBy()).alias("w")).orderBy("id").collect()
+    assert [r.sigma for r in got] == pytest.approx(sigma) and [r.w for r in got] == pytest.approx(want)
+    mu = spark.range(1).select(sch.interpolated_shift(F.lit(8192.0)), sch.interpolated_shift(F.lit(256.0))).first()
+    assert mu[:] == pytest.approx((0.9, 0.5))
+
+
+def test_places_within_a_large_group(spark):
+    from trajlake.operators.ranking import positions_within
+
+    rows = [(1, i * 7 % 1000 // 3, i) for i in range(1000)] + [(None, i % 50, 5000 + i) for i in range(700)] + [(k, k, 9000 + k) for k in range(2, 20)]
+    frame = spark.createDataFrame(rows, "g long, t long, e long").repartition(3)
+    got = {r.e: r.rn for r in positions_within(frame, "g", F.col("t"), "e").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        want |= {e: i for i, (_, e) in enumerate(sorted((t, e) for k, t, e in rows if k == g))}
+    assert got == want

@@ -13,7 +13,10 @@ def to_multiple(x: Column, factor: int, how: str = "round") -> Column:
 
 
 def budget_size(h: Column, w: Column, factor: int = 28, least: int = 56 * 56, most: int = 14 * 14 * 4 * 1280) -> tuple[Column, Column]:
-    """(height, width) in multiples of the factor, with the number of pixels within the budget and the ratio about kept."""
+    """(height, width) in multiples of the factor, with the number of pixels within the budget and the ratio about kept.  Fails on sizes
+    more than 200 times as long as wide, or the reverse."""
+    sound = F.greatest(h, w) / F.least(h, w) <= 200
+    h = F.when(sound, h).otherwise(F.raise_error(F.concat(F.lit("ratio above 200: "), h.cast("string"), F.lit(" x "), w.cast("string"))).cast("long"))
     rh, rw = F.greatest(F.lit(factor), to_multiple(h, factor)), F.greatest(F.lit(factor), to_multiple(w, factor))
     shrink, grow = F.sqrt(h * w / F.lit(float(most))), F.sqrt(F.lit(float(least)) / (h * w))
     small = [to_multiple(x / shrink, factor, "floor") for x in (h, w)]
@@ -50,6 +53,18 @@ def frame_time(i: Column, fps: Column) -> Column:
     return i / fps
 
 
-def stitched_size(head_h: Column, head_w: Column) -> tuple[Column, Column]:
-    """Of one view above two half-size views side by side."""
-    return (head_h + F.floor(head_h / 2)).cast("long"), head_w
+def stitched_size(head_h: Column, head_w: Column, wrists: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
+    """Of one view above two views side by side: these are half the first one's height, or as high as the higher of `wrists`."""
+    below = F.floor(head_h / 2) if wrists is None else F.greatest(*wrists)
+    return (head_h + below).cast("long"), head_w
+
+
+def stitched_parts(head_h: Column, head_w: Column) -> dict[str, Column]:
+    """Where the parts of a stitched frame lie: the row of the lower two, and the column of the right one with its width."""
+    split = F.floor(head_w / 2).cast("long")
+    return {"row": head_h, "split": split, "right_w": head_w - split}
+
+
+def announced_size(h: Column, w: Column) -> tuple[Column, Column]:
+    """The size a converter announces for a stitched frame, one and a half times as wide, though the frame is that much higher."""
+    return h, F.floor(w * 1.5).cast("long")
\ No newline at end of file

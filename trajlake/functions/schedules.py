@@ -4,24 +4,47 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
-def shifted_sigma(i: Column, steps: Column, shift: float, high: float = 1.0, low: float = 0.0) -> Column:
-    """The i-th of `steps` sigmas from high to just above low, shifted."""
-    sigma = high - i * ((high - low) / steps)
+#: The range of sigmas and the number of training timesteps.
+LOW_SIGMA, HIGH_SIGMA, TIMESTEPS = 0.003 / 1.002, 1.0, 1000
+
+
+def even_sigma(i: Column, steps: Column, high: float = HIGH_SIGMA, low: float = LOW_SIGMA, open_end: bool = False, rising: bool = False) -> Column:
+    """The i-th of `steps` sigmas from high to low, or to just above low; rising: in the order from low to high."""
+    at = steps - 1 - i if rising else i
+    return high - at * ((high - low) / F.greatest(steps if open_end else steps - 1, F.lit(1)))
+
+
+def shifted(sigma: Column, shift: float) -> Column:
     return shift * sigma / (1 + (shift - 1) * sigma)
 
 
-def interpolated_shift(length: Column, base_length: int = 256, most_length: int = 4096, base: float = 0.5, most: float = 1.15) -> Column:
+def exponentially_shifted(sigma: Column, mu: Column) -> Column:
+    return F.exp(mu) / (F.exp(mu) + (1 / sigma - 1))
+
+
+def ending_at(sigma: Column, last: Column, terminal: float) -> Column:
+    """Sigmas stretched so that the last of them becomes `terminal`; last: the last one's value."""
+    return 1 - (1 - sigma) / ((1 - last) / (1 - terminal))
+
+
+def interpolated_shift(length: Column, base_length: int = 256, most_length: int = 8192, base: float = 0.5, most: float = 0.9) -> Column:
     slope = (most - base) / (most_length - base_length)
     return length * slope + (base - slope * base_length)
 
 
-def bell_weight(t: Column, steps: Column) -> Column:
-    """A Gaussian bell over timesteps, before it is scaled."""
-    return F.exp(-2 * F.pow((t - steps / 2) / steps, 2))
+def bell(timestep: Column, steps: Column) -> Column:
+    """A Gaussian bell over timesteps, before its least is taken off and the rest scaled."""
+    return F.exp(-2 * F.pow((timestep - steps / 2) / steps, 2))
+
+
+def bell_weights(bells: Column, steps: Column, schedule: WindowSpec) -> Column:
+    """The bells of a schedule less the least of them, adding up to the number of steps; null if all are equal."""
+    above = bells - F.min(bells).over(schedule)
+    return F.try_divide(above * steps, F.sum(bells).over(schedule) - steps * F.min(bells).over(schedule))
 
 
 def relative_bucket(distance: Column, buckets: int = 32, most: int = 128) -> Column:
@@ -53,9 +76,14 @@ def guided(free: Column, conditioned: Column, scale: float) -> Column:
     return free + scale * (conditioned - free)
 
 
-def to_byte(x: Column, scale: bool = True) -> Column:
-    """A value of [0, 1] as 0 to 255, rounded half to even."""
-    return F.rint(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * (255 if scale else 1)).cast("long")
+def to_byte(x: Column, scale: bool = True, truncate: bool = False) -> Column:
+    """A value of [0, 1] as 0 to 255, rounded half to even or cut off."""
+    return (F.floor if truncate else F.rint)(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * (255 if scale else 1)).cast("long")
+
+
+def to_byte_by_range(x: Column, greatest: Column) -> Column:
+    """Values of an image whose greatest is 1 or less are scaled; all are clipped to bytes."""
+    return F.floor(F.least(F.greatest(F.when(greatest <= 1, x * 255).otherwise(x), F.lit(0.0)), F.lit(255.0))).cast("long")
 
 
 def sinusoid(position: Column, size: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +29,11 @@ def collapse(x: Column) -> Column:
 
 
 def canonical(x: Column, keep: str = "") -> Column:
-    """Underscores as blanks, without punctuation, lower case, single blanks."""
-    drop = "".join(c for c in PUNCTUATION if c not in keep and c != "_")
-    return collapse(F.lower(F.translate(F.translate(x, "_", " "), drop, "")))
+    """Underscores as blanks, without punctuation, lower case, single blanks; keep: a separator that stays, whatever it is made of."""
+    drop = "".join(c for c in PUNCTUATION if c != "_")
+    bare = lambda part: F.translate(F.translate(part, "_", " "), drop, "")
+    text = F.array_join(F.transform(F.split(x, re.escape(keep)), bare), keep) if keep else bare(x)
+    return collapse(F.lower(text))
 
 
 def lines(x: Column) -> Column:
@@ -63,7 +67,33 @@ def number(x: Column) -> Column:
 
 
 def padded(prefix: str, i: Column, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(i.cast("string"), width, "0"))
+    """The number filled up with zeros at the left; longer ones stay whole."""
+    digits = i.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits))
+
+
+def relative(path: Column, root: Column) -> Column:
+    """The path below a root; fails on a path outside it."""
+    below = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
+    return F.when(path.startswith(below), F.substring(path, F.length(below) + 1, F.length(path))).otherwise(F.raise_error(F.concat(path, F.lit(" is not below "), root)).cast("string"))
+
+
+def with_extension(path: Column, extension: str) -> Column:
+    """The path with another extension; one without gets it."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit(extension))
+
+
+def moved(path: Column) -> Column:
+    """.../task/variant/sub/file as .../split/task/sub/file: a variant whose name ends in clean is the clean split, others are randomized."""
+    split = F.when(F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1).endswith("clean"), "clean").otherwise("randomized")
+    parts = [F.regexp_extract(path, r"^(.*/)?([^/]+)/[^/]+/([^/]+/[^/]+)$", k) for k in (1, 2, 3)]
+    return F.when(path.rlike(r"^(.*/)?[^/]+/[^/]+/[^/]+/[^/]+$"), F.concat(parts[0], split, F.lit("/"), parts[1], F.lit("/"), parts[2]))
+
+
+def filled(text: Column, mark: str, counts: Column, token: str) -> Column:
+    """Each mark becomes as many tokens as its own count says; marks beyond the counts become none."""
+    parts = F.split(text, mark.replace("<", "\\<"))
+    return F.array_join(F.transform(parts, lambda part, i: F.concat(F.when(i > 0, F.repeat(F.lit(token), F.coalesce(F.get(counts, i - 1), F.lit(0)))).otherwise(""), part)), "")
 
 
 def stem(path: Column) -> Column:

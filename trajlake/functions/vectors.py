@@ -49,8 +49,8 @@ def to_two_dimensions(depth: int, x: Column) -> Column:
 
 
 def squeeze(x: Column) -> Column:
-    """Without a leading dimension of size 1."""
-    return F.element_at(x, 1)
+    """Without a leading dimension of size 1; fails on another size."""
+    return F.when(F.size(x) == 1, F.get(x, F.lit(0))).when(x.isNotNull(), F.element_at(x, F.raise_error(F.concat(F.lit("leading size "), F.size(x).cast("string"))).cast("int")))
 
 
 def pad(x: Column, size: Column | int, value: Column) -> Column:

@@ -17,6 +17,34 @@ def collate(rows: DataFrame, batch: str, tokens: str, *keep: str) -> DataFrame:
     return wide.select(batch, *keep, pad(F.col(tokens), F.col("longest"), F.lit(0).cast("long")).alias("ids"), pad(F.transform(tokens, lambda _: F.lit(1)), F.col("longest"), F.lit(0)).alias("mask"))
 
 
+def optional(rows: DataFrame, batch: str, columns: list[str]) -> DataFrame:
+    """The columns stay only in batches all of whose rows have them; elsewhere they are null."""
+    have = rows.groupBy(batch).agg(*(F.bool_and(F.col(c).isNotNull()).alias(f"__{c}") for c in columns))
+    joined = rows.join(have, batch)
+    return joined.withColumns({c: F.when(F.col(f"__{c}"), F.col(c)) for c in columns}).select(*rows.columns)
+
+
+def required(rows: DataFrame, *columns: str) -> DataFrame:
+    """Fails where one of the columns is null."""
+
+    def held(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is missing")).cast(rows.schema[c].dataType))
+
+    return rows.withColumns({c: held(c) for c in columns})
+
+
+def collate_fields(rows: DataFrame, batch: str, tokens: str, mask: str, *stacked: str) -> DataFrame:
+    """Stacked fields as they are; tokens (needed in every row) padded to the longest of the batch with `valid` saying where there is
+    one; the mask padded along, in batches all of whose rows have it."""
+    some = optional(required(rows, tokens), batch, [mask])
+    longest = some.groupBy(batch).agg(F.max(F.size(tokens)).alias("longest"))
+    zero = F.lit(0).cast(rows.schema[tokens].dataType.elementType)
+    wide = some.join(longest, batch)
+    padded = pad(F.col(tokens), F.col("longest"), zero)
+    valid = pad(F.transform(tokens, lambda _: F.lit(True)), F.col("longest"), F.lit(False))
+    return wide.select(batch, *stacked, padded.alias(tokens), valid.alias("valid"), F.when(F.col(mask).isNotNull(), pad(F.col(mask), F.col("longest"), F.lit(False))).alias(mask))
+
+
 def flags(rows: DataFrame, batch: Column, **conditions: Column) -> DataFrame:
     """Of each batch: whether all rows, and any row, meet each condition."""
     out = [f(c).alias(f"{kind}_{name}") for name, c in conditions.items() for kind, f in (("all", F.bool_and), ("any", F.bool_or))]

@@ -38,6 +38,32 @@ def nearest(points: DataFrame, events: DataFrame, group: str, at: str, when: str
     return near.groupBy(*points.columns).agg(best.alias("best")).select(*points.columns, F.col("best.off").alias("off"), *(F.col(f"best.event_{c}").alias(c) for c in columns))
 
 
+def gather_strict(windows: DataFrame, frames: DataFrame, index: str, columns: list[str]) -> DataFrame:
+    """As gather(); an index without a frame fails."""
+    found = gather(windows, frames.withColumn("__there", F.lit(True)), index, [*columns, "__there"], "left")
+    there = F.when(F.col("__there"), F.col(columns[0])).otherwise(F.raise_error(F.concat(F.lit("no frame "), F.col(index).cast("string"))).cast(frames.schema[columns[0]].dataType))
+    return found.withColumn(columns[0], there).drop("__there")
+
+
+def field_or(held: Column, name: str, default: Column) -> Column:
+    """A field of a map; the default only if the map has no such field: one that is there and null stays null."""
+    return F.when(F.coalesce(F.map_contains_key(held, name), F.lit(False)), F.element_at(held, name)).otherwise(default)
+
+
+def resolve_resources(episodes: DataFrame, embeddings: DataFrame, texts: DataFrame, task: str, episode: str) -> DataFrame:
+    """episodes with `embedding` and `text`, paths of their resources; both others have columns task, name, path.  A task that has exactly
+    one of each shares them among its episodes; else each comes by the episode's name, or else by the task's.  What lacks one is dropped."""
+    out = episodes
+    for kind, files in (("embedding", embeddings), ("text", texts)):
+        alone = files.groupBy(task).agg(F.count("*").alias(f"{kind}_files"), F.min("path").alias(f"{kind}_only"))
+        named = files.select(task, F.col("name").alias(episode), F.col("path").alias(f"{kind}_own"))
+        shared = files.where(F.col("name") == F.col(task)).select(task, F.col("path").alias(f"{kind}_task"))
+        out = out.join(alone, task, "left").join(named, [task, episode], "left").join(shared, task, "left")
+    pair = (F.col("embedding_files") == 1) & (F.col("text_files") == 1)
+    chosen = {k: F.when(F.coalesce(pair, F.lit(False)), F.col(f"{k}_only")).otherwise(F.coalesce(f"{k}_own", f"{k}_task")) for k in ("embedding", "text")}
+    return out.select(*episodes.columns, *(c.alias(k) for k, c in chosen.items())).where("embedding is not null and text is not null")
+
+
 def first_of(*candidates: Column) -> Column:
     """The first that is not null and not blank."""
     return F.coalesce(*(F.when(F.trim(c) != "", c) for c in candidates))

@@ -59,6 +59,20 @@ def pairs(rows: DataFrame, key: str, seed: int = 7) -> DataFrame:
     return two.join(two.select("pair", F.col(key).alias("partner")), "pair").where(F.col(key) != F.col("partner")).select(key, "partner")
 
 
+def fan_out(rows: DataFrame, key: str, task: str, actions: str, steps: int, width: int, seed: int = 7) -> DataFrame:
+    """Negatives of samples: key, neg_type, label 0, task, partner and its task, actions, tokens.  Four corruptions of each sample's own
+    actions, and for each that has a partner the partner's actions; tokens are always the sample's own (here its matrix)."""
+    own, at = F.col(actions), F.col(key)
+    made = {"time_swap": time_swap(own, steps, at, seed), "joint_swap": joint_swap(own, steps, width, at, seed), "flip_gripper": flip(own), "half_noise": half_noise(own, steps, at, seed)}
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("neg_type"), m.alias("actions")) for k, m in made.items())))
+    held = rows.select(key, F.col(task).alias("task"), own.alias("tokens"))
+    corrupted = rows.select(key, F.col(task).alias("task"), own.alias("tokens"), each).withColumns({"partner": F.lit(None).cast("long"), "partner_task": F.lit(None).cast(rows.schema[task].dataType)})
+    others = rows.select(at.alias("partner"), F.col(task).alias("partner_task"), own.alias("actions"))
+    swapped = pairs(rows, key, seed).join(held, key).join(others, "partner").withColumn("neg_type", F.lit("swap_between_samples"))
+    columns = [key, "neg_type", F.lit(0).alias("label"), "task", "partner", "partner_task", "actions", "tokens"]
+    return corrupted.select(*columns).unionByName(swapped.select(*columns))
+
+
 def pairs_across(rows: DataFrame, key: str, task: str, seed: int = 7) -> DataFrame:
     """key, partner, task, partner_task: rows sorted by task are paired half a table apart, so tasks differ unless one holds more
     than half of the rows; the last of an odd number has none."""

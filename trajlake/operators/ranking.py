@@ -36,6 +36,28 @@ def running_sum(rows: DataFrame, number: Column, value: Column, *ties: str, name
     return summed.drop("__number", "__value", "__part", "__own", "__before")
 
 
+def positions_within(rows: DataFrame, group: str, number: Column, *ties: str, name: str = "rn") -> DataFrame:
+    """Adds each row's place, from 0, within its group, in the order of a number and then ties.  A group with more than two tasks' share
+    of the rows (fewer of these than there are shuffle partitions; their names reach the driver) is cut into ranges of the number."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(group).agg(F.count("*").alias("__size"))
+    total = counts.agg(F.sum("__size").alias("__total"))  # one row
+    large = [r[0] for r in counts.crossJoin(F.broadcast(total)).where(F.col("__size") * n > 2 * F.col("__total")).select(group).collect()]
+    if not large:
+        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(number, *ties)) - 1).cast("long"))
+    own = F.coalesce(F.col(group).isin([x for x in large if x is not None]), F.lit(False)) | (F.col(group).isNull() if None in large else F.lit(False))
+    keyed = rows.withColumns({"__number": number, "__large": own})
+    cuts = sorted(set(keyed.where("__large").agg(F.percentile_approx("__number", [i / n for i in range(1, n)] or [0.5], 10 * n + 1000)).first()[0] or []))
+    part = _range_of(F.col("__number"), cuts) if cuts else F.lit(0)
+    keyed = keyed.withColumn("__part", F.when(F.col("__large"), part).otherwise(0).cast("int"))
+    sums = keyed.where("__large").groupBy(group, "__part").agg(F.count("*").alias("__sum"))
+    upto = F.sum("__sum").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0))
+    before = sums.select(F.col(group).alias("__group"), F.col("__part").alias("__range"), (upto - F.col("__sum")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy("__number", *ties)) - 1
+    placed = keyed.withColumn("__own", inside).join(F.broadcast(before), F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__range")), "left")  # a row for each range of a large group
+    return placed.withColumn(name, (F.col("__own") + F.coalesce("__before", F.lit(0))).cast("long")).drop("__number", "__large", "__part", "__own", "__group", "__range", "__before")
+
+
 def positions(rows: DataFrame, number: Column, *ties: str, name: str = "rn") -> DataFrame:
     """Adds each row's place, from 0, in the order of a number and then ties."""
     return running_sum(rows, number, F.lit(1).cast("long"), *ties, name=name).withColumn(name, F.col(name) - 1)

@@ -34,6 +34,33 @@ def two_stage(draws: DataFrame, draw_id: str, rows: DataFrame, group: str, key:
     return ranged.select(draw_id, "rn").join(placed.select("rn", group, key), "rn").select(draw_id, group, key)
 
 
+def weighted_two_stage(draws: DataFrame, draw_id: str, weights: DataFrame, rows: DataFrame, group: str, key: str, seed: int = 7) -> DataFrame:
+    """For each draw a group by weight, then a row of it, all alike.  weights: group, weight, one row for each group; a group without
+    rows keeps its weight, and its draws come without a row.  key: a number below 2 ** 40."""
+    running = Window.orderBy(group)  # one row for each group
+    upto = weights.withColumns({"upto": F.sum("weight").over(running.rowsBetween(Window.unboundedPreceding, 0)), "g": F.row_number().over(running) - 1})
+    placed = positions(rows.select(group, key).join(upto.select("g", group), group), F.col("g") * (1 << 40) + F.col(key))
+    sized = placed.groupBy(group).agg(F.count("*").alias("size"), F.min("rn").alias("start"))
+    table = upto.agg(F.array_sort(F.collect_list("upto")).alias("cuts"), F.max("upto").alias("whole"))  # one row
+    at = draw(seed, "task", F.col(draw_id)) / F.lit(4294967296.0) * F.col("whole")
+    chosen = draws.crossJoin(F.broadcast(table)).withColumn("at", at).select(draw_id, F.size(F.filter("cuts", lambda c: c <= F.col("at"))).alias("g"))
+    ranged = chosen.join(upto.select("g", group), "g").join(sized, group, "left")
+    return ranged.withColumn("rn", F.col("start") + draw(seed, "row", F.col(draw_id)) % F.col("size")).join(placed.select("rn", key), "rn", "left").select(draw_id, group, key)
+
+
+def positives(sources: DataFrame, key: str, windows: str, seed: int = 7) -> DataFrame:
+    """Sources in hashed order, those without a window left out, each with its place and one of its windows.  windows: a column with
+    their number."""
+    some = positions(sources.where(F.col(windows) > 0).select(key, windows), draw(seed, "coverage", F.col(key)), key, name="place")
+    return some.select("place", key, (draw(seed, "window", F.col("place"), F.col(key)) % F.col(windows)).alias("window"))
+
+
+def per_split(rows: DataFrame, split: str, group: str, key: str, size: int, seed: int = 7) -> DataFrame:
+    """The first `size` rows of each group in hashed order; splits other than clean have a seed of their own."""
+    own = F.when(F.col(split) == "clean", F.lit(seed)).otherwise(F.lit(seed + 1_000_003))
+    return per_group(rows.withColumn("__set", F.concat_ws("/", split, group)), "__set", size, draw(own, F.col(group), F.col(key)), F.col(key)).drop("__set")
+
+
 def coverage(rows: DataFrame, key: str, passes: int, half: int, seed: int = 7) -> DataFrame:
     """Every row once in each pass, in another order each time, dealt to batches of `half` rows."""
     each = rows.select(key).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(passes - 1).cast("long"))))

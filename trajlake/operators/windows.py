@@ -109,7 +109,7 @@ def latent(lengths: DataFrame, frames: int, stride: int, seed: int = 7) -> DataF
     return starts.select("user_id", "n", "c", F.inline(pairs))
 
 
-def source_slices(sources: DataFrame, indexes: str, width: int = 17, step: int = 16, first: int = 15, drop_padded: bool = True) -> DataFrame:
+def source_slices(sources: DataFrame, indexes: str, width: int = 17, step: int = 16, first: int = 15, drop_padded: bool = True, frames: int = 16) -> DataFrame:
     """Slices of sources of clamped indexes: s = first, first + step, ...; those that repeat an index go if `drop_padded`.
     slice_video is the video frame that s belongs to; token_now and token_next are the token blocks of the slice and the one after."""
     last = F.size(indexes) - width
@@ -120,7 +120,26 @@ def source_slices(sources: DataFrame, indexes: str, width: int = 17, step: int =
         own = own.where(distinct)
     begin = F.floor((F.col("s") + 1) / 4) - 4
     now = F.least(F.greatest(1 + F.floor(begin / 4), F.lit(1)), F.lit(4))
-    return own.where(begin >= 0).select("*", begin.cast("long").alias("slice_video"), now.cast("long").alias("token_now"), F.least(now + 1, F.lit(4)).cast("long").alias("token_next"))
+    own = own.where(((F.col("s") + 1) % 4 == 0) & (begin >= 0) & (begin + 4 <= frames))
+    return own.select("*", begin.cast("long").alias("slice_video"), now.cast("long").alias("token_now"), F.least(now + 1, F.lit(4)).cast("long").alias("token_next"))
+
+
+def even_count(n: Column, rate: Column, target: float, least: int = 4, most: int = 768) -> Column:
+    """How many of n frames at a rate to take for a target rate: a multiple of 2 between `least` and the smaller of `most` and n."""
+    low, high = -(-least // 2) * 2, F.floor(F.least(F.lit(most), n) / 2) * 2
+    return (F.rint(F.least(F.greatest(n / rate * target, F.lit(low)), high) / 2) * 2).cast("long")
+
+
+#: Names of the ways to sample a window, as sample() takes them.
+MODES = {"strict": strict, "tail_padding": tail_padding, "random_strict_fill": random_strict_fill, "sequential": tiled}
+
+
+def sample(lengths: DataFrame, s: Spec, mode: str, **options: int) -> DataFrame:
+    """Windows by the name of their mode, written in any case, with - or _."""
+    name = mode.strip().lower().replace("-", "_")
+    if name not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
+    return MODES[name](lengths, s, **options)
 
 
 def resampled(n: Column, count: Column) -> Column:

@@ -34,8 +34,7 @@ def catalog_join3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_HAS} select o_orderkey as key, o_orderstatus from orders where o_orderkey in (select key from lines intersect select key from known intersect select key from priced)")
 def catalog_join4(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, need = _modalities(spark, sf_dir)
-    stems = need[0].intersect(need[1]).intersect(need[2])
-    return orders.join(stems, "key", "left_semi")
+    return lookups.having_all(orders, need, ["key"])
 
 
 @query(f"with {_HAS} " + " union all ".join(f"select o_orderkey as key, '{r}' as reason from orders where o_orderkey not in (select key from {r})" for r in ("lines", "known", "priced")))
@@ -54,13 +53,19 @@ def catalog_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", lookups.first_of(F.col("own"), F.col("by_id"), F.col("lang")).alias("resource"))
 
 
-@query("""select n.n_name, r.r_name, 1.0::double / count(*) over () as weight from nation n join region r on n.n_regionkey % 2 = r.r_regionkey % 2""")
+@query("""with e as (select case when user_id % 3 = 0 then 'randomized' else 'clean' end as split, event_type as task, user_id from events where not (user_id % 3 = 0 and event_type = 'error')),
+c as (select split, task, count(distinct user_id) as episodes from e group by 1, 2)
+select s.split, t.task, coalesce(c.episodes, 0) as episodes, 1.0::double / count(*) over (partition by s.split) as weight, sum(c.episodes) over ()::bigint as total
+from (select distinct split from e) s cross join (select distinct task from e) t left join c on c.split = s.split and c.task = t.task""")
 def task_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every nation with every region of its parity, each of equal weight."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    pairs = nation.join(region, F.col("n_regionkey") % 2 == F.col("r_regionkey") % 2).select("n_name", "r_name")
-    total = pairs.agg(F.count("*").alias("n"))
-    return pairs.crossJoin(F.broadcast(total)).select("n_name", "r_name", (F.lit(1.0) / F.col("n")).alias("weight"))  # total: one row
+    """Every split with every task, whether or not it has episodes: how many, the weight all tasks share alike, and all episodes."""
+    split = F.when(F.col("user_id") % 3 == 0, "randomized").otherwise("clean")
+    rows = table(spark, sf_dir, "events").select(split.alias("split"), F.col("event_type").alias("task"), "user_id").where("split = 'clean' or task <> 'error'")
+    counts = rows.groupBy("split", "task").agg(F.count_distinct("user_id").alias("episodes"))
+    splits, tasks = counts.select("split").distinct(), counts.select("task").distinct()
+    every = splits.crossJoin(tasks).join(counts, ["split", "task"], "left")  # one row for each split and task
+    totals = counts.agg(F.count_distinct("task").alias("tasks"), F.sum("episodes").alias("total"))  # one row
+    return every.crossJoin(F.broadcast(totals)).select("split", "task", F.coalesce("episodes", F.lit(0)).alias("episodes"), (F.lit(1.0) / F.col("tasks")).alias("weight"), "total")
 
 
 _UNION = """select doc_id, label from ((select doc_id, 1 as label from labels where quality = 1 order by doc_id limit 200)
@@ -75,13 +80,13 @@ def manifest_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(short)
 
 
-@query("""select coalesce(d.doc_id, l.doc_id) as doc_id, case when l.doc_id is not null then l.quality + 10 else d.k end as k
-from (select doc_id, (n_chars % 7)::int as k from documents where doc_id % 3 <> 0) d full join labels l on l.doc_id = d.doc_id""")
+@query("""select coalesce(d.doc_id, l.doc_id) as doc_id, case when l.doc_id is not null then l.k else d.k end as k
+from (select doc_id, (n_chars % 7)::int as k from documents) d full join (select doc_id, quality + 10 as k from labels union all select page_id + 10000000000, 99 from pages) l on l.doc_id = d.doc_id""")
 def dedup_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An upsert: labels over a column of documents, inserting what is new."""
-    old = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", (F.col("n_chars") % 7).cast("int").alias("k"))
+    """An upsert: labels over a column of documents, and pages as rows with new keys."""
+    old = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 7).cast("int").alias("k"))
     new = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 10).alias("k"))
-    return lookups.upsert(old, new, ["doc_id"])
+    return lookups.upsert(old, new.unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 10_000_000_000).alias("doc_id"), F.lit(99).alias("k"))), ["doc_id"])
 
 
 @query("""select doc_id, quality, coalesce(case when trim(d.source) <> '' then d.source end, d.lang) as origin from documents d left join labels l using (doc_id)

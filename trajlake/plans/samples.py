@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trajlake.functions.keyed import draw, draw_sql
 from trajlake.functions.vectors import matrix, rounded
 from trajlake.operators import negatives, ranking, sampling
-from trajlake.plans.registry import query
+from trajlake.plans.registry import ORACLES, query
 from trajlake.sources import episode_lengths, table
 
 STEPS = WIDTH = 8
@@ -143,7 +143,10 @@ def neg_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NOISE = f"sqrt(-2 * ln(({_drawn('u', 'vec_id', 't', 'd')} + 1) / 4294967297.0::double)) * cos(2 * 3.141592653589793 * (({_drawn('v', 'vec_id', 't', 'd')} + 1) / 4294967297.0::double))"
 
 
-@query(f"select vec_id, t, d, round(case when t >= 4 then x + 0.5 * ({_NOISE}) else x end, 6) as x from {_CELLS}")
+_NOISY = f"select vec_id, t, d, case when t >= 4 then x + 0.5 * ({_NOISE}) else x end as x from {_CELLS}"
+
+
+@query(f"select vec_id, t, d, round(x, 6) as x from ({_NOISY})")
 def neg_half_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _long(_matrices(spark, sf_dir).withColumn("actions", negatives.half_noise(F.col("actions"), STEPS, F.col("vec_id"))))
     return rows.withColumn("x", rounded(F.col("x")))
@@ -165,22 +168,32 @@ def neg_swap_prefer_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.pairs_across(table(spark, sf_dir, "embeddings"), "vec_id", "label")
 
 
-@query("""with k as (select unnest(['time_swap', 'joint_swap', 'flip_gripper', 'half_noise']) as neg_type), n as (select label, count(*) as n from embeddings group by label)
-select label, neg_type, n from n, k""")
+def _fanout_sql() -> str:
+    """Each corruption by its own SQL, summed with a weight for each place, and the swaps."""
+    placed = "sum(x * (t * 8 + d + 1))"
+    own = f"(select vec_id, label, {placed} as tokens from {_CELLS} group by 1, 2)"
+    parts = [f"select vec_id, '{kind}' as neg_type, null::bigint as partner, {placed} as actions from ({sql}) group by vec_id" for kind, sql in zip(negatives.KINDS, (*(ORACLES[n] for n in ("neg_time_swap", "neg_joint_swap", "neg_flip")), _NOISY))]
+    parts.append(f"select p.vec_id, 'swap_between_samples', p.partner, {placed} from ({ORACLES['neg_swap_pairs']}) p join {_CELLS} c on c.vec_id = p.partner group by p.vec_id, p.partner")
+    return f"select n.vec_id, n.neg_type, 0 as label, o.label as task, n.partner, q.label as partner_task, round(n.actions, 3) as actions, round(o.tokens, 3) as tokens from ({' union all '.join(parts)}) n join {own} o on o.vec_id = n.vec_id left join embeddings q on q.vec_id = n.partner"
+
+
+@query(_fanout_sql())
 def neg_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four corruptions of each slice, counted by task and kind."""
-    kinds = F.array(*map(F.lit, negatives.KINDS[:4]))
-    return _matrices(spark, sf_dir).select("label", F.explode(kinds).alias("neg_type")).groupBy("label", "neg_type").agg(F.count("*").alias("n"))
+    """Four corruptions of each sample and, where it has a partner, one row with the partner's actions and its own tokens: 4 n + 2 (n / 2)
+    rows with what they came from.  Matrices are given as sums weighted by place."""
+    placed = lambda m: rounded(F.aggregate(F.transform(F.flatten(m), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3)
+    rows = negatives.fan_out(_matrices(spark, sf_dir), "vec_id", "label", "actions", STEPS, WIDTH)
+    return rows.select("vec_id", "neg_type", "label", "task", "partner", "partner_task", placed("actions").alias("actions"), placed("tokens").alias("tokens"))
 
 
-@query("""with b as (select vec_id, t // 2 as block, t % 2 as r, d, x from (select vec_id, p // 8 as t, p % 8 as d, x from (select vec_id, unnest(range(64)) as p, unnest(embedding)::double as x from embeddings)))
-select vec_id, k as token_now, least(k + 1, 3) as token_next, r, d, x from b join (select vec_id as v, vec_id % 4 as k from embeddings) on v = vec_id and block = k""")
+@query(f"""with b as (select vec_id, t // 2 as block, t % 2 as r, d, x from {_CELLS})
+select a.vec_id, a.block as token_now, least(a.block + 1, 3) as token_next, a.r, a.d, a.x, n.x as next_x from b a join b n on n.vec_id = a.vec_id and n.block = least(a.block + 1, 3) and n.r = a.r and n.d = a.d""")
 def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block of two rows by arithmetic on the id, and the number of the next block, clamped."""
-    k = F.col("vec_id") % 4
-    own = _matrices(spark, sf_dir).select("vec_id", k.alias("token_now"), F.least(k + 1, F.lit(3)).alias("token_next"), F.slice("actions", (2 * k + 1).cast("int"), F.lit(2)).alias("block"))
-    rows = own.select("vec_id", "token_now", "token_next", F.posexplode("block").alias("r", "row")).select("vec_id", "token_now", "token_next", F.col("r").cast("long").alias("r"), F.posexplode("row").alias("d", "x"))
-    return rows.withColumn("d", F.col("d").cast("long"))
+    """Every block of two rows, and the values of the block after it; the last stands for itself."""
+    blocks = _matrices(spark, sf_dir).select("vec_id", "actions", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("token_now")).withColumn("token_next", F.least(F.col("token_now") + 1, F.lit(3).cast("long")))
+    cells = [F.flatten(F.slice("actions", (2 * F.col(k) + 1).cast("int"), F.lit(2))) for k in ("token_now", "token_next")]
+    rows = blocks.select("vec_id", "token_now", "token_next", F.posexplode(F.arrays_zip(cells[0].alias("x"), cells[1].alias("next_x"))).alias("p", "z"))
+    return rows.select("vec_id", "token_now", "token_next", F.floor(F.col("p") / WIDTH).alias("r"), (F.col("p") % WIDTH).cast("long").alias("d"), "z.x", "z.next_x")
 
 
 @query("""select vec_id, count(*) as n, count(*) filter (where x > 0) as valid, round(coalesce(sum(x) filter (where x > 0), 0), 6) as total

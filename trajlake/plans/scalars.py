@@ -107,17 +107,69 @@ def rel_pos_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", distance.alias("dist"), sch.relative_bucket(distance).alias("bucket"))
 
 
-@query(f"""with s as (select user_id, n, unnest(range(n)) as i from {LENGTHS}),
-g as (select user_id, n, i, 5.0::double * (1.0 - i * (1.0::double / n)) / (1 + 4.0 * (1.0 - i * (1.0::double / n))) as sigma, exp(-2 * power((i - n / 2.0::double) / n, 2)) as bell from s)
-select user_id, i, round(sigma, 6) as sigma, round(bell / sum(bell) over (partition by user_id) * n, 6) as weight from g""")
+#: Steps of a schedule: as many as an episode has frames.
+_STEPS = f"(select user_id, n, unnest(range(n)) as i from {LENGTHS})"
+_LOW = f"{sch.LOW_SIGMA!r}::double"
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return episode_lengths(table(spark, sf_dir, "events")).select("user_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+
+
+@query(f"""with s as (select user_id, n, i, 1.0::double - i * ((1.0::double - {_LOW}) / greatest(n - 1, 1)) as even from {_STEPS}),
+g as (select *, 5.0::double * even / (1 + 4.0::double * even) as sigma from s), b as (select *, exp(-2 * power((sigma * 1000 - n / 2.0::double) / n, 2)) as bell from g),
+w as (select *, min(bell) over (partition by user_id) as least, sum(bell) over (partition by user_id) as whole from b)
+select user_id, i, round(sigma, 6) as sigma, round(sigma * 1000, 6) as timestep, round((bell - least) * n / nullif(whole - n * least, 0), 6) as weight from w""")
 def sigma_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shifted sigmas and bell weights of as many steps as an episode has frames."""
+    """Shifted sigmas, their timesteps, and the timesteps' training weights."""
     from pyspark.sql import Window
 
-    steps = episode_lengths(table(spark, sf_dir, "events")).select("user_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    both = steps.withColumns({"sigma": sch.shifted_sigma(F.col("i"), F.col("n"), 5.0), "bell": sch.bell_weight(F.col("i"), F.col("n"))})
-    share = F.col("bell") / F.sum("bell").over(Window.partitionBy("user_id")) * F.col("n")
-    return both.select("user_id", "i", rounded(F.col("sigma")).alias("sigma"), rounded(share).alias("weight"))
+    sigma = sch.shifted(sch.even_sigma(F.col("i"), F.col("n")), 5.0)
+    timed = _steps(spark, sf_dir).withColumn("sigma", sigma).withColumn("timestep", F.col("sigma") * sch.TIMESTEPS)
+    weight = sch.bell_weights(sch.bell(F.col("timestep"), F.col("n")), F.col("n"), Window.partitionBy("user_id"))
+    return timed.select("user_id", "i", rounded(F.col("sigma")).alias("sigma"), rounded(F.col("timestep")).alias("timestep"), rounded(weight).alias("weight"))
+
+
+@query(f"""with s as (select user_id, n, i, 1.0::double - i * (1.0::double / n) as open_end, 1.0::double - (n - 1 - i) * ((1.0::double - {_LOW}) / greatest(n - 1, 1)) as rising,
+1.0::double - i * ((1.0::double - {_LOW}) / greatest(n - 1, 1)) as even, 1.0::double - (n - 1) * ((1.0::double - {_LOW}) / greatest(n - 1, 1)) as last, n * ((0.9::double - 0.5) / (8192 - 256)) + (0.5 - (0.9::double - 0.5) / (8192 - 256) * 256) as mu from {_STEPS}),
+g as (select *, exp(mu) / (exp(mu) + (1 / even - 1)) as bent, exp(mu) / (exp(mu) + (1 / last - 1)) as bent_last from s)
+select user_id, i, round(3.0::double * open_end / (1 + 2.0::double * open_end), 6) as open_end, round(3.0::double * rising / (1 + 2.0::double * rising), 6) as rising, round(bent, 6) as exponential,
+round(1 - (1 - bent) / ((1 - bent_last) / (1 - 0.02::double)), 6) as terminal, round(1 - bent, 6) as reversed from g where n > 1""")
+def sigma_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule without its last step, from low to high, with an exponential shift by length, stretched to a given end, and reversed."""
+    i, n = F.col("i"), F.col("n")
+    mu = sch.interpolated_shift(n)
+    bent, last = sch.exponentially_shifted(sch.even_sigma(i, n), mu), sch.exponentially_shifted(sch.even_sigma(n - 1, n), mu)
+    kinds = {"open_end": sch.shifted(sch.even_sigma(i, n, low=0.0, open_end=True), 3.0), "rising": sch.shifted(sch.even_sigma(i, n, rising=True), 3.0), "exponential": bent, "terminal": sch.ending_at(bent, last, 0.02), "reversed": 1 - bent}
+    return _steps(spark, sf_dir).where("n > 1").select("user_id", "i", *(rounded(c).alias(k) for k, c in kinds.items()))
+
+
+@query(f"""select p_partkey, h + h // 2 as half_h, h + greatest(h // 3, w // 2) as wrist_h, w as out_w, w // 2 as split, w - w // 2 as right_w, floor(w * 1.5)::bigint as announced_w from {_SIZES}""")
+def stitched_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ways to say how large a stitched frame is: by halves, by the higher of two lower views, and as announced."""
+    h, w = F.col("h"), F.col("w")
+    half, wrist = geo.stitched_size(h, w), geo.stitched_size(h, w, (F.floor(h / 3), F.floor(w / 2)))
+    parts = geo.stitched_parts(h, w)
+    return _sizes(spark, sf_dir).select("p_partkey", half[0].alias("half_h"), wrist[0].alias("wrist_h"), wrist[1].alias("out_w"), parts["split"].alias("split"), parts["right_w"].alias("right_w"), geo.announced_size(h, w)[1].alias("announced_w"))
+
+
+@query(f"""with g as (select p_partkey, h // 224 * 2 as gh, w // 224 * 2 as gw from {_SIZES}), c as (select *, unnest(range(gh * gw)) as k from g), p as (select *, k // 4 as patch, k % 4 as inside from c)
+select p_partkey, k, (patch // (gw // 2) * 2 + inside // 2) * gw + patch % (gw // 2) * 2 + inside % 2 as i from p""")
+def unpatchify_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reverse of patch_index: of each place in the order of patches of 2 x 2, the cell of the grid."""
+    grid = _sizes(spark, sf_dir).select("p_partkey", (F.floor(F.col("h") / 224) * 2).alias("gh"), (F.floor(F.col("w") / 224) * 2).alias("gw")).where("gh * gw > 0")
+    places = grid.select("p_partkey", "gw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gh") * F.col("gw") - 1)).alias("k"))
+    patch, inside, across = F.floor(F.col("k") / 4), F.col("k") % 4, F.floor(F.col("gw") / 2)
+    return places.select("p_partkey", "k", ((F.floor(patch / across) * 2 + F.floor(inside / 2)) * F.col("gw") + patch % across * 2 + inside % 2).alias("i"))
+
+
+@query("""with x as (select vec_id, unnest(range(64)) as dim, unnest(embedding)::double as x from embeddings), m as (select *, max(x) over (partition by vec_id) as top from x)
+select vec_id, dim, floor(least(greatest(x, 0), 1) * 255)::bigint as cut_off, floor(least(greatest(case when top <= 1 then x * 255 else x end, 0), 255))::bigint as by_range, floor(least(greatest(case when top * 300 <= 1 then x * 76500 else x * 300 end, 0), 255))::bigint as large from m""")
+def byte_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes by cutting off, and by the range of each image: scaled only where nothing is above 1."""
+    x, top = F.col("x").cast("double"), F.col("top").cast("double")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array_max("embedding").alias("top"), F.posexplode("embedding").alias("dim", "x"))
+    return rows.select("vec_id", F.col("dim").cast("long").alias("dim"), sch.to_byte(x, truncate=True).alias("cut_off"), sch.to_byte_by_range(x, top).alias("by_range"), sch.to_byte_by_range(x * 300, top * 300).alias("large"))
 
 
 @query("""with x as (select vec_id, unnest(range(64)) as dim, unnest(embedding)::double as x, unnest(list_reverse(embedding))::double as y from embeddings),

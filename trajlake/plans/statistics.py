@@ -103,16 +103,20 @@ def trajectory_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with c as (select l_orderkey, unnest(['quantity', 'price', 'discount', 'tax']) as channel, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) as x from lineitem)
 select l_orderkey, channel, count(*) as n, min(x) as low, max(x) as high, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std from c group by 1, 2""")
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("channel"), F.col(f"l_{x}").alias("x")) for c, x in (("quantity", "quantity"), ("price", "extendedprice"), ("discount", "discount"), ("tax", "tax"))]
-    long = table(spark, sf_dir, "lineitem").select("l_orderkey", F.inline(F.array(*pairs)))
-    return long.groupBy("l_orderkey", "channel").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), rounded(F.avg("x")).alias("mean"), rounded(F.stddev_pop("x")).alias("std"))
+    """All channels are aggregated in one row for each order; only these rows become four."""
+    channels = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+    statistics = {"low": F.min, "high": F.max, "mean": F.avg, "std": F.stddev_pop}
+    wide = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{s}") for name, c in channels.items() for s, f in statistics.items()))
+    rows = F.array(*(F.struct(F.lit(name).alias("channel"), *((rounded(F.col(f"{name}_{s}")) if s in ("mean", "std") else F.col(f"{name}_{s}")).alias(s) for s in statistics)) for name in channels))
+    return wide.select("l_orderkey", "n", F.inline(rows)).select("l_orderkey", "channel", "n", *statistics)
 
 
 @query("""select l.toxic, count(*) as n, round(avg(greatest(z, 0) - z * l.quality + ln(1 + exp(-abs(z)))), 6) as loss
-from (select vec_id, 8.0::double * embedding[1] as z from embeddings) e join labels l on l.doc_id = e.vec_id group by l.toxic""")
+from (select vec_id, 8.0::double * unnest(embedding) as z from embeddings) e join labels l on l.doc_id = e.vec_id group by l.toxic""")
 def bce_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), (8.0 * F.get("embedding", F.lit(0)).cast("double")).alias("z"))
-    joined = table(spark, sf_dir, "labels").join(scores, "doc_id")
+    """Every value of a vector is a logit of its document's label."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    joined = table(spark, sf_dir, "labels").join(vectors, "doc_id").select("toxic", "quality", F.explode("embedding").alias("x")).withColumn("z", 8.0 * F.col("x").cast("double"))
     return joined.groupBy("toxic").agg(F.count("*").alias("n"), rounded(F.avg(logit_loss(F.col("z"), F.col("quality")))).alias("loss"))
 
 

@@ -103,7 +103,7 @@ def pad_truncate_512(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with p as (select page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') as parts from pages)
 select page_id, parts[1] as host, regexp_replace(parts[len(parts)], '[.?#].*$', '') as stem, regexp_matches(regexp_replace(parts[len(parts)], '[.?#].*$', ''), '^[0-9]+$') as numeric,
-case when list_contains(parts, 'en') then 'en' when list_contains(parts, 'de') then 'de' end as split, 'page_' || lpad(page_id::varchar, 6, '0') as name, 'chunk-' || lpad((page_id // 1000)::varchar, 3, '0') as chunk from p""")
+case when list_contains(parts, 'en') then 'en' when list_contains(parts, 'de') then 'de' end as split, 'page_' || case when length(page_id::varchar) < 6 then lpad(page_id::varchar, 6, '0') else page_id::varchar end as name, 'chunk-' || case when page_id < 100000 then lpad((page_id // 1000)::varchar, 3, '0') else (page_id // 1000)::varchar end as chunk from p""")
 def path_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/").alias("parts"))
     stem = F.regexp_replace(F.element_at("parts", -1), r"[.?#].*$", "")

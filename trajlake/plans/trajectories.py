@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.functions.keyed import draw_sql
+from trajlake.functions.keyed import draw, draw_sql
 from trajlake.functions.vectors import normalise, rounded
 from trajlake.operators import lookups, windows
 from trajlake.operators.windows import Spec
@@ -174,10 +174,12 @@ select event_id, user_id, (high - n)::bigint as low, (event_id - (high - n))::bi
 def global_to_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     ranges = lookups.number_ranges(episode_lengths(events), "user_id", "n")
-    # cut into buckets, so that the range join is one on equal keys
-    width = 64
-    keyed = ranges.select("user_id", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("bucket"))
-    numbers = events.select("event_id").distinct().withColumn("bucket", F.floor(F.col("event_id") / width))
+    # cut into buckets, so that the range join is one on equal keys; as wide as a range is long on average, so that the ranges
+    # of a table fall into about three times as many buckets as there are ranges, however long they are
+    width = ranges.agg(F.greatest(F.ceil(F.avg("n")), F.lit(1)).alias("width"))  # one row
+    sized = ranges.crossJoin(F.broadcast(width))
+    keyed = sized.select("user_id", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / F.col("width")), F.floor((F.col("high") - 1) / F.col("width")))).alias("bucket"))
+    numbers = events.select("event_id").distinct().crossJoin(F.broadcast(width)).select("event_id", F.floor(F.col("event_id") / F.col("width")).alias("bucket"))
     found = numbers.join(keyed, "bucket").where("event_id >= low and event_id < high")
     return found.select("event_id", "user_id", "low", (F.col("event_id") - F.col("low")).alias("local_idx"))
 
@@ -190,5 +192,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     gathered = lookups.gather(windows.random_strict_fill(lengths, WIDE), frames, "action_idx", ["value"])
     ranges = events.agg(F.min("value").alias("low"), F.max("value").alias("high"))
     scaled = gathered.crossJoin(F.broadcast(ranges)).withColumn("x", normalise(F.col("value"), F.col("low"), F.col("high")))  # ranges: one row
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(y).alias("label")) for k, y in (("positive", 1), ("time_swap", 0), ("flip", 0))))
-    return scaled.select("user_id", "c", "pos", "x", F.inline(kinds)).groupBy("kind", "label").agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_windows"), rounded(F.avg(F.when(F.col("kind") == "flip", -F.col("x")).otherwise(F.col("x")))).alias("mean_x"))
+    a, b = (draw(7, "time", side, F.col("user_id")) % WIDE.actions for side in ("a", "b"))
+    swapped = F.when(F.col("pos") == a, b).when(F.col("pos") == b, a).otherwise(F.col("pos"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(y).alias("label"), p.alias("pos"), v.alias("x")) for k, y, p, v in (("positive", 1, F.col("pos"), F.col("x")), ("time_swap", 0, swapped, F.col("x")), ("flip", 0, F.col("pos"), -F.col("x")))))
+    return scaled.select("user_id", "c", F.inline(kinds)).groupBy("kind", "label").agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_windows"), rounded(F.avg("x")).alias("mean_x"), rounded(F.avg(F.col("x") * (F.col("pos") + 1))).alias("mean_placed"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from trajlake.functions.text import moved
 from trajlake.operators import lookups
 
 
@@ -32,6 +33,30 @@ def rewrite_upserted(old: DataFrame, new: DataFrame, key: list[str], path: str,
     lookups.upsert(old, new, key, insert).orderBy(*key).write.mode("errorifexists").json(path)
 
 
+def rewrite_one(old: DataFrame, new: DataFrame, key: list[str], path: str) -> bool:
+    """As rewrite_upserted(), without inserting; if the old rows have none of the keys, nothing is written.  Whether it was."""
+    if old.join(new.select(*key), key, "left_semi").isEmpty():
+        return False
+    rewrite_upserted(old, new, key, path, insert=False)
+    return True
+
+
+def patched_prefix(old: DataFrame, new: DataFrame, key: str, upto: int) -> DataFrame:
+    """New values over the old in rows whose key is below `upto`; all others as they were."""
+    return lookups.upsert(old, new.where(F.col(key) < upto), [key], insert=False)
+
+
+def write_split_manifest(samples: DataFrame, skipped: DataFrame, path: str) -> None:
+    """Two manifests below one folder: samples, and what was skipped with the reason."""
+    write_manifest(samples, f"{path}/samples")
+    write_manifest(skipped.select(*(c for c in skipped.columns if c != "reason"), "reason"), f"{path}/skipped")
+
+
+def moved_layout(files: DataFrame, path: str = "path") -> DataFrame:
+    """old, new: where files go when task/variant/sub becomes split/task/sub; files outside that layout are left out."""
+    return files.select(F.col(path).alias("old"), moved(F.col(path)).alias("new")).where("new is not null")
+
+
 def merge_documents(old: DataFrame, new: DataFrame, key: list[str], path: str) -> None:
     """Whole documents replaced by key, all others kept."""
     lookups.override(old, new, key).write.mode("errorifexists").json(path)

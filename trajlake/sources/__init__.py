@@ -1,7 +1,7 @@
 """Readers: tables, manifests, listings, instruction files, statistics."""
 
-from trajlake.sources.files import episode_catalog, leaf_folders, listing, numbered_lines, pruned
+from trajlake.sources.files import collected, episode_catalog, leaf_folders, listing, metadata, numbered_lines, pruned, saved, sections
 from trajlake.sources.manifests import read_manifest
 from trajlake.sources.tables import episode_frames, episode_lengths, table
 
-__all__ = ["episode_catalog", "episode_frames", "episode_lengths", "leaf_folders", "listing", "numbered_lines", "pruned", "read_manifest", "table"]
+__all__ = ["collected", "episode_catalog", "episode_frames", "episode_lengths", "leaf_folders", "listing", "metadata", "numbered_lines", "pruned", "read_manifest", "saved", "sections", "table"]

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajlake.operators.ranking import positions_within
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def episode_frames(events: DataFrame) -> DataFrame:
-    """One row per frame: user_id is the episode, frame_idx counts from 0 in order of time."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select("user_id", (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), "ts", "event_id", "event_type", "value")
+    """One row per frame: user_id is the episode, frame_idx counts from 0 in order of time.  A very long episode is not one task."""
+    rows = events.select("user_id", "ts", "event_id", "event_type", "value")
+    placed = positions_within(rows, "user_id", F.unix_micros(F.col("ts").cast("timestamp")), "event_id", name="frame_idx")
+    return placed.select("user_id", "frame_idx", "ts", "event_id", "event_type", "value")
 
 
 def episode_lengths(events: DataFrame, least: int = 0) -> DataFrame:
