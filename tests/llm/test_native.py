@@ -26,6 +26,13 @@ def test_rules_of_the_query(spark, smallest):
     assert got == sorted(con.execute(f"select {', '.join(fields)} from ({queries.oracle_sql()['op4_url_filters']})").fetchall())
 
 
+def test_rule_without_rules_or_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, None)], "page_id long, url string")
+    rules = spark.createDataFrame([("", "", "block")], "host string, path string, verdict string")
+    assert sorted(map(tuple, url_filters.judge(pages, rules.where("host = 'x'")).collect())) == [(1, "a.com", "/x", None, "allow"), (2, "", "", None, "allow")]
+    assert sorted(map(tuple, url_filters.judge(pages, rules).collect())) == [(1, "a.com", "/x", None, "allow"), (2, "", "", "", "block")]
+
+
 def plain(url, rules):
     host = path = ""
     if url and "://" in url:
@@ -45,7 +52,7 @@ def test_nested_rules(spark, monkeypatch):
     rules = sorted({(r.choice(hosts), r.choice(paths), r.choice(["allow", "block"])) for _ in range(25)})
     kept = {(h, p): max(v for a, b, v in rules if (a, b) == (h, p)) for h, p, _ in rules}
     rules_once = [(h, p, v) for (h, p), v in kept.items()]
-    urls = [f"http://{r.choice(['', 'w.', 'W.q.'])}{r.choice(hosts).upper()}{r.choice(paths)}{r.choice(['', 'b', '/c', '?q=/a', '#a/b'])}" for _ in range(400)] + [None, "", "com/a", "://", "x://?a", "a://b://c", "http://com", "http://.com/a", "http://com./a"]
+    urls = [f"http://{r.choice(['', 'w.', 'W.q.'])}{r.choice(hosts).upper()}{r.choice(paths)}{r.choice(['', 'b', '/c', '?q=/a', '#a/b'])}" for _ in range(400)] + [None, "", "com/a", "://", "x://?a", "a://b://c", "http://com", "http://.com/a", "http://com./a", "http://b,a.com/a/b", "http://a,com/a", "http://com0/a", "http://a.com0/a", "http://" + "w." * 3000 + "a.com/a/" + "b" * 200_000]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(5, urls[5], "again")], "page_id long, url string, host string")
     got = sorted((tuple(x) for x in url_filters.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()), key=str)
     assert got == sorted(((i, *plain(u, rules_once)) for i, u in [*enumerate(urls), (5, urls[5])]), key=str)
