@@ -9,8 +9,9 @@ continuation can change it, at most a token's length later.  Transitions are com
 Why one pass will do: the tokens of a prefix end in exactly one token t such that the tokens before it are those of the prefix
 without t, and t may follow the token before it (no merge crosses between them before both are complete).
 
-Defined results: null or empty text has no tokens and decodes to no bytes; text is never normalised; repeated rows are encoded each;
-columns other than doc_id and text are ignored.  Special tokens are ordinary text to `encode_documents`.
+Defined results: null or empty text has no tokens and decodes to no bytes; text is never normalised; repeated rows are encoded each; a
+null doc_id stays null; a text of any length, and a match of any length, is encoded whole; columns other than doc_id and text are
+ignored; an empty table gives an empty one.  Special tokens are ordinary text to `encode_documents`.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import SpanHash, gather, text_slices
+from llm.common import SpanHash, gather, importable, text_slices
 
 LETTER, NUMBER, BLANK, OTHER = range(4)
 _kinds: list[np.ndarray] = []
@@ -373,6 +374,7 @@ def decode_stream(encoder: RankEncoder, chunks: Iterable[np.ndarray]) -> Iterato
 
 def encode_documents(documents: DataFrame, ranks: str) -> DataFrame:
     """doc_id, ids."""
+    importable(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.cached(ranks)
@@ -385,6 +387,7 @@ def encode_documents(documents: DataFrame, ranks: str) -> DataFrame:
 
 def round_trip(documents: DataFrame, ranks: str, chunk: int = 4096) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text is encoded, and its ids are decoded as a stream of chunks."""
+    importable(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.cached(ranks)

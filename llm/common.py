@@ -204,7 +204,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where it lies, whatever folder the driver was started in.  On a cluster without
+    """Every operator with Python code calls it.  Lets Python workers import this package from where it lies, whatever folder the driver was started in.  On a cluster without
     that folder, ship the package with --py-files."""
     root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -9,7 +9,8 @@ from llm.common import materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges: columns a, b (long).  node, root: the smallest node of its component, for every node that has an edge to another.
+    """edges: columns a, b (long).  node, root: the smallest node of its component, for every node that has an edge to another.  Edges with
+    a null end and loops are ignored, repeated ones count once; no edges give an empty table.
 
     A node's neighbours are never gathered: each round takes their minimum (combined before the shuffle) and joins it back.  The
     minima are written first: then both sides of the join are plain shuffles, and Spark splits those of a node with very many

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import SpanHash, WordHash, line_spans, materialize, partitions, row_names, text_slices
+from llm.common import SpanHash, WordHash, importable, line_spans, materialize, partitions, row_names, text_slices
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,7 @@ KEYS = "known boolean, id long, tie long, line boolean, key long"
 
 def sequences(documents: DataFrame) -> DataFrame:
     """One row for each document: hashes (64 bits) and bytes (32 bits) of its lines, packed."""
+    importable(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,6 +207,7 @@ def find_blocks(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame
 
 
 def _with_lines(documents: DataFrame, p: Parameters, *columns: str) -> DataFrame:
+    importable(documents.sparkSession)
     blocks = find_blocks(documents, p).toDF("__id", "__tie", "__lines")
     id_, tie = row_names()
     return documents.select(*columns, "text", id_.alias("__id"), tie.alias("__tie")).join(blocks, ["__id", "__tie"], "left").drop("__id", "__tie")

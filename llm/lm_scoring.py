@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, dealt, materialize, mix, partitions, row_names, text_slices, word_spans
+from llm.common import U64, SpanHash, dealt, importable, materialize, mix, partitions, row_names, text_slices, word_spans
 from llm.simhash_dedup import UPPER
 
 END = mix(np.array([0x454E44], U64))[0]
@@ -244,6 +244,7 @@ def _score(p: Parameters, known: Corpus):
 
 def score_documents(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
+    importable(documents.sparkSession)
     n = partitions(documents.sparkSession)
     trained = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
     docs = documents.select(*row_names(), F.col("doc_id").cast("long").alias("doc_id"), "text", trained.alias("trained"))

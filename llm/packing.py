@@ -10,7 +10,10 @@ is left unless the limits on segments or loss-bearing tokens bind.
 Rows are packed where they are read: no shuffle, memory bounded by one batch, and a lost task is simply run again.  A sequence's id
 holds the partition in its high bits.  A partition leaves some sequences shorter than `max_tokens` (each a power of two long).
 
-Defined results: null or empty text is one token, the end.  Repeated rows are packed once each.  Extra columns are ignored.
+Defined results: null or empty text is one token, the end.  Repeated rows are packed once each; a row without doc_id has a null one in
+its pieces.  A text of any length is cut into pieces of `max_tokens` and a rest.  Pieces of equal length are placed in the order of
+their rows; of sequences that fit equally well the one opened first is taken.  Extra columns are ignored; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.bpe import Encoder
+from llm.common import importable
 
 
 @dataclass(frozen=True)
@@ -150,6 +154,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limits(), loss_from: str | None = None) -> DataFrame:
     """One row per piece.  tokenizer: a tokenizers JSON file.  loss_from: a column with the number of a document's first
     tokens that bear no loss (a prompt's), none if null."""
+    importable(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.cached(tokenizer)

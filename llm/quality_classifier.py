@@ -8,7 +8,8 @@ texts, reach the driver; every document is scored where it is read, without a sh
 
 Defined results: null or empty text has no words and gets the score of its statistics; rows are scored by their text alone, so repeated
 rows get equal scores; with no labelled document, or one label only, every score is the share of label 1 (0.5 if there is none);
-extra columns are ignored.
+extra columns are ignored; a document labelled several times has the highest label; rows without doc_id are never trained on; texts of any
+length are taken whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, sums_by_row, text_slices, word_spans
+from llm.common import U64, SpanHash, importable, sums_by_row, text_slices, word_spans
 from llm.quality_rules import BUCKETS, measure
 
 BITS = 15
@@ -145,6 +146,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Machine:
+    importable(documents.sparkSession)
     chosen = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.train_docs)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

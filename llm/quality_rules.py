@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import SPACE, U64, SpanHash, line_spans, mix, sums_by_row, text_slices, word_spans
+from llm.common import SPACE, U64, SpanHash, importable, line_spans, mix, sums_by_row, text_slices, word_spans
 
 BUCKETS = 1 << 16
 _MULTIPLIERS = mix(np.arange(1, 6, dtype=U64)) | U64(1)
@@ -107,6 +107,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
 
 def fit(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> np.ndarray:
     """log(trusted share / raw share) of each bucket."""
+    importable(documents.sparkSession)
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
     target = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, "doc_id", "left_semi").select("text")
     both = count_ngrams(documents.select("text")).withColumn("trusted", F.lit(0)).unionByName(count_ngrams(target).withColumn("trusted", F.lit(1)))

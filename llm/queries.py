@@ -77,6 +77,25 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from par
 """
 
 
+#: Every string of 400 bytes, and every run of 51 words, by its md5; what is covered by those found more than once goes.
+_OP1_SQL = r"""
+with docs as (select row_number() over () as n, doc_id, encode(coalesce(text, '')) as b, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+starts as (select n, unnest(range(octet_length(b) - 399)) as i, b from docs where octet_length(b) >= 400),
+named as (select n, i, md5(b[i + 1:i + 400]) as name from starts),
+hits as (select n, i from (select n, i, count(*) over (partition by name) as c from named) where c > 1),
+marked as (select n, i, case when i - lag(i) over (partition by n order by i) <= 400 then 0 else 1 end as new from hits),
+islands as (select n, i, sum(new) over (partition by n order by i) as island from marked),
+spans as (select n, island, min(i) as s, max(i) + 400 as e from islands group by n, island),
+cuts as (select n, s, e, coalesce(lag(e) over (partition by n order by s), 0) as before, lead(s) over (partition by n order by s) is null as final from spans),
+kept as (select d.n, string_agg(hex(d.b[c.before + 1:c.s]) || case when c.final then hex(d.b[c.e + 1:octet_length(d.b)]) else '' end, '' order by c.s) as h, sum(c.e - c.s)::bigint as removed, count(*) as spans from cuts c join docs d on d.n = c.n group by d.n),
+word_named as (select n, i, md5(array_to_string(words[i + 1:i + 51], ' ')) as name from (select n, words, unnest(range(len(words) - 50)) as i from docs where len(words) >= 51)),
+word_hits as (select n, i from (select n, i, count(*) over (partition by name) as c from word_named) where c > 1),
+word_marked as (select n, i, case when i - lag(i) over (partition by n order by i) <= 51 then 0 else 1 end as new from word_hits),
+word_spans as (select n, max(i) + 51 - min(i) as size from (select n, i, sum(new) over (partition by n order by i) as island from word_marked) group by n, island),
+passages as (select n, sum(size)::bigint as words, count(*) as passages from word_spans group by n)
+select doc_id, octet_length(b) as n_bytes, coalesce(k.removed, 0) as n_removed, coalesce(k.spans, 0) as n_spans, case when k.n is null then sha256(b) else sha256(unhex(k.h)) end as kept_sha256,
+coalesce(p.words, 0) as n_passage_words, coalesce(p.passages, 0) as n_passages from docs d left join kept k on k.n = d.n left join passages p on p.n = d.n
+"""
 #: CRC-32 of doc_id as text, bit by bit.
 _CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ascii(x)::bigint)),
   lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)))"""
@@ -104,4 +123,4 @@ select doc_id, held_out, n_tokens, n_known, train_tokens, round(base_score, 6) a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": _OP4_SQL, "op10_lm_scoring": _OP10_SQL}
+    return {"op1_suffix_array_dedup": _OP1_SQL, "op4_url_filters": _OP4_SQL, "op10_lm_scoring": _OP10_SQL}

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, gather, materialize, mix, partitions, text_slices, word_spans
+from llm.common import U64, gather, importable, materialize, mix, partitions, text_slices, word_spans
 from llm.graph import components
 
 #: Reference fingerprints of the pivot tables.
@@ -67,6 +67,7 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int = 4
 
 def fingerprint(documents: DataFrame, width: int = 4, *keep: str) -> DataFrame:
     """doc_id and what else is kept, fp long."""
+    importable(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     schema = rows.drop("text").schema.add("fp", "long")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, WordHash, dealt, gather, materialize, mix, partitions, row_names, text_slices, word_spans
+from llm.common import U64, SpanHash, WordHash, dealt, gather, importable, materialize, mix, partitions, row_names, text_slices, word_spans
 
 
 def difference_cover(q: int) -> np.ndarray:
@@ -284,6 +284,7 @@ NAME = ["id", "tie"]
 def deal_texts(documents: DataFrame) -> DataFrame:
     """id, tie, doc_id, text, copies (how many rows have that doc_id and text), dealt by name: texts move once, and every level
     brings its open runs to them."""
+    importable(documents.sparkSession)
     rows = documents.select(*row_names(), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return dealt(rows.groupBy(*NAME).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "texts", *NAME)
 

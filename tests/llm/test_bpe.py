@@ -102,5 +102,7 @@ def test_documents(spark, smallest, library):
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert round_trip(docs.where("doc_id < 0"), RANKS).count() == 0
+    again = spark.createDataFrame([(7, "same text"), (7, "same text"), (None, "same text")], "doc_id long, text string")
+    assert len({tuple(r)[1:] for r in round_trip(again, RANKS).collect()}) == 1 and sorted(str(r.doc_id) for r in round_trip(again, RANKS).collect()) == ["7", "7", "None"]
     nothing = spark.createDataFrame([(1, None, "x")], "doc_id long, text string, ids string")
     assert round_trip(nothing, RANKS).first().n_tokens == 0

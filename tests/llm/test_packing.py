@@ -61,3 +61,16 @@ def test_all_limits_hold(spark):
         free = p.doc_id % 4
         loss[p.sequence_id] = loss.get(p.sequence_id, 0) + max(0, p.start + p.length - max(p.start, free))
     assert max(loss.values()) <= 50
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    """Each row is packed once, in pieces that are whole in themselves, and sequences stay gapless."""
+    rows = [(1, "one two three")] * 5 + [(None, "no id here")] * 3 + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = pack(docs, PATH).collect()
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    tokens = {r.doc_id: r.doc_tokens for r in got if r.doc_id == 1}
+    assert sum(r.length for r in got if r.doc_id == 1) == 5 * tokens[1] and sum(r.length for r in got if r.doc_id is None and r.doc_tokens == 1) == 1

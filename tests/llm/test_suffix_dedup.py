@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
+from llm import queries
 from llm.suffix_dedup import difference_cover, remove_repeats, repeated_bytes
 
 LENGTH = 40
@@ -70,7 +72,10 @@ def test_made_texts(spark):
 
 def test_given_texts(spark, smallest):
     docs = spark.read.parquet(f"{smallest}/documents.parquet")
-    hold(docs, docs.select("doc_id", "text").collect(), 400)
+    want = hold(docs, docs.select("doc_id", "text").collect(), 400)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{smallest}/documents.parquet'")
+    assert sorted(con.execute(queries.oracle_sql()["op1_suffix_array_dedup"]).fetchall(), key=str) == want
 
 
 def test_rows_are_told_apart(spark):
