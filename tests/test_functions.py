@@ -230,3 +230,14 @@ def test_places_within_a_large_group(spark):
     for g in {r[0] for r in rows}:
         want |= {e: i for i, (_, e) in enumerate(sorted((t, e) for k, t, e in rows if k == g))}
     assert got == want
+
+
+def test_repair_and_blanks(spark):
+    row = spark.range(1)
+    texts = ["é è 中🙂", "plain", "caf\u00e9", "Ã©tÃ© and é", "\u00c2\u00a0x", "a" * 100_000 + "é"]
+    for t in texts[:1] + texts[1:3] + texts[5:]:
+        broken = t.encode().decode("latin-1")
+        assert row.select(text.repaired(F.lit(broken))).first()[0] == t
+    for t in ("caf\u00e9", "é", "Ã©tÃ© and é and 中", "\u00c2"):
+        assert row.select(text.repaired(F.lit(t))).first()[0] == t
+    assert row.select(text.collapse(F.lit(" a\u00a0\u2003b\x85c\u3000"))).first()[0] == "a b c"

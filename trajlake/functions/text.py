@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Entities that are unescaped, the ampersand last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Runs of white space, and texts whose characters are the bytes of valid UTF-8.
+BLANKS = r"[ \t\n\r\f\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+UTF8_AS_LATIN1 = r"^(?:[\x00-\x7F]++|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})*+$"
 TRUE_WORDS, FALSE_WORDS = ("yes", "true", "t", "y", "1"), ("no", "false", "f", "n", "0")
 
 
@@ -20,12 +23,18 @@ def unescape(x: Column) -> Column:
 
 
 def clean(x: Column) -> Column:
-    """Unescaped twice, and trimmed."""
-    return F.trim(unescape(unescape(x)))
+    """Repaired, unescaped twice, and trimmed."""
+    return F.trim(unescape(unescape(repaired(x))))
 
 
 def collapse(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"[ \t\n\r\f\x0B]+", " "))
+    return F.trim(F.regexp_replace(x, BLANKS, " "))
+
+
+def repaired(x: Column) -> Column:
+    """UTF-8 that was read as Latin-1 as it was meant; a text that is not such as a whole stays as it is."""
+    broken = x.rlike(r"[\xC2-\xF4][\x80-\xBF]") & x.rlike(UTF8_AS_LATIN1)
+    return F.when(broken, F.decode(F.encode(x, "ISO-8859-1"), "UTF-8")).otherwise(x)
 
 
 def canonical(x: Column, keep: str = "") -> Column:

@@ -319,7 +319,7 @@ def placeholder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with d as (select doc_id, translate(text, '_', ' ') as t from documents)
-select doc_id, md5(trim(regexp_replace(lower(array_to_string(list_transform(string_split(t, '. '), lambda p: translate(p, '@DROP@', '')), '. ')), '[ \t\n\r\f\x0B]+', ' ', 'g'))) as canonical from d where t is not null""".replace("@DROP@", "".join(c for c in tx.PUNCTUATION if c != "_").replace("'", "''")))
+select doc_id, md5(trim(regexp_replace(lower(array_to_string(list_transform(string_split(t, '. '), lambda p: translate(p, '@DROP@', '')), '. ')), '@BLANKS@', ' ', 'g'))) as canonical from d where t is not null""".replace("@BLANKS@", tx.BLANKS).replace("@DROP@", "".join(c for c in tx.PUNCTUATION if c != "_").replace("'", "''")))
 def canonical_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without punctuation but for one separator, the end of a sentence."""
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(tx.canonical(F.col("text"), ". ").cast("binary")).alias("canonical"))
@@ -367,3 +367,11 @@ def ordered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of two lists in order, each once: fixed ones, then those of the chat."""
     own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
     return own.select("conv_id", F.array_join(F.array_union(F.array(F.lit("system"), F.lit("user")), "roles"), ",").alias("keys"))
+
+
+@query("select conv_id, turn, md5(text) as repaired from conversations")
+def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats of even number are broken, as UTF-8 read as Latin-1, and come out whole; the others stay."""
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    text = F.when(F.col("conv_id") % 2 == 0, broken).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(tx.repaired(text).cast("binary")).alias("repaired"))

@@ -67,6 +67,23 @@ def window_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("upto", F.sum("cells").over(Window.partitionBy("p_partkey").orderBy("win").rowsBetween(Window.unboundedPreceding, 0)))
 
 
+@query(f"""with g as (select p_partkey, p_partkey % 3 + 1 as steps, h // 112 as gh, w // 112 as gw from {_SIZES}), c as (select *, unnest(range(steps * gh * gw)) as cell from g),
+x as (select *, cell // (gh * gw) as t, cell % (gh * gw) // gw as r, cell % gw as q from c), n as (select *, (t * ((gh + 3) // 4) + r // 4) * ((gw + 3) // 4) + q // 4 as win from x)
+select p_partkey, cell, win, row_number() over (partition by p_partkey order by win, r, q) - 1 as place, (count(*) over (partition by p_partkey order by win)) * 4 as upto from n""")
+def window_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a grid over time in the order of windows of 4 x 4; windows at the edges hold fewer cells, and none reaches over two steps.
+    upto: the tokens, four a cell, up to the end of the cell's window."""
+    from pyspark.sql import Window
+
+    grid = _sizes(spark, sf_dir).select("p_partkey", (F.col("p_partkey") % 3 + 1).alias("steps"), F.floor(F.col("h") / 112).alias("gh"), F.floor(F.col("w") / 112).alias("gw")).where("gh * gw > 0")
+    cells = grid.select("p_partkey", "gh", "gw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") * F.col("gh") * F.col("gw") - 1)).alias("cell"))
+    frame = F.col("gh") * F.col("gw")
+    placed = cells.withColumns({"t": F.floor(F.col("cell") / frame), "r": F.floor(F.col("cell") % frame / F.col("gw")), "q": F.col("cell") % F.col("gw")})
+    win = (F.col("t") * F.floor((F.col("gh") + 3) / 4) + F.floor(F.col("r") / 4)) * F.floor((F.col("gw") + 3) / 4) + F.floor(F.col("q") / 4)
+    part = Window.partitionBy("p_partkey")
+    return placed.withColumn("win", win).select("p_partkey", "cell", "win", (F.row_number().over(part.orderBy("win", "r", "q")) - 1).cast("long").alias("place"), (F.count("*").over(part.orderBy("win")) * 4).alias("upto"))
+
+
 @query(f"""with g as (select p_partkey, h // 224 * 2 as gh, w // 224 * 2 as gw from {_SIZES}), c as (select *, unnest(range(gh * gw)) as i from g)
 select p_partkey, i, ((i // gw) // 2) * (gw // 2) + (i % gw) // 2 as patch, ((i // gw) % 2) * 2 + (i % gw) % 2 as inside from c""")
 def patch_index(spark: SparkSession, sf_dir: str) -> DataFrame:

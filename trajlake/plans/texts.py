@@ -20,7 +20,7 @@ def _entities(x: str) -> str:
 
 
 _DROP = "".join(c for c in tx.PUNCTUATION if c != "_").replace("'", "''")
-_CANON = f"trim(regexp_replace(lower(translate(translate(trim({_entities(_entities('line'))}), '_', ' '), '{_DROP}', '')), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+_CANON = f"trim(regexp_replace(lower(translate(translate(trim({_entities(_entities('line'))}), '_', ' '), '{_DROP}', '')), '{tx.BLANKS}', ' ', 'g'))"
 
 
 @query(f"""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') as ls from documents),
