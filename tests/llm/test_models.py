@@ -91,6 +91,32 @@ def test_pairwise_identity():
     assert got == pytest.approx([want, 0.3 + m.weight[5]])
 
 
+def test_scores_by_the_definition(spark, smallest):
+    """Scores of the fitted machine over plainly counted features, all pairs added up one by one."""
+    docs, labels = (spark.read.parquet(f"{smallest}/{t}.parquet") for t in ("documents", "labels"))
+    machine = quality_classifier.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality_classifier.score_documents(docs, labels).collect()}
+    shift = 64 - quality_classifier.BITS
+    for r in docs.orderBy("n_chars").limit(40).collect():
+        data = (r.text or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+        counts = Counter(int(quality_classifier.SpanHash(np.frombuffer(w, np.uint8))(np.array([0]), np.array([len(w)]))[0]) >> shift for w in words)
+        n, chars, symbols, dup, repeated = base(r.text)
+        size, lines, some = max(len(data), 1), data.count(b"\n") + 1, max(n, 1)
+        count = lambda chosen: sum(b in chosen for b in data) / size
+        stats = [math.log1p(n), math.log1p(len(data)), chars / some, symbols / some, symbols / size, dup / lines, repeated / some, len(counts) / some, math.log1p(size / lines)]
+        stats += [count(b"0123456789"), count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(b"\n"), count(b".,;:!?"), count(b"|{}[]=_/\\@"), sum(b > 127 for b in data) / size, n < 10]
+        norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+        x = {b: math.log1p(c) / norm for b, c in counts.items()}
+        x |= {(1 << quality_classifier.BITS) + i: min(4, max(-4, (s - m) / d)) / 4 for i, (s, m, d) in enumerate(zip(stats, machine.mean, machine.scale))}
+        used = sorted(x)
+        logit = machine.bias + sum(machine.weight[i] * x[i] for i in used)
+        v = np.array([machine.factors[i] * x[i] for i in used])
+        products = v @ v.T
+        logit += np.triu(products, 1).sum()
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-6)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

@@ -1,5 +1,6 @@
 """Packed pieces put together again."""
 
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm.packing import Limits, pack
+from llm.packing import Limits, Piece, pack, place
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -74,3 +75,28 @@ def test_repeated_rows_and_rows_without_id(spark):
         ends[r.sequence_id] = r.offset + r.length
     tokens = {r.doc_id: r.doc_tokens for r in got if r.doc_id == 1}
     assert sum(r.length for r in got if r.doc_id == 1) == 5 * tokens[1] and sum(r.length for r in got if r.doc_id is None and r.doc_tokens == 1) == 1
+
+
+def test_placement_by_the_heuristic():
+    """Largest piece first, each into the open sequence with the greatest dot product of demand and room that takes it whole."""
+    r, limits = random.Random(5), Limits(tokens=100, segments=6, loss=40, open=4)
+    pieces = []
+    for i in range(200):
+        n = r.randrange(1, 90)
+        pieces.append(Piece(i, 0, n, max(0, n - r.randrange(0, 41))))
+    closed, open_ = [], []
+    for p in sorted(pieces, key=lambda p: (-p.length, p.row)):
+        need = (p.length, 1, p.length - p.loss_from)
+        fit = [(sum(a * b / c**2 for a, b, c in zip(need, s["room"], (100, 6, 40))), -k) for k, s in enumerate(open_) if all(a <= b for a, b in zip(need, s["room"]))]
+        if fit:
+            k = -max(fit, key=lambda x: (round(x[0], 12), x[1]))[1]
+        elif len(open_) < limits.open:
+            k = len(open_)
+            open_.append({"room": (100, 6, 40), "rows": []})
+        else:
+            k = min(range(len(open_)), key=lambda k: (open_[k]["room"][0], k))
+            closed.append(open_[k])
+            open_[k] = {"room": (100, 6, 40), "rows": []}
+        open_[k]["room"] = tuple(b - a for a, b in zip(need, open_[k]["room"]))
+        open_[k]["rows"].append(p.row)
+    assert [[p.row for p in s.pieces] for s in place(pieces, limits)] == [s["rows"] for s in closed + open_]
