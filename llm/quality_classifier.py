@@ -3,8 +3,8 @@
 The logit is w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j; the pairs are scored in linear time by the sum-of-squares identity,
 half of (sum v_i x_i) ** 2 - sum v_i ** 2 x_i ** 2 in each of the `rank` dimensions.
 
-It is fitted on at most `train_docs` labelled documents (a documented bound, chosen by hash of the id), whose features, not
-texts, reach the driver; every document is scored where it is read, without a shuffle.
+It is fitted on at most `train_docs` labelled documents with at most `train_features` features (documented bounds, in the order of a
+hash of the id), whose features, not texts, reach the driver; every document is scored where it is read, without a shuffle.
 
 Defined results: null or empty text has no words and gets the score of its statistics; rows are scored by their text alone, so repeated
 rows get equal scores; with no labelled document, or one label only, every score is the share of label 1 (0.5 if there is none);
@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, importable, sums_by_row, text_slices, word_spans
+from llm.common import U64, SpanHash, importable, materialize, sums_by_row, text_slices, word_spans
 from llm.quality_rules import BUCKETS, measure
 
 BITS = 15
@@ -33,6 +33,8 @@ FEATURES = (1 << BITS) + STATISTICS
 @dataclass(frozen=True)
 class Parameters:
     train_docs: int = 6000
+    #: Features (distinct word buckets) of all training documents together, which bounds what reaches the driver.
+    train_features: int = 12_000_000
     rank: int = 8
     epochs: int = 8
     #: Small samples are gone through more often, till so many examples were seen.
@@ -158,7 +160,11 @@ def fit(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -
 
     # the sample is bounded by train_docs, and so is what is broadcast
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    rows = sample.mapInArrow(describe, "doc_id long, quality int, bucket binary, value binary, stats binary").toArrow().sort_by([("doc_id", "ascending"), ("bucket", "ascending")])
+    described = materialize(sample.mapInArrow(describe, "doc_id long, quality int, bucket binary, value binary, stats binary"), "described")
+    sizes = described.groupBy("doc_id").agg((F.sum(F.octet_length("bucket")) / 4).alias("n"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most train_docs rows
+    kept = sizes.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= p.train_features).select("doc_id")
+    rows = described.join(F.broadcast(kept), "doc_id", "left_semi").toArrow().sort_by([("doc_id", "ascending"), ("bucket", "ascending")])
     bucket = [np.frombuffer(x, np.int32) for x in rows.column("bucket").to_pylist()]
     cuts = np.concatenate([[0], np.cumsum([len(x) for x in bucket])]).astype(np.int64)
     flat = np.concatenate(bucket).astype(np.int64) if bucket else np.zeros(0, np.int64)

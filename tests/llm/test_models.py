@@ -128,6 +128,14 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_training_is_bounded_by_features(spark, smallest):
+    docs, labels = (spark.read.parquet(f"{smallest}/{t}.parquet") for t in ("documents", "labels"))
+    few = quality_classifier.fit(docs, labels, quality_classifier.Parameters(train_features=2000, least_seen=100))
+    all_ = quality_classifier.fit(docs, labels, quality_classifier.Parameters(least_seen=100))
+    words = 1 << quality_classifier.BITS
+    assert 0 < np.count_nonzero(few.weight[:words]) <= 2000 < np.count_nonzero(all_.weight[:words])
+
+
 def test_odd_rows_are_scored(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(ODD)] + [(1, "", 0.1), (None, "no id", 0.2)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, i % 2) for i in range(len(ODD))], "doc_id long, quality int")
