@@ -174,8 +174,17 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with _shuffles_let_go(spark):
-        frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.__dict__["_folder"] = path
+    return out
+
+
+def discard(frame: DataFrame) -> None:
+    """Removes what materialize() wrote; only for frames that nothing will read again."""
+    spark = frame.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(frame.__dict__["_folder"])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def dealt(frame: DataFrame, name: str, *keys: str) -> DataFrame:

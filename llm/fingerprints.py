@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import bucketed, materialize, partitions
+from llm.common import bucketed, discard, materialize, partitions
 
 LANES = 0x0000000100000001
 
@@ -73,13 +73,15 @@ def in_order(documents: DataFrame) -> DataFrame:
     known, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
     rows = documents.select(known.alias("doc_id"), text.alias("text"), F.coalesce(known, F.lit(-(1 << 63))).alias("id"), F.xxhash64(known.isNull(), text).alias("tie"))
     single = rows.groupBy("id", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    single = materialize(single, "single")
     sorted_ = single.repartitionByRange(n, "id", "tie").select(F.spark_partition_id().alias("part"), "*")
     docs = bucketed(sorted_, "in_order", "part")
-    first = docs.groupBy("part").agg(F.min(F.struct("id", "tie")).alias("name"))
+    discard(single)
     # one row for each range, without texts
     order = Window.orderBy("part")
-    after = first.select("name", F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(0, Window.unboundedFollowing))).alias("before"))
-    heads = docs.select("text", F.struct("id", "tie").alias("name")).join(after, "name").select(F.col("before").alias("part"), F.col("text").alias("head"))
+    after = docs.select("part").distinct().select("part", F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(0, Window.unboundedFollowing))).alias("before"))
+    first = docs.groupBy("part").agg(F.min_by("text", F.struct("id", "tie")).alias("head"))  # where they lie: one row for each range
+    heads = first.join(after, "part").select(F.col("before").alias("part"), "head")
     own = Window.partitionBy("part").orderBy("id", "tie")
     placed = docs.withColumns({"next": F.lead("text").over(own), "row": F.row_number().over(own), "final": F.row_number().over(Window.partitionBy("part").orderBy(F.desc("id"), F.desc("tie"))) == 1})
     return placed.join(heads, "part", "left").withColumn("next", F.when(F.col("final"), F.col("head")).otherwise(F.col("next"))).drop("head")
