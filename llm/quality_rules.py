@@ -109,7 +109,8 @@ def fit(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -
     """log(trusted share / raw share) of each bucket."""
     importable(documents.sparkSession)
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    target = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, "doc_id", "left_semi").select("text")
+    # a merge join at every size: labels grow with the documents, and so are not broadcast
+    target = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted.hint("merge"), "doc_id", "left_semi").select("text")
     both = count_ngrams(documents.select("text")).withColumn("trusted", F.lit(0)).unionByName(count_ngrams(target).withColumn("trusted", F.lit(1)))
     found = both.groupBy("bucket").agg(F.sum(F.col("n") * (1 - F.col("trusted"))).alias("raw"), F.sum(F.col("n") * F.col("trusted")).alias("target"))
     counts = np.zeros((2, BUCKETS))
