@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, fingerprints, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, url_filters
+from llm import bpe, fingerprints, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, url_filters
 from llm.common import read
 
 
@@ -59,6 +59,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({**sums, "mean_score": F.round(F.col("score") / F.col("n_tokens"), 6)})
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(read(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -120,7 +124,22 @@ sums as (select n, count(*) as n_tokens, count(*) filter (c > 0) as n_known, any
 select doc_id, held_out, n_tokens, n_known, train_tokens, round(base_score, 6) as base_score, round(score, 6) as score,
   round(score / n_tokens, 6) as mean_score from docs join sums using (n)
 """.replace("@CRC@", _CRC_SQL)
+#: The level of the water by trying every set of clamped sources, and the order of a source as one window.
+_OP11_SQL = r"""
+with docs as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+  ('0x' || substr(md5('11:' || coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 15))::bigint as draw from documents),
+sizes as (select source, sum(size)::bigint as source_size from docs group by source),
+weighted as (select *, list_extract([3.0::double, 1.0, 2.0], 1 + (row_number() over (order by source nulls last) - 1)::int % 3) as weight from sizes),
+tried as (select (1.5 * (select sum(source_size) from weighted) - coalesce(sum(2 * b.source_size) filter (2 * b.source_size / b.weight < 2 * a.source_size / a.weight), 0))::double
+  / sum(b.weight) filter (2 * b.source_size / b.weight >= 2 * a.source_size / a.weight) as level from weighted a cross join weighted b group by a.source, a.source_size, a.weight),
+aims as (select source, source_size, least(2.0 * source_size, (select max(level) from tried) * weight)::double as target from weighted),
+budgets as (select *, floor(target + 0.5)::bigint as budget from aims),
+placed as (select *, (sum(size) over (partition by source order by draw, doc_id nulls first, size rows unbounded preceding) - size)::bigint as start from docs)
+select doc_id, size, source_size, round(target, 3) as target, case when source_size > 0 then (budget // source_size) * size
+  + greatest(0, least(size, budget % source_size - start)) else 0 end::bigint as taken
+from placed p join budgets b on p.source is not distinct from b.source
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array_dedup": _OP1_SQL, "op4_url_filters": _OP4_SQL, "op10_lm_scoring": _OP10_SQL}
+    return {"op1_suffix_array_dedup": _OP1_SQL, "op4_url_filters": _OP4_SQL, "op10_lm_scoring": _OP10_SQL, "op11_mixing": _OP11_SQL}
