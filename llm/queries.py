@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, fingerprints, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, url_filters
+from llm import bpe, fingerprints, line_dedup, lm_scoring, mixing, packing, periodic_runs, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, url_filters
 from llm.common import read
 
 
@@ -63,6 +63,29 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
 
 
+def with_periods(documents: DataFrame) -> DataFrame:
+    """A tenth of the documents, chosen by a hash of doc_id, with words that repeat from a chosen one on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
+    chosen = (h % 10 == 0) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) != "")
+    rows = documents.select("doc_id", "text", F.when(chosen, words).alias("words"), F.floor(h / 10).cast("long").alias("g"))
+    n = F.size("words")
+    rows = rows.withColumns({"n": n, "a": F.when(n > 0, F.col("g") % n).cast("int")})
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    turns = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    edited = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(turns, F.lit(1), left))
+    return rows.select("doc_id", F.when(F.col("words").isNotNull(), F.array_join(edited, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_periods(read(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", periodic_runs.strongest("runs"))
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -139,7 +162,24 @@ select doc_id, size, source_size, round(target, 3) as target, case when source_s
   + greatest(0, least(size, budget % source_size - start)) else 0 end::bigint as taken
 from placed p join budgets b on p.source is not distinct from b.source
 """
+#: Equal words of a text at a distance of a quarter of its length at most; those that follow one another at one distance are a stretch.
+_OP12_SQL = r"""
+with docs as (select row_number() over () as n, doc_id, @CRC@ as h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as given from documents),
+chosen as (select *, len(given) as size, case when h % 10 = 0 and len(given) > 0 then (h // 10) % len(given) end as a from docs),
+periods as (select *, case when a is not null then 1 + (size - a) // (3 + (h // 10) % 8) end as p from chosen),
+tokens as (select n, size, i, given[1 + case when i >= a then a + (i - a) % p else i end] as w from (select *, unnest(range(size)) as i from periods)),
+pairs as (select a.n, a.i, b.i - a.i as q from tokens a join tokens b on a.n = b.n and a.w = b.w and b.i > a.i and 4 * (b.i - a.i) <= a.size),
+islands as (select n, q, i, i - row_number() over (partition by n, q order by i) as island from pairs),
+long as (select n, q, min(i) as s, count(*) + q as size from islands group by n, q, island having count(*) + q >= greatest(6, 4 * q)),
+runs as (select * from long x where not exists (select 1 from long y where y.n = x.n and y.q < x.q and x.q % y.q = 0 and y.s <= x.s and y.s + y.size >= x.s + x.size)),
+sums as (select n, count(*) as n_runs, string_agg(s || ',' || size || ',' || q || chr(10), '' order by s, q) as listed from runs group by n),
+best as (select n, s, size, q from (select *, row_number() over (partition by n order by (size * (select max(q) from runs) * 1000000::hugeint) // q desc, s, q) as place from runs) where place = 1),
+gone as (select distinct n, i from (select n, unnest(range(s + q, s + size)) as i from runs)),
+kept as (select n, string_agg(w, ' ' order by i) as words from tokens t anti join gone g using (n, i) group by n)
+select doc_id, coalesce(n_runs, 0) as n_runs, b.s as start, b.size as length, b.q as period, 1000 * b.size // b.q as exponent_milli,
+  sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256 from docs d left join sums using (n) left join best b using (n) left join kept using (n)
+""".replace("@CRC@", _CRC_SQL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array_dedup": _OP1_SQL, "op4_url_filters": _OP4_SQL, "op10_lm_scoring": _OP10_SQL, "op11_mixing": _OP11_SQL}
+    return {"op1_suffix_array_dedup": _OP1_SQL, "op4_url_filters": _OP4_SQL, "op10_lm_scoring": _OP10_SQL, "op11_mixing": _OP11_SQL, "op12_periodic_runs": _OP12_SQL}
