@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, fingerprints, line_dedup, lm_scoring, mixing, packing, periodic_runs, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, url_filters
+from llm import bpe, fingerprints, hard_negatives, line_dedup, lm_scoring, mixing, packing, periodic_runs, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, url_filters
 from llm.common import read
 
 
@@ -86,6 +86,19 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def labelled_vectors(embeddings: DataFrame) -> DataFrame:
+    """Vectors of whole numbers; a seventh of the labels is moved on by one; ids divisible by 50 are anchors."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    id_ = F.col("vec_id").cast("long")
+    label = F.when(id_ % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long"))
+    return embeddings.where(F.col("label").isNotNull() & finite).select(id_.alias("id"), label.alias("label"), vector.alias("vector"), (id_ % 50 == 0).alias("anchor"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(labelled_vectors(read(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -179,7 +192,19 @@ kept as (select n, string_agg(w, ' ' order by i) as words from tokens t anti joi
 select doc_id, coalesce(n_runs, 0) as n_runs, b.s as start, b.size as length, b.q as period, 1000 * b.size // b.q as exponent_milli,
   sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256 from docs d left join sums using (n) left join best b using (n) left join kept using (n)
 """.replace("@CRC@", _CRC_SQL)
+#: Every anchor with every row.
+_OP13_SQL = """
+with whole as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as vector
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select a.id as anchor_id, b.id, a.label = b.label as same, list_sum(list_transform(list_zip(a.vector, b.vector), lambda z: z[1] * z[2]))::bigint as score
+  from whole a join whole b on a.id % 50 = 0 and a.id <> b.id),
+positives as (select * from (select *, row_number() over (partition by anchor_id order by score desc, id) as place from scores where same) where place <= 5),
+negatives as (select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+  row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) as rank
+  from positives p join scores n on n.anchor_id = p.anchor_id and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from negatives where rank <= 3
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array_dedup": _OP1_SQL, "op4_url_filters": _OP4_SQL, "op10_lm_scoring": _OP10_SQL, "op11_mixing": _OP11_SQL, "op12_periodic_runs": _OP12_SQL}
+    return {"op1_suffix_array_dedup": _OP1_SQL, "op4_url_filters": _OP4_SQL, "op10_lm_scoring": _OP10_SQL, "op11_mixing": _OP11_SQL, "op12_periodic_runs": _OP12_SQL, "op13_hard_negatives": _OP13_SQL}
