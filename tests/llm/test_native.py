@@ -48,11 +48,11 @@ def test_nested_rules(spark, monkeypatch):
     monkeypatch.setattr(url_filters, "KEYS_PER_SWEEP", 20)
     r = random.Random(1)
     hosts = ["com", "a.com", "b.a.com", "com.com", "x", "example.com"]
-    paths = ["", "/", "/a", "/a/", "/a/b", "/ab", "/a/b/c", "/ü"]
+    paths = ["", "/", "/a", "/a/", "/a/b", "/ab", "/a/b/c", "/ü", "/\U0010ffff", "/\U0010ffff/a"]
     rules = sorted({(r.choice(hosts), r.choice(paths), r.choice(["allow", "block"])) for _ in range(25)})
     kept = {(h, p): max(v for a, b, v in rules if (a, b) == (h, p)) for h, p, _ in rules}
     rules_once = [(h, p, v) for (h, p), v in kept.items()]
-    urls = [f"http://{r.choice(['', 'w.', 'W.q.'])}{r.choice(hosts).upper()}{r.choice(paths)}{r.choice(['', 'b', '/c', '?q=/a', '#a/b'])}" for _ in range(400)] + [None, "", "com/a", "://", "x://?a", "a://b://c", "http://com", "http://.com/a", "http://com./a", "http://b,a.com/a/b", "http://a,com/a", "http://com0/a", "http://a.com0/a", "http://" + "w." * 3000 + "a.com/a/" + "b" * 200_000]
+    urls = [f"http://{r.choice(['', 'w.', 'W.q.'])}{r.choice(hosts).upper()}{r.choice(paths)}{r.choice(['', 'b', '/c', '?q=/a', '#a/b'])}" for _ in range(400)] + [None, "", "com/a", "://", "x://?a", "a://b://c", "http://com", "http://.com/a", "http://com./a", "http://b,a.com/a/b", "http://a,com/a", "http://com0/a", "http://a.com0/a", "http://" + "w." * 3000 + "a.com/a/" + "b" * 200_000, "http://a.com/a/\U0010ffff", "http://a.com/a/\U0010ffffx", "http://x/\U0010ffff\U0010ffff", "http://a.com/a\ud7ff"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(5, urls[5], "again")], "page_id long, url string, host string")
     got = sorted((tuple(x) for x in url_filters.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()), key=str)
     assert got == sorted(((i, *plain(u, rules_once)) for i, u in [*enumerate(urls), (5, urls[5])]), key=str)
