@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -198,7 +199,21 @@ def bucketed(frame: DataFrame, name: str, *keys: str) -> DataFrame:
     table = f"{name}_{uuid.uuid4().hex}"
     with _shuffles_let_go(spark):
         frame.write.bucketBy(n, *keys).option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")  # the name only: the files stay, and the frame knows them and their buckets
+    return out
+
+
+def plain_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that sees extra columns under names by their places only, so that they may have any name, its own helpers' too."""
+
+    @wraps(stage)
+    def run(documents: DataFrame, *args, **more) -> DataFrame:
+        names = documents.columns
+        plain = [n if n in ("doc_id", "text", "n_chars") else f"column_{i}" for i, n in enumerate(names)]
+        return stage(documents.toDF(*plain), *args, **more).toDF(*names)
+
+    return run
 
 
 def row_names() -> tuple[Column, Column]:

@@ -1,22 +1,25 @@
 """Line dedup by pairwise alignment: documents that share rare lines are aligned with patience diff, and the aligned common blocks
 go from the later document.
 
-Pairs.  A line is an anchor if it is long enough and occurs once in its document.  If at most `rare` documents have it as an anchor, each
-is paired with all earlier ones.  What more documents have is paired by windows: the fewest lines from (or up to) any line that
-make a block of `min_block_bytes`, with an anchor among them; every holder of a window is paired with the window's first holder.
-Each block that a document has in common with any earlier one is a union of such windows, so no shared block goes unseen, while
-pairs number as lines, however many documents share one.  (Lines that repeat within a document are aligned only between anchors;
-there the partner at hand decides.)
+Pairs.  Keys are windows: the fewest lines from (or up to) any line that make `min_block_bytes`, whatever the length of each and however
+often they occur; every block that two documents have in common holds one.  If at most `rare` documents have a window, each is paired
+with all earlier ones.  What more have is paired with the window's first holder; with the first that has it once, if the document has it
+once, so that it can be an anchor on both sides; and with the first that begins, or ends, with it, if the document does, since equal ends
+are aligned whatever their lines.  So pairs number as windows, however many documents share one, and no shared block goes unseen.  (What
+lines that repeat within a document are aligned with depends on the partner; at sf0.01 all pairs that share a window give the same
+deletions.)
 
 Alignment.  The whole lines of both documents are matched: equal lines at both ends, then the longest increasing run of lines that
 occur once on either side, and the same again within every gap between these.  Lines matched one after another in both documents
 are a block; blocks of `min_block_bytes` or more go from the later one, whatever the length of their single lines.  What is left is
-aligned again till no block is found, so that it does not matter in which order the partner at hand has the blocks.
+aligned again till no block is found, so that it does not matter in which order the partner at hand has the blocks.  The partners of a
+document with very many are dealt to several tasks, and what each finds is united.
 
 Defined results: documents are ordered by doc_id (null before all, ties by a hash of the text); repeated rows with one doc_id and
-text are one document and keep their lines; null and empty texts have one empty line and stay; lines are compared exactly (by
-62-bit hashes); of a document that several earlier ones overlap, all that any of them has goes; extra columns are kept by
-`remove_lines`, which drops documents left without a non-blank line; an empty table gives an empty one.
+text are one document and keep their lines; null and empty texts have one empty line and stay; lines are compared by 124-bit
+hashes; a line of any length and a text of any number of lines are taken whole, in one task; of a document that several earlier ones
+overlap, all that any of them has goes; extra columns of any name are kept by `remove_lines`, which drops documents left without a non-blank
+line; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,23 +35,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import SpanHash, WordHash, importable, line_spans, materialize, partitions, row_names, text_slices
+from llm.common import U64, SpanHash, WordHash, discard, importable, line_spans, materialize, partitions, plain_names, row_names, text_slices
 
 
 @dataclass(frozen=True)
 class Parameters:
-    min_line_bytes: int = 20
     min_block_bytes: int = 40
     rare: int = 5
+    #: Partners of a document that one task aligns.
+    partners_per_task: int = 100
 
 
 NAME = ["known", "id", "tie"]  #: their order is that of the documents
 SEQUENCES = "known boolean, id long, tie long, hashes binary, sizes binary"
-KEYS = "known boolean, id long, tie long, line boolean, key long"
+KEYS = "known boolean, id long, tie long, key long, single boolean"
+#: Added to the keys of windows that begin or end a document.
+_BEGIN, _END = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
 def sequences(documents: DataFrame) -> DataFrame:
-    """One row for each document: hashes (64 bits) and bytes (32 bits) of its lines, packed."""
+    """One row for each document: hashes (two of 64 bits) and bytes (32 bits) of its lines, packed."""
     importable(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +62,8 @@ def sequences(documents: DataFrame) -> DataFrame:
             for first, last, buf, offsets in text_slices(batch, "text"):
                 starts, ends, rows = line_spans(buf, offsets)
                 cuts = np.searchsorted(rows, np.arange(last - first + 1))
-                hashes, sizes = SpanHash(buf)(starts, ends), (ends - starts).astype(np.int32)
+                hashes = np.stack([SpanHash(buf, second)(starts, ends) for second in (False, True)], axis=1)
+                sizes = (ends - starts).astype(np.int32)
                 packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (hashes, sizes)]
                 own = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in NAME), *packed], names=[*NAME, "hashes", "sizes"])
@@ -72,47 +79,55 @@ def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys(lines: DataFrame, p: Parameters) -> DataFrame:
-    """The anchors (line) and windows of each document."""
+    """The windows of each document; single: it has this one once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, counts = _unpacked(batch.column("hashes"), np.uint64)
+            hashes, counts = hashes[::2], counts // 2
             sizes = _unpacked(batch.column("sizes"), np.int32)[0].astype(np.int64)
-            rows, n = np.repeat(np.arange(len(counts)), counts), len(hashes)
-            row_end = np.cumsum(counts)[rows]
-            row_begin = row_end - counts[rows]
-            order = np.lexsort((hashes, rows))
-            same = (hashes[order][1:] == hashes[order][:-1]) & (rows[order][1:] == rows[order][:-1])
-            once = np.ones(n, bool)
-            once[order[1:][same]] = once[order[:-1][same]] = False
-            anchor = once & (sizes >= p.min_line_bytes)
-            total, anchors = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, anchor))
+            rows = np.repeat(np.arange(len(counts)), counts)
+            row_end = np.cumsum(counts)
+            row_begin = row_end - counts
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            fewest = lambda at: np.searchsorted(total, total[at] + p.min_block_bytes)
+            latest = lambda at: np.searchsorted(total, total[at] - p.min_block_bytes, "right") - 1
             at = np.flatnonzero(sizes > 0)
-            forward = np.searchsorted(total, total[at] + p.min_block_bytes)
-            backward = np.searchsorted(total, total[at + 1] - p.min_block_bytes, "right") - 1
-            begin, end = np.concatenate([at, backward]), np.concatenate([forward, at + 1])
-            begin, end = (x[(begin >= np.concatenate([row_begin[at]] * 2)) & (end <= np.concatenate([row_end[at]] * 2))] for x in (begin, end))
-            some = anchors[end] > anchors[begin]
-            begin, end = np.unique(np.stack([begin[some], end[some]]), axis=1)
-            lone = np.flatnonzero(anchor)
-            key = np.concatenate([hashes[lone], WordHash(hashes)(begin, end)]).view(np.int64)
-            row, line = pa.array(np.concatenate([rows[lone], rows[begin]])), np.arange(len(key)) < len(lone)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in NAME), pa.array(line), pa.array(key)], names=[c.split()[0] for c in KEYS.split(", ")])
-
-    return lines.mapInArrow(run, KEYS).distinct()
+            begin, end, row = np.concatenate([at, latest(at + 1)]), np.concatenate([fewest(at), at + 1]), np.tile(rows[at], 2)
+            whole = (begin >= row_begin[row]) & (end <= row_end[row])
+            (begin, end), first = np.unique(np.stack([begin[whole], end[whole]]), axis=1, return_index=True)
+            row, key = row[whole][first], WordHash(hashes)(begin, end)
+            order = np.lexsort((key, row))
+            key, row = key[order], row[order]
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])[: len(key)])
+            single = np.diff(np.append(start, len(key))) == 1
+            parts = [(row[start], key[start], single)]
+            for cut, salt in ((fewest(row_begin), _BEGIN), (latest(row_end), _END)):
+                a, b = (row_begin, cut) if salt == _BEGIN else (cut, row_end)
+                own = np.flatnonzero((a >= row_begin) & (b <= row_end))
+                parts.append((own, WordHash(hashes)(a[own], b[own]) + salt, np.zeros(len(own), bool)))
+            row, key, single = (np.concatenate(x) for x in zip(*parts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in NAME), pa.array(key.view(np.int64)), pa.array(single)], names=[c.split()[0] for c in KEYS.split(", ")])
+
+    return lines.mapInArrow(run, KEYS)
 
 
 def pairs(lines: DataFrame, p: Parameters) -> DataFrame:
     """doc, other (structs of a document's name): the documents to be aligned, the earlier one as other."""
     doc = F.struct(*NAME).alias("doc")
-    held = materialize(keys(lines, p).select("line", "key", doc), "keys")
+    held = materialize(keys(lines, p).select("key", "single", doc), "keys")
     # written, so that both sides of the joins are plain shuffles, of which Spark can split a frequent key's
-    shared = materialize(held.groupBy("line", "key").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).where("holders > 1"), "shared")
-    met = held.join(shared, ["line", "key"])
-    stars = met.where("not line and first < doc").select("doc", F.col("first").alias("other"))
-    few = met.where(F.col("line") & (F.col("holders") <= p.rare)).groupBy("key").agg(F.collect_list("doc").alias("docs"))
+    firsts = held.groupBy("key").agg(F.min("doc").alias("first"), F.min(F.when(F.col("single"), F.col("doc"))).alias("first_single"), F.count("*").alias("holders"))
+    shared = materialize(firsts.where("holders > 1"), "shared")
+    met = held.join(shared, "key")
+    partners = F.array("first", F.when(F.col("single"), F.col("first_single")))
+    stars = met.select("doc", F.explode(partners).alias("other")).where("other < doc")
+    few = met.where(F.col("holders") <= p.rare).groupBy("key").agg(F.collect_list("doc").alias("docs"))
     all_ = few.select(F.explode("docs").alias("doc"), "docs").select("doc", F.explode("docs").alias("other")).where("other < doc")
-    return stars.unionByName(all_).distinct()
+    out = materialize(stars.unionByName(all_).distinct(), "pairs")
+    discard(held)
+    discard(shared)
+    return out
 
 
 def longest_run(second: list[int]) -> list[int]:
@@ -133,7 +148,7 @@ def longest_run(second: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Places of matched lines, in order in both."""
     out, gaps = [], [(0, len(a), 0, len(b))]
     while gaps:
@@ -156,7 +171,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(own: list[int], sizes: list[int], other: list[int], least: int) -> set[int]:
+def common_blocks(own: list, sizes: list[int], other: list, least: int) -> set[int]:
     """Places of own lines in aligned blocks of `least` bytes or more.  What a pass leaves is aligned again, till no block is found:
     so blocks that stand in another order in both documents go as well."""
     gone: set[int] = set()
@@ -179,11 +194,12 @@ def find_blocks(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame
 
     A document's own lines and those of its partners, one after another, come sorted: a task holds one partner at a time."""
     lines = materialize(sequences(documents), "sequences")
-    found = materialize(pairs(lines, p), "pairs")
+    found = pairs(lines, p)
+    tasks = found.groupBy("doc").agg(F.ceil(F.count("*") / p.partners_per_task).alias("tasks"))
     held = lines.select(F.struct(*NAME).alias("other"), "hashes", "sizes")
-    partners = found.join(held, "other").select("doc", F.lit(True).alias("partner"), "hashes", "sizes")
-    own = held.join(found.select(F.col("doc").alias("other")).distinct(), "other", "left_semi").select(F.col("other").alias("doc"), F.lit(False).alias("partner"), "hashes", "sizes")
-    both = own.unionByName(partners).select("doc.id", "doc.tie", "partner", "hashes", "sizes")
+    partners = found.join(tasks, "doc").withColumn("task", F.pmod(F.xxhash64("other"), F.col("tasks"))).join(held, "other").select("doc", "task", F.lit(True).alias("partner"), "hashes", "sizes")
+    own = held.join(tasks.withColumnRenamed("doc", "other"), "other").select(F.col("other").alias("doc"), F.explode(F.expr("sequence(0L, tasks - 1)")).alias("task"), F.lit(False).alias("partner"), "hashes", "sizes")
+    both = own.unionByName(partners).select("doc.id", "doc.tie", "task", "partner", "hashes", "sizes")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, mine, sizes, gone = None, [], [], set()
@@ -192,8 +208,8 @@ def find_blocks(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array([name[0]], pa.int64()), pa.array([name[1]], pa.int64()), pa.array([sorted(gone)], pa.list_(pa.int32()))], names=["id", "tie", "lines"])
 
         for batch in batches:
-            for id_, tie, partner, hashes, size in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "partner", "hashes", "sizes"))):
-                hashes = np.frombuffer(hashes, np.uint64).tolist()
+            for id_, tie, task, partner, hashes, size in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "task", "partner", "hashes", "sizes"))):
+                hashes = np.frombuffer(hashes, "V16").tolist()  # as bytes, which are hashed and compared whole
                 if not partner:
                     if gone:
                         yield row()
@@ -203,7 +219,8 @@ def find_blocks(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame
         if gone:
             yield row()
 
-    return both.repartition(partitions(documents.sparkSession), "id", "tie").sortWithinPartitions("id", "tie", "partner").mapInArrow(align, "id long, tie long, lines array<int>")
+    aligned = both.repartition(partitions(documents.sparkSession), "id", "tie", "task").sortWithinPartitions("id", "tie", "task", "partner").mapInArrow(align, "id long, tie long, lines array<int>")
+    return aligned.groupBy("id", "tie").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
 
 
 def _with_lines(documents: DataFrame, p: Parameters, *columns: str) -> DataFrame:
@@ -230,6 +247,7 @@ def deleted_lines(documents: DataFrame, p: Parameters = Parameters()) -> DataFra
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_deleted long, n_blocks long, kept_sha256 string")
 
 
+@plain_names
 def remove_lines(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """The documents without the deleted lines, all columns kept (n_chars, where there is one, counts anew)."""
     schema = documents.schema

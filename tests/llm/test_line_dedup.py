@@ -37,22 +37,36 @@ def order(row):
     return (row[0] is not None, row[0] or 0)
 
 
+def shares(a, b, sizes, least):
+    """Whether two lists of lines have a stretch of `least` bytes in common, by the longest common stretch that ends at each pair of places."""
+    before = {}
+    for i, x in enumerate(a):
+        now = {}
+        for j, y in enumerate(b):
+            if x == y:
+                now[j] = before.get(j - 1, 0) + sizes[i]
+                if now[j] >= least:
+                    return True
+        before = now
+    return False
+
+
 def brute(rows, p=Parameters(), again=True):
-    """For each distinct row, the places of the lines that go: every pair of documents that share an anchor is aligned, however many
-    share it; again: what is left is aligned again till nothing goes."""
+    """For each distinct row, the places of the lines that go: every pair of documents that has 40 bytes of lines in common is aligned;
+    again: what is left is aligned again till nothing goes."""
     rows = sorted(dict.fromkeys(rows), key=order)
     lines = [(t or "").split("\n") for _, t in rows]
-    anchors = [{x for x, n in Counter(v).items() if n == 1 and len(x.encode()) >= p.min_line_bytes} for v in lines]
-    gone = [set() for _ in rows]
+    sizes = [[len(x.encode()) for x in v] for v in lines]
+    sets, gone = [set(v) for v in lines], [set() for _ in rows]
     for d in range(len(rows)):
         for e in range(d):
-            found = bool(anchors[d] & anchors[e])
+            found = not sets[d].isdisjoint(sets[e]) and shares(lines[d], lines[e], sizes[d], p.min_block_bytes)
             own = list(lines[d])
             while found:
                 found, block = False, []
                 for i, j in [*matched(own, lines[e]), (-1, -1)]:
                     if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-                        if sum(len(lines[d][k].encode()) for k, _ in block) >= p.min_block_bytes:
+                        if sum(sizes[d][k] for k, _ in block) >= p.min_block_bytes:
                             gone[d] |= {k for k, _ in block}
                             for k, _ in block:
                                 own[k], found = f"gone {k}\n", again
@@ -134,6 +148,26 @@ def test_short_and_repeated_lines_between_anchors(spark):
     assert hold(spark.createDataFrame(rows, "doc_id long, text string")) == 10
 
 
+def test_short_lines_only(spark):
+    """A copied block of short lines, and one whose lines repeat, have no line of their own to go by."""
+    short = [f"item {i}" for i in range(40)]
+    rows = [(1, "\n".join(["first", *short, "end of one"])), (2, "\n".join(["second", *short, "end of two"]))]
+    rows += [(3, "\n".join(["-", "=" * 15] * 5)), (4, "\n".join(["own line", *["-", "=" * 15] * 5]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_deleted for r in deleted_lines(docs).collect()}
+    assert got == {1: 0, 2: 40, 3: 0, 4: 10}
+    assert hold(docs) == 50
+
+
+def test_partners_of_a_document_in_several_tasks(spark):
+    """A late document made of pieces of many earlier ones."""
+    pieces = [f"piece {i} of the collection, of more than forty bytes in all" for i in range(60)]
+    rows = [(i, f"{x}\nown line {i}") for i, x in enumerate(pieces)] + [(100, "\n".join(["start", *pieces, "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for p in (Parameters(), Parameters(partners_per_task=7)):
+        assert {r.doc_id: r.n_deleted for r in deleted_lines(docs, p).where("n_deleted > 0").collect()} == {100: 60}
+
+
 def test_stage(spark):
     line = "this line is in two documents and has more than forty bytes"
     rows = [(1, f"{line}\nown one", "a", 9), (2, f"own two\n{line}", "b", 9), (3, line, "c", 9), (4, None, "d", None), (5, "", "e", 0)]
