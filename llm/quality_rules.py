@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import SPACE, U64, SpanHash, importable, line_spans, mix, sums_by_row, text_slices, word_spans
+from llm.common import SPACE, U64, SpanHash, importable, line_spans, mix, plain_names, sums_by_row, text_slices, word_spans
 
 BUCKETS = 1 << 16
 _MULTIPLIERS = mix(np.arange(1, 6, dtype=U64)) | U64(1)
@@ -143,6 +143,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, p: Parameters = Par
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id long, " + "".join(f"{c} long, " for c in COLUMNS) + "base_failed boolean, score double, kept boolean")
 
 
+@plain_names
 def keep_good(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """The documents that are kept, with all their columns."""
     model, schema = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, p)), documents.schema

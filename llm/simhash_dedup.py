@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, gather, importable, materialize, mix, partitions, text_slices, word_spans
+from llm.common import U64, gather, importable, materialize, mix, partitions, plain_names, text_slices, word_spans
 from llm.graph import components
 
 #: Reference fingerprints of the pivot tables.
@@ -204,6 +204,7 @@ def near_groups(documents: DataFrame, width: int = 4, radius: int = 4) -> DataFr
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@plain_names
 def keep_one(documents: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """One document of each component, that of the smallest id, with all columns.  Rows without an id stand under a hash of their
     text; of rows with one id and text one stays."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, WordHash, dealt, gather, importable, materialize, mix, partitions, row_names, text_slices, word_spans
+from llm.common import U64, SpanHash, WordHash, dealt, gather, importable, materialize, mix, partitions, plain_names, row_names, text_slices, word_spans
 
 
 def difference_cover(q: int) -> np.ndarray:
@@ -389,6 +389,7 @@ def _covered_words(batch: pa.RecordBatch, plan: Plan, buf_sizes: Iterator[int])
         yield np.cumsum(step[:-1]) > 0
 
 
+@plain_names
 def remove_repeats(documents: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
     """The documents without their repeated bytes, all columns kept (n_chars, where there is one, counts anew); with `words`, runs of
     so many words that occur elsewhere go as well, however short they are and whatever white space parts them.  Documents that lose

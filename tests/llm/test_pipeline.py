@@ -111,7 +111,7 @@ def test_packing_is_whole(outputs):
 
 def test_registered(spark, smallest, outputs):
     q = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in q if x.startswith("op")} and q["pipeline"] is corpus_pipeline.run
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in q if x.startswith("op")} and q["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, smallest).count() == outputs[5].count()
 
 
@@ -122,3 +122,26 @@ def test_odd_rows(spark, smallest):
         out = stage(spark, docs, smallest)
         assert out.count() >= 0
         assert stage(spark, docs.where("doc_id < 0"), smallest).count() == 0
+
+
+def test_extra_columns_of_any_name(spark):
+    """Helper columns of the stages, and names that differ from the stages' own in case only, come back unchanged."""
+    from llm import line_dedup, near_dedup, quality_rules, simhash_dedup, suffix_dedup
+
+    r = np.random.default_rng(1)
+    words = [f"word{i}" for i in range(500)]
+    texts = ["\n".join(" ".join(r.choice(words, 9)) for _ in range(12)) for _ in range(8)]
+    texts += [texts[0], texts[1] + "\nand more", None]
+    names = ["__id", "__text", "__tie", "__runs", "__word_runs", "__lines", "id", "key", "hashes", "TEXT", "column_3"]
+    rows = [(i, t, *(f"{n} {i}" for n in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(0, 1), (2, 1), (4, 0)], "doc_id long, quality int")
+    for stage in (lambda d: quality_rules.keep_good(d, labels, Parameters(min_score=-9.0)), line_dedup.remove_lines, near_dedup.keep_one, simhash_dedup.keep_one, suffix_dedup.remove_repeats, lambda d: suffix_dedup.remove_repeats(d, 250, 51)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = [tuple(x) for x in out.collect()]
+        assert got and all(list(x[2:]) == [f"{n} {x[0]}" for n in names] for x in got)
+
+
+def test_no_tables_stay_in_the_catalog(spark, outputs):
+    assert outputs and not [t for t in spark.catalog.listTables() if not t.isTemporary]
