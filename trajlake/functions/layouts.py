@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from trajlake.functions.text import strip
+
 #: Names of columns in order of preference.
 STATE = ("observation.state", "actions", "action")
 ACTION = ("actions", "action")
@@ -23,7 +25,7 @@ def first_column(schema: StructType, names: tuple[str, ...]) -> Column:
 def language(schema: StructType, default: str = "") -> Column:
     """The first text that is there and not blank, row by row."""
     held = [F.col(f"`{n}`") for n in LANGUAGE if n in schema.names]
-    return F.coalesce(*(F.when(F.trim(c) != "", c) for c in held), F.lit(default))
+    return F.coalesce(*(F.when(strip(c) != "", c) for c in held), F.lit(default))
 
 
 def view_layout(names: list[str]) -> tuple[str, list[str]]:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Entities that are unescaped, the ampersand last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The characters that count as white space.
+SPACES = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs of white space, and texts whose characters are the bytes of valid UTF-8.
 BLANKS = r"[ \t\n\r\f\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 UTF8_AS_LATIN1 = r"^(?:[\x00-\x7F]++|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})*+$"
@@ -22,18 +24,28 @@ def unescape(x: Column) -> Column:
     return x
 
 
-def clean(x: Column) -> Column:
-    """Repaired, unescaped twice, and trimmed."""
-    return F.trim(unescape(unescape(repaired(x))))
+def strip(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(x, F.lit(SPACES))
+
+
+def clean(x: Column, suspect: Column | None = None) -> Column:
+    """Repaired, unescaped twice, and stripped; suspect: whether there may be anything to repair (see may_be_broken)."""
+    return strip(unescape(unescape(repaired(x) if suspect is None else F.when(suspect, repaired(x)).otherwise(x))))
 
 
 def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, BLANKS, " "))
 
 
+def may_be_broken(x: Column) -> Column:
+    """Cheap, and true of every text of which a part is to be repaired."""
+    return x.rlike(r"[\xC2-\xF4][\x80-\xBF]")
+
+
 def repaired(x: Column) -> Column:
     """UTF-8 that was read as Latin-1 as it was meant; a text that is not such as a whole stays as it is."""
-    broken = x.rlike(r"[\xC2-\xF4][\x80-\xBF]") & x.rlike(UTF8_AS_LATIN1)
+    broken = may_be_broken(x) & x.rlike(UTF8_AS_LATIN1)
     return F.when(broken, F.decode(F.encode(x, "ISO-8859-1"), "UTF-8")).otherwise(x)
 
 
@@ -46,8 +58,15 @@ def canonical(x: Column, keep: str = "") -> Column:
 
 
 def lines(x: Column) -> Column:
-    """Trimmed lines that are not empty."""
-    return F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    """Stripped lines that are not empty."""
+    return F.filter(F.transform(F.split(x, "\n"), strip), lambda s: s != "")
+
+
+def lines_or_fail(x: Column, name: Column) -> Column:
+    """As lines(); fails with the name of a text that has none, or is missing."""
+    found = lines(x)
+    lacking = F.raise_error(F.concat(F.lit("no line in "), name.cast("string"))).cast("array<string>")
+    return F.when(F.size(found) > 0, found).otherwise(lacking)
 
 
 def kept_lines(x: Column) -> Column:
@@ -56,23 +75,23 @@ def kept_lines(x: Column) -> Column:
 
 
 def mode_name(x: Column) -> Column:
-    return F.translate(F.lower(F.trim(x)), "-", "_")
+    return F.translate(F.lower(strip(x)), "-", "_")
 
 
 def integers(x: Column) -> Column:
     """"6, 13" as [6, 13]; blank parts are dropped."""
-    return F.transform(F.filter(F.split(x, ","), lambda s: F.trim(s) != ""), lambda s: F.trim(s).cast("int"))
+    return F.transform(F.filter(F.split(x, ","), lambda s: strip(s) != ""), lambda s: strip(s).cast("int"))
 
 
 def boolean(x: Column) -> Column:
     """Fails on other words than the known ones."""
-    low = F.lower(F.trim(x))
+    low = F.lower(strip(x))
     return F.when(low.isin(*TRUE_WORDS), True).when(low.isin(*FALSE_WORDS), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), x)).cast("boolean"))
 
 
 def number(x: Column) -> Column:
     """A number written in any way, "1e-5" as well; null if it is none."""
-    return F.try_cast(F.trim(x), "double") if hasattr(F, "try_cast") else F.trim(x).try_cast("double")
+    return strip(x).try_cast("double")
 
 
 def padded(prefix: str, i: Column, width: int) -> Column:
@@ -121,4 +140,4 @@ def instruction_texts(json: Column) -> Column:
     items = F.from_json(json, many)
     listed = F.flatten(F.transform(items, lambda x: F.when(x.startswith("{"), F.coalesce(caption(x), F.array().cast(many))).otherwise(F.array(x.cast(one)))))
     own = F.coalesce(F.from_json(F.get_json_object(json, "$.captions"), many), caption(json), F.from_json(F.get_json_object(json, "$.seen"), many))
-    return F.when(F.ltrim(json).startswith("["), listed).otherwise(F.coalesce(own, F.array().cast(many)))
+    return F.when(F.ltrim(json, F.lit(SPACES)).startswith("["), listed).otherwise(F.coalesce(own, F.array().cast(many)))

@@ -45,6 +45,14 @@ def collate_fields(rows: DataFrame, batch: str, tokens: str, mask: str, *stacked
     return wide.select(batch, *stacked, padded.alias(tokens), valid.alias("valid"), F.when(F.col(mask).isNotNull(), pad(F.col(mask), F.col("longest"), F.lit(False))).alias(mask))
 
 
+def first_sight(rows: DataFrame, group: str, name: str, order: list[str], fixed: tuple[str, ...] = ()) -> DataFrame:
+    """group, keys: the fixed names, then all others of the group's rows in the order in which each is seen first."""
+    seen = rows.groupBy(group, name).agg(F.min(F.struct(*order)).alias("at"))
+    others = F.collect_list(F.when(~F.col(name).isin(*fixed) if fixed else F.lit(True), F.struct("at", name)))
+    keys = F.transform(F.array_sort(others), lambda e: e[name])
+    return seen.groupBy(group).agg(F.concat(F.array(*map(F.lit, fixed)).cast("array<string>"), keys).alias("keys"))
+
+
 def flags(rows: DataFrame, batch: Column, **conditions: Column) -> DataFrame:
     """Of each batch: whether all rows, and any row, meet each condition."""
     out = [f(c).alias(f"{kind}_{name}") for name, c in conditions.items() for kind, f in (("all", F.bool_and), ("any", F.bool_or))]

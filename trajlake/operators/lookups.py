@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajlake.functions.text import strip
 from trajlake.operators.ranking import running_sum
 
 
@@ -66,7 +67,7 @@ def resolve_resources(episodes: DataFrame, embeddings: DataFrame, texts: DataFra
 
 def first_of(*candidates: Column) -> Column:
     """The first that is not null and not blank."""
-    return F.coalesce(*(F.when(F.trim(c) != "", c) for c in candidates))
+    return F.coalesce(*(F.when(strip(c) != "", c) for c in candidates))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], insert: bool = True) -> DataFrame:

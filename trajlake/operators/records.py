@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajlake.functions.text import strip
+
 
 def status(value: Column, problem: Column) -> list[Column]:
     """ok, value, err of a reading: problem is null where it went well."""
@@ -13,7 +15,7 @@ def status(value: Column, problem: Column) -> list[Column]:
 
 def number_problem(text: Column) -> Column:
     """Why a text is no number: it is missing, blank, a list, or another word."""
-    return F.when(text.isNull(), "missing").when(F.trim(text) == "", "empty").when(F.ltrim(text).startswith("["), "list").when(F.trim(text).try_cast("double").isNull(), "not a number")
+    return F.when(text.isNull(), "missing").when(strip(text) == "", "empty").when(strip(text).startswith("["), "list").when(strip(text).try_cast("double").isNull(), "not a number")
 
 
 def strictly(value: Column, problem: Column, name: Column, kind: str = "double") -> Column:

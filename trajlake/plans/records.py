@@ -12,6 +12,7 @@ from trajlake.operators import batches, lookups, records, windows
 from trajlake.plans.registry import query
 from trajlake.plans.samples import _CELLS, _matrices
 from trajlake.plans.statistics import VALUES
+from trajlake.plans.texts import _LINES
 from trajlake.plans.trajectories import FRAMES, LENGTHS, _sources
 from trajlake.sources import episode_frames, episode_lengths, table
 
@@ -30,14 +31,14 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reading of each record with whether it went well, and if not, why."""
     payload = F.col("payload")
-    return _payloads(spark, sf_dir).select("event_id", *records.status(F.trim(payload).try_cast("double"), records.number_problem(payload)))
+    return _payloads(spark, sf_dir).select("event_id", *records.status(tx.strip(payload).try_cast("double"), records.number_problem(payload)))
 
 
 @query(f"select event_id, try_cast(trim({_PAYLOAD}) as double) as value from events where ({_PROBLEM}) is null")
 def scan_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be read; the rest is left out."""
     payload = F.col("payload")
-    return _payloads(spark, sf_dir).where(records.number_problem(payload).isNull()).select("event_id", F.trim(payload).try_cast("double").alias("value"))
+    return _payloads(spark, sf_dir).where(records.number_problem(payload).isNull()).select("event_id", tx.strip(payload).try_cast("double").alias("value"))
 
 
 @query("select event_id, (json_extract_string(props, '$.k'))::double as value from events")
@@ -300,8 +301,8 @@ def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("vec_id", "t", F.col("d").cast("long").alias("d"), rounded(clip(F.when(F.col("bright"), value * F.col("factor")).otherwise(value), F.lit(0.0), F.lit(255.0))).alias("x"))
 
 
-@query("""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') as ls from documents),
-p as (select doc_id, ls, @DRAW@ % greatest(len(ls), 1) as k from l) select doc_id, k as line, md5(coalesce(ls[k + 1], '')) as prompt from p where len(ls) > 0""".replace("@DRAW@", draw_sql(5, "'line'", "doc_id")))
+@query("""with l as @LINES@,
+p as (select doc_id, ls, @DRAW@ % greatest(len(ls), 1) as k from l) select doc_id, k as line, md5(coalesce(ls[k + 1], '')) as prompt from p where len(ls) > 0""".replace("@LINES@", _LINES).replace("@DRAW@", draw_sql(5, "'line'", "doc_id")))
 def instruction_random_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A drawn line of each document that has any."""
     rows = table(spark, sf_dir, "documents").select("doc_id", tx.lines(F.col("text")).alias("ls")).where(F.size("ls") > 0)
@@ -361,12 +362,15 @@ def tasks_with_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where("url like '%/en/%'").groupBy(F.split_part(path, F.lit("/"), F.lit(1)).alias("task")).agg(F.count("*").alias("files"))
 
 
-@query("""with k as (select conv_id, list_distinct(list(role order by turn)) as roles, list(role order by turn) as every from conversations group by 1)
-select conv_id, array_to_string(list_filter(['system', 'user'], lambda r: true) || list_filter(list_distinct(every), lambda r: r not in ('system', 'user')), ',') as keys from k""")
+@query("""with w as (select conv_id, turn, string_split(text, ' ') as ws from conversations), e as (select conv_id, turn, unnest(range(len(ws))) as pos, unnest(ws) as word from w),
+m as (select conv_id, turn, word, min(pos) as pos from e where word <> '' and word not in ('the', 'a') group by all),
+o as (select conv_id, word, min(turn * 1000000 + pos) as place from m group by 1, 2)
+select conv_id, array_to_string(['the', 'a'] || list_slice(list(word order by place, word), 1, 20), ',') as keys, count(*) as n from o group by conv_id""")
 def ordered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of two lists in order, each once: fixed ones, then those of the chat."""
-    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
-    return own.select("conv_id", F.array_join(F.array_union(F.array(F.lit("system"), F.lit("user")), "roles"), ",").alias("keys"))
+    """Names of two lists in the order of first sight, each once: fixed ones, then the first twenty other words of a chat."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    keys = batches.first_sight(words.where("word <> ''"), "conv_id", "word", ["turn", "pos"], ("the", "a"))
+    return keys.select("conv_id", F.array_join(F.slice("keys", 1, 22), ",").alias("keys"), (F.size("keys") - 2).cast("long").alias("n")).where("n > 0")
 
 
 @query("select conv_id, turn, md5(text) as repaired from conversations")

@@ -19,19 +19,21 @@ def _entities(x: str) -> str:
     return x
 
 
+_LINES = f"(select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, '{tx.SPACES}')), lambda s: s <> '') as ls from documents)"
 _DROP = "".join(c for c in tx.PUNCTUATION if c != "_").replace("'", "''")
-_CANON = f"trim(regexp_replace(lower(translate(translate(trim({_entities(_entities('line'))}), '_', ' '), '{_DROP}', '')), '{tx.BLANKS}', ' ', 'g'))"
+_CANON = f"trim(regexp_replace(lower(translate(translate(trim({_entities(_entities('line'))}, '{tx.SPACES}'), '_', ' '), '{_DROP}', '')), '{tx.BLANKS}', ' ', 'g'))"
 
 
-@query(f"""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') as ls from documents),
+@query(f"""with l as {_LINES},
 e as (select doc_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from l)
 select doc_id, line_no, md5({_CANON}) as canonical, length(line) as n_chars from e""")
 def instruction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("line_no", "line"))
-    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5(tx.canonical(tx.clean(F.col("line"))).cast("binary")).alias("canonical"), F.length("line").cast("long").alias("n_chars"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.may_be_broken(F.col("text")).alias("suspect"), tx.lines(F.col("text")).alias("ls"))
+    lines = docs.select("doc_id", "suspect", F.posexplode("ls").alias("line_no", "line"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5(tx.canonical(tx.clean(F.col("line"), F.col("suspect"))).cast("binary")).alias("canonical"), F.length("line").cast("long").alias("n_chars"))
 
 
-@query(f"""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') as ls from documents),
+@query(f"""with l as {_LINES},
 p as (select doc_id, ls, {draw_sql(5, 'doc_id')} % 40 as k from l)
 select doc_id, k as variant, md5('scene: ' || coalesce(ls[k + 1], ls[1], '')) as prompt from p""")
 def instruction_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,19 @@ def instruction_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "variant", F.md5(F.concat(F.lit("scene: "), line).cast("binary")).alias("prompt"))
 
 
+_BROKEN_UP = "replace(replace(replace(text, ', ', chr(9) || chr(13) || chr(10) || chr(160)), '. ', chr(10) || chr(9) || chr(10) || '\u2003'), ' the ', chr(28) || chr(10) || chr(12))"
+
+
+@query(f"""with l as (select conv_id, turn, list_filter(list_transform(string_split(trim({_BROKEN_UP}, '{tx.SPACES}'), chr(10)), lambda s: trim(s, '{tx.SPACES}')), lambda s: s <> '') as ls from conversations where trim(text, '{tx.SPACES}') <> '')
+select conv_id, turn, len(ls) as n, md5(array_to_string(ls, '|')) as joined, {draw_sql(5, 'turn', 'conv_id')} % len(ls) as k, ls[1 + {draw_sql(5, 'turn', 'conv_id')} % len(ls)] as chosen from l""")
+def instruction_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that end and begin with white space of every kind, or have nothing else, and one of them drawn; a text without lines would fail."""
+    text = F.expr(_BROKEN_UP)
+    rows = table(spark, sf_dir, "conversations").where(tx.strip(F.col("text")) != "").select("conv_id", "turn", tx.lines_or_fail(text, F.concat_ws("/", "conv_id", "turn")).alias("ls"))
+    k = draw(5, F.col("turn"), F.col("conv_id")) % F.size("ls")
+    return rows.select("conv_id", "turn", F.size("ls").cast("long").alias("n"), F.md5(F.array_join("ls", "|").cast("binary")).alias("joined"), k.alias("k"), F.get("ls", k.cast("int")).alias("chosen"))
+
+
 @query("""with m as (select *, row_number() over (partition by conv_id order by turn) as k from conversations)
 select conv_id, count(*) as turns, count(*) filter (where role = 'user') as user_turns, count(*) filter (where role = 'assistant') as assistant_turns,
 sum(length(text))::bigint as chars, max(case when k = 1 then role end) as opened_by from m group by conv_id""")
