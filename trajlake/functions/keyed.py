@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def draw(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *map(_text, parts)).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def drawn(*parts: object) -> int:
+    """The same of Python values."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
 def draw_sql(*parts: str | int) -> str:
     """The same in DuckDB; strings are SQL expressions."""
     joined = " || ':' || ".join(f"'{p}'" if isinstance(p, int) else f"({p})::varchar" for p in parts)

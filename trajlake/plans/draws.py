@@ -10,6 +10,7 @@ from trajlake.operators import sampling, windows
 from trajlake.plans.registry import ORACLES, query
 from trajlake.plans.trajectories import LENGTHS, LONG, WIDE
 from trajlake.sources import episode_lengths, table
+from trajlake.streaming import coverage
 
 _TASKS = "(select event_type as task, count(*)::double as weight from events where event_type <> 'error' group by 1 union all select 'nothing', 500.0)"
 
@@ -36,6 +37,23 @@ def positive_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.positives(sources, "user_id", "windows")
 
 
+_SHARDS, _PER_REQUEST = 8, 16
+
+
+@query(f"""with e as (select user_id, greatest(n - 40, 0) // 4 as windows, {draw_sql(7, "'shard'", "user_id")} % {_SHARDS} as shard from {LENGTHS}),
+p as (select *, {draw_sql(7, "'pass'", "pass", "user_id")} as spot from (select *, unnest(range(3)) as pass from e) where pass = 0 or windows > 0),
+o as (select *, row_number() over (partition by shard, pass order by spot, user_id) - 1 as place from p),
+d as (select *, row_number() over (partition by shard order by pass, spot, user_id) - 1 as draw from o where windows > 0)
+select shard, draw // {_PER_REQUEST} as request, draw, pass, place, user_id as source, {draw_sql(7, "'window'", "pass", "user_id")} % windows as "window" from d""")
+def stateful_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three passes over all sources, drawn sixteen at a time: each request goes on where the one before it ended."""
+    sources = episode_lengths(table(spark, sf_dir, "events")).select(coverage.shard_of(F.col("user_id"), _SHARDS, 7).alias("shard"), F.col("user_id").alias("source"), F.floor(F.greatest(F.col("n") - 40, F.lit(0)) / 4).alias("windows"))
+    wanted = sources.where("windows > 0").groupBy("shard").agg((3 * F.count("*")).alias("draws"))
+    last = F.ceil(F.col("draws") / _PER_REQUEST) - 1
+    requests = wanted.select("shard", "draws", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("request"))
+    return coverage.draws(sources, requests.select("shard", "request", F.least(F.lit(_PER_REQUEST), F.col("draws") - _PER_REQUEST * F.col("request")).cast("long").alias("draws")))
+
+
 _SEED = "case when split = 'clean' then 7 else 1000010 end"
 
 
