@@ -241,3 +241,42 @@ def test_repair_and_blanks(spark):
     for t in ("caf\u00e9", "é", "Ã©tÃ© and é and 中", "\u00c2"):
         assert row.select(text.repaired(F.lit(t))).first()[0] == t
     assert row.select(text.collapse(F.lit(" a\u00a0\u2003b\x85c\u3000"))).first()[0] == "a b c"
+
+
+@pytest.mark.parametrize("counts", [(6, 0, 0), (5, 3, 2), (9, 1, 2), (4, 4, 4), (1, 0, 0), (7, 8, 0), (11, 1, 1), (3, 3, 1)])
+def test_matching_has_as_many_mixed_pairs_as_can_be(spark, counts):
+    """All but one row are paired, both ways; two of a task meet only if other rows are used up."""
+    from trajlake.operators.negatives import pairs_across
+
+    for seed in (1, 2):
+        rows = [(100 * t + i, None if t == 2 else f"task {t}") for t, n in enumerate(counts) for i in range(n)]
+        task = dict(rows)
+        got = pairs_across(spark.createDataFrame(rows, "k long, task string").repartition(3), "k", "task", seed).collect()
+        partner = {r.k: r.partner for r in got}
+        n, most = len(rows), max(counts)
+        assert len(got) == len(partner) == n - n % 2 and all(partner[p] == k != p for k, p in partner.items())
+        assert all((r.task, r.partner_task) == (task[r.k], task[r.partner]) for r in got)
+        mixed = sum(r.task != r.partner_task for r in got) // 2
+        assert mixed >= min(n // 2, n - most) - (n % 2)
+
+
+def test_strip_and_lines(spark):
+    """As the reference reads them: every kind of white space goes, at the ends of a text's lines."""
+    from trajlake.functions import text as tx
+
+    cases = ["a\n\t\n b\r\n ", "\x1c x  ", "\x85\n　", "", "one", "\r\n\r\n a​b \x0b", " ﻿"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "k int, t string")
+    got = {r.k: (r.s, r.ls) for r in rows.select("k", tx.strip(F.col("t")).alias("s"), tx.lines(F.col("t")).alias("ls")).collect()}
+    assert got == {i: (c.strip(), [x.strip() for x in c.strip().split("\n") if x.strip()]) for i, c in enumerate(cases)}
+    held = rows.where("k = 0").select(tx.lines_or_fail(F.col("t"), F.col("k")).alias("ls"))
+    assert held.first().ls == ["a", "b"]
+    with pytest.raises(Exception, match="no line in 2"):
+        rows.where("k = 2").select(tx.lines_or_fail(F.col("t"), F.col("k")).alias("ls")).collect()
+    assert [r.m for r in spark.sql("select '\t Fast-Mode ' as m").select(tx.mode_name(F.col("m")).alias("m")).collect()] == ["fast_mode"]
+
+
+def test_first_sight(spark):
+    from trajlake.operators.batches import first_sight
+
+    rows = spark.createDataFrame([(1, 0, "b"), (1, 1, "x"), (1, 2, "a"), (1, 3, "b"), (2, 0, "x")], "g int, at int, name string").repartition(3)
+    assert {r.g: r["keys"] for r in first_sight(rows, "g", "name", ["at"], ("x", "y")).collect()} == {1: ["x", "y", "b", "a"], 2: ["x", "y"]}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.keyed import draw
 from trajlake.functions.vectors import negate_places, swap
+from trajlake.operators.lineage import cut
 from trajlake.operators.ranking import positions
 
 KINDS = ("time_swap", "joint_swap", "flip_gripper", "half_noise", "swap_between_samples")
@@ -73,12 +74,48 @@ def fan_out(rows: DataFrame, key: str, task: str, actions: str, steps: int, widt
     return corrupted.select(*columns).unionByName(swapped.select(*columns))
 
 
+def _wide(sided: DataFrame) -> DataFrame:
+    """a, at, b, bt: the two keys of each pair with their tasks.  sided: pair, side (0 or 1), key, task."""
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    return sided.groupBy("pair").agg(of(0, "key").alias("a"), of(0, "task").alias("at"), of(1, "key").alias("b"), of(1, "task").alias("bt")).drop("pair")
+
+
+def _even(placed: DataFrame) -> DataFrame:
+    """Adds half of the number of rows, which come in order of rn, without the last of an odd number."""
+    half = placed.agg(F.floor(F.count("*") / 2).alias("half"))  # one row
+    return placed.crossJoin(F.broadcast(half)).where(F.col("rn") < 2 * F.col("half"))
+
+
 def pairs_across(rows: DataFrame, key: str, task: str, seed: int = 7) -> DataFrame:
-    """key, partner, task, partner_task: rows sorted by task are paired half a table apart, so tasks differ unless one holds more
-    than half of the rows; the last of an odd number has none."""
-    placed = positions(rows.select(key, task), F.col(task).cast("double") * 4294967296.0 + draw(seed, "across", F.col(key)), key)
-    half = placed.agg(F.floor(F.count("*") / 2).alias("half"))
-    sided = placed.crossJoin(F.broadcast(half)).where(F.col("rn") < 2 * F.col("half"))  # half: one row
-    two = sided.select((F.col("rn") % F.col("half")).alias("pair"), key, task)
-    other = two.select("pair", F.col(key).alias("partner"), F.col(task).alias("partner_task"))
-    return two.join(other, "pair").where(F.col(key) != F.col("partner")).select(key, "partner", task, "partner_task")
+    """key, partner, task, partner_task: a random matching in which as many pairs as can be are of two tasks; the last of an odd number in
+    hashed order has none.  (Null is a task.)
+
+    1. Neighbours in hashed order are paired, as if tasks did not matter; pairs of two tasks stay.
+    2. The rows of the others are sorted by task and paired half a table apart: their tasks differ unless one has more than half.
+    3. What is still of one task, then all of it the same, exchanges partners with pairs that do not have it: (x, x) and (y, z) become
+       (x, y) and (x, z).  Pairs left over after that would have to be made of rows of no other task: all other rows are taken.
+
+    Each step joins places in an order of ranges, so no task sees all rows of a task, and what a step has done is written first."""
+    tasks = rows.groupBy(F.col(task).alias("task")).agg(F.count("*").alias("n"))
+    numbered = tasks.select("task", (F.row_number().over(Window.orderBy("task")) - 1).cast("long").alias("g"))  # a row for each task
+    own = cut(rows.select(F.col(key).alias("key"), F.col(task).alias("t")).join(numbered, F.col("t").eqNullSafe(F.col("task"))).select("key", F.col("g").alias("task")), "rows")
+    first = _even(positions(own, draw(seed, "pair", F.col("key")), "key"))
+    first = cut(_wide(first.select(F.floor(F.col("rn") / 2).alias("pair"), (F.col("rn") % 2).alias("side"), "key", "task")), "first")
+    same = F.col("at") == F.col("bt")
+    pool = first.where(same).select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("at").alias("task")), F.struct(F.col("b").alias("key"), F.col("bt").alias("task")))).alias("r")).select("r.*")
+    second = _even(positions(pool, F.col("task") * F.lit(4294967296.0) + draw(seed, "pool", F.col("key")), "key"))
+    second = cut(_wide(second.select((F.col("rn") % F.col("half")).alias("pair"), F.floor(F.col("rn") / F.col("half")).alias("side"), "key", "task")), "second")
+    done = first.where(~same).unionByName(second.where(~same))
+    left = positions(second.where(same), draw(seed, "left", F.col("a")), "a")
+    whose = second.where(same).agg(F.max("at").alias("whose"))  # one row; null if nothing is left
+    able = done.crossJoin(F.broadcast(whose)).withColumn("able", F.coalesce((F.col("at") != F.col("whose")) & (F.col("bt") != F.col("whose")), F.lit(False))).drop("whose")
+    givers = positions(able.where("able").drop("able"), draw(seed, "giver", F.col("a")), "a").select("rn", F.struct("a", "at", "b", "bt").alias("y"))
+    met = left.select("rn", F.struct("a", "at", "b", "bt").alias("x")).join(givers, "rn", "full")
+    pair = lambda p, q: F.struct(p[0].alias("a"), p[1].alias("at"), q[0].alias("b"), q[1].alias("bt"))
+    side = lambda c, k: (F.col(c)[k], F.col(c)[f"{k}t"])
+    crossed = F.array(pair(side("x", "a"), side("y", "a")), pair(side("x", "b"), side("y", "b")))
+    both = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), crossed).otherwise(F.array(F.coalesce("x", "y")))
+    out = able.where("not able").drop("able").unionByName(met.select(F.explode(both).alias("p")).select("p.*"))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("at").alias("t"), F.col("b").alias("partner"), F.col("bt").alias("u")), F.struct(F.col("b").alias("key"), F.col("bt").alias("t"), F.col("a").alias("partner"), F.col("at").alias("u"))))
+    named = out.select(ways.alias("w")).select("w.*").join(numbered.select(F.col("g").alias("t"), F.col("task").alias("__own")), "t").join(numbered.select(F.col("g").alias("u"), F.col("task").alias("__other")), "u")
+    return named.select(F.col("key").alias(key), "partner", F.col("__own").alias(task), F.col("__other").alias("partner_task"))

@@ -160,14 +160,37 @@ def neg_swap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.pairs(table(spark, sf_dir, "embeddings"), "vec_id")
 
 
-@query(f"""with r as (select vec_id, label, row_number() over (order by label::double * 4294967296.0 + {_drawn('across', 'vec_id')}, vec_id) - 1 as rn, count(*) over () // 2 as half from embeddings),
-s as (select rn % half as pair, vec_id, label from r where rn < 2 * half)
-select a.vec_id, b.vec_id as partner, a.label, b.label as partner_task from s a join s b on a.pair = b.pair and a.vec_id <> b.vec_id""")
+def _matched(table_: str, key: str, task: str) -> str:
+    """The matching by ranks; at each step what has two tasks is set aside."""
+    return f"""with tasks as (select t, row_number() over (order by t nulls first) - 1 as g from (select distinct {task} as t from {table_})),
+r as (select {key} as key, g as task from {table_} join tasks on t is not distinct from {task}),
+o as (select *, row_number() over (order by {draw_sql(7, "'pair'", 'key')}, key) - 1 as rn, count(*) over () // 2 as half from r),
+one as (select a.key as a, a.task as ta, b.key as b, b.task as tb from o a join o b on a.rn % 2 = 0 and b.rn = a.rn + 1 and b.rn < 2 * b.half),
+pool as (select a as key, ta as task from one where ta = tb union all select b, tb from one where ta = tb),
+q as (select *, row_number() over (order by task * 4294967296.0::double + {draw_sql(7, "'pool'", 'key')}, key) - 1 as rn, count(*) over () // 2 as half from pool),
+two as (select a.key as a, a.task as ta, b.key as b, b.task as tb from q a join q b on a.rn < a.half and b.rn = a.rn + a.half),
+x as (select *, row_number() over (order by {draw_sql(7, "'left'", 'a')}, a) as rn from two where ta = tb),
+done as (select *, coalesce(ta <> (select max(ta) from x) and tb <> (select max(ta) from x), false) as able from (select * from one where ta <> tb union all select * from two where ta <> tb)),
+y as (select *, row_number() over (order by {draw_sql(7, "'giver'", 'a')}, a) as rn from done where able),
+pairs as (select x.a, x.ta, y.a as b, y.ta as tb from x join y using (rn) union all select x.b, x.tb, y.b, y.tb from x join y using (rn)
+  union all select a, ta, b, tb from x anti join y using (rn) union all select a, ta, b, tb from y anti join x using (rn) union all select a, ta, b, tb from done where not able),
+ways as (select a as key, ta as task, b as partner, tb as other from pairs union all select b, tb, a, ta from pairs)
+select key as {key}, partner, k.t as {task}, l.t as partner_task from ways join tasks k on k.g = ways.task join tasks l on l.g = ways.other"""
+
+
+@query(_matched("embeddings", "vec_id", "label"))
 def neg_swap_prefer_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partners of other tasks, as a rule of ranks: the greedy exchange it stands for is sequential."""
+    """Partners of other tasks, for all that can have one."""
     return negatives.pairs_across(table(spark, sf_dir, "embeddings"), "vec_id", "label")
 
 
+@query(_matched("(select doc_id, case when lang <> 'en' then lang when doc_id % 5 = 0 then null else 'main' end as task from documents)", "doc_id", "task"))
+def neg_swap_large_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where one task may have most rows: its surplus is paired within."""
+    task = F.when(F.col("lang") != "en", F.col("lang")).when(F.col("doc_id") % 5 != 0, "main")
+    return negatives.pairs_across(table(spark, sf_dir, "documents").select("doc_id", task.alias("task")), "doc_id", "task")
+
+
 def _fanout_sql() -> str:
     """Each corruption by its own SQL, summed with a weight for each place, and the swaps."""
     placed = "sum(x * (t * 8 + d + 1))"
