@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.operators import lookups, ranking
+from trajlake import ledger, sinks
 from trajlake.functions.keyed import draw, draw_sql
+from trajlake.operators import lookups, ranking
+from trajlake.operators.lineage import scratch
 from trajlake.plans.registry import query
 from trajlake.sources import table
 
@@ -89,6 +91,28 @@ def dedup_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.upsert(old, new.unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 10_000_000_000).alias("doc_id"), F.lit(99).alias("k"))), ["doc_id"])
 
 
+@query("""select coalesce(d.doc_id, l.doc_id) as doc_id, case when l.doc_id is not null then l.k else d.k end as k
+from (select doc_id, (n_chars % 7)::int as k from documents) d full join (select doc_id, quality + 10 as k from labels where quality = 0 union all select page_id + 10000000000, 99 from pages) l on l.doc_id = d.doc_id""")
+def upsert_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A data set in ranges of a hundred documents; bad labels and new rows are merged into the ranges they touch."""
+    path, part = scratch(spark, "ranges"), F.floor(F.col("doc_id") / 100)
+    sinks.write_ranges(table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 7).cast("int").alias("k")), ["doc_id"], path, part)
+    new = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id", (F.col("quality") + 10).alias("k"))
+    new = new.unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 10_000_000_000).alias("doc_id"), F.lit(99).alias("k")))
+    sinks.upsert_ranges(new, ["doc_id"], path, part)
+    return spark.read.parquet(path).select("doc_id", "k")
+
+
+@query("select user_id, min(event_id) as event_id, count(*) > 0 as cached from events group by user_id")
+def cache_put_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of one row for each user, filled for those who buy, and then for all."""
+    path = scratch(spark, "cache")
+    first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.bool_or(F.col("event_type") == "purchase").alias("buys"))
+    for some in (first.where("buys"), first):
+        ledger.put_absent(some.drop("buys"), ["user_id"], path, lambda rows: rows.withColumn("cached", F.lit(True)))
+    return ledger.published(spark, path)
+
+
 @query("""select doc_id, quality, coalesce(case when trim(d.source) <> '' then d.source end, d.lang) as origin from documents d left join labels l using (doc_id)
 where text is not null and length(text) >= 64 and coalesce(quality, 1) = 1""")
 def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

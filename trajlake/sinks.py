@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.text import moved
 from trajlake.operators import lookups
+from trajlake.operators.lineage import cut
 
 
 def write_samples(samples: DataFrame, path: str, by: tuple[str, ...] = ("neg_type", "split", "task")) -> None:
@@ -33,6 +34,32 @@ def rewrite_upserted(old: DataFrame, new: DataFrame, key: list[str], path: str,
     lookups.upsert(old, new, key, insert).orderBy(*key).write.mode("errorifexists").json(path)
 
 
+def write_ranges(rows: DataFrame, key: list[str], path: str, part: Column) -> None:
+    """Rows in folders by a range of their key (part: a column of it, such as floor(key / 1000)), sorted by key within."""
+    rows.withColumn("part", part).repartition("part").sortWithinPartitions("part", *key).write.mode("errorifexists").partitionBy("part").parquet(path)
+
+
+def upsert_ranges(new: DataFrame, key: list[str], path: str, part: Column, insert: bool = True) -> int:
+    """An upsert into what write_ranges() wrote, of the ranges that the new rows touch only: all other files stay as they are.  The names of
+    these ranges reach the driver, as those of all folders do anyway.  The merged ranges are written aside first, then each replaces its
+    folder as a whole.  Returns how many ranges were rewritten; two writers must not touch one range at a time."""
+    spark = new.sparkSession
+    placed = new.withColumn("part", part)
+    touched = [r[0] for r in placed.select("part").distinct().collect()]
+    held = spark.read.parquet(path)
+    old = held.where(F.col("part").isin(*touched) if touched else F.lit(False))
+    if not insert:
+        placed = placed.join(old.select(*key), key, "left_semi")
+        touched = [r[0] for r in placed.select("part").distinct().collect()]
+        old = old.where(F.col("part").isin(*touched) if touched else F.lit(False))
+    if not touched:
+        return 0
+    placed = placed.withColumn("part", F.col("part").cast(held.schema["part"].dataType))
+    merged = cut(lookups.upsert(old, placed.select(*held.columns), key, insert), "merged")
+    merged.repartition("part").sortWithinPartitions("part", *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return len(touched)
+
+
 def rewrite_one(old: DataFrame, new: DataFrame, key: list[str], path: str) -> bool:
     """As rewrite_upserted(), without inserting; if the old rows have none of the keys, nothing is written.  Whether it was."""
     if old.join(new.select(*key), key, "left_semi").isEmpty():
@@ -75,7 +102,7 @@ def instruction_file(rows: DataFrame, texts: str, prefix: str) -> DataFrame:
 
 
 def append_missing(rows: DataFrame, cache: DataFrame, key: list[str], path: str) -> None:
-    """Only rows whose key the cache lacks."""
+    """Only rows whose key the cache lacks, for one writer; ledger.put_absent() is for several."""
     rows.join(cache.select(*key), key, "left_anti").write.mode("append").parquet(path)
 
 
