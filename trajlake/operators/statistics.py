@@ -21,15 +21,17 @@ def moments(values: DataFrame, *by: str) -> DataFrame:
 
 
 def partial_moments(values: DataFrame, *by: str) -> DataFrame:
-    """n, mean, m2: what can be kept and merged later."""
-    return values.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("m2"))
+    """n, mean, m2, low, high: what can be kept and merged later."""
+    return values.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("m2"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
 def merged_moments(partials: DataFrame, *by: str) -> DataFrame:
-    """Of stored partials: the squares of each add up, and so do those of their means around the mean of all."""
-    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
-    around = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - n * mean * mean
-    return partials.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.sum("m2") + around, F.lit(0.0)) / n).alias("std"))
+    """Of stored partials: the squares of each add up, and so do those of their means around the mean of all, which is taken first, so
+    that nothing large cancels out."""
+    whole = partials.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high"))
+    each = partials.select(*by, F.col("n").alias("own"), F.col("mean").alias("at"), "m2").join(whole, list(by))
+    around = F.sum(F.col("m2") + F.col("own") * F.pow(F.col("at") - F.col("mean"), 2))
+    return each.groupBy(*by, "n", "mean", "low", "high").agg(F.sqrt(around / F.col("n")).alias("std"))
 
 
 def histogram_quantiles(values: DataFrame, shares: list[float], bins: int, by: str = "dim") -> DataFrame:

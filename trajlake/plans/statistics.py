@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.schedules import logit_loss
 from trajlake.functions.vectors import clip, denormalise, normalise, rounded
+from trajlake.operators import histograms
 from trajlake.operators import statistics as st
+from trajlake.operators.lineage import scratch
 from trajlake.plans.registry import query
 from trajlake.sources import table
+from trajlake.streaming.statistics import keep_statistics, statistics
 
 VALUES = "(select vec_id, label, unnest(range(len(embedding))) as dim, unnest(embedding)::double as x from embeddings)"
 RANGES = f"(select dim, min(x) as low, max(x) as high from {VALUES} group by dim)"
@@ -69,8 +72,8 @@ def stats_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MOMENTS = f"select dim, count(*) as n, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std from {VALUES} group by dim"
 
 
-def _rounded_moments(found: DataFrame) -> DataFrame:
-    return found.select("dim", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"))
+def _rounded_moments(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("dim", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"), *more)
 
 
 @query(_MOMENTS)
@@ -84,6 +87,32 @@ def stats_merge_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_moments(st.merged_moments(st.partial_moments(_values(spark, sf_dir), "label", "dim"), "dim"))
 
 
+@query(f"select dim, count(*) as n, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, min(x) as low, max(x) as high from {VALUES} group by dim")
+def stats_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From partials of files that came one after another, each read once."""
+    files, kept, check = (scratch(spark, n) for n in ("files", "partials", "checkpoint"))
+    table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").repartition(6, "vec_id").write.parquet(files)
+    stream = spark.readStream.schema("vec_id long, label int, embedding array<float>").option("maxFilesPerTrigger", 2).parquet(files)
+    keep_statistics(stream, lambda batch: st.by_dimension(batch, "embedding", "file"), kept, check, "dim").awaitTermination()
+    return _rounded_moments(statistics(spark, kept, "dim"), "low", "high")
+
+
+_LEVELS = 64
+
+
+@query(f"""with r as (select dim, min(x) as lo, max(x) as hi, count(*) as n from {VALUES} group by dim),
+v as (select dim, n, min(e) as level from (select *, unnest(range(-40, 41)) as e from r) where floor(hi / pow(2.0::double, e)) - floor(lo / pow(2.0::double, e)) < {_LEVELS} group by dim, n),
+b as (select dim, n, pow(2.0::double, level) as width, floor(x / pow(2.0::double, level)) as bin, count(*) as k from {VALUES} join v using (dim) group by all),
+c as (select *, sum(k) over (partition by dim order by bin rows unbounded preceding) as upto from b)
+select dim, width, min(bin) filter (upto >= n * 0.01::double) * width as q01, min(bin) filter (upto >= n * 0.5::double) * width as q50, min(bin) filter (upto >= n * 0.99::double) * width as q99 from c group by dim, width""")
+def stats_doubling_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In one pass over the values, with bins that double where the range grows; partials of two halves are merged."""
+    vectors = table(spark, sf_dir, "embeddings").select("embedding", F.coalesce(F.col("label") < 5, F.lit(False)).alias("low"))
+    halves = [histograms.partial_histograms(vectors.where(some), "embedding", _LEVELS) for some in ("low", "not low")]
+    found = histograms.quantiles(histograms.merged_histograms(halves[0].unionByName(halves[1]), _LEVELS), [0.01, 0.5, 0.99])
+    return found.withColumnRenamed("group", "dim")
+
+
 @query(f"""select label, max(abs(x)) as max_abs, count(distinct case when abs(x) > 0.45 then dim end) as n_dims,
 coalesce(array_to_string(list_sort(list_distinct(list(dim) filter (where abs(x) > 0.45))), ','), '') as dims from {VALUES} group by label""")
 def stats_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.keyed import draw, draw_sql
 from trajlake.functions.vectors import normalise, rounded
-from trajlake.operators import lookups, windows
+from trajlake.operators import asof, lookups, windows
 from trajlake.operators.windows import Spec
 from trajlake.plans.registry import query
 from trajlake.sources import episode_frames, episode_lengths, table
@@ -161,6 +161,19 @@ def nearest_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.nearest(grid, events, "user_id", "moment", "us", "event_id", _TOLERANCE, ["event_id", "value"])
 
 
+@query("""with e as (select *, epoch_us(ts) as us from events), p as (select user_id, event_id, us from e where event_type in ('click', 'error')),
+n as (select p.*, q.event_id as found, q.value, abs(q.us - p.us) as off, row_number() over (partition by p.event_id order by abs(q.us - p.us), q.event_id) as k
+  from p left join e q on q.user_id = p.user_id and q.event_type = 'purchase')
+select event_id, off, found, value from n where k = 1""")
+def nearest_any_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each click or error the nearest purchase of the same user, however far before or after."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
+    points = events.where(F.col("event_type").isin("click", "error")).select("user_id", F.col("event_id").alias("point_id"), "us")
+    bought = events.where("event_type = 'purchase'").select("user_id", "event_id", "us", "value")
+    found = asof.nearest(points, bought, "user_id", "us", "us", "event_id", ["event_id", "value"])
+    return found.select(F.col("point_id").alias("event_id"), "off", F.col("event_id").alias("found"), "value")
+
+
 @query(f"""select user_id, n, k, i as pos, round_even(i * (n - 1) / greatest(k - 1, 1), 0)::bigint as idx
 from (select *, (round_even(least(greatest(n / 3.0, 4), 24) / 2, 0) * 2)::bigint as k from {LENGTHS}), (select unnest(range(24)) as i) where i < k""")
 def frame_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
