@@ -72,3 +72,21 @@ def valid_only(values: Column, mask: Column) -> Column:
 def within_bounds(rows: Column, limit: float) -> Column:
     """No absolute value is above the limit; NaN passes, as comparisons with it fail."""
     return ~F.exists(rows, lambda row: F.exists(row, lambda x: ~F.isnan(x) & (F.abs(x) > limit)))
+
+
+def block(rows: Column, k: Column, size: int = 120) -> Column:
+    """Rows k * size up to (k + 1) * size of a list of token rows; fails if it does not reach so far."""
+    whole = F.slice(rows, (k * size + 1).cast("int"), F.lit(size))
+    short = F.concat(F.lit("no token block "), k.cast("string"), F.lit(f" of {size} rows in "), F.size(rows).cast("string"))
+    return F.when((k >= 0) & (F.size(whole) == size), whole).otherwise(F.raise_error(short).cast("array<double>"))
+
+
+def to_single(x: Column) -> Column:
+    """Half-precision numbers that are held as 16 bits (brain floats: the upper half of a single) as singles."""
+    bits = F.shiftleft(x.cast("int").bitwiseAND(F.lit(0xFFFF)), 16)
+    sign = F.when(bits < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    exponent = F.shiftrightunsigned(bits, 23).bitwiseAND(F.lit(0xFF))
+    fraction = bits.bitwiseAND(F.lit(0x7FFFFF)) / F.lit(float(1 << 23))
+    special = F.when(fraction == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    value = F.when(exponent == 255, special).when(exponent == 0, sign * fraction * F.pow(F.lit(2.0), F.lit(-126))).otherwise(sign * (1 + fraction) * F.pow(F.lit(2.0), exponent - 127))
+    return value.cast("float")

@@ -130,6 +130,18 @@ def even_count(n: Column, rate: Column, target: float, least: int = 4, most: int
     return (F.rint(F.least(F.greatest(n / rate * target, F.lit(low)), high) / 2) * 2).cast("long")
 
 
+def checked_even_count(n: Column, rate: Column, target: float, least: int = 4, most: int | None = None, asked: Column | None = None, factor: int = 2) -> Column:
+    """How many of n frames to take: as asked, or else for a target rate, between `least` and `most` (768 or all frames if it is not given),
+    as a multiple of `factor`.  Fails unless that is between the factor and n; a rate and a number asked for exclude one another."""
+    near = lambda x: (F.rint(x / factor) * factor).cast("long")
+    low = -(-least // factor) * factor
+    high = F.lit(most // factor * factor) if most is not None else F.floor(F.least(F.lit(768), n) / factor) * factor
+    by_rate = near(F.least(F.greatest(n / rate * target, F.lit(low)), high))
+    count = by_rate if asked is None else F.when(asked.isNotNull(), near(asked)).otherwise(by_rate)
+    wrong = F.concat(F.lit(f"frames should be in {factor} .. "), n.cast("string"), F.lit(", not "), count.cast("string"))
+    return F.when((count >= factor) & (count <= n), count).otherwise(F.raise_error(wrong).cast("long"))
+
+
 #: Names of the ways to sample a window, as sample() takes them.
 MODES = {"strict": strict, "tail_padding": tail_padding, "random_strict_fill": random_strict_fill, "sequential": tiled}
 

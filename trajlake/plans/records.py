@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajlake.functions import chat
 from trajlake.functions import text as tx
 from trajlake.functions.keyed import draw, draw_sql
-from trajlake.functions.vectors import clip, normalise, rounded, squeeze, to_two_dimensions
-from trajlake.operators import batches, lookups, records, windows
+from trajlake.functions.vectors import block, clip, normalise, rounded, squeeze, to_two_dimensions
+from trajlake.operators import batches, hooks, lookups, records, windows
+from trajlake.operators.lineage import scratch
 from trajlake.plans.registry import query
 from trajlake.plans.samples import _CELLS, _matrices
 from trajlake.plans.statistics import VALUES
 from trajlake.plans.texts import _LINES
 from trajlake.plans.trajectories import FRAMES, LENGTHS, _sources
-from trajlake.sources import episode_frames, episode_lengths, table
+from trajlake.sources import episode_frames, episode_lengths, located_manifest, table
 
 #: Payloads of several kinds, as files of different sorts hold them.
 _PAYLOAD = "case when event_id % 7 = 0 then null when event_id % 7 = 1 then ' ' when event_id % 7 = 2 then '[' || value::varchar || ']' when event_id % 7 = 3 then 'x' || event_id::varchar else (event_id % 100)::varchar end"
@@ -68,13 +70,13 @@ def frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("key", records.frame_count(given, ways).alias("frames"))
 
 
-@query(f"""with s as (select user_id, n, least(n, 64) as actions, n // 4 as frames, (n * 10) % 601 as tokens from {LENGTHS})
-select user_id, concat_ws(',', case when frames < 16 then 'frames' end, case when actions < 64 then 'actions' end, case when tokens < 300 then 'tokens' end) as broken,
-frames >= 16 and actions >= 64 and tokens >= 300 as ok from s""")
+@query(f"""with s as (select user_id, n, least(n, 64) as actions, n // 4 as frames, 120 * (3 + n % 3) as tokens from {LENGTHS})
+select user_id, concat_ws(',', case when frames < 16 then 'frames' end, case when actions < 64 then 'actions' end, case when tokens <> 600 then 'tokens' end) as broken,
+frames >= 16 and actions >= 64 and tokens = 600 as ok from s""")
 def shape_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which shapes of an episode's sample are too small."""
+    """Which shapes of an episode's sample are not as they should be: 16 frames and 64 actions at least, five token blocks."""
     n = F.col("n")
-    broken = records.problems(frames=F.floor(n / 4) >= 16, actions=F.least(n, F.lit(64)) >= 64, tokens=n * 10 % 601 >= 300)
+    broken = records.problems(frames=F.floor(n / 4) >= 16, actions=F.least(n, F.lit(64)) >= 64, tokens=120 * (3 + n % 3) == 600)
     rows = episode_lengths(table(spark, sf_dir, "events")).select("user_id", broken.alias("broken"))
     return rows.select("user_id", F.array_join("broken", ",").alias("broken"), (F.size("broken") == 0).alias("ok"))
 
@@ -159,16 +161,71 @@ def path_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", below.alias("below"), tx.with_extension(path, ".pt").alias("renamed"), tx.moved(old).alias("moved"))
 
 
-@query("""with w as (select conv_id, turn, unnest(list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) as w from conversations),
-k as (select conv_id, turn, w, case when length(w) % 5 = 0 then 'image' when length(w) % 7 = 0 then 'video' else 'text' end as kind from w)
-select conv_id, kind, count(*) as n, count(distinct w) as distinct_n from k where kind <> 'text' group by 1, 2""")
+_WORDS = "string_split(text, ' ')"
+
+
+@query(f"""with e as (select conv_id, turn, unnest(range(len({_WORDS}))) as pos, unnest({_WORDS}) as w from conversations where role <> 'system'),
+k as (select conv_id, turn, pos, w, case length(w) % 5 when 0 then 'image' when 1 then 'image' when 2 then 'video' end as kind from e)
+select conv_id, turn, kind, count(*) as n, md5(string_agg(w, ',' order by pos)) as sources from k where kind is not null and length(w) % 7 > 0 group by 1, 2, 3""")
 def chat_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of a chat that name images or videos."""
-    words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    kind = lambda w: F.when(F.length(w) % 5 == 0, "image").when(F.length(w) % 7 == 0, "video").otherwise("text")
-    content = F.transform(words, lambda w: F.struct(kind(w).alias("kind"), w.alias("value")))
-    parts = table(spark, sf_dir, "conversations").select("conv_id", F.inline(F.filter(content, lambda c: c["kind"].isin("image", "video"))))
-    return parts.groupBy("conv_id", "kind").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_n"))
+    """The images and videos that messages name.  Contents are JSON: plain text of the system, and lists of elements of others, of which
+    some have the key of a medium and some an address and a type."""
+    word, size = F.col("w"), F.length("w")
+    element = F.when(size % 7 == 0, F.to_json(F.struct(F.lit("text").alias("type"), word.alias("text"))))
+    element = element.when(size % 5 == 0, F.to_json(F.struct(F.lit("image").alias("type"), word.alias("image"))))
+    element = element.when(size % 5 == 1, F.to_json(F.struct(F.lit("image_url").alias("type"), word.alias("image_url"))))
+    element = element.when(size % 5 == 2, F.to_json(F.struct(word.alias("video"), F.lit(2).alias("fps")))).otherwise(F.to_json(F.struct(F.lit("text").alias("type"), word.alias("text"))))
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    held = words.withColumn("e", element).groupBy("conv_id", "turn", "role", "text").agg(F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("es"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("]"))
+    messages = held.select("conv_id", "turn", F.when(F.col("role") == "system", F.col("text")).otherwise(listed).alias("content"))
+    found = messages.select("conv_id", "turn", F.posexplode(chat.media(F.col("content"))).alias("pos", "m")).select("conv_id", "turn", "pos", "m.kind", "m.source")
+    sources = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]), ",")
+    return found.groupBy("conv_id", "turn", "kind").agg(F.count("*").alias("n"), F.md5(sources.cast("binary")).alias("sources"))
+
+
+@query("""with t as (select doc_id, list_transform(list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> ''), lambda w: length(w)::bigint) as ids from documents),
+b as (select doc_id, ids, (list_sum(ids) % 4)::bigint as k from t where len(ids) >= 600)
+select doc_id, k, list_sum(list_transform(ids[120 * k + 1:120 * k + 120], lambda x, i: x * i))::bigint as now, list_sum(list_transform(ids[120 * (k + 1) + 1:120 * (k + 1) + 120], lambda x, i: x * i))::bigint as next from b""")
+def token_blocks_120(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of six hundred token rows the block of a time slice and the one after it, of 120 rows each."""
+    ids = F.transform(F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != ""), lambda w: F.length(w).cast("long"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).where(F.size("ids") >= 600)
+    rows = rows.withColumn("k", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x) % 4)
+    total = lambda k: F.aggregate(F.transform(block(F.transform("ids", lambda x: x.cast("double")), k), lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "k", total(F.col("k")).alias("now"), total(F.col("k") + 1).alias("next"))
+
+
+@query("""with j as (select doc_id, '{"label":' || quality::varchar || ',"path":"docs/' || doc_id::varchar || '"}' as line from labels)
+select 'docs/' || doc_id::varchar as path, quality::bigint as label, row_number() over (order by doc_id) - 1 as number from labels""")
+def manifest_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest in several files, read with each entry's number over all of them."""
+    path = scratch(spark, "manifest")
+    lines = table(spark, sf_dir, "labels").select("doc_id", F.to_json(F.struct(F.col("quality").alias("label"), F.concat(F.lit("docs/"), F.col("doc_id")).alias("path"))).alias("value"))
+    lines.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    return located_manifest(spark, path).select("path", "label", "number")
+
+
+@query("""select vec_id, case when len(embedding) = 64 and label % 3 > 0 then round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 6) end as norm, label % 3 > 0 as ok,
+case when label % 3 = 0 then 'ValueError: label ' || label::varchar end as err from embeddings""")
+def hooked_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User code on batches; rows that it cannot take say why, and the others of their batch are whole."""
+
+    def set_up():
+        import numpy as np
+
+        def encode(batch):
+            labels = batch.column("label").to_pylist()
+            for label in labels:
+                if label % 3 == 0:
+                    raise ValueError(f"label {label}")
+            x = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
+            return {"norm": (x * x).sum(axis=1)}
+
+        return encode
+
+    rows = hooks.hooked(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), set_up, "norm double", rows_per_call=4)
+    return rows.select("vec_id", rounded(F.col("norm")).alias("norm"), "ok", "err")
 
 
 @query("""with d as (select d.doc_id, d.doc_id // 4 as batch_id, l.quality, case when d.n_chars > 60 then d.n_chars end as size from documents d left join labels l using (doc_id))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajlake.functions import chat
 from trajlake.functions import text as tx
 from trajlake.functions.keyed import draw, draw_sql
 from trajlake.functions.vectors import pad
@@ -73,15 +74,17 @@ def placeholder_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(filled.cast("binary")).alias("filled"), places.cast("long").alias("places"))
 
 
-@query("""with t as (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as before, last_value(role) over (partition by conv_id order by turn rows between unbounded preceding and unbounded following) as final from conversations)
-select conv_id, count(*) filter (where coalesce(before, final) = 'user' and role = 'assistant') as spans, count(*) filter (where role = 'assistant') as media from t group by conv_id""")
+@query(r"""with w as (select conv_id, list_filter(string_split_regex(string_agg(text, ' ' order by turn, text), '[ \t\n\r\f\x0B]+'), lambda w: w <> '') as ws from conversations group by 1),
+e as (select conv_id, unnest(range(len(ws))) as pos, unnest(list_transform(ws, lambda w: case when length(w) <= 3 then 1 else length(w) end)) as id, len(ws) as n from w),
+b as (select *, coalesce(lag(id) over (partition by conv_id order by pos), last_value(id) over (partition by conv_id order by pos rows between unbounded preceding and unbounded following)) as before from e)
+select conv_id, count(*) filter (where id = 4 and before = 1) as images, count(*) filter (where id = 5 and before = 1) as videos from b group by conv_id""")
 def media_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items right after a start mark, where before the first comes the last."""
-    own = Window.partitionBy("conv_id").orderBy("turn")
-    final = F.last("role").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = table(spark, sf_dir, "conversations").withColumn("before", F.coalesce(F.lag("role").over(own), final))
-    media = F.col("role") == "assistant"
-    return rows.groupBy("conv_id").agg(F.count_if(media & (F.col("before") == "user")).alias("spans"), F.count_if(media).alias("media"))
+    """Image and video marks right after a start mark in the token ids of a chat; before the first comes the last."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(texts, " ").alias("text"))
+    words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    ids = chats.select("conv_id", F.transform(words, lambda w: F.when(F.length(w) <= 3, 1).otherwise(F.length(w))).alias("ids"))
+    return ids.where(F.size("ids") > 0).select("conv_id", *chat.media_counts(F.col("ids"), 1, 4, 5))
 
 
 @query("select event_id, coalesce(cast(json_extract(props, '$.k') as bigint), -1) as k from events")
