@@ -1,19 +1,20 @@
 """Packing of tokenised documents into sequences under several limits at once (vector bin packing).
 
-A sequence has limits on tokens, segments and loss-bearing tokens.  Pieces are placed by the dot-product heuristic: largest first,
-each into the open sequence whose remaining room, weighted by the piece's demands, is greatest in the sense of the dot product of
-the two vectors (each dimension as a share of its limit), among those that can take it whole.  What room is left at the end of a
-batch is filled by cutting: the emptiest sequences are dissolved and their pieces cut into the gaps of the others.  Whatever cannot
-fill a sequence is carried to the next batch of the partition; the last of a partition is cut at powers of two, so that no padding
-is left unless the limits on segments or loss-bearing tokens bind.
+A sequence has limits on tokens, segments and loss-bearing tokens.  Pieces are placed by the dot-product heuristic, a sequence at a
+time: of the pieces that fit whole, the one whose demands point most in the direction of the room that is left comes next, by the dot
+product of the two unit vectors, in tenths; of equally good ones the largest.  Each dimension is a share of its limit, weighted by what
+all pieces ask of it, so that a limit that does not bind has no say.  So prompts without loss meet answers full of it, and short
+pieces what has few segments.  What room is then left is filled by cutting: the emptiest sequences are dissolved and their pieces
+cut into the gaps of the others; the better the placement, the fewer the cuts.  Whatever cannot fill a sequence is carried to the next
+batch of the partition; the last of a partition is cut at powers of two, so that no padding is left unless the limits on segments or
+loss-bearing tokens bind.
 
 Rows are packed where they are read: no shuffle, memory bounded by one batch, and a lost task is simply run again.  A sequence's id
 holds the partition in its high bits.  A partition leaves some sequences shorter than `max_tokens` (each a power of two long).
 
 Defined results: null or empty text is one token, the end.  Repeated rows are packed once each; a row without doc_id has a null one in
-its pieces.  A text of any length is cut into pieces of `max_tokens` and a rest.  Pieces of equal length are placed in the order of
-their rows; of sequences that fit equally well the one opened first is taken.  Extra columns are ignored; an empty table gives an
-empty one.
+its pieces.  A text of any length is cut into pieces of `max_tokens` and a rest.  Pieces of equal demands are placed in the order of
+their rows.  Extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,8 +38,6 @@ class Limits:
     tokens: int = 2048
     segments: int = 256
     loss: int = 2048
-    #: Sequences that are open to a piece at a time; the others are as full as these or fuller.
-    open: int = 64
 
 
 @dataclass
@@ -77,26 +76,34 @@ def fits(piece: Piece, room: np.ndarray) -> int:
 
 
 def place(pieces: list[Piece], limits: Limits) -> list[Sequence]:
-    """Whole pieces into sequences by the dot product of demand and room."""
+    """Whole pieces into sequences by the dot product of demand and room.  Pieces of equal demands are one kind, so that the work of a
+    placement is that of the kinds that are left, however many short pieces there are."""
+    if not pieces:
+        return []
     full = np.array([limits.tokens, limits.segments, limits.loss], float)
-    scale, done, open_ = 1 / full**2, [], []
-    rooms = np.zeros((limits.open, 3), np.int64)
-    for piece in sorted(pieces, key=lambda p: (-p.length, p.row, p.start)):
-        need = np.array([piece.length, 1, piece.loss], np.int64)
-        able = (rooms[: len(open_)] >= need).all(1)
-        if able.any():
-            score = np.where(able, rooms[: len(open_)] @ (need * scale), -1.0)
-            i = int(score.argmax())
-        elif len(open_) < limits.open:
-            i = len(open_)
-            open_.append(Sequence(limits))
-        else:
-            i = int(rooms[:, 0].argmin())  # the fullest one closes
-            done.append(open_[i])
-            open_[i] = Sequence(limits)
-        open_[i].add(piece)
-        rooms[i] = open_[i].room
-    return done + open_
+    pieces = sorted(pieces, key=lambda p: (-p.length, p.row, p.start))
+    need, kind = np.unique([(-p.length, 1, p.loss) for p in pieces], axis=0, return_inverse=True)
+    need[:, 0] *= -1  # the largest first
+    stock: list[list[Piece]] = [[] for _ in need]
+    for piece, k in zip(reversed(pieces), reversed(kind.ravel().tolist())):
+        stock[k].append(piece)
+    weight = (need / full * np.bincount(kind.ravel())[:, None]).sum(0)
+    weight /= weight.max() * full
+    way = need * weight
+    way /= np.sqrt((way * way).sum(1))[:, None]
+    out, left = [], np.arange(len(need))
+    while len(left):
+        own = Sequence(limits)
+        able = left
+        while len(able := able[(need[able] <= own.room).all(1)]):
+            room = own.room * weight
+            match = np.round(way[able] @ (room / np.sqrt(room @ room)), 1)
+            k = int(able[match.argmax()])
+            own.add(stock[k].pop())
+            if not stock[k]:
+                left, able = left[left != k], able[able != k]
+        out.append(own)
+    return out
 
 
 def fill(sequences: list[Sequence], limits: Limits) -> tuple[list[Sequence], list[Piece]]:
