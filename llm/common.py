@@ -84,19 +84,20 @@ class WordHash(SpanHash):
         self.start(residue(words >> U64(2) & U64(PRIME)), residue(words >> U64(33)), second)
 
 
-def text_slices(batch: pa.RecordBatch, name: str, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, UTF-8 bytes, offsets) of runs of whole rows of about `limit` bytes; null is empty."""
-    column = batch.column(batch.schema.get_field_index(name)).fill_null("").cast(pa.large_string())
-    buffers, n = column.buffers(), len(column)
-    if not n:
-        return
-    offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
-    first = 0
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
-        yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        first = last
+def text_slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 20, rows: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, UTF-8 bytes, offsets) of runs of whole rows of about `limit` bytes, `rows` at most; null is empty.
+    No more than so many rows are copied at a time."""
+    whole = batch.column(batch.schema.get_field_index(name))
+    for begin in range(0, len(whole), rows):
+        column = whole.slice(begin, rows).fill_null("").cast(pa.large_string())
+        buffers, n = column.buffers(), len(column)
+        offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + n + 1]
+        data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
+        first = 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+            yield begin + first, begin + last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+            first = last
 
 
 def rows_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
