@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +21,28 @@ TRUE_WORDS, FALSE_WORDS = ("yes", "true", "t", "y", "1"), ("no", "false", "f", "
 
 
 def unescape(x: Column) -> Column:
+    """The commonest entities, without leaving the JVM; clean_lines() knows all."""
     for entity, char in ENTITIES.items():
         x = F.replace(x, F.lit(entity), F.lit(char))
     return x
 
 
+def _unescaped_twice(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda v: None if v is None else [s if s is None else html.unescape(html.unescape(s)) for s in v])
+
+
+def unescaped(lines: Column) -> Column:
+    """Texts with every entity that HTML knows unescaped, twice: only lists in which there is an ampersand leave the JVM."""
+    some = F.exists(lines, lambda s: s.contains("&"))
+    return F.coalesce(F.pandas_udf(_unescaped_twice, "array<string>")(F.when(some, lines)), lines)
+
+
+def clean_lines(lines: Column, suspect: Column | None = None) -> Column:
+    """As clean() of each of a list of texts, with every entity that HTML knows."""
+    whole = F.transform(lines, lambda s: repaired(s) if suspect is None else F.when(suspect, repaired(s)).otherwise(s))
+    return F.transform(unescaped(whole), strip)
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.btrim(x, F.lit(SPACES))

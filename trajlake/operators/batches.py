@@ -24,6 +24,13 @@ def optional(rows: DataFrame, batch: str, columns: list[str]) -> DataFrame:
     return joined.withColumns({c: F.when(F.col(f"__{c}"), F.col(c)) for c in columns}).select(*rows.columns)
 
 
+def without_null(rows: DataFrame, batch: str, sample: str) -> DataFrame:
+    """Rows whose sample is there; a batch without any is one row of nulls."""
+    some = rows.where(F.col(sample).isNotNull())
+    empty = rows.groupBy(batch).agg(F.count(sample).alias("__n")).where(F.col("__n") == 0).select(batch, *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != batch))
+    return some.unionByName(empty)
+
+
 def required(rows: DataFrame, *columns: str) -> DataFrame:
     """Fails where one of the columns is null."""
 

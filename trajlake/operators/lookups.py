@@ -70,6 +70,19 @@ def first_of(*candidates: Column) -> Column:
     return F.coalesce(*(F.when(strip(c) != "", c) for c in candidates))
 
 
+def first_path(rows: DataFrame, key: list[str], candidates: list[Column], files: DataFrame, path: str = "path", name: str = "found") -> DataFrame:
+    """rows with the first of their candidate paths that is among the files; null if none is.  `key` names a row."""
+    asked = rows.select(*key, F.posexplode(F.array(*candidates)).alias("prio", path))
+    hits = asked.join(files.select(path).distinct(), path).groupBy(*key).agg(F.min_by(path, "prio").alias(name))
+    return rows.join(hits, key, "left")
+
+
+def with_length(rows: DataFrame, lengths: DataFrame, key: str, length: str, default: Column | None = None) -> DataFrame:
+    """rows with the length of their key; a key without one has the default, or null."""
+    joined = rows.join(lengths.select(key, length), key, "left")
+    return joined if default is None else joined.withColumn(length, F.coalesce(length, default))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], insert: bool = True) -> DataFrame:
     """Values of the new rows over the old; keys that only the new ones have come in if `insert`."""
     values = [c for c in old.columns if c not in key]

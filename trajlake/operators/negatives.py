@@ -26,6 +26,11 @@ def free_dims(width: int, avoid: tuple[int, ...] = GRIPPERS) -> list[int]:
     return [d for d in range(width) if d not in avoid]
 
 
+def free_dims_of(width: Column, avoid: Column) -> Column:
+    """The same for each row: its dimensions but for those of a list."""
+    return F.array_except(F.sequence(F.lit(0), width - 1), avoid)
+
+
 def joint_swap(rows: Column, steps: int, width: int, key: Column, seed: int = 7, times: int = 3, avoid: tuple[int, ...] = GRIPPERS) -> Column:
     """At a step, two of the dimensions not avoided change places, `times` times."""
     dims = free_dims(width, avoid)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajlake.operators.lineage import cut
+
 
 def _range_of(value: Column, cuts: list) -> Column:
     """How many cuts are at or below the value, found in two steps of about the root of their number."""
@@ -58,6 +60,18 @@ def positions_within(rows: DataFrame, group: str, number: Column, *ties: str, na
     return placed.withColumn(name, (F.col("__own") + F.coalesce("__before", F.lit(0))).cast("long")).drop("__number", "__large", "__part", "__own", "__group", "__range", "__before")
 
 
+def ordered_positions(rows: DataFrame, *columns: str, name: str = "rn") -> DataFrame:
+    """Adds each row's place, from 0, in the order of columns of any kind.  Rows are cut into ranges by samples of them, as a sort does, and
+    written with their range; a range's first place is a row of a small table."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(n, *columns).withColumn("__range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*columns)) - 1
+    placed = ranged.withColumn("__inside", inside).join(before, "__range")
+    return placed.withColumn(name, (F.col("__before") + F.col("__inside")).cast("long")).drop("__range", "__inside", "__before")
+
+
 def positions(rows: DataFrame, number: Column, *ties: str, name: str = "rn") -> DataFrame:
     """Adds each row's place, from 0, in the order of a number and then ties."""
     return running_sum(rows, number, F.lit(1).cast("long"), *ties, name=name).withColumn(name, F.col(name) - 1)

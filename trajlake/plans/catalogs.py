@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajlake import ledger, sinks
 from trajlake.functions.keyed import draw, draw_sql
-from trajlake.operators import lookups, ranking
+from trajlake.operators import batches, lookups, negatives, ranking
 from trajlake.operators.lineage import scratch
 from trajlake.plans.registry import query
 from trajlake.sources import table
@@ -152,3 +152,61 @@ def shard_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hashed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reproducible shuffle of a whole table."""
     return ranking.positions(table(spark, sf_dir, "documents").select("doc_id"), draw(3, F.col("doc_id")), "doc_id", name="place")
+
+
+_EPISODES = """(select 'clean' as split, c_nationkey::varchar as task, c_custkey::varchar as episode from customer union all select 'randomized', s_nationkey::varchar, s_suppkey::varchar from supplier)"""
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers as the episodes of two splits, nations as their tasks; all names are text."""
+    parts = [table(spark, sf_dir, t).select(F.lit(split).alias("split"), F.col(f"{p}_nationkey").cast("string").alias("task"), F.col(f"{p}_{k}key").cast("string").alias("episode")) for split, t, p, k in (("clean", "customer", "c", "cust"), ("randomized", "supplier", "s", "supp"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"select split, task, episode, row_number() over (order by split, task, episode) - 1 as place from {_EPISODES}")
+def episode_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes in the order of three names, as text: 10 comes before 2."""
+    return ranking.ordered_positions(_splits(spark, sf_dir), "split", "task", "episode", name="place")
+
+
+@query(f"""select task, count(*) as episodes, count(*) filter (split = 'clean') as clean, count(distinct split) as splits, min(split || '/' || episode) as first, max(split || '/' || episode) as final from {_EPISODES} group by task""")
+def merged_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits side by side: a task of both is one bucket."""
+    name = F.concat_ws("/", "split", "episode")
+    return _splits(spark, sf_dir).groupBy("task").agg(F.count("*").alias("episodes"), F.count_if(F.col("split") == "clean").alias("clean"), F.count_distinct("split").alias("splits"), F.min(name).alias("first"), F.max(name).alias("final"))
+
+
+@query(f"""with e as {_EPISODES}, f as (select 't' || s_nationkey::varchar || '/instructions/' || s_suppkey::varchar || '.json' as path from supplier where s_acctbal > 5000
+union all select 't' || s_nationkey::varchar || '/' || s_suppkey::varchar || '.json' from supplier where s_acctbal > 0 union all select 'instructions/' || c_custkey::varchar || '.json' from customer where c_mktsegment = 'BUILDING'),
+c as (select *, unnest([0, 1, 2]) as prio, unnest(['t' || task || '/instructions/' || episode || '.json', 't' || task || '/' || episode || '.json', 'instructions/' || episode || '.json']) as path from e),
+h as (select split, task, episode, arg_min(path, prio) as found from c where path in (select path from f) group by all)
+select e.split, e.task, e.episode, h.found, o.n as length from e left join h using (split, task, episode) left join (select o_custkey::varchar as episode, count(*) as n from orders group by 1) o on o.episode = e.episode""")
+def instruction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three places where an episode's instructions may be, the first that has a file, and its length, where one is known."""
+    supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    task, own = F.concat(F.lit("t"), "s_nationkey"), F.concat(F.col("s_suppkey").cast("string"), F.lit(".json"))
+    files = supplier.where("s_acctbal > 5000").select(F.concat(task, F.lit("/instructions/"), own).alias("path")).unionByName(supplier.where("s_acctbal > 0").select(F.concat(task, F.lit("/"), own).alias("path")))
+    files = files.unionByName(customer.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("instructions/"), "c_custkey", F.lit(".json")).alias("path")))
+    name = F.concat("episode", F.lit(".json"))
+    places = [F.concat(F.lit("t"), "task", F.lit("/instructions/"), name), F.concat(F.lit("t"), "task", F.lit("/"), name), F.concat(F.lit("instructions/"), name)]
+    found = lookups.first_path(_splits(spark, sf_dir), ["split", "task", "episode"], places, files)
+    lengths = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("episode")).agg(F.count("*").alias("length"))
+    return lookups.with_length(found, lengths, "episode", "length")
+
+
+@query("""with r as (select doc_id // 4 as batch_id, doc_id, quality from documents left join labels using (doc_id))
+select batch_id, doc_id, quality from r where quality is not null union all select batch_id, null, null from r group by 1 having count(quality) = 0""")
+def batches_without_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that are there; a batch that has none is empty, which is a row too."""
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 4).alias("batch_id"), "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return batches.without_null(rows.select("batch_id", "doc_id", "quality"), "batch_id", "quality")
+
+
+@query("""select vec_id, len(free) as n, list_sum(list_transform(free, lambda d, i: d * i))::bigint as placed
+from (select vec_id, list_filter(range(len(embedding)), lambda d: d <> 6 and d <> 13 and d <> label and d <> vec_id % 64) as free from embeddings)""")
+def free_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions but for two that are fixed and two of each row's own."""
+    avoid = F.array(F.lit(6), F.lit(13), F.col("label").cast("int"), (F.col("vec_id") % 64).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", negatives.free_dims_of(F.size("embedding"), avoid).alias("free"))
+    placed = F.aggregate(F.transform("free", lambda d, i: (d * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("vec_id", F.size("free").cast("long").alias("n"), placed.alias("placed"))

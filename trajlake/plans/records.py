@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajlake import sinks
 from trajlake.functions import chat
 from trajlake.functions import text as tx
 from trajlake.functions.keyed import draw, draw_sql
@@ -16,7 +17,7 @@ from trajlake.plans.samples import _CELLS, _matrices
 from trajlake.plans.statistics import VALUES
 from trajlake.plans.texts import _LINES
 from trajlake.plans.trajectories import FRAMES, LENGTHS, _sources
-from trajlake.sources import episode_frames, episode_lengths, located_manifest, table
+from trajlake.sources import episode_frames, episode_lengths, located_manifest, read_entries, table, with_entry
 
 #: Payloads of several kinds, as files of different sorts hold them.
 _PAYLOAD = "case when event_id % 7 = 0 then null when event_id % 7 = 1 then ' ' when event_id % 7 = 2 then '[' || value::varchar || ']' when event_id % 7 = 3 then 'x' || event_id::varchar else (event_id % 100)::varchar end"
@@ -134,17 +135,16 @@ def language_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with r as (select label, dim, min(x) as low, max(x) as high from {VALUES} group by 1, 2)
 select v.vec_id, v.dim, round((v.x - r.low) / case when r.high = r.low then 1 else r.high - r.low end, 6) as y from {VALUES} v join r on r.label = v.label and r.dim = v.dim""")
 def stats_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics by task as one JSON document, and each vector normalised by its task's entry."""
+    """Statistics by task, written as one JSON document and read again; each vector is normalised by its task's entry."""
+    path = scratch(spark, "statistics")
     values = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.min("x").cast("double").alias("low"), F.max("x").cast("double").alias("high"))
 
     def ordered(c: str) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), lambda z: z[c]).alias(c)
 
-    entry = [ordered("low"), ordered("high")]
-    named = values.groupBy(F.col("label").cast("string").alias("label")).agg(*entry).select("label", F.struct("low", "high").alias("entry"))
-    document = named.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("label", "entry")))).alias("document"))  # one row: an entry for each task
-    name = F.col("label").cast("string")
-    rows = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(document)).select("vec_id", "embedding", *(records.statistic(F.col("document"), name, c).alias(c) for c in ("low", "high")))
+    sinks.write_document(values.groupBy("label").agg(ordered("low"), ordered("high")), "label", path)
+    entries = read_entries(spark, path, "low array<double>, high array<double>")
+    rows = with_entry(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), F.col("label").cast("string"), entries, ["low", "high"])
     zipped = rows.select("vec_id", F.posexplode(F.arrays_zip(F.col("embedding").alias("x"), "low", "high")).alias("dim", "z"))
     return zipped.select("vec_id", F.col("dim").cast("long").alias("dim"), rounded(normalise(F.col("z.x").cast("double"), F.col("z.low"), F.col("z.high"))).alias("y"))
 

@@ -34,6 +34,15 @@ def instruction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5(tx.canonical(tx.clean(F.col("line"), F.col("suspect"))).cast("binary")).alias("canonical"), F.length("line").cast("long").alias("n_chars"))
 
 
+@query(f"""select conv_id, turn, len(ls) as n, md5(array_to_string(list_transform(ls, lambda s: trim(replace(replace(s, 'que', chr(233) || '&' || chr(9829) || 'A' || chr(8364)), ' on ', '<' || chr(160) || '>'), '{tx.SPACES}')), '|')) as cleaned
+from (select conv_id, turn, list_filter(list_transform(string_split(replace(text, '. ', chr(10)), chr(10)), lambda s: trim(s, '{tx.SPACES}')), lambda s: s <> '') as ls from conversations)""")
+def entities_unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in which words stand as entities of every kind, named and numbered, some of them escaped twice, some without a semicolon."""
+    text = F.replace(F.replace("text", F.lit("que"), F.lit("&eacute;&amp;amp;&amp;hearts;&#65;&#x80;")), F.lit(" on "), F.lit("&lt&nbsp;&amp;gt;"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean_lines(tx.lines(F.replace(text, F.lit(". "), F.lit("\n")))).alias("ls"))
+    return rows.select("conv_id", "turn", F.size("ls").cast("long").alias("n"), F.md5(F.array_join("ls", "|").cast("binary")).alias("cleaned"))
+
+
 @query(f"""with l as {_LINES},
 p as (select doc_id, ls, {draw_sql(5, 'doc_id')} % 40 as k from l)
 select doc_id, k as variant, md5('scene: ' || coalesce(ls[k + 1], ls[1], '')) as prompt from p""")

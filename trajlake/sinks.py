@@ -89,6 +89,14 @@ def merge_documents(old: DataFrame, new: DataFrame, key: list[str], path: str) -
     lookups.override(old, new, key).write.mode("errorifexists").json(path)
 
 
+def write_document(entries: DataFrame, name: str, path: str) -> None:
+    """A JSON document of one object by name, {name: {field: ...}}, over what was there.  It is read whole by those who use it, so it has
+    an entry for a group, never for a row of data; entries are joined into one file."""
+    entry = F.struct(F.col(name).cast("string").alias("name"), F.struct(*(c for c in entries.columns if c != name)).alias("entry"))
+    whole = entries.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    whole.write.mode("overwrite").text(path)
+
+
 def write_report(rows: DataFrame, path: str, template: str, *columns: str) -> None:
     """One formatted line a row, in order of the columns."""
     ordered = rows.orderBy(*columns)
