@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajlake.operators.lineage import cut
+
 
 def by_dimension(vectors: DataFrame, column: str, *keep: str) -> DataFrame:
     """dim, x: one row per value."""
@@ -36,11 +38,12 @@ def merged_moments(partials: DataFrame, *by: str) -> DataFrame:
 
 def histogram_quantiles(values: DataFrame, shares: list[float], bins: int, by: str = "dim") -> DataFrame:
     """Two passes: the range of each dimension, then counts of bins.  The bin of x is floor((x - low) * (bins - 1) / range); the value of
-    a bin is its left edge on a grid of `bins` bins over the range, which lies below the true quantile by up to two bins.  The values
-    are not shuffled: what is broadcast has a row for each dimension."""
+    a bin is its left edge on a grid of `bins` bins over the range, which lies below the true quantile by up to two bins.  By dimension
+    the values are not shuffled: what is broadcast has a row for each.  By another column the ranges are written first, so that Spark
+    knows their size and broadcasts them only where it is small."""
     ranges = values.groupBy(by).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("total"))
     scaled = F.floor((F.col("x") - F.col("low")) * ((bins - 1) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))))
-    binned = values.join(F.broadcast(ranges), by).select(by, "low", "high", "total", F.least(F.greatest(scaled, F.lit(0)), F.lit(bins - 1)).alias("bin"))
+    binned = values.join(F.broadcast(ranges) if by == "dim" else cut(ranges, "ranges"), by).select(by, "low", "high", "total", F.least(F.greatest(scaled, F.lit(0)), F.lit(bins - 1)).alias("bin"))
     counted = binned.groupBy(by, "low", "high", "total", "bin").agg(F.count("*").alias("k"))
     running = counted.withColumn("upto", F.sum("k").over(Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
     found = [F.min(F.when(F.col("upto") >= F.col("total") * s, F.col("bin"))).alias(f"b{i}") for i, s in enumerate(shares)]
