@@ -14,7 +14,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     A node's neighbours are never gathered: each round takes their minimum (combined before the shuffle) and joins it back.  The
     minima are written first: then both sides of the join are plain shuffles, and Spark splits those of a node with very many
-    neighbours.  What a round wrote goes when the next one's edges are there."""
+    neighbours.  What a round wrote goes when the next one's edges are there.  Rounds number as the logarithm of the longest path, each
+    moves at most twice the edges; a graph that has not settled after `most_rounds` fails."""
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
