@@ -5,8 +5,9 @@ each coordinate, so what enters one table is decided by block keys: the bits are
 bits agree on at least m - radius of them, so each goes to the table of every choice of m - radius blocks; m follows from how many
 there are.  Within a table, Hamming distances to reference fingerprints are computed once for each member; members are sorted by the
 distance to the first reference, and each is paired with those that follow within the radius in that coordinate; pairs further apart in
-any other coordinate are discarded, and the survivors verified.  Large tables take members as pivots: what lies within the radius
-of a pivot is linked to it, and by the triangle inequality only what lies within twice the radius can have links into that ball.
+any other coordinate are discarded, and the survivors verified.  The members of a large table are first dealt to finer ones by the
+bits in which they differ.  What is a large table then holds members near each other, and takes these as pivots: what lies within the
+radius of a pivot is linked to it, and by the triangle inequality only what lies within twice the radius can have links into that ball.
 A partition returns a forest of its links, not the pairs; components over all partitions follow on DataFrames.
 
 Defined results: null, empty or blank text has fingerprint zero, linked like any other; equal texts and repeated rows share fingerprint
@@ -119,8 +120,21 @@ def window_pairs(place: np.ndarray, radius: int, most: int = 1_000_000) -> Itera
         yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def table_links(keys: np.ndarray, fps: np.ndarray, radius: int, small: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within tables (runs of equal sorted keys)."""
+def finer(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, fps) of finer tables for the members of one: the bits in which any of them differ are cut into blocks, two more than the
+    radius, and two members within it agree on two of these at least."""
+    bits = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(fps ^ fps[0]).reshape(1).view(np.uint8), bitorder="little"))
+    m = min(len(bits), radius + 2)
+    blocks = [int(sum(1 << int(b) for b in bits[len(bits) * i // m : len(bits) * (i + 1) // m])) for i in range(m)]
+    masks = [sum(c) for c in combinations(blocks, m - radius)] if m > radius else [0]
+    keys = np.concatenate([mix((fps & U64(mask)) + mix(i)) for i, mask in enumerate(masks)])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.tile(fps, len(masks))[order]
+
+
+def table_links(keys: np.ndarray, fps: np.ndarray, radius: int, small: int = 256, again: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within tables (runs of equal sorted keys).  The members of a large table are dealt to finer ones once; what is large then is
+    a cloud of near members, and those are linked through members as pivots."""
     start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
     size = np.diff(np.append(start, len(keys)))
     table, sizes = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
@@ -137,7 +151,10 @@ def table_links(keys: np.ndarray, fps: np.ndarray, radius: int, small: int = 256
             true = np.bitwise_count(members[a] ^ members[b]) <= radius
             yield members[a[true]], members[b[true]]
     for s, g in zip(start[size > small], size[size > small]):
-        yield from ball_links(fps[s : s + g], radius)
+        if again:
+            yield from table_links(*finer(fps[s : s + g], radius), radius, small, again=False)
+        else:
+            yield from ball_links(fps[s : s + g], radius)
 
 
 def forest(links: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:

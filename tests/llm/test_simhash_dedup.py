@@ -83,3 +83,32 @@ def test_odd_rows(spark):
     assert got == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (None, None)], key=str)
     assert sorted((r.doc_id or 0, r.fp) for r in keep_one(docs).collect()) == [(0, "c"), (1, "y"), (4, "b")]
     assert near_groups(docs.where("doc_id < 0")).count() == 0 and keep_one(docs.where("doc_id < 0")).count() == 0
+
+
+def test_large_tables_are_dealt_anew():
+    """One key for all: members spread out, clouds of near ones, and both; the components are those of all pairs."""
+    import numpy as np
+
+    from llm.common import U64
+    from llm.simhash_dedup import finer, forest, table_links
+
+    rng = np.random.default_rng(7)
+    low = U64(0xFFFFFFFF)
+    spread = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) & low
+    flips = lambda centre, n, most: np.array([int(centre) ^ sum(1 << int(b) for b in rng.choice(32, rng.integers(0, most + 1), replace=False)) for _ in range(n)], np.uint64)
+    cloud = flips(spread[0], 1500, 6)
+    few = flips(0, 700, 3) & U64(0x7)
+    for fps in (spread, cloud, np.concatenate([spread, cloud]), few, spread[:2], np.concatenate([cloud, flips(spread[1], 400, 9)])):
+        fps = np.unique(fps)
+        got = forest(table_links(np.zeros(len(fps), np.uint64), fps, 4))
+        near = np.bitwise_count(fps[:, None] ^ fps) <= 4
+        label = np.arange(len(fps))
+        while True:
+            new = np.array([label[n].min() for n in near])
+            if (new == label).all():
+                break
+            label = new
+        want = {int(f): int(fps[k]) for f, k in zip(fps, label)}
+        assert {k: got.get(k, k) for k in want} == want
+    keys, members = finer(np.unique(spread), 4)
+    assert len(members) == 15 * len(np.unique(spread)) and np.bincount(np.unique(keys, return_inverse=True)[1]).max() < 60
