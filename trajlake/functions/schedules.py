@@ -68,6 +68,13 @@ def euler_step(x: Column, velocity: Column, now: Column, then: Column) -> Column
     return x + velocity * (then - now)
 
 
+def stepped_by(x: Column, sigmas: list[float], velocity: Callable[[Column, Column], Column], step: Callable[[Column, Column, Column, Column], Column] = euler_step) -> Column:
+    """A value led through a schedule by hooks: velocity(x, now) at each time, and step(x, velocity, now, then) to the next."""
+    for now, then in zip(sigmas, sigmas[1:]):
+        x = step(x, velocity(x, F.lit(float(now))), F.lit(float(now)), F.lit(float(then)))
+    return x
+
+
 def add_noise(x: Column, noise: Column, sigma: Column) -> Column:
     return (1 - sigma) * x + sigma * noise
 

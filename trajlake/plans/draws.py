@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajlake import datasets
 from trajlake.functions.keyed import draw, draw_sql
 from trajlake.operators import sampling, windows
 from trajlake.plans.registry import ORACLES, query
-from trajlake.plans.trajectories import LENGTHS, LONG, WIDE
+from trajlake.plans.statistics import RANGES, VALUES
+from trajlake.plans.trajectories import FRAMES, LENGTHS, LONG, WIDE
 from trajlake.sources import episode_lengths, table
 from trajlake.streaming import coverage
 
@@ -98,3 +100,15 @@ def embedding_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", variant.alias("variant"), matrix(F.transform("embedding", lambda x: x.cast("double")), 16).alias("variants"))
     own = squeeze(F.array(F.get("variants", F.col("variant").cast("int"))))
     return rows.select("vec_id", "variant", rounded(F.aggregate(own, F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query(f"""select 'episodes' as kind, user_id::varchar as name, n, round(total, 6) as total from (select w.user_id, count(*) as n, sum(f.value) as total from ({ORACLES["window_strict"]}) w left join {FRAMES} f on f.user_id = w.user_id and f.frame_idx = w.action_idx group by 1)
+union all select 'vectors', label::varchar, count(*), round(sum((x - low) / case when high = low then 1 else high - low end), 6) from {VALUES} join {RANGES} using (dim) group by label""")
+def datasets_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two data sets from their configurations: windows of episodes with their values, and normalised vectors, summed up."""
+    common = {"global_downsample_rate": LONG.stride, "video_action_freq_ratio": LONG.ratio, "num_video_frames": LONG.frames, "video_height": 384}
+    found = datasets.create(spark, {"common": common, "dataset": {"dataset_dir": sf_dir, "params": {"sampling_mode": "strict"}}})
+    own = datasets.create(spark, {"common": common, "dataset": {"type": "vectors", "dataset_dir": sf_dir}})
+    parts = [(found, "episodes", F.col("user_id").cast("string"), "value"), (own, "vectors", F.col("task"), "x")]
+    sums = [rows.groupBy(F.lit(kind).alias("kind"), name.alias("name")).agg(F.count("*").alias("n"), F.round(F.sum(x), 6).alias("total")) for rows, kind, name, x in parts]
+    return sums[0].unionByName(sums[1])

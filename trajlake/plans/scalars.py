@@ -198,3 +198,15 @@ def flow_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(zipped).alias("dim", "z"), (F.col("vec_id") % 10 / 10.0).alias("sigma"))
     x, y, sigma = F.col("z.x").cast("double"), F.col("z.y").cast("double"), F.col("sigma")
     return rows.select("vec_id", F.col("dim").cast("long").alias("dim"), rounded(sch.add_noise(x, y, sigma)).alias("noised"), rounded(sch.euler_step(x, y - x, F.lit(1.0), sigma)).alias("stepped"), rounded(sch.guided(x, y, 3.0)).alias("guided"), sch.to_byte(x).alias("byte"))
+
+
+@query("""with r as (select vec_id, unnest(range(64)) as dim, unnest(embedding)::double as x from embeddings),
+a as (select *, x + (x * 0.5::double - 1.0::double) * (0.6::double - 1.0::double) as x1 from r), b as (select *, greatest(x1, -1) + (x1 * 0.5::double - 0.6::double) * (0.3::double - 0.6::double) as x2 from a),
+c as (select *, greatest(x2, -1) + (x2 * 0.5::double - 0.3::double) * (0.0::double - 0.3::double) as x3 from b)
+select vec_id, dim, round(x3, 6) as x from c""")
+def hooked_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps of a schedule with a velocity and a clipping step of one's own."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
+    clipped = lambda x, v, now, then: F.greatest(x, F.lit(-1.0)) + v * (then - now)
+    x = sch.stepped_by(F.col("x").cast("double"), [1.0, 0.6, 0.3, 0.0], lambda x, now: x * 0.5 - now, clipped)
+    return rows.select("vec_id", F.col("dim").cast("long").alias("dim"), rounded(x).alias("x"))
