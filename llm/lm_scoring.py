@@ -11,8 +11,11 @@ All counts are exact and cover all training documents.  Rows of equal doc_id and
 chunks of about `chunk_tokens`, in a table bucketed by chunk, so that texts move no more; a chunk asks for its
 distinct words and bigrams only (the map-side combine of the counts) and is answered by the partitions that hold the totals: bigrams go
 where their history's count goes, so that its failure weight is settled there and travels with the count; then the chunk
-compiles the part of the automaton that its texts can reach.  No task holds the model; what moves is bounded by the chunks' distinct
-n-grams.  What every task is given is two numbers, those of the training tokens and words.
+compiles the part of the automaton that its texts can reach.  The bigrams of a frequent history would meet in one task: they go by
+their own hash instead, and what they take of the history's mass is summed up over the partitions.  Which histories count as frequent
+is seen in a 64th of the documents; it decides where counts meet, not what they are.  No task holds the model; what moves is bounded by
+the chunks' distinct n-grams.  What every task is given is the numbers of the training tokens and words, and a number for each frequent
+history, of which there are `frequent` at most and 4 for each partition.
 
 Tokens are words of lower-cased (A-Z) text and one end for each text, named by 64-bit hashes.
 
@@ -43,6 +46,10 @@ _A, _B = mix(np.array([11, 12], U64)) | U64(1)
 class Parameters:
     discount: float = 0.5
     chunk_tokens: int = 1_000_000
+    #: Most histories whose bigrams are dealt by themselves; below 2 ** 15.
+    frequent: int = 16_384
+    #: One document of so many is looked into for them.
+    sampled: int = 64
 
 
 @dataclass(frozen=True)
@@ -101,10 +108,33 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([trained], pa.int64())], names=["tokens", "trained"])
 
 
-REQUEST = "bucket int, chunk long, names binary, counts binary, sizes binary, pairs binary, pair_counts binary"
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens and how often each stands in a slice; all of them under null."""
+    for batch in batches:
+        for _, _, buf, offsets in text_slices(batch, "text"):
+            names, counts = np.unique(tokens(buf, offsets)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*names.view(np.int64).tolist(), None], pa.int64()), pa.array([*counts.tolist(), int(counts.sum())], pa.int64())], names=["name", "n"])
+
+
+def frequent_words(docs: DataFrame, p: Parameters, n: int) -> np.ndarray:
+    """Sorted names of the tokens that have more than a quarter of a partition's share in a sample of the documents."""
+    some = docs.where(F.pmod(F.xxhash64("id", "tie"), F.lit(p.sampled)) == 0).select("text").mapInArrow(_word_counts, "name long, n long")
+    top = some.groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(p.frequent + 1).collect()  # null first: it has all
+    if not top:
+        return np.zeros(0, U64)
+    return np.sort(np.array([r.name for r in top[1:] if r.n * 4 * n > top[0].n], np.int64).view(U64))
+
 
+def _places(hot: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place of each word among the frequent ones, or -1."""
+    at = np.minimum(np.searchsorted(hot, words), max(len(hot) - 1, 0))
+    return np.where(hot[at] == words, at, -1).astype(np.int16) if len(hot) else np.full(len(words), -1, np.int16)
 
-def _ask(n: int):
+
+REQUEST = "bucket int, chunk long, names binary, counts binary, sizes binary, pairs binary, pair_counts binary, hot binary"
+
+
+def _ask(n: int, hot: np.ndarray):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """What a chunk has: distinct words and the bigrams after each, with counts in training texts, packed for each partition."""
         parts = []
@@ -120,15 +150,26 @@ def _ask(n: int):
         keys, of = np.unique(both, return_inverse=True)
         pair_counts = np.bincount(of, weights=own, minlength=len(keys)).astype(np.int64)
         history, token = np.divmod(keys, len(words))
-        sizes = np.bincount(history, minlength=len(words)).astype(np.int32)
+        named, whose = mix(words[history] * _A + words[token] * _B), _places(hot, words)[history]
+        rest = whose < 0
+        sizes = np.bincount(history[rest], minlength=len(words)).astype(np.int32)
         bucket, cuts = _by_bucket(words, n)
         pair_cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[cuts]
-        blobs = [_blobs(words, cuts), _blobs(counts, cuts), _blobs(sizes, cuts), _blobs(mix(words[history] * _A + words[token] * _B), pair_cuts), _blobs(pair_counts, pair_cuts)]
-        return pa.table([pa.array(bucket.astype(np.int32)), pa.array([key[0].as_py()] * len(bucket), pa.int64()), *blobs], names=[c.split()[0] for c in REQUEST.split(", ")])
+        rows = [bucket, _blobs(words, cuts), _blobs(counts, cuts), _blobs(sizes, cuts), _blobs(named[rest], pair_cuts), _blobs(pair_counts[rest], pair_cuts), _blobs(whose[:0], cuts * 0)]
+        own = _by_name(named[~rest])
+        bucket, cuts = _by_bucket(named[~rest][own], n)
+        none = _blobs(words[:0], cuts * 0)
+        more = [bucket, none, none, none, *(_blobs(x[~rest][own], cuts) for x in (named, pair_counts, whose))]
+        return pa.concat_tables([pa.table([pa.array(b.astype(np.int32)), pa.array([key[0].as_py()] * len(b), pa.int64()), *blobs], names=[c.split()[0] for c in REQUEST.split(", ")]) for b, *blobs in (rows, more)])
 
     return run
 
 
+def _by_name(names: np.ndarray) -> np.ndarray:
+    """The order in which a chunk asks for the bigrams of frequent histories, and is answered."""
+    return np.argsort(names, kind="stable")
+
+
 def _numbered(parts: list[tuple], words: np.ndarray, number: np.ndarray) -> np.ndarray:
     """The pairs of a chunk's texts in order; parts: (hashes, rows) of slices, number: of all their tokens among the sorted words."""
     end, at, out = int(np.searchsorted(words, END)), 0, []
@@ -140,37 +181,37 @@ def _numbered(parts: list[tuple], words: np.ndarray, number: np.ndarray) -> np.n
 
 #: Counts come in the order of the names that were asked for: a chunk knows these, so names do not travel back.
 ANSWER = "chunk long, bucket int, counts binary, takes binary, pair_counts binary"
-TOTALS = -1  #: The chunk under which a partition sends the number of its training words.
+TOTALS, TAKES = -1, -2  #: The chunks under which a partition sends the number of its training words, and what frequent histories' bigrams take.
 
 
-def _answer(p: Parameters):
+def _answer(p: Parameters, n: int, frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One partition's share of the names: totals and what a history's bigrams take, back to each chunk that asked for them."""
         asked = []
         for batch in batches:
-            for bucket, chunk, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "names", "counts", "sizes", "pairs", "pair_counts"))):
-                asked.append((bucket, chunk, *(np.frombuffer(x, t) for x, t in zip(blobs, (U64, np.int64, np.int32, U64, np.int64)))))
+            for bucket, chunk, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "names", "counts", "sizes", "pairs", "pair_counts", "hot"))):
+                asked.append((bucket, chunk, *(np.frombuffer(x, t) for x, t in zip(blobs, (U64, np.int64, np.int32, U64, np.int64, np.int16)))))
+        hot, asked = [x for x in asked if len(x[7])], [x for x in asked if not len(x[7])]
+        if hot:
+            totals, order, start, back = _totals(hot)
+            whose = np.concatenate([x[7] for x in hot])[order[start]]
+            yield _row(TAKES, 0, totals[:0], np.bincount(whose, weights=_taken(totals, p), minlength=frequent), totals[:0])
+            at = 0
+            for bucket, chunk, *_, own_pairs, _, _ in hot:
+                yield _row(chunk, bucket + n, totals[:0], totals[:0].astype(float), back[at : at + len(own_pairs)])
+                at += len(own_pairs)
         if not asked:
             return
         names, of = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
         of = of.astype(np.int32)
         total = np.bincount(of, weights=np.concatenate([x[3] for x in asked]), minlength=len(names)).astype(np.int64)
         history = np.repeat(of, np.concatenate([x[4] for x in asked]))
-        keys = np.concatenate([x[5] for x in asked])
-        order = np.argsort(keys)
-        keys = keys[order]
-        start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])[: len(keys)]
-        size = np.diff(np.append(start, len(keys)))
-        del keys
-        totals = np.add.reduceat(np.concatenate([x[6] for x in asked])[order], start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
-        takes = np.bincount(history[order[start]], weights=np.where(totals > 0, totals - p.discount, 0), minlength=len(names))
-        del history
-        pair_total = np.empty(len(order), np.int64)
-        pair_total[order] = np.repeat(totals, size)
-        del order
+        totals, order, start, pair_total = _totals(asked)
+        takes = np.bincount(history[order[start]], weights=_taken(totals, p), minlength=len(names))
+        del history, order
         yield _row(TOTALS, 0, np.array([np.count_nonzero(total)]), takes[:0], totals[:0])
         at = pair_at = 0
-        for bucket, chunk, own, _, _, own_pairs, _ in asked:
+        for bucket, chunk, own, _, _, own_pairs, _, _ in asked:
             mine = of[at : at + len(own)]
             yield _row(chunk, bucket, total[mine], takes[mine], pair_total[pair_at : pair_at + len(own_pairs)])
             at += len(own)
@@ -179,6 +220,32 @@ def _answer(p: Parameters):
     return run
 
 
+def _totals(asked: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of requests: the totals of distinct bigrams, the order by name, where each begins in it, and the total of each that was asked for."""
+    keys = np.concatenate([x[5] for x in asked])
+    order = np.argsort(keys)
+    keys = keys[order]
+    start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])[: len(keys)]
+    size = np.diff(np.append(start, len(keys)))
+    del keys
+    totals = np.add.reduceat(np.concatenate([x[6] for x in asked])[order], start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.repeat(totals, size)
+    return totals, order, start, back
+
+
+def _taken(totals: np.ndarray, p: Parameters) -> np.ndarray:
+    return np.where(totals > 0, totals - p.discount, 0)
+
+
+def _takes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column("takes").to_pylist():
+            takes = np.frombuffer(x, np.float64)
+            at = np.flatnonzero(takes)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(takes[at])], names=["place", "take"])
+
+
 def _row(chunk: int, bucket: int, *blobs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=[c.split()[0] for c in ANSWER.split(", ")])
 
@@ -215,18 +282,27 @@ class Automaton:
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(p: Parameters, known: Corpus):
+def _score(p: Parameters, known: Corpus, buckets: int, hot: np.ndarray, hot_takes: np.ndarray):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         fields = [*(c.split()[0] for c in SCHEMA.split(", ")), "copies"]
         rows_of = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "counts", "takes", "pair_counts"))), key=lambda r: r[0])
-        count, takes, seen = (np.frombuffer(b"".join(r[i] for r in rows_of), t) for i, t in ((1, np.int64), (2, np.float64), (3, np.int64)))
+        own = [r for r in rows_of if r[0] < buckets]
+        count, takes, seen = (np.frombuffer(b"".join(r[i] for r in own), t) for i, t in ((1, np.int64), (2, np.float64), (3, np.int64)))
+        seen_hot = np.frombuffer(b"".join(r[3] for r in rows_of if r[0] >= buckets), np.int64)
         parts = [(batch.slice(first, last - first), *tokens(buf, offsets)) for batch in docs.to_batches() for first, last, buf, offsets in text_slices(batch, "text")]
         out = []
         if parts:
             vocabulary, number = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
+            place = _places(hot, vocabulary)
+            takes = np.where(place < 0, takes, hot_takes[place] if len(hot) else 0.0)
             machine = Automaton(known, count, takes, p)
             keys = np.unique(_numbered([x[1:] for x in parts], vocabulary, number))
-            machine.add(keys[seen > 0], seen[seen > 0])
+            history, token = np.divmod(keys, len(vocabulary))
+            at = np.flatnonzero(place[history] >= 0)
+            full = np.empty(len(keys), np.int64)
+            full[place[history] < 0] = seen
+            full[at[_by_name(mix(vocabulary[history[at]] * _A + vocabulary[token[at]] * _B))]] = seen_hot
+            machine.add(keys[full > 0], full[full > 0])
             base = np.log10((count + 1) / (known.tokens + known.words + 1))
             begin, at = int(np.searchsorted(vocabulary, END)), 0
             for batch, hashes, rows in parts:
@@ -252,8 +328,12 @@ def score_documents(documents: DataFrame, p: Parameters = Parameters()) -> DataF
     chunks = 1 + (size[0] or 0) // p.chunk_tokens
     single = docs.groupBy("id", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("trained").alias("trained"), F.count("*").alias("copies"))
     rows = dealt(single.select(F.pmod(F.xxhash64("id", "tie"), F.lit(chunks)).alias("chunk"), "doc_id", "text", "trained", "copies"), "chunks", "chunk")
-    asked = rows.groupBy("chunk").applyInArrow(_ask(n), REQUEST)
-    answers = materialize(asked.repartitionById(n, "bucket").mapInArrow(_answer(p), ANSWER), "answers")
+    hot = frequent_words(docs, p, n)
+    asked = rows.groupBy("chunk").applyInArrow(_ask(n, hot), REQUEST)
+    answers = materialize(asked.repartitionById(n, "bucket").mapInArrow(_answer(p, n, len(hot)), ANSWER), "answers")
+    hot_takes = np.zeros(len(hot))
+    for r in answers.where(F.col("chunk") == TAKES).select("takes").mapInArrow(_takes, "place int, take double").groupBy("place").agg(F.sum("take").alias("take")).collect() if len(hot) else []:
+        hot_takes[r.place] = r.take
     words = sum(int(np.frombuffer(r.counts, np.int64)[0]) for r in answers.where(F.col("chunk") == TOTALS).select("counts").collect())
-    done = rows.groupBy("chunk").cogroup(answers.where(F.col("chunk") >= 0).groupBy("chunk")).applyInArrow(_score(p, Corpus(size[1] or 0, words)), SCHEMA + ", copies long")
+    done = rows.groupBy("chunk").cogroup(answers.where(F.col("chunk") >= 0).groupBy("chunk")).applyInArrow(_score(p, Corpus(size[1] or 0, words), n, hot, hot_takes), SCHEMA + ", copies long")
     return done.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("copy", "copies")

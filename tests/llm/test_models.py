@@ -204,3 +204,24 @@ def test_every_word_is_a_history(spark, smallest):
     want = scores([(r.doc_id, r.text) for r in docs.collect()], p)
     got = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, p).collect()}
     assert got == {i: pytest.approx(w[5]) for i, w in want.items()}
+
+
+@pytest.mark.parametrize("sampled", [1, 10**12])
+def test_one_history_before_half_of_all_words(spark, sampled):
+    """Its bigrams are dealt to all partitions, so that no task has more than its share; scores are those of the definition, and do not
+    depend on which histories the sample shows to be frequent."""
+    r = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"the w{k}" for k in r.integers(0, 20_000, 300))) for i in range(60)] + [(99, None)], "doc_id long, text string").repartition(3)
+    p = lm_scoring.Parameters(chunk_tokens=2_000, sampled=sampled)
+    want = scores([(x.doc_id, x.text) for x in docs.collect()], p)
+    got = {x.doc_id: (x.n_known, x.score) for x in lm_scoring.score_documents(docs, p).collect()}
+    assert got == {i: (w[2], pytest.approx(w[5])) for i, w in want.items()}
+    # what a task of 40 would be asked for
+    n, names = 40, docs.selectExpr("doc_id as id", "xxhash64(text) as tie", "text")
+    hot = lm_scoring.frequent_words(names, p, n)
+    rows = pa.table({"text": [x.text for x in docs.collect()], "trained": [True] * 61, "copies": [1] * 61})
+    asked = lm_scoring._ask(n, hot)((pa.scalar(0),), rows)
+    pairs = np.zeros(n)
+    np.add.at(pairs, asked.column("bucket").to_numpy(), [len(x) // 8 for x in asked.column("pairs").to_pylist()])
+    share = pairs.max() / pairs.sum()
+    assert (len(hot), share < 2 / n) == (1, True) if sampled == 1 else (len(hot), share > 0.4) == (0, True)
