@@ -42,3 +42,25 @@ def test_steps_by_hooks(spark):
     x = spark.createDataFrame([(8.0,)], "x double")
     assert x.select(schedules.stepped_by(F.col("x"), [1.0, 0.5, 0.0], lambda x, now: x * now).alias("x")).first().x == (8 - 8 * 0.5) * (1 - 0.25)
     assert x.select(schedules.stepped_by(F.col("x"), [1.0], lambda x, now: x).alias("x")).first().x == 8
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A driver that was started elsewhere, with the repository on its own path only."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {str(tmp_path / "w")!r}).config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__
+q = __spark_entry__.queries()
+print("rows", *(q[n](spark, "/root/testdata/sf0.001").count() for n in ("stateful_draws", "stats_doubling_quantiles", "hooked_encoder")))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    counts = [line.split()[1:] for line in done.stdout.splitlines() if line.startswith("rows")]
+    assert counts and all(int(c) > 0 for c in counts[0]), done.stderr[-2000:]

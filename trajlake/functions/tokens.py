@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.functions.text import canonical, clean, collapse
+from trajlake.session import importable
 
 #: How a text is cleaned first, by name.
 CLEAN = {None: lambda x: x, "whitespace": lambda x: collapse(clean(x)), "lower": lambda x: F.lower(collapse(clean(x))), "canonicalize": lambda x: canonical(clean(x))}
@@ -38,6 +39,7 @@ def tokenized(rows: DataFrame, text: str, vocabulary: str, length: int | None =
                 mask.append([1] * len(own) + [0] * fill)
             yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in rows_), pa.array(ids, pa.list_(pa.int32())), pa.array(mask, pa.list_(pa.int32()))], names=[*rows_, "ids", "mask"])
 
+    importable(rows.sparkSession)
     rows_: list[str] = rows.columns
     cleaned: Column = F.coalesce(CLEAN[how](F.col(text)), F.lit(""))
     return rows.withColumn("__cleaned", cleaned).mapInArrow(run, schema)

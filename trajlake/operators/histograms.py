@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajlake.session import importable
+
 #: Bins are not finer than 2 ** FINEST, and their numbers stay below LARGEST, so that doubles hold them.
 FINEST, LARGEST = -40, 1 << 52
 PARTIAL = "group long, level int, bin long, k long"
@@ -66,6 +68,7 @@ def partial_histograms(vectors: DataFrame, column: str, bins: int) -> DataFrame:
             at = np.flatnonzero(h.counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), group)), pa.array(np.full(len(at), h.level, np.int32)), pa.array(at + h.low), pa.array(h.counts[at])], names=["group", "level", "bin", "k"])
 
+    importable(vectors.sparkSession)
     return vectors.select(F.transform(column, lambda x: x.cast("double")).alias("x")).mapInArrow(run, PARTIAL)
 
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from trajlake.session import importable
+
 Hook = Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | dict]
 
 
@@ -59,4 +61,5 @@ def hooked(rows: DataFrame, set_up: Callable[[], Hook], added: str, rows_per_cal
                             out = full(one, [pa.nulls(1, k) for k in kinds], False, f"{type(e).__name__}: {e}"[:1000])
                         yield out
 
+    importable(rows.sparkSession)
     return rows.mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -13,6 +15,15 @@ SETTINGS = {
 }
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where it lies, whatever folder the driver was started in; everything with Python code
+    calls it.  On a cluster without that folder, ship the package with --py-files."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def session(master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName("trajlake")
     if master:

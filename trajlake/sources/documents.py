@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajlake.session import importable
+
 
 def _as_json(text: str | None) -> str | None:
     """A YAML text as JSON; JSON is YAML, but is not sent through here."""
@@ -21,6 +23,7 @@ def _as_json(text: str | None) -> str | None:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """file, document (JSON text) of each file; those that end in .yaml or .yml are turned into JSON, a whole file in a task."""
+    importable(spark)
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("document"))
     yaml_ = F.lower("file").rlike(r"\.ya?ml$")
     convert = F.pandas_udf(lambda s: s.map(_as_json, na_action="ignore"), "string")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from trajlake.functions.keyed import drawn
+from trajlake.session import importable
 
 #: What a stream of draws needs of its session.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -77,6 +78,7 @@ def draws(sources: DataFrame, requests: DataFrame, seed: int = 7) -> DataFrame:
     turn; a source without windows gets no draw, one that comes late is drawn from the next pass on.  A restart from the checkpoint goes
     on at the same place.  What a task holds is one shard's sources: take as many shards as that asks for.  A session with streams needs
     STATE_STORE."""
+    importable(sources.sparkSession)
     sources.sparkSession.streams.active  # noqa: B018 - starts what looks after state stores, which tables need too
     none = F.lit(None).cast("long")
     asked = requests.select("shard", "request", "draws", none.alias("source"), none.alias("windows"))
