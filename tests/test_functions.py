@@ -261,7 +261,7 @@ def test_matching_has_as_many_mixed_pairs_as_can_be(spark, counts):
 
 
 def test_strip_and_lines(spark):
-    """As the reference reads them: every kind of white space goes, at the ends of a text's lines."""
+    """Every kind of white space goes, at the ends of a text and of its lines."""
     from trajlake.functions import text as tx
 
     cases = ["a\n\t\n b\r\n ", "\x1c x  ", "\x85\n　", "", "one", "\r\n\r\n a​b \x0b", " ﻿"]
