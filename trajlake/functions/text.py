@@ -22,9 +22,10 @@ TRUE_WORDS, FALSE_WORDS = ("yes", "true", "t", "y", "1"), ("no", "false", "f", "
 
 def unescape(x: Column) -> Column:
     """The commonest entities, without leaving the JVM; clean_lines() knows all."""
+    out = x
     for entity, char in ENTITIES.items():
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return x
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.when(x.contains("&"), out).otherwise(x)
 
 
 def _unescaped_twice(lines: pd.Series) -> pd.Series:

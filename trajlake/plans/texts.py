@@ -30,7 +30,8 @@ e as (select doc_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from
 select doc_id, line_no, md5({_CANON}) as canonical, length(line) as n_chars from e""")
 def instruction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", tx.may_be_broken(F.col("text")).alias("suspect"), tx.lines(F.col("text")).alias("ls"))
-    lines = docs.select("doc_id", "suspect", F.posexplode("ls").alias("line_no", "line"))
+    # outer, for else the optimizer puts a filter below that splits and strips all texts twice more
+    lines = docs.select("doc_id", "suspect", F.posexplode_outer("ls").alias("line_no", "line")).where("line is not null")
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5(tx.canonical(tx.clean(F.col("line"), F.col("suspect"))).cast("binary")).alias("canonical"), F.length("line").cast("long").alias("n_chars"))
 
 
