@@ -44,6 +44,17 @@ def plain(url, rules):
     return (host, path, *(max(fit)[2:] if fit else (None, "allow")))
 
 
+def test_verdicts_of_the_contract(spark, tmp_path):
+    """Each rule's word, written out here from the contract and taken neither from the query nor from its SQL."""
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    hosts = ["com", "a.com", "example.com", "w.EXAMPLE.com", "net", "a.net", "example.net", "w.example.net", "myexample.net", "org", "a.org", "xnet"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ["", "/en/", "/en/7", "/en/71", "/de/", "/de/1", "/de/8", "/de/8x?q", "/de", "/es/1#a", "/x/de/8"]] + [None, "net/de/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, queries.op4_url_filters(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert got == [(i, *plain(u, rules)) for i, u in enumerate(urls)]
+    assert {x[3:] for x in got} == {(h + p, v) for h, p, v in rules} | {(None, "allow")}
+
+
 def test_nested_rules(spark, monkeypatch):
     monkeypatch.setattr(url_filters, "KEYS_PER_SWEEP", 20)
     r = random.Random(1)
