@@ -29,7 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: those of 5-word Jaccard similarity 0.8 or more are linked."""
+    """One document of each group of near-duplicates stays: SimHash fingerprints in pivot distance tables list pairs, those of 5-word
+    Jaccard similarity 0.8 or more are linked."""
     importable(spark)
     return near_dedup.keep_one(docs)
 

@@ -1,11 +1,17 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: minhash keys list candidates, the shingle sets decide.
+"""Near-duplicates by exact Jaccard similarity of word shingles: SimHash fingerprints in pivot distance tables list candidates, the
+shingle sets decide.
 
-Texts of equal shingle sets are combined first.  Each set has `bands` keys of `rows` minhashes, so two sets of similarity s share a key
-with probability 1 - (1 - s ** rows) ** bands: all but 7 in a million at 0.8, fewer above.  Of the sets of a key, each is compared with
-the smallest; what that links is one component.  Keys that then still hold several components are compared block by block: their sets
-are cut into blocks of a bounded size, each two blocks meet in one task, which counts the shingles that sets have in common and returns
-only the pairs that are similar.  So no pair that shares a key is left out unless it is linked already, pairs that are not similar
-never become rows, and a large key is many tasks.
+Texts of equal shingle sets are combined first; each set has a SimHash fingerprint.  What enters one table is decided by keys, as in
+simhash_dedup; but fingerprints of sets of similarity 0.8 differ in about 10 bits of 64, more than blocks of bits can cover, so the keys
+are `bands` ones of `rows` minhashes: two sets of similarity s share a key with probability 1 - (1 - s ** rows) ** bands, all but 7 in
+a million at 0.8, fewer above.  Within a table, distances to reference fingerprints list the pairs within `reach` bits and discard
+them, the fingerprints verify the rest; each member goes on with the nearest before it and with the first of its key, which stands in
+all tables of a large key.  What of these is similar by the shingle sets is one component.
+
+No radius over fingerprints is sure to cover a similarity, so it bounds only what is listed first.  Keys that then still hold several
+components are compared block by block: their sets are cut into blocks of a bounded size, each two blocks meet in one task, which counts
+the shingles that sets have in common and returns only the pairs that are similar.  So no pair that shares a key is left out unless it is
+linked already, pairs that are not similar never become rows, and a large key is many tasks.
 
 Defined results: words are of lower-cased (A-Z) text; a text of fewer words than `width` is one shingle; null texts and those without
 words have no shingle, and one of them stays.  Rows without an id stand under a hash of their text; of rows with one id and text one stays; of
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 
 from llm.common import U64, SpanHash, discard, importable, materialize, mix, plain_names, text_slices, word_spans
 from llm.graph import components
-from llm.simhash_dedup import UPPER
+from llm.simhash_dedup import UPPER, majority, pivot_pairs
 
 
 @dataclass(frozen=True)
@@ -34,7 +40,9 @@ class Parameters:
     similarity: float = 0.8
     rows: int = 5
     bands: int = 30
-    #: Blocks of a key hold about so many shingles, and sets, at most.
+    #: Bits in which the fingerprints of a pair that a table lists differ, at most.
+    reach: int = 16
+    #: Blocks of a key hold about so many shingles, and sets, at most; so do its tables, of sets.
     block_shingles: int = 200_000
     block_sets: int = 1000
 
@@ -67,7 +75,7 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def sketch(rows: DataFrame, p: Parameters) -> DataFrame:
-    """__id, __text, sig (a name of the shingle set), n (its size), keys."""
+    """__id, __text, sig (a name of the shingle set), n (its size), fp (its fingerprint), keys."""
     seeds = (mix(np.arange(1, p.rows * p.bands + 1, dtype=U64) + U64(1 << 40)) | U64(1)).reshape(p.bands, p.rows)
     factors = mix(np.arange(1, p.rows + 1, dtype=U64) + U64(1 << 41)) | U64(1)
 
@@ -85,9 +93,51 @@ def sketch(rows: DataFrame, p: Parameters) -> DataFrame:
                         keys[:, band] = mix(sum(np.minimum.reduceat(hashes * s, edges) * f for s, f in zip(own, factors)) + U64(band))
                 cuts = np.concatenate([[0], np.cumsum((count > 0) * p.bands)]).astype(np.int32)
                 own = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([own.column("__id"), own.column("__text"), pa.array(sig.view(np.int64)), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel().view(np.int64)))], names=["__id", "__text", "sig", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([own.column("__id"), own.column("__text"), pa.array(sig.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(majority(hashes, count).view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel().view(np.int64)))], names=["__id", "__text", "sig", "n", "fp", "keys"])
+
+    return rows.mapInArrow(run, "__id long, __text long, sig long, n long, fp long, keys array<long>")
+
+
+def near_in_tables(table: np.ndarray, sig: np.ndarray, n: np.ndarray, fps: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), sigs: of each member of a table the nearest one before it, and the table's first, where within reach and of fitting size.
+    Rows are sorted by table and sig."""
+    first = np.searchsorted(table, table)
+    far = np.int64(1) << 62
+    nearest, star = np.full(len(table), far), np.zeros(len(table), bool)
+    for a, b in pivot_pairs(table, fps, p.reach):
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        fit = np.minimum(n[a], n[b]) >= p.similarity * np.maximum(n[a], n[b])
+        a, b = a[fit], b[fit]
+        np.minimum.at(nearest, b, np.bitwise_count(fps[a] ^ fps[b]).astype(np.int64) << 40 | a)
+        star[b[a == first[b]]] = True
+    near, star = np.flatnonzero(nearest < far), np.flatnonzero(star)
+    return sig[np.concatenate([nearest[near] & (1 << 40) - 1, first[star]])], sig[np.concatenate([near, star])]
+
+
+def listed(held: DataFrame, p: Parameters) -> DataFrame:
+    """a, b, a before b: the pairs that the tables list.  held: key, sig, n, fp, a (the key's first sig), tables (how many it has)."""
+    table = F.when(F.col("sig") == F.col("a"), F.expr("sequence(0L, tables - 1)")).otherwise(F.array(F.pmod(F.xxhash64("sig"), F.col("tables"))))
+    rows = held.select("key", F.explode(table).alias("table"), "sig", "n", "fp").repartition("key", "table").sortWithinPartitions("key", "table", "sig")
+
+    def pairs(columns: list[np.ndarray], new: np.ndarray) -> pa.RecordBatch:
+        _, _, sig, n, fp = columns
+        a, b = near_in_tables(np.cumsum(new), sig, n, fp.view(U64), p)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = [np.zeros(0, np.int64)] * 5
+        for batch in batches:
+            left = [np.concatenate(x) for x in zip(left, (c.to_numpy(zero_copy_only=False) for c in batch.columns))]
+            new = np.zeros(len(left[0]), bool)
+            new[1:] = (left[0][1:] != left[0][:-1]) | (left[1][1:] != left[1][:-1])
+            cut = int(np.flatnonzero(new)[-1]) if new.any() else 0  # the last table may go on in the next batch
+            if cut:
+                yield pairs([x[:cut] for x in left], new[:cut])
+            left = [x[cut:] for x in left]
+        if len(left[0]):
+            yield pairs(left, np.zeros(len(left[0]), bool))
 
-    return rows.mapInArrow(run, "__id long, __text long, sig long, n long, keys array<long>")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(named: DataFrame, rows: DataFrame, wanted: DataFrame, p: Parameters) -> DataFrame:
@@ -150,14 +200,13 @@ def _across(members: DataFrame, sets: DataFrame, p: Parameters) -> DataFrame:
 
 def links(named: DataFrame, rows: DataFrame, p: Parameters) -> DataFrame:
     """node, root: of the components of more than one shingle set."""
-    held = materialize(rows.select(F.explode("keys").alias("key"), "sig", "n").distinct(), "bands")
-    shared = held.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("a"), F.max("sig").alias("last")).where("last > a.sig").select("key", "a")
+    held = materialize(rows.select(F.explode("keys").alias("key"), "sig", "n", "fp").distinct(), "bands")
+    shared = held.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("last"), F.ceil(F.count("*") / p.block_sets).alias("tables")).where("last > a").select("key", "a", "tables")
     shared, bands = materialize(shared, "shared"), held
-    held = materialize(held.join(shared, "key").select("key", "sig", "n", "a"), "held")
+    held = materialize(held.join(shared, "key").select("key", "sig", "n", "fp", "a", "tables"), "held")
     discard(bands)
     discard(shared)
-    sized = F.expr(f"least(n, m) >= {p.similarity} * greatest(n, m)")
-    tested = materialize(held.select(F.col("a.sig").alias("a"), F.col("sig").alias("b"), F.col("a.n").alias("m"), "n").where("a < b").where(sized).select("a", "b").distinct(), "stars")
+    tested = materialize(listed(held, p), "listed")
     sets = materialize(_sets(named, rows, held.select("sig").distinct(), p), "sets")
     found = materialize(_similar(tested, sets, p), "found")
     roots = materialize(components(found).toDF("sig", "root"), "roots")

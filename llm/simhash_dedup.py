@@ -35,14 +35,28 @@ UPPER = np.arange(256, dtype=np.uint8)
 UPPER[65:91] += 32
 
 
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each row, whose hashes follow one another: a bit is 1 if it is set in over half of them; zero without any."""
+    out, some = np.zeros(len(sizes), U64), np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    edges = (np.cumsum(sizes) - sizes)[some]
+    votes = np.zeros((len(some), 64), np.int64)
+    ones = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for i in range(8):
+        votes[:, 8 * i : 8 * i + 8] = np.add.reduceat(np.unpackbits(ones[:, i : i + 1], axis=1, bitorder="little"), edges, axis=0, dtype=np.int64)
+    bits = np.packbits(2 * votes > sizes[some][:, None], axis=1, bitorder="little")
+    out[some] = np.ascontiguousarray(bits).view("<u8").ravel()
+    return out
+
+
 def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int = 42) -> np.ndarray:
     """Of each row: a bit is 1 if it is set in over half the hashes of the row's shingles."""
     n = len(offsets) - 1
-    out = np.zeros(n, U64)
     buf = UPPER[buf]
     starts, ends, rows = word_spans(buf, offsets)
     if not len(starts):
-        return out
+        return np.zeros(n, U64)
     size = ends - starts
     at = np.cumsum(size + 1) - (size + 1)  # words again, one space after each
     flat = np.full(int((size + 1).sum()), 0x20, np.uint8)
@@ -55,15 +69,7 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int = 4
     end = np.minimum(begin + width, (first_word + counts)[row]) - 1
     data, digest = flat.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(data[a:b], seed) for a, b in zip(at[begin].tolist(), (at[end] + size[end]).tolist())), U64, len(begin))
-    some = np.flatnonzero(shingles)
-    edges = (np.cumsum(shingles) - shingles)[some]
-    votes = np.zeros((len(some), 64), np.int64)
-    ones = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    for i in range(8):
-        votes[:, 8 * i : 8 * i + 8] = np.add.reduceat(np.unpackbits(ones[:, i : i + 1], axis=1, bitorder="little"), edges, axis=0, dtype=np.int64)
-    bits = np.packbits(2 * votes > shingles[some][:, None], axis=1, bitorder="little")
-    out[some] = np.ascontiguousarray(bits).view("<u8").ravel()
-    return out
+    return majority(hashes, shingles)
 
 
 def fingerprint(documents: DataFrame, width: int = 4, *keep: str) -> DataFrame:
@@ -120,6 +126,21 @@ def window_pairs(place: np.ndarray, radius: int, most: int = 1_000_000) -> Itera
         yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
 
 
+def pivot_pairs(table: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b), the places of all pairs within the radius in one table: pivot coordinates list and discard them, the bits decide."""
+    coordinates = np.stack([np.bitwise_count(fps ^ p) for p in PIVOTS]).astype(np.int8)
+    place = table * 256 + coordinates[0]  # tables lie further apart than any radius
+    order = np.argsort(place)
+    place, coordinates = place[order], coordinates[:, order]
+    for a, b in window_pairs(place, radius):
+        for other in coordinates[1:]:  # discarded by one coordinate after another
+            close = np.abs(other[a] - other[b]) <= radius
+            a, b = a[close], b[close]
+        a, b = order[a], order[b]
+        true = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+        yield a[true], b[true]
+
+
 def finer(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, fps) of finer tables for the members of one: the bits in which any of them differ are cut into blocks, two more than the
     radius, and two members within it agree on two of these at least."""
@@ -140,16 +161,9 @@ def table_links(keys: np.ndarray, fps: np.ndarray, radius: int, small: int = 256
     table, sizes = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
     own = np.flatnonzero((sizes > 1) & (sizes <= small))
     if len(own):
-        coordinates = np.stack([np.bitwise_count(fps[own] ^ p) for p in PIVOTS]).astype(np.int8)
-        place = table[own] * 256 + coordinates[0]  # tables lie further apart than any radius
-        order = np.argsort(place)
-        place, coordinates, members = place[order], coordinates[:, order], fps[own][order]
-        for a, b in window_pairs(place, radius):
-            for other in coordinates[1:]:  # discarded by one coordinate after another
-                close = np.abs(other[a] - other[b]) <= radius
-                a, b = a[close], b[close]
-            true = np.bitwise_count(members[a] ^ members[b]) <= radius
-            yield members[a[true]], members[b[true]]
+        members = fps[own]
+        for a, b in pivot_pairs(table[own], members, radius):
+            yield members[a], members[b]
     for s, g in zip(start[size > small], size[size > small]):
         if again:
             yield from table_links(*finer(fps[s : s + g], radius), radius, small, again=False)
