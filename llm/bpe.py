@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import SpanHash, gather, importable, text_slices
+from llm.common import KEPT, SpanHash, gather, importable, lean, text_slices
 
 LETTER, NUMBER, BLANK, OTHER = range(4)
 _kinds: list[np.ndarray] = []
@@ -175,6 +175,9 @@ class Encoder:
         return self.slices(batch, name)
 
 
+KEPT["encoders"] = Encoder._cache
+
+
 class FileEncoder(Encoder):
     """By a tokenizers JSON file, with the library's own results: special tokens in a text are found as it finds them."""
 
@@ -193,8 +196,8 @@ class FileEncoder(Encoder):
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode_matches(self, words: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [x.ids for x in found]
+        texts, each = [w.decode("utf-8", "replace") for w in words], self.tokenizer.encode_batch  # what it returns is large: some at a time
+        return [x.ids for i in range(0, len(texts), 4096) for x in each(texts[i : i + 4096], add_special_tokens=False)]
 
     def batches(self, batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         column = batch.column(name)
@@ -382,7 +385,7 @@ def encode_documents(documents: DataFrame, ranks: str) -> DataFrame:
             for first, ids, cuts in encoder.batches(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(cuts) - 1), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run, "encoders"), "doc_id long, ids array<int>")
 
 
 def round_trip(documents: DataFrame, ranks: str, chunk: int = 4096) -> DataFrame:
@@ -402,4 +405,4 @@ def round_trip(documents: DataFrame, ranks: str, chunk: int = 4096) -> DataFrame
                     of_text.append(sha.hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(cuts) - 1), pa.array(np.diff(cuts).astype(np.int64)), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run, "encoders"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

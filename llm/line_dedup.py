@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, WordHash, discard, importable, line_spans, materialize, partitions, plain_names, row_names, text_slices
+from llm.common import U64, SpanHash, WordHash, discard, importable, lean, line_spans, materialize, partitions, plain_names, row_names, text_slices
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def sequences(documents: DataFrame) -> DataFrame:
                 own = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in NAME), *packed], names=[*NAME, "hashes", "sizes"])
 
-    rows = documents.select(F.col("doc_id").isNotNull().alias("known"), *row_names(), "text").mapInArrow(run, SEQUENCES)
+    rows = documents.select(F.col("doc_id").isNotNull().alias("known"), *row_names(), "text").mapInArrow(lean(run), SEQUENCES)
     return rows.groupBy(*NAME).agg(F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
 
 
@@ -109,7 +109,7 @@ def keys(lines: DataFrame, p: Parameters) -> DataFrame:
             row, key, single = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in NAME), pa.array(key.view(np.int64)), pa.array(single)], names=[c.split()[0] for c in KEYS.split(", ")])
 
-    return lines.mapInArrow(run, KEYS)
+    return lines.mapInArrow(lean(run), KEYS)
 
 
 def pairs(lines: DataFrame, p: Parameters) -> DataFrame:
@@ -219,7 +219,7 @@ def find_blocks(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame
         if gone:
             yield row()
 
-    aligned = both.repartition(partitions(documents.sparkSession), "id", "tie", "task").sortWithinPartitions("id", "tie", "task", "partner").mapInArrow(align, "id long, tie long, lines array<int>")
+    aligned = both.repartition(partitions(documents.sparkSession), "id", "tie", "task").sortWithinPartitions("id", "tie", "task", "partner").mapInArrow(lean(align), "id long, tie long, lines array<int>")
     return aligned.groupBy("id", "tie").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
 
 
@@ -244,7 +244,7 @@ def deleted_lines(documents: DataFrame, p: Parameters = Parameters()) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_lines", "n_deleted", "n_blocks", "kept_sha256"])
 
     rows = _with_lines(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p, "doc_id")
-    return rows.mapInArrow(run, "doc_id long, n_lines long, n_deleted long, n_blocks long, kept_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_lines long, n_deleted long, n_blocks long, kept_sha256 string")
 
 
 @plain_names
@@ -267,4 +267,4 @@ def remove_lines(documents: DataFrame, p: Parameters = Parameters()) -> DataFram
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts]).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], names=schema.fieldNames()).filter(pa.array(keep, pa.bool_()))
 
-    return _with_lines(documents, p, *(c for c in documents.columns if c != "text")).select(*documents.columns, "__lines").mapInArrow(run, schema)
+    return _with_lines(documents, p, *(c for c in documents.columns if c != "text")).select(*documents.columns, "__lines").mapInArrow(lean(run), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, discard, importable, materialize, mix, plain_names, text_slices, word_spans
+from llm.common import U64, SpanHash, discard, importable, lean, materialize, mix, plain_names, text_slices, word_spans
 from llm.graph import components
 from llm.simhash_dedup import UPPER, majority, pivot_pairs
 
@@ -95,7 +95,7 @@ def sketch(rows: DataFrame, p: Parameters) -> DataFrame:
                 own = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([own.column("__id"), own.column("__text"), pa.array(sig.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(majority(hashes, count).view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel().view(np.int64)))], names=["__id", "__text", "sig", "n", "fp", "keys"])
 
-    return rows.mapInArrow(run, "__id long, __text long, sig long, n long, fp long, keys array<long>")
+    return rows.mapInArrow(lean(run), "__id long, __text long, sig long, n long, fp long, keys array<long>")
 
 
 def near_in_tables(table: np.ndarray, sig: np.ndarray, n: np.ndarray, fps: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def listed(held: DataFrame, p: Parameters) -> DataFrame:
         if len(left[0]):
             yield pairs(left, np.zeros(len(left[0]), bool))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _sets(named: DataFrame, rows: DataFrame, wanted: DataFrame, p: Parameters) -> DataFrame:
@@ -152,7 +152,7 @@ def _sets(named: DataFrame, rows: DataFrame, wanted: DataFrame, p: Parameters) -
                 cuts = np.searchsorted(row, np.arange(last - first + 1)).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("sig").slice(first, last - first), pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["sig", "hashes"])
 
-    return texts.mapInArrow(run, "sig long, hashes binary").dropDuplicates(["sig"])
+    return texts.mapInArrow(lean(run), "sig long, hashes binary").dropDuplicates(["sig"])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, p: Parameters) -> DataFrame:
@@ -168,7 +168,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, p: Parameters) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(lean(run), "a long, b long")
 
 
 def _across(members: DataFrame, sets: DataFrame, p: Parameters) -> DataFrame:

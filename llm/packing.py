@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.bpe import Encoder
-from llm.common import importable
+from llm.common import importable, lean
 
 
 @dataclass(frozen=True)
@@ -202,4 +202,4 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits =
         yield emit(powers_of_two(carried, limits))
 
     free = F.lit(0) if loss_from is None else F.col(loss_from).cast("long")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", free.cast("long").alias("loss_from")).mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", free.cast("long").alias("loss_from")).mapInArrow(lean(run, "encoders"), SCHEMA)

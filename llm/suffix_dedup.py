@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import U64, SpanHash, WordHash, dealt, gather, importable, materialize, mix, partitions, plain_names, row_names, text_slices, word_spans
+from llm.common import U64, SpanHash, WordHash, dealt, gather, importable, lean, materialize, mix, partitions, pieces, plain_names, row_names, text_slices, word_spans
 
 
 def difference_cover(q: int) -> np.ndarray:
@@ -90,6 +90,8 @@ KINDS = [("core", U64), ("hull", U64), ("twice", np.bool_), ("id", np.int64), ("
 PACKED = "bucket int, " + ", ".join(f"{n} binary" for n, _ in KINDS)
 #: state 1: every start of the run repeats; 2: the run is to be split; 3: both (a copy that stands for its class in the split).
 SETTLED = "id long, tie long, pos int, lo short, state byte"
+#: Texts are hashed by so many bytes at a time, which caches of processors hold; a task sends what it has of so many names at least.
+SLICE, FLUSH = 1 << 18, 1 << 18
 DIRECT = -1  #: lo of a record that its own task has settled; -2 - lo keeps the run
 
 
@@ -207,7 +209,9 @@ def _settle_batches(plan: Plan, last: bool):
         """A partition's rows; every bucket lies whole in one partition."""
         recs = [{n: np.frombuffer(b"".join(batch.column(n).to_pylist()), k) for n, k in KINDS} for batch in batches]
         if recs:
-            out = settle(_join(recs), plan, last)
+            rec = _join(recs)
+            recs.clear()
+            out = settle(rec, plan, last)
             fields = [c.split()[0] for c in SETTLED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(out[n]) for n in fields], names=fields)
 
@@ -217,7 +221,7 @@ def _settle_batches(plan: Plan, last: bool):
 def _units(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[dict[str, np.ndarray], tuple[SpanHash, SpanHash], np.ndarray, int]]:
     """(names of the rows, two hashes of spans, offsets, first row) of slices of a batch, in bytes or in words."""
     whole = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tie", "copies")}
-    for first, last, buf, offsets in text_slices(batch, "text"):
+    for first, last, buf, offsets in text_slices(batch, "text", SLICE):
         both = tuple(SpanHash(buf, second) for second in (False, True))
         if words:
             starts, ends, rows = word_spans(buf, offsets)
@@ -226,7 +230,7 @@ def _units(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[dict[str, np.nd
         yield {c: x[first:last] for c, x in whole.items()}, both, offsets, first
 
 
-def _sample(plan: Plan, buckets: int, words: bool = False, flush: int = 1_000_000):
+def _sample(plan: Plan, buckets: int, words: bool = False, flush: int = FLUSH):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Names of the sampled tuples, which are the cores of the widest runs."""
         held, n = [], 0
@@ -256,12 +260,12 @@ def _lists(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> tuple[n
     return row, [flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
 
 
-def _split(plan: Plan, level: int, buckets: int, words: bool = False):
+def _split(plan: Plan, level: int, buckets: int, words: bool = False, flush: int = FLUSH):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Names of the parts of the open runs, at this level."""
         for batch in batches:
             row_of, (pos_of, lo_of) = _lists(batch, "open", ("pos", "lo"))
-            held = []
+            held, n = [], 0
             for rows, spans, offsets, first in _units(batch, words):
                 own = slice(*np.searchsorted(row_of, [first, first + len(offsets) - 1]))
                 row, pos, lo = row_of[own] - first, pos_of[own], lo_of[own]
@@ -272,6 +276,11 @@ def _split(plan: Plan, level: int, buckets: int, words: bool = False):
                 row, pos, part = row[inside], pos[inside], part[inside]
                 if len(row):
                     held.append(names(plan, level, spans, offsets, rows, row, pos, part))
+                    n += len(row)
+                if n >= flush:
+                    if (out := combine(_join(held), plan, buckets)) is not None:
+                        yield out
+                    held, n = [], 0
             if held and (out := combine(_join(held), plan, buckets)) is not None:
                 yield out
 
@@ -293,14 +302,14 @@ def find_repeats(docs: DataFrame, length: int = 400, words: bool = False) -> Dat
     """id, tie, runs: for each of the dealt texts that has any, the runs of starts whose strings of `length` bytes (or words) occur
     elsewhere."""
     plan, n = Plan(length), partitions(docs.sparkSession)
-    named, found = docs.select(*NAME, "text", "copies").mapInArrow(_sample(plan, n, words), PACKED), []
+    named, found = docs.select(*NAME, "text", "copies").mapInArrow(lean(_sample(plan, n, words)), PACKED), []
     for level, width in enumerate(plan.widths):
         last = level == len(plan.widths) - 1
-        settled = materialize(named.repartitionById(n, "bucket").mapInArrow(_settle_batches(plan, last), SETTLED), f"repeats{level}")
+        settled = materialize(named.repartitionById(n, "bucket").mapInArrow(lean(_settle_batches(plan, last)), SETTLED), f"repeats{level}")
         found.append(settled.where("state % 2 = 1").select(*NAME, "pos", "lo", F.lit(width).alias("width")))
         if not last:
             opened = settled.where("state >= 2").distinct().groupBy(*NAME).agg(F.collect_list(F.struct("pos", "lo")).alias("open"))
-            named = docs.join(opened, NAME).select(*NAME, "text", "copies", "open").mapInArrow(_split(plan, level + 1, n, words), PACKED)
+            named = docs.join(opened, NAME).select(*NAME, "text", "copies", "open").mapInArrow(lean(_split(plan, level + 1, n, words)), PACKED)
     runs = found[0]
     for more in found[1:]:
         runs = runs.unionByName(more)
@@ -328,7 +337,7 @@ def _runs_of(docs: DataFrame, length: int, words: int | None) -> DataFrame:
 def _each(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets, whether each byte goes) of slices of a batch."""
     row_of, (pos, lo, width) = _lists(batch, "__runs", ("pos", "lo", "width"))
-    for first, last, buf, offsets in text_slices(batch, "text"):
+    for first, last, buf, offsets in text_slices(batch, "text", SLICE):
         own = slice(*np.searchsorted(row_of, [first, last]))
         yield first, buf, offsets, _covered(plan, np.diff(offsets), offsets, row_of[own] - first, pos[own], lo[own], width[own])
 
@@ -351,7 +360,7 @@ def repeated_bytes(documents: DataFrame, length: int = 400, words: int = 51) ->
     plan, word_plan, fields = Plan(length), Plan(words), [c.split()[0] for c in DIGEST.split(", ")]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             more = _passage_words(batch, word_plan)
             for first, buf, offsets, gone in _each(batch, plan):
                 n = len(offsets) - 1
@@ -362,14 +371,14 @@ def repeated_bytes(documents: DataFrame, length: int = 400, words: int = 51) ->
 
     docs = deal_texts(documents)
     rows = docs.join(_runs_of(docs, length, words), NAME, "left").select("doc_id", "text", "copies", "__runs", "__word_runs")
-    done = rows.mapInArrow(digest, f"{DIGEST}, copies long")
+    done = rows.mapInArrow(lean(digest), f"{DIGEST}, copies long")
     return done.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*fields)
 
 
 def _passage_words(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[np.ndarray, ...]]:
     """(whether each word is covered, where each row's words begin, starts, ends, rows) of the slices of a batch."""
     row_of, (pos, lo, width) = _lists(batch, "__word_runs", ("pos", "lo", "width"))
-    for first, last, buf, offsets in text_slices(batch, "text"):
+    for first, last, buf, offsets in text_slices(batch, "text", SLICE):
         own = slice(*np.searchsorted(row_of, [first, last]))
         starts, ends, rows = word_spans(buf, offsets)
         cuts = np.searchsorted(rows, np.arange(last - first + 1))
@@ -398,7 +407,7 @@ def remove_repeats(documents: DataFrame, length: int = 400, words: int | None =
     word_plan = Plan(words) if words else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, keep = [], []
             slices = list(_each(batch, plan))
             more = _covered_words(batch, word_plan, (len(buf) for _, buf, _, _ in slices)) if words else None
@@ -418,4 +427,4 @@ def remove_repeats(documents: DataFrame, length: int = 400, words: int | None =
     docs = deal_texts(documents)
     runs = _runs_of(docs, length, words).withColumnsRenamed({"id": "__id", "tie": "__tie"})
     name = [c.alias(f"__{n}") for c, n in zip(row_names(), NAME)]
-    return documents.select("*", *name).join(runs, ["__id", "__tie"], "left").select(*documents.columns, "__runs", "__word_runs").mapInArrow(cut, schema)
+    return documents.select("*", *name).join(runs, ["__id", "__tie"], "left").select(*documents.columns, "__runs", "__word_runs").mapInArrow(lean(cut), schema)
