@@ -260,23 +260,22 @@ class Automaton:
         self.p, self.size, self.count = p, len(count), np.maximum(count, 1)
         self.base = (np.maximum(count - d, 0) + share) / max(known.tokens, 1)
         self.left = np.where(count > 0, np.maximum(1 - takes / self.count, 1e-12), 1.0)
-        self.fail, self.unigram = np.log10(self.left).tolist(), np.log10(self.base).tolist()
-        self.arcs: dict[int, float] = {}
+        self.fail, self.unigram = np.log10(self.left), np.log10(self.base)
 
-    def add(self, keys: np.ndarray, count: np.ndarray) -> None:
-        """Arcs of bigrams, named state * size + token."""
+    def compile(self, keys: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The log10 weight of each step, named state * size + token: that of the bigram's arc, or without one (count 0) those of the
+        failure arc and of the root's."""
         state, token = np.divmod(keys, self.size)
-        weight = np.log10((count - self.p.discount) / self.count[state] + self.left[state] * self.base[token])
-        self.arcs.update(zip(keys.tolist(), weight.tolist()))
+        weights, arc = self.fail[state] + self.unigram[token], np.flatnonzero(count > 0)
+        state, token = state[arc], token[arc]
+        weights[arc] = np.log10((count[arc] - self.p.discount) / self.count[state] + self.left[state] * self.base[token])
+        return weights
 
-    def score(self, text: list[int], state: int) -> float:
-        """Sum of log10 probabilities of a text from a state."""
-        arc, size, total = self.arcs.get, self.size, 0.0
-        for token in text:
-            weight = arc(state * size + token)
-            total += self.fail[state] + self.unigram[token] if weight is None else weight
-            state = token
-        return total
+    @staticmethod
+    def score(weights: np.ndarray, steps: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """Sums of log10 probabilities of n texts: the state after a token is that token, so the steps (places among the compiled ones) of
+        all texts are known at once, and each text's weights are added from left to right."""
+        return np.bincount(rows, weights=weights[steps], minlength=n)
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -296,23 +295,22 @@ def _score(p: Parameters, known: Corpus, buckets: int, hot: np.ndarray, hot_take
             place = _places(hot, vocabulary)
             takes = np.where(place < 0, takes, hot_takes[place] if len(hot) else 0.0)
             machine = Automaton(known, count, takes, p)
-            keys = np.unique(_numbered([x[1:] for x in parts], vocabulary, number))
+            keys, steps = np.unique(_numbered([x[1:] for x in parts], vocabulary, number), return_inverse=True)
             history, token = np.divmod(keys, len(vocabulary))
             at = np.flatnonzero(place[history] >= 0)
             full = np.empty(len(keys), np.int64)
             full[place[history] < 0] = seen
             full[at[_by_name(mix(vocabulary[history[at]] * _A + vocabulary[token[at]] * _B))]] = seen_hot
-            machine.add(keys[full > 0], full[full > 0])
+            weights = machine.compile(keys, full)
             base = np.log10((count + 1) / (known.tokens + known.words + 1))
-            begin, at = int(np.searchsorted(vocabulary, END)), 0
+            at = 0
             for batch, hashes, rows in parts:
-                mine = number[at : at + len(hashes)]
+                own = slice(at, at + len(hashes))
                 at += len(hashes)
-                n, ids = batch.num_rows, mine.tolist()
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).tolist()
-                score = [machine.score(ids[a:b], begin) for a, b in zip(cuts, cuts[1:])]
+                n, mine = batch.num_rows, number[own]
+                score = machine.score(weights, steps[own], rows, n)
                 sums = [np.bincount(rows, weights=w, minlength=n) for w in (count[mine] > 0, base[mine])]
-                out.append(pa.table([batch.column("doc_id"), pc.invert(batch.column("trained")), pa.array(np.diff(cuts)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(sums[1]), pa.array(score, pa.float64()), batch.column("copies")], names=fields))
+                out.append(pa.table([batch.column("doc_id"), pc.invert(batch.column("trained")), pa.array(np.bincount(rows, minlength=n)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(sums[1]), pa.array(score, pa.float64()), batch.column("copies")], names=fields))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())], names=fields)
 
     return run

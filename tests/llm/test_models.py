@@ -225,3 +225,26 @@ def test_one_history_before_half_of_all_words(spark, sampled):
     np.add.at(pairs, asked.column("bucket").to_numpy(), [len(x) // 8 for x in asked.column("pairs").to_pylist()])
     share = pairs.max() / pairs.sum()
     assert (len(hot), share < 2 / n) == (1, True) if sampled == 1 else (len(hot), share > 0.4) == (0, True)
+
+
+def test_steps_of_the_automaton_are_taken_at_once():
+    """Sums over all texts at once against a walk from state to state."""
+    rng, p, size = np.random.default_rng(3), lm_scoring.Parameters(), 6
+    count, takes = np.array([0, 5, 9, 1, 7, 3]), np.array([0, 2.5, 4, 0, 6.5, 1.5])
+    machine = lm_scoring.Automaton(lm_scoring.Corpus(25, 5), count, takes, p)
+    texts = [rng.integers(0, size, n).tolist() + [5] for n in (0, 1, 7, 40)]  # 5 is the end
+    flat = np.concatenate([np.array(t) for t in texts])
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    keys, steps = np.unique(lm_scoring.pairs(flat, rows, 5, size), return_inverse=True)
+    seen = np.where(rng.random(len(keys)) < 0.5, 0, rng.integers(1, 3, len(keys))) * (count[keys // size] > 0)
+    got = machine.score(machine.compile(keys, seen), steps, rows, len(texts))
+    arcs = {int(k): int(n) for k, n in zip(keys, seen) if n}
+    for text, score in zip(texts, got):
+        state, want = 5, 0.0
+        for token in text:
+            base = (max(count[token] - 0.5, 0) + 0.5 * 5 / 6) / 25
+            left = max(1 - takes[state] / count[state], 1e-12) if count[state] else 1.0
+            own = arcs.get(state * size + token)
+            want += math.log10(left * base if own is None else (own - 0.5) / count[state] + left * base)
+            state = token
+        assert score == pytest.approx(want)
