@@ -17,8 +17,10 @@ ignored; an empty table gives an empty one.  Special tokens are ordinary text to
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from typing import ClassVar
 
 import numpy as np
@@ -266,7 +268,13 @@ class Transducer:
             if len(self.follows) > 3 * self.most_states:
                 self.follows.clear()
             get = self.ranks.get
-            self.follows[a, b] = not any((r := get(x + y)) is not None and r < x_ends and r <= y_ends for x, x_ends in self.spine(a, True) for y, y_ends in self.spine(b, False))
+            left = self.spine(b, False)
+            for x, x_ends in self.spine(a, True):
+                for y, y_ends in left:
+                    if (r := get(x + y)) is not None and r < x_ends and r <= y_ends:
+                        self.follows[a, b] = False
+                        return False
+            self.follows[a, b] = True
         return self.follows[a, b]
 
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -315,6 +323,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """The transducer's tables have no cycles: the collector, which would walk them again and again as they grow, rests meanwhile, and
+    passes over them later."""
+    before = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        if before:
+            gc.enable()
+
+
 class RankEncoder(Encoder):
     """By a file of ranks, through the transducer."""
 
@@ -329,7 +351,8 @@ class RankEncoder(Encoder):
 
     def encode_matches(self, words: list[bytes]) -> list[list[int]]:
         encode = self.transducer.encode
-        return [encode(w) for w in words]
+        with no_collection():
+            return [encode(w) for w in words]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self.token_flat, self.token_begin[ids], self.token_size[ids]).tobytes()

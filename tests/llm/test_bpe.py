@@ -106,3 +106,22 @@ def test_documents(spark, smallest, library):
     assert len({tuple(r)[1:] for r in round_trip(again, RANKS).collect()}) == 1 and sorted(str(r.doc_id) for r in round_trip(again, RANKS).collect()) == ["7", "7", "None"]
     nothing = spark.createDataFrame([(1, None, "x")], "doc_id long, text string, ids string")
     assert round_trip(nothing, RANKS).first().n_tokens == 0
+
+
+def test_the_collector_rests_while_the_transducer_runs():
+    import gc
+
+    encoder, ran = bpe.RankEncoder.__new__(bpe.RankEncoder), []
+
+    class Probe:
+        def encode(self, word: bytes) -> list[int]:
+            ran.append(gc.isenabled())
+            if word == b"bad":
+                raise ValueError(word)
+            return [len(word)]
+
+    encoder.transducer = Probe()
+    assert gc.isenabled() and encoder.encode_matches([b"a", b"bc"]) == [[1], [2]] and ran == [False, False] and gc.isenabled()
+    with pytest.raises(ValueError):
+        encoder.encode_matches([b"bad"])
+    assert gc.isenabled()
